@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from callgrid.llm import line_dedup, mixing, url_filter
+from callgrid.llm import fingerprint, line_dedup, mixing, url_filter, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op8_fingerprints": fingerprint.op8_fingerprints,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
     "op3_line_dedup": line_dedup.SQL,
     "op4_url_filter": url_filter.SQL,
+    "op10_warc": warc.SQL,
 }
