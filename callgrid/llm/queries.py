@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from callgrid.llm import fingerprint, line_dedup, mixing, url_filter, warc
+from callgrid.llm import fingerprint, line_dedup, mixing, packing, quality, url_filter, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_mixing": mixing.op2_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_quality": quality.op5_quality,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op10_warc": warc.op10_warc,
 }
