@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callgrid.llm import fingerprint, line_dedup, mixing, packing, quality, url_filter, warc
+from callgrid.llm import fingerprint, line_dedup, mixing, near_dedup, packing, quality, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,11 +11,13 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality": quality.op5_quality,
     "op8_fingerprints": fingerprint.op8_fingerprints,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
     "op3_line_dedup": line_dedup.SQL,
     "op4_url_filter": url_filter.SQL,
+    "op9_near_dedup": near_dedup.SQL,
     "op10_warc": warc.SQL,
 }
