@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callgrid.llm import fingerprint, line_dedup, lm_score, mixing, near_dedup, packing, quality, url_filter, warc
+from callgrid.llm import fingerprint, line_dedup, lm_score, mixing, near_dedup, packing, quality, url_filter, vector_search, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality": quality.op5_quality,
+    "op6_vector_search": vector_search.op6_vector_search,
     "op7_lm_score": lm_score.op7_lm_score,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_near_dedup": near_dedup.op9_near_dedup,
