@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import tempfile
+import time
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -16,6 +19,14 @@ def by_value(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+def per_process(name: str, make):
+    """One object of a worker process for all its tasks, such as a memory of encoded words; Spark reuses its workers."""
+    held = sys.modules.setdefault("_callgrid_per_process", types.ModuleType("_callgrid_per_process"))
+    if not hasattr(held, name):
+        setattr(held, name, make())
+    return getattr(held, name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session, or one set here where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -29,11 +40,10 @@ def staged_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends, and a lost executor loses nothing."""
-    path = staged_path(df.sparkSession, label)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    path = path or staged_path(df.sparkSession, label)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -41,3 +51,12 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a staged table that no later read needs."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are no longer referenced. It does so in the background, once their
+    objects are found dead: a first round frees the plans, a second what only they held."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
