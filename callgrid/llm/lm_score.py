@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrid.llm.quality import held_out
-from callgrid.runtime import by_value, stage
+from callgrid.llm.text import WordHashes
+from callgrid.runtime import by_value, release, remove, stage, staged_path
 
 by_value(__name__)
 
-CHUNK, BUCKET_TOKENS, CONTEXT_BUCKETS, EM_ROUNDS, WORD_CACHE = 2_000_000, 2_000_000, 24, 200, 300_000
+CHUNK, BUCKET_TOKENS, CONTEXT_BUCKETS, EM_ROUNDS = 1_000_000, 2_000_000, 24, 200
 #: EM's histogram: half-octave bins of pair to base, octave bins of the word's count.
 X_BINS, Y_BINS = 100, 16
 END = 0x9E3779B97F4A7C15
@@ -77,93 +78,87 @@ def unpack_counts(b: bytes) -> np.ndarray:
     return unsqueeze(b[1:], {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[b[0]]).astype(np.int64)
 
 
-class Words:
-    """Hashes of words, remembered; the end has the value END."""
-
-    def __init__(self):
-        import xxhash
-
-        self.hash, self.known = xxhash.xxh3_64_intdigest, {}
-
-    def of(self, text: bytes) -> list[int]:
-        known, out = self.known, []
-        if len(known) > WORD_CACHE:
-            known.clear()
-        for w in text.lower().split():  # bytes: ASCII letters and blanks only
-            h = known.get(w)
-            if h is None:
-                h = self.hash(w)
-                if len(w) <= 64:
-                    known[w] = h
-            out.append(h)
-        out.append(END)
-        return out
-
-
-def chunk_views(hashes: np.ndarray, sizes: np.ndarray):
-    """Of a chunk's token hashes: distinct words, each token's word, its context's word, distinct pairs, each token's pair."""
-    words, at = np.unique(hashes, return_inverse=True)
-    ends = np.searchsorted(words, np.uint64(END))
+def pair_views(words: np.ndarray, at: np.ndarray, sizes: np.ndarray):
+    """Each token's context (as a rank in ``words``), the distinct pairs, and each token's pair."""
     before = np.empty_like(at)
     before[1:] = at[:-1]
-    before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = ends
+    before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = np.searchsorted(words, np.uint64(END))
     pairs, pair_at = np.unique(pair_hash(words[before], words[at]), return_inverse=True)
-    return words, at, before, pairs, pair_at
+    return before, pairs, pair_at
 
 
-#: kind 0: the chunk itself; 1: words, 2: pairs of one bucket.
-CHUNKS = "kind int, chunk string, bucket int, docs binary, keys binary, counts binary"
-CHUNK_NAMES = ["kind", "chunk", "bucket", "docs", "keys", "counts"]
-CHUNK_TYPES = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+def _batch(rows, schema: str):
+    """Arrow batch of row tuples under a schema like 'a long, b binary'."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _batch(rows, names, types):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+CHUNKS = "chunk string, docs binary, keys binary, at binary"
 
 
-def chunked(docs: DataFrame, buckets: int, chunk_tokens: int = CHUNK) -> DataFrame:
-    """CHUNKS rows from (doc_id, text, held_out). ``buckets`` is a power of two; a hash's high bits are its bucket."""
-    shift = np.uint64(64 - buckets.bit_length() + 1)
-
-    def requests(kind, name, keys, counts):
-        of = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else np.array([0, len(keys)])
-        for k, (lo, hi) in enumerate(zip(of[:-1], of[1:], strict=True)):
-            if hi > lo:
-                yield kind, name, k, None, pack_sorted(keys[lo:hi]), pack_counts(counts[lo:hi])
+def chunked(docs: DataFrame, chunk_tokens: int = CHUNK) -> DataFrame:
+    """CHUNKS rows from (doc_id, text, held_out): documents and sizes, sorted word hashes, each token's rank in them."""
 
     def close(name, ids, held, parts):
-        sizes, held = np.array([len(p) for p in parts], np.int64), np.array(held, bool)
-        words, at, before, pairs, pair_at = chunk_views(np.concatenate(parts), sizes)
-        training = np.repeat(~held, sizes)
-        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "held": held, "size": sizes})
+        words, at = np.unique(np.concatenate(parts), return_inverse=True)
+        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "held": np.array(held, bool), "size": np.array([len(p) for p in parts], np.int64)})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as w:
             w.write_table(table)
-        yield [(0, name, -1, sink.getvalue().to_pybytes(), pack_sorted(words), squeeze(at.astype(np.uint32)))]
-        yield list(requests(1, name, words, np.bincount(at[training], minlength=len(words))))
-        yield list(requests(2, name, pairs, np.bincount(pair_at[training], minlength=len(pairs))))
+        return _batch([(name, sink.getvalue().to_pybytes(), pack_sorted(words), squeeze(at.astype(np.uint32)))], CHUNKS)
 
     def run(batches):
-        words, part, n, tokens = Words(), TaskContext.get().partitionId(), 0, 0
-        ids, held, parts = [], [], []
+        hashes, part, n, tokens = WordHashes(), TaskContext.get().partitionId(), 0, 0
+        end, ids, held, parts = np.array([END], np.uint64), [], [], []
         for b in batches:
-            for i in range(b.num_rows):
-                own = np.array(words.of((b.column(1)[i].as_py() or "").encode()), np.uint64)
-                if parts and tokens + len(own) > chunk_tokens:
-                    for rows in close(f"{part}-{n}", ids, held, parts):
-                        yield _batch(rows, CHUNK_NAMES, CHUNK_TYPES)
-                    ids, held, parts, tokens, n = [], [], [], 0, n + 1
-                ids.append(b.column(0)[i].as_py())
-                held.append(b.column(2)[i].as_py())
-                parts.append(own)
-                tokens += len(own)
+            for lo in range(0, b.num_rows, 256):
+                for doc, text, out in zip(*(c.slice(lo, 256).to_pylist() for c in b.columns), strict=True):
+                    own = np.concatenate([hashes.of((text or "").encode()), end])
+                    if parts and tokens + len(own) > chunk_tokens:
+                        yield close(f"{part}-{n}", ids, held, parts)
+                        ids, held, parts, tokens, n = [], [], [], 0, n + 1
+                    ids.append(doc)
+                    held.append(out)
+                    parts.append(own)
+                    tokens += len(own)
         if ids:
-            for rows in close(f"{part}-{n}", ids, held, parts):
-                yield _batch(rows, CHUNK_NAMES, CHUNK_TYPES)
+            yield close(f"{part}-{n}", ids, held, parts)
 
     return docs.mapInArrow(run, CHUNKS)
 
 
+#: kind 1: words, 2: pairs.
+ASKED = "kind int, chunk string, bucket int, keys binary, counts binary"
+
+
+def _sequence(row: dict):
+    docs = pa.ipc.open_stream(row["docs"]).read_all()
+    return docs, docs.column("size").to_numpy(), unpack_sorted(row["keys"]), unsqueeze(row["at"], np.uint32)
+
+
+def asked(chunks: DataFrame, buckets: int) -> DataFrame:
+    """ASKED rows of every chunk. ``buckets`` is a power of two; a hash's high bits are its bucket."""
+    shift = np.uint64(64 - buckets.bit_length() + 1)
+
+    def requests(kind, name, keys, counts):
+        of = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else np.array([0, len(keys)])
+        rows = [(kind, name, k, pack_sorted(keys[lo:hi]), pack_counts(counts[lo:hi])) for k, (lo, hi) in enumerate(zip(of[:-1], of[1:], strict=True)) if hi > lo]
+        return _batch(rows, ASKED)
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                docs, sizes, words, at = _sequence(row)
+                training = np.repeat(~docs.column("held").to_numpy(zero_copy_only=False), sizes)
+                yield requests(1, row["chunk"], words, np.bincount(at[training], minlength=len(words)))
+                _, pairs, pair_at = pair_views(words, at, sizes)
+                yield requests(2, row["chunk"], pairs, np.bincount(pair_at[training], minlength=len(pairs)))
+
+    return chunks.mapInArrow(run, ASKED)
+
+
 ANSWERS = "kind int, chunk string, bucket int, counts binary, total long, types long"
 
 
@@ -180,27 +175,24 @@ def _answer(table: pa.Table) -> pa.Table:
         lo += len(k)
     if kind == 1:
         rows.append((3, None, bucket, None, int(totals.sum()), int((totals > 0).sum())))
-    return pa.Table.from_batches([_batch(rows, ["kind", "chunk", "bucket", "counts", "total", "types"], [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()])])
+    return pa.Table.from_batches([_batch(rows, ANSWERS)])
 
 
 WHOLE = "chunk string, docs binary, keys binary, at binary, word_counts binary, pair_counts binary"
 
 
 def _assemble(table: pa.Table) -> pa.Table:
-    """A chunk with the answers to its questions."""
+    """A chunk (kind 0) with the answers to its questions."""
     d = table.to_pydict()
     own = d["kind"].index(0)
-    counts = [np.concatenate([unpack_counts(c) for k, _, c in sorted((k, b, c) for k, b, c in zip(d["kind"], d["bucket"], d["counts"], strict=True) if k == kind)]) for kind in (1, 2)]
-    row = (d["chunk"][own], d["docs"][own], d["keys"][own], d["counts"][own], *map(pack_counts, counts))
-    return pa.Table.from_batches([_batch([row], [x.split()[0] for x in WHOLE.split(", ")], [pa.string(), *[pa.binary()] * 5])])
+    counts = [np.concatenate([unpack_counts(c) for _, c in sorted((b, c) for k, b, c in zip(d["kind"], d["bucket"], d["counts"], strict=True) if k == kind)]) for kind in (1, 2)]
+    return pa.Table.from_batches([_batch([(d["chunk"][own], d["docs"][own], d["keys"][own], d["at"][own], *map(pack_counts, counts))], WHOLE)])
 
 
 def _tokens(row: dict):
     """Docs table, and per token: count of its word, of its context, of the pair."""
-    docs = pa.ipc.open_stream(row["docs"]).read_all()
-    sizes = docs.column("size").to_numpy()
-    words, at = unpack_sorted(row["keys"]), unsqueeze(row["at"], np.uint32)
-    _, at, before, _, pair_at = chunk_views(words[at], sizes)
+    docs, sizes, words, at = _sequence(row)
+    before, _, pair_at = pair_views(words, at, sizes)
     c1 = unpack_counts(row["word_counts"])
     return docs, sizes, c1[at], c1[before], unpack_counts(row["pair_counts"])[pair_at]
 
@@ -220,8 +212,8 @@ def held_out_counts(whole: DataFrame, n: int, v: int) -> list:
 
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
-                docs, sizes, cw, cv, cvw = _tokens(row)
+            for i in range(b.num_rows):
+                docs, sizes, cw, cv, cvw = _tokens(b.slice(i, 1).to_pylist()[0])
                 t = np.repeat(~docs.column("held").to_numpy(zero_copy_only=False), sizes)
                 cw, cv, cvw = cw[t] - 1, cv[t] - 1, cvw[t] - 1
                 f2, f1, f0 = estimates(cw, cv, cvw, n - 1, v)
@@ -267,20 +259,25 @@ def score_lm(docs: DataFrame, held: str = "held_out", doc_id: str = "doc_id", te
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(held).alias("held_out"))
     tokens = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     buckets = 1 << max(0, int(tokens // bucket_tokens)).bit_length()
-    chunks = stage(chunked(rows, buckets, chunk_tokens), "lm-chunks")
-    asked = chunks.where("kind > 0").select("kind", "chunk", "bucket", "keys", "counts")
-    answers = stage(asked.groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS), "lm-answers")
+    spark = docs.sparkSession
+    of_chunks, of_answers = staged_path(spark, "lm-chunks"), staged_path(spark, "lm-answers")
+    chunks = stage(chunked(rows, chunk_tokens), "lm-chunks", of_chunks)
+    answers = stage(asked(chunks, buckets).groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS), "lm-answers", of_answers)
+    release(spark)
     n, v = (int(x or 0) for x in answers.where("kind = 3").agg(F.sum("total"), F.sum("types")).first())
-    own = chunks.where("kind = 0").select("kind", "chunk", "bucket", "docs", "keys", "counts")
     none = F.lit(None).cast("binary")
-    parts = own.unionByName(answers.where("kind < 3").select("kind", "chunk", "bucket", none.alias("docs"), none.alias("keys"), "counts"))
+    own = chunks.select(F.lit(0).alias("kind"), "chunk", F.lit(-1).alias("bucket"), "docs", "keys", "at", none.alias("counts"))
+    parts = own.unionByName(answers.where("kind < 3").select("kind", "chunk", "bucket", none.alias("docs"), none.alias("keys"), none.alias("at"), "counts"))
     whole = stage(parts.groupBy("chunk").applyInArrow(_assemble, WHOLE), "lm-whole")
+    for path in (of_chunks, of_answers):
+        remove(spark, path)
+    release(spark)
     weights = mixture_weights(held_out_counts(whole, n, v)) if n else np.array([[0.0, 0.0, 1.0]] * CONTEXT_BUCKETS)
 
     def score(batches):
         for b in batches:
-            for row in b.to_pylist():
-                docs, sizes, cw, cv, cvw = _tokens(row)
+            for i in range(b.num_rows):
+                docs, sizes, cw, cv, cvw = _tokens(b.slice(i, 1).to_pylist()[0])
                 f2, f1, f0 = estimates(cw, cv, cvw, n, v)
                 w = weights[context_bucket(cv)]
                 logs = np.log10(w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] * f0)
