@@ -51,7 +51,7 @@ def imbalance_ratio(rows: DataFrame, label: str = "label", within=()) -> DataFra
 
 def crosstab(rows: DataFrame, a: str, b: str, values) -> DataFrame:
     """Counts by a, a column for each listed value of b."""
-    return rows.groupBy(a).pivot(b, list(values)).agg(F.count("*")).na.fill(0).orderBy(a)
+    return rows.groupBy(a).pivot(b, list(values)).agg(F.count(F.lit(1))).na.fill(0).orderBy(a)
 
 
 def quality_summary(issues: DataFrame) -> DataFrame:
