@@ -153,7 +153,7 @@ def q17_confusion_dense(spark, d):
     return metrics.confusion(T.predictions(spark, d), T.VECTOR_CLASSES)
 
 
-@query(f"WITH {DENSE_SQL} SELECT "true", pred, n, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY "true"), 0), 0), 6) AS share FROM dense")
+@query(f"""WITH {DENSE_SQL} SELECT "true", pred, n, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY "true"), 0), 0), 6) AS share FROM dense""")
 def q18_confusion_normalised(spark, d):
     return rounded(metrics.normalised_confusion(metrics.confusion(T.predictions(spark, d), T.VECTOR_CLASSES)))
 
