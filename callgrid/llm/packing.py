@@ -18,62 +18,123 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from callgrid.runtime import by_value, stage
+from callgrid.runtime import by_value, per_process, stage
 
 by_value(__name__)
 
-CAPACITY, END_ID, CLASSES, ROUNDS, CACHE = 4096, 1, 128, 300, 400_000
+CAPACITY, END_ID, CLASSES, ROUNDS, CACHE = 4096, 1, 128, 300, 600_000
 #: Shares of the program's solution that are rounded down to whole configurations; the best of these roundings is used.
 SHARES = (0.25, 0.5, 0.75, 1.0)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
+#: Runs of one Latin word between plain punctuation: the tokenizer's own pattern cuts them at exactly these borders, and
+#: its normaliser only lower-cases them. Apostrophes, digits and angle brackets (special tokens) are left to it.
+MARKS = r"[!\"#$%&()*+,\-./:;=?@\[\]^_{|}~]*"
+PLAIN = f"^(?P<a>{MARKS})(?P<w>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)(?P<b>{MARKS})$"
+
+
 class Encoder:
-    """Token ids as little-endian uint32 bytes. Every step of the tokenizer works inside a run of non-blanks, so runs
-    are encoded once and remembered; long runs are encoded as they come."""
+    """Token ids as little-endian uint32 bytes. Every step of the tokenizer works inside a run of non-blanks, so distinct
+    runs are encoded once. Plain runs are taken apart into punctuation and a lower-cased word; words are remembered, and
+    new ones encoded many at a time and cut apart at the tokens that end a word."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(vocabulary), {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list({run for runs in cut for run in runs}.difference(known))
-        long = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for run, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(run) <= 64 else long)[run] = np.array(e.ids, "<u4").tobytes()
-        known.setdefault("", b"")
-        if long:
-            return [b"".join([known[r] if r in known else long[r] for r in runs]) for runs in cut]
-        return [b"".join(map(known.__getitem__, runs)) for runs in cut]
+        self.tokenizer, self.parts = Tokenizer.from_str(vocabulary), {"": b""}
+        size = max(self.tokenizer.get_vocab().values()) + 1
+        self.ends = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _each(self, texts: list[str], into: dict) -> None:
+        for i in range(0, len(texts), 4096):
+            part = texts[i : i + 4096]
+            for t, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                into[t] = np.array(e.ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> None:
+        for i in range(0, len(words), 128):
+            part = words[i : i + 128]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(part):
+                self._each(part, self.parts)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, to in zip(part, (4 * cut).tolist(), strict=True):
+                self.parts[w] = data[at:to]
+                at = to
+
+    def _ids(self, texts: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text, where its ids begin in one array of ids, and how many there are."""
+        numbered = texts.dictionary_encode()
+        keys = numbered.dictionary.to_pylist()
+        encode([k for k in keys if k not in self.parts])
+        found = [self.parts[k] for k in keys]
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = numbered.indices.to_numpy()
+        return np.frombuffer(b"".join(found), "<u4"), (np.cumsum(n) - n)[codes], n[codes]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Texts are cut at blanks and their distinct runs taken apart by vectorised steps; Python sees distinct words only."""
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+            self.parts[""] = b""
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        numbered = cut.flatten().dictionary_encode()
+        runs, codes = numbered.dictionary, numbered.indices.to_numpy()
+        apart = pc.extract_regex(runs, PLAIN)
+        plain = apart.is_valid().to_numpy(zero_copy_only=False)
+        # three parts of each run: punctuation, word, punctuation; other runs are one part
+        whole = pc.if_else(pa.array(plain), pa.scalar(""), runs)
+        a, w, b = (pc.fill_null(apart.field(i), "") for i in range(3))
+        marks = self._ids(pa.concat_arrays([a, b, whole]), lambda new: self._each(new, self.parts))
+        words = self._ids(pc.utf8_lower(w), self._words)
+        for run in whole.filter(pc.greater(pc.utf8_length(whole), 64)).to_pylist():
+            self.parts.pop(run, None)
+        k = len(runs)
+        base = np.concatenate([marks[0], words[0]])
+        first = np.stack([marks[1][:k], words[1] + len(marks[0]), marks[1][k : 2 * k], marks[1][2 * k :]], 1)
+        size = np.stack([marks[2][:k], words[2], marks[2][k : 2 * k], marks[2][2 * k :]], 1)
+        ids, n = self._gathered(base, first.ravel(), size.ravel()), size.sum(1)
+        ends = np.concatenate([[0], np.cumsum(n[codes])])
+        data = self._gathered(ids, (np.cumsum(n) - n)[codes], n[codes]).tobytes()
+        of = (4 * ends[cut.offsets.to_numpy()]).tolist()
+        return [data[lo:hi] for lo, hi in zip(of[:-1], of[1:], strict=True)]
+
+    @staticmethod
+    def _gathered(base: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Stretches of an array, one after the other."""
+        ends = np.cumsum(n)
+        return base[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def tokenised(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """PIECES of every row; only documents of more than ``capacity`` ids are cut."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file: fixed size
+    name = f"encoder_{zlib.crc32(vocabulary.encode()):08x}"
 
     def run(batches):
+        import gc
         import os
 
+        gc.disable()  # millions of strings and no cycles
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, seen = Encoder(sent.value), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder, part, seen = per_process(name, lambda: Encoder(sent.value)), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                ids, texts = (c.slice(lo, 256).to_pylist() for c in b.columns[:2])
+            for lo in range(0, b.num_rows, 2048):
+                ids, texts = (c.slice(lo, 2048) for c in b.columns[:2])
                 rows = []
-                for doc, data in zip(ids, encoder.encode([t or "" for t in texts]), strict=True):
+                for doc, data in zip(ids.to_pylist(), encoder.encode(texts), strict=True):
                     data += end
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         own = data[at : at + 4 * capacity]
@@ -81,6 +142,7 @@ def tokenised(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
                         rows.append((doc, k, at // 4, n, zlib.crc32(own), part, int(seen[n])))
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+        gc.enable()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, PIECES)
 
