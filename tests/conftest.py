@@ -39,9 +39,11 @@ def oracle():
 @pytest.fixture(scope="session")
 def same(oracle):
     def check(df, sql: str, folder: str = TESTDATA):
+        import pandas as pd
+
         a, b = df.toPandas(), oracle(sql, folder)
         assert sorted(a.columns) == sorted(b.columns)
-        plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
+        plain = lambda v: None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
         rows = lambda x: sorted(repr([plain(v) for v in r]) for r in x[sorted(x.columns)].astype(object).values.tolist())
         assert rows(a) == rows(b)
 
