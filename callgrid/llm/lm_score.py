@@ -224,7 +224,7 @@ def held_out_counts(whole: DataFrame, n: int, v: int) -> list:
                 size = CONTEXT_BUCKETS * X_BINS * Y_BINS
                 k, sx, sy = (np.bincount(cell, weights=w, minlength=size) for w in (None, np.where(xb > 0, lx, 0.0), y))
                 some = np.flatnonzero(k)
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(k[some]), pa.array(sx[some]), pa.array(sy[some])], names=["cell", "k", "sx", "sy"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(k[some], pa.int64()), pa.array(sx[some], pa.float64()), pa.array(sy[some], pa.float64())], names=["cell", "k", "sx", "sy"])
 
     cells = whole.mapInArrow(run, "cell long, k long, sx double, sy double")
     return cells.groupBy("cell").agg(F.sum("k").alias("k"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy")).collect()  # at most one row per cell
