@@ -91,7 +91,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         if upto is not None:
             part = part.where(at > upto)
         runs.add(part)
-    shared = runs.index().where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder")
+    shared = stage(runs.index().where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder"), "line-shared")  # a table of its own, so that a hot line can be split
     lost = lines.join(shared, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("holder"))).select(F.col("doc.id").alias("__id"), F.col("tx").alias("__tx"), "pos")
     lost = lost.groupBy("__id", "__tx").agg(F.collect_set("pos").alias("__lost"))
     tx = F.xxhash64(docs[text])
