@@ -60,3 +60,6 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.5)
+
+
+by_value(__name__)
