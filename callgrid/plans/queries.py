@@ -596,3 +596,101 @@ def q84_scalar_functions(spark, d):
     x = F.col("p_retailprice")
     a, b = F.col("p_size").cast("double"), F.col("p_size") + 5.0
     return rounded(T.table(spark, d, "part").select(F.col("p_partkey").alias("id"), S.hz_to_mel(x).alias("mel"), S.decibels(x / 1000).alias("db"), S.temporal_iou(a, b, F.lit(20.0), F.lit(30.0)).alias("iou")))
+
+
+# ---- flows, clustering, vectors, streams (not expressible in SQL unless a text is given) --------------------------
+
+@query()
+def q85_submission_summary(spark, d):
+    from callgrid.plans.pipelines import submission
+
+    return rounded(submission(T.vectors(spark, d), T.VECTOR_CLASSES, {"scaler": "robust_l2", "k": 5})["summary"])
+
+
+@query()
+def q86_search_table(spark, d):
+    from callgrid.plans.pipelines import search
+
+    rows = {"raw": T.vectors(spark, d)}
+    grid = ranking.grid({"feature_set": ["raw"], "scaler": ["standard", "l2"], "k": [1, 5], "metric": ["cosine"]})
+    return rounded(search(rows, T.VECTOR_CLASSES, grid, domain_aware=True).drop("params"))
+
+
+@query()
+def q87_kmeans_composition(spark, d):
+    from callgrid.operators import clustering
+
+    return clustering.composition(clustering.k_means(T.vectors(spark, d), 10, seeds=2))
+
+
+@query()
+def q88_dbscan(spark, d):
+    from callgrid.operators import clustering
+
+    return clustering.dbscan(T.vectors(spark, d), 1.0, 5)
+
+
+@query(f"WITH {T.PREDICTIONS_SQL}, c AS (SELECT y_pred_label AS cluster, y_true_label AS label, count(*) AS n FROM predictions GROUP BY ALL), m AS (SELECT n, sum(n) OVER (PARTITION BY cluster) AS a, sum(n) OVER (PARTITION BY label) AS b, sum(n) OVER () AS t FROM c), s AS (SELECT sum(-n / t * ln(b / t)) AS hl, sum(-n / t * ln(a / t)) AS hc, sum(n / t * ln(n * t / (a * b))) AS mi, sum(n * (n - 1) / 2) AS both_, sum(n / a * a * (a - 1) / 2) AS sc, sum(n / b * b * (b - 1) / 2) AS sl, max(t * (t - 1) / 2) AS pairs FROM m) SELECT round(mi / hl, 6) AS homogeneity, round(mi / hc, 6) AS completeness, round(2 * mi / (hl + hc), 6) AS nmi, round((both_ - sc * sl / pairs) / ((sc + sl) / 2 - sc * sl / pairs), 6) AS ari, 0.0::DOUBLE AS noise_fraction FROM s")
+def q89_contingency_measures(spark, d):
+    from callgrid.operators import clustering
+
+    p = T.predictions(spark, d).select(F.col("y_pred_label").alias("cluster"), F.col("y_true_label").alias("label"))
+    return rounded(clustering.contingency_measures(p))
+
+
+@query()
+def q90_baseline_models(spark, d):
+    from functools import reduce
+
+    from callgrid.operators import models
+
+    v = T.vectors(spark, d)
+    out = [models.predictions(v.where("NOT is_test"), v.where("is_test"), m, T.VECTOR_CLASSES).withColumn("model", F.lit(m)) for m in ("logistic_regression", "gaussian_nb", "random_forest")]
+    return rounded(metrics.metrics(reduce(DataFrame.unionAll, out), T.VECTOR_CLASSES, ["model"]))
+
+
+def sounding(spark, d):
+    """Embeddings as 64 samples at 250 Hz with an event box."""
+    v = T.table(spark, d, "embeddings")
+    return v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("samples"), F.lit(250).alias("rate"), F.lit(0.0).alias("clip_start_seconds"), F.lit(0.256).alias("clip_end_seconds"), F.lit(0.256).alias("duration_seconds"), F.lit(0.256).alias("real_duration_seconds"), (F.col("label") * 5.0 + 10).alias("low_frequency"), (F.col("label") * 5.0 + 40).alias("high_frequency"))
+
+
+AUDIO = {"sample_rate": 250, "n_fft": 32, "win_length": 32, "hop_length": 8, "n_mels": 16, "f_min": 0, "f_max": 125, "frequency_scale": "linear", "normalization": "sample"}
+
+
+def _vectors_query(number, name):
+    def f(spark, d):
+        from callgrid.functions.features import extract
+
+        return extract(sounding(spark, d), name, AUDIO)
+
+    f.__name__ = f"q{number}_features_{name}"
+    query()(f)
+
+
+for _n, _name in enumerate(("handcrafted_stats", "waveform_spectral_stats", "lowfreq_all", "notebook_exact_44_plus_regions", "mfcc_20", "logmel_stats_32", "band_energy_mel_16", "patch_32x32", "classical_texture_32x32"), 91):
+    _vectors_query(_n, _name)
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 3) AS value FROM events GROUP BY ALL")
+def q100_windowed_counts(spark, d):
+    from callgrid.streaming.detections import windowed_counts
+
+    out = windowed_counts(T.table(spark, d, "events"))
+    return rounded(out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")}), 3)
+
+
+@query(f"WITH {_near_sql('euclidean')}, r AS (SELECT query_id, avg(distance) AS m, any_value(q.label) = mode(v.label) AS same FROM near JOIN vectors v ON v.id = neighbor_id JOIN vectors q ON q.id = query_id GROUP BY query_id) SELECT query_id % 2 = 0 AS correct, count(*) AS n, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.5), 6) AS median, round(quantile_cont(m, 0.9), 6) AS p90 FROM r GROUP BY 1")
+def q101_neighbor_distance_stats(spark, d):
+    report = knn.neighbour_report(near(spark, d), T.vectors(spark, d)).withColumn("correct", F.col("query_id") % 2 == 0)
+    return rounded(knn.distance_stats(report))
+
+
+@query(f"WITH {T.CHECKED_SQL} SELECT 'label' AS \"column\", count(DISTINCT label) + max((label IS NULL)::INT) AS n_distinct FROM checked UNION ALL SELECT 'dataset', count(DISTINCT dataset) + max((dataset IS NULL)::INT) FROM checked")
+def q102_distinct_with_null(spark, d):
+    return profile.distinct_with_null(checked(spark, d), "label", "dataset")
+
+
+@query(f"WITH {T.VECTORS_SQL} SELECT id, label, percent_rank() OVER (PARTITION BY label ORDER BY md5('0:' || id), id) >= 0.8 AS held_out FROM vectors")
+def q103_hold_out(spark, d):
+    return folds.hold_out(T.vectors(spark, d).select("id", "label"))
