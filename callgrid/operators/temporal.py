@@ -97,3 +97,12 @@ def totals(summary: DataFrame) -> DataFrame:
 
 
 REPORT_THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+
+
+def detect(events: DataFrame, duration: str, order: str, config: DetectorConfig, noise: float = 0.1, seed: int = 0) -> DataFrame:
+    """Frames from annotations, stand-in predictions on them, islands."""
+    from callgrid.functions.labels import code
+
+    frames = frame_labels(events, duration, config.fps, order)
+    index = code(F.col("label"), config.classes) + 1 if config.multiclass else F.lit(1)
+    return islands(frame_predictions(frames, F.coalesce(index, F.lit(0)), noise, seed), config)
