@@ -151,7 +151,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, share: f
 
     asked = stage(asking.mapInArrow(key_queries, "query_id long, key binary, vec binary"), "ann-queries")
     distinct = asked.groupBy("key").agg(F.min("vec").alias("vec"))
-    n_blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
+    n_asked = max(1, asked.count())
+    n_blocks = -(-n_asked // QUERY_BLOCK)
     block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int")
 
     def traverse(batches):
@@ -167,7 +168,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, share: f
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["slot", "block", "query", "vec", "cells"])
 
-    visits = distinct.select("key", "vec", block.alias("block")).mapInArrow(traverse, "slot int, block int, query binary, vec binary, cells binary")
+    tasks = -(-n_asked // 256)  # walking the heap is the costly part: spread it whatever the size in bytes
+    visits = distinct.select("key", "vec", block.alias("block")).repartition(tasks, "key").mapInArrow(traverse, "slot int, block int, query binary, vec binary, cells binary")
     starts, parts = (F.lit(a.tolist()) for a in (first.astype(int), pieces.astype(int)))
     at = F.get(starts, F.col("cell")) + F.pmod(F.xxhash64("key"), F.get(parts, F.col("cell")))
     laid = placed.select(at.cast("int").alias("slot"), F.explode(F.lit(list(range(n_blocks)))).alias("block"), "cell", "vec", "ids")
