@@ -190,7 +190,8 @@ def _parsed(content: bytes):
 def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = False) -> DataFrame:
     """All response and revisit records of the archives (path, bytes): RECORD, and the payload if asked for."""
     ranges = manifest.select("path", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    n = manifest.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("bytes") / split_bytes)))).first()[0] or 1
+    ranges = ranges.repartition(int(n), "path", "start")  # a stated number: rows are small, but each is a range to read
     schema = RECORD + (", payload binary" if payload else "")
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), *([pa.binary()] if payload else [])]
     names = [x.split()[0] for x in schema.split(", ")]
