@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import sys
@@ -28,16 +29,29 @@ def per_process(name: str, make):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or one set here where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session, or a local one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"callgrid-shared-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or "file://" + os.path.join(tempfile.gettempdir(), f"callgrid-shared-{os.getuid()}")).rstrip("/")
 
 
 def staged_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    STAGED.append(path)
+    return path
+
+
+#: Staged tables of this process. Results may still be read from them, so they go only when it ends.
+STAGED: list[str] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Delete what this process has staged, if its session is still there."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in STAGED:
+            remove(spark, path)
+    STAGED.clear()
 
 
 def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
