@@ -5,9 +5,11 @@ representative, the smallest doc_id, goes on. Each tree of the forest orders the
 minhashes: they are range-partitioned and sorted, so a task streams a stretch of one order. Rows that share at least
 ``LEAST`` leading hashes form a region; in it every row meets its ``NEAR`` neighbours of longest common prefix, which lie
 deeper the denser the region is, and the region's most central rows. Of the pairs whose whole signatures agree enough, a
-stretch emits a maximum spanning forest. Pairs are confirmed on full sets: first the best pair of each document, then
-the pairs left between two components. Last, a document that shares a region with the hub of a larger
-component but is no part of it is compared with all its members, in parts.
+stretch of regions larger than that window emits a maximum spanning forest; a region within the window stays in one
+task, where all its rows meet and every such pair is emitted. Pairs are confirmed on full sets: first the best pair of
+each document, then the best ones left between components, then all that are left between two components. Last, a
+document that shares a region with the hub of a larger component but is no part of it is compared with all its members,
+in parts.
 
 No group is gathered: hot classes collapse by partial aggregation, hot regions are cut by the range partitioning (the
 last sort key is a hash of the id), and links become components by label joins.
@@ -113,20 +115,22 @@ def _regions(batches):
 
 
 def _tree_rows(batches):
-    """(tree, order, rep, short): the tree's minhashes big-endian, and the whole signature with a byte a hash."""
+    """(tree, order, rep, short, region, large): the tree's minhashes big-endian, the whole signature with a byte a hash, and
+    whether the region has more rows than meet in a window."""
     for b in batches:
         out = []
-        for rep, sig, regions in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for rep, sig, regions, larger in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             import xxhash
 
-            wanted, sig32 = set(regions), np.frombuffer(sig, np.uint32)
+            wanted, large, sig32 = set(regions), set(larger), np.frombuffer(sig, np.uint32)
             short = (sig32 & np.uint32(255)).astype(np.uint8).tobytes()
             for t in range(TREES):
                 own = sig[4 * t * DEPTH : 4 * (t + 1) * DEPTH]
-                if xxhash.xxh3_64_intdigest(own[: 4 * LEAST], t) - 2**63 in wanted:
-                    out.append((t, np.frombuffer(own, np.uint32).astype(">u4").tobytes(), rep, short))
+                region = xxhash.xxh3_64_intdigest(own[: 4 * LEAST], t) - 2**63
+                if region in wanted:
+                    out.append((t, np.frombuffer(own, np.uint32).astype(">u4").tobytes(), rep, short, region, region in large))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["tree", "order", "rep", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()), strict=True)], names=["tree", "order", "rep", "short", "region", "large"])
 
 
 def _spanning(pairs: np.ndarray, est: np.ndarray) -> np.ndarray:
@@ -154,8 +158,9 @@ def _centres(short: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return lo + np.argsort(-(own == common).sum(1), kind="stable")[:CENTRES]
 
 
-def _neighbours(batches):
-    """Candidate pairs of a sorted stretch: up to NEAR rows before in the same region, and the region's centres."""
+def _neighbours(batches, every: bool = False):
+    """Candidate pairs of a sorted stretch: up to NEAR rows before in the same region, and the region's centres. All of
+    them if ``every``, else a spanning forest."""
     carry = None
     for b in batches:
         if not b.num_rows:
@@ -190,7 +195,7 @@ def _neighbours(batches):
                 compare(np.full(n, centre), np.arange(lo, lo + n))
         if pairs and len(pair := np.concatenate(pairs)):
             est = np.concatenate(ests)
-            keep = _spanning(pair, est)
+            keep = np.ones(len(pair), bool) if every else _spanning(pair, est)
             pair, est = np.sort(pair[keep], 1), est[keep]
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(est)], names=["a", "b", "est"])
         # the last region's centres travel on in front of the last NEAR rows
@@ -200,6 +205,10 @@ def _neighbours(batches):
         carry = tuple(x[tail] for x in (tree, order, rep, short))
 
 
+def _all_neighbours(batches):
+    return _neighbours(batches, every=True)
+
+
 def _sets(batches):
     s = Shingler()
     for b in batches:
@@ -233,19 +242,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def shared_regions(reps: DataFrame) -> DataFrame:
-    """(region, rep) of all regions of more than one representative."""
+    """(region, rep, large) of all regions of more than one representative; a large one has more than a window."""
     regions = stage(reps.select("rep", "sig").mapInArrow(_regions, "region long, rep long"), "near-regions")
-    shared = stage(regions.groupBy("region").count().where("count > 1").select("region"), "near-shared")
-    return stage(regions.join(shared, "region").select("region", "rep"), "near-met")
+    shared = stage(regions.groupBy("region").count().where("count > 1").select("region", (F.col("count") > NEAR + 1).alias("large")), "near-shared")
+    return stage(regions.join(shared, "region").select("region", "rep", "large"), "near-met")
 
 
 def candidate_pairs(reps: DataFrame, met: DataFrame) -> DataFrame:
     """(a, b, est), a < b, of neighbours in the sorted orders."""
-    wanted = met.groupBy("rep").agg(F.collect_list("region").alias("regions"))  # at most TREES each
-    rows = reps.select("rep", "sig").join(wanted, "rep").select("rep", "sig", "regions").mapInArrow(_tree_rows, "tree int, order binary, rep long, short binary")
+    wanted = met.groupBy("rep").agg(F.collect_list("region").alias("regions"), F.collect_list(F.when(F.col("large"), F.col("region"))).alias("larger"))  # at most TREES each
+    rows = reps.select("rep", "sig").join(wanted, "rep").select("rep", "sig", "regions", "larger").mapInArrow(_tree_rows, "tree int, order binary, rep long, short binary, region long, large boolean")
     rows = stage(rows, "near-rows")
-    key = ["tree", "order", F.xxhash64("rep"), "rep"]
-    found = rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_neighbours, "a long, b long, est double")
+    key, pair = ["tree", "order", F.xxhash64("rep"), "rep"], "a long, b long, est double"
+    found = rows.where("large").repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_neighbours, pair)
+    found = found.unionAll(rows.where("NOT large").repartition("region").sortWithinPartitions(*key).mapInArrow(_all_neighbours, pair))
     return found.groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
@@ -337,18 +347,30 @@ def confirmed_components(plain: DataFrame, reps: DataFrame, met: DataFrame, pair
     best = ends.groupBy("v").agg(F.max(F.struct("est", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
     tried = confirm(best, sets)
     labels = connected_components(tried.where("linked").select("a", "b"))
-    sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("n")), "label")
-    la, lb = (sized.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    left = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
-    left = left.select("a", "b", "est", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), F.coalesce("na", F.lit(1)).alias("na"), F.coalesce("nb", F.lit(1)).alias("nb")).where("la <> lb")
-    # between two small components every pair counts; towards a larger one a document's best does, as the stragglers follow
+
+    def between(labels: DataFrame, tried: DataFrame) -> DataFrame:
+        """The pairs not tried that join two components, with label and size of each."""
+        sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("n")), "label")
+        la, lb = (sized.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+        left = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
+        return left.select("a", "b", "est", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), F.coalesce("na", F.lit(1)).alias("na"), F.coalesce("nb", F.lit(1)).alias("nb")).where("la <> lb")
+
+    left = between(labels, tried)
+    # between two small components every pair goes now; towards a larger one a document's best does, and spares most others
     small = left.where("na < 3 AND nb < 3").select("a", "b")
     large = left.where("na > 2 OR nb > 2").groupBy(F.when(F.col("na") > F.col("nb"), F.col("b")).otherwise(F.col("a")), F.greatest("la", "lb"), F.least("la", "lb")).agg(F.max(F.struct("est", "a", "b")).alias("x"))
     chosen = stage(small.unionAll(large.select("x.a", "x.b")).distinct(), "near-left")
     more = confirm(chosen, sets)
-    links = tried.unionAll(more).where("linked").select("a", "b")
     if not more.where("linked").isEmpty():
         labels = merged_components(labels, more.where("linked"))
+    tried = tried.unionAll(more)
+    rest = stage(between(labels, tried).select("a", "b"), "near-rest")
+    if not rest.isEmpty():
+        last = confirm(rest, sets)
+        tried = tried.unionAll(last)
+        if not last.where("linked").isEmpty():
+            labels = merged_components(labels, last.where("linked"))
+    links = tried.where("linked").select("a", "b")
     late = stragglers(reps, met, links, labels)
     if late.isEmpty():
         return labels

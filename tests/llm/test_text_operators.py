@@ -310,5 +310,20 @@ def test_near_dedup_of_a_group_of_edited_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for d, (_, c) in want.items()}
 
 
+def test_near_dedup_keeps_a_link_below_higher_estimates(spark):
+    """0 and 1 are linked; 2 is linked to neither, though its signature agrees more with both."""
+    r = np.random.default_rng(161)
+    rows = []
+    for k in range(3):
+        w = [f"w{i}" for i in range(400)]
+        for at in r.choice(400, 6, replace=False):
+            w[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(w), None, None, None))
+    want = brute_components(rows)
+    assert [c for _, c in want.values()] == [0, 0, 2]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for d, (_, c) in want.items()}
+
+
 def test_near_dedup_of_nothing(none):
     assert near_dedup.near_duplicates(none).count() == 0
