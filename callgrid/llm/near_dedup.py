@@ -7,9 +7,9 @@ minhashes: they are range-partitioned and sorted, so a task streams a stretch of
 deeper the denser the region is, and the region's most central rows. Of the pairs whose whole signatures agree enough, a
 stretch of regions larger than that window emits a maximum spanning forest; a region within the window stays in one
 task, where all its rows meet and every such pair is emitted. Pairs are confirmed on full sets: first the best pair of
-each document, then the best ones left between components, then all that are left between two components. Last, a
-document that shares a region with the hub of a larger component but is no part of it is compared with all its members,
-in parts.
+each document, then the best ones left between components, then all that are left between two components. Last, the
+regions larger than the window are settled: every pair of their rows that still lies between two components meets, in
+blocks, and is confirmed if its signatures agree enough. So of all pairs that share a region and agree, none is left out.
 
 No group is gathered: hot classes collapse by partial aggregation, hot regions are cut by the range partitioning (the
 last sort key is a hash of the id), and links become components by label joins.
@@ -38,8 +38,8 @@ TREES, DEPTH, LEAST, NEAR, CENTRES = 24, 6, 3, 16, 3
 BITS = 1 << 26
 #: A pair is confirmed from this agreement of signatures on, four standard deviations below 0.75.
 MAYBE = 0.6
-#: Agreement with its hub from which a component is searched for a straggler's link; size of the parts that meet.
-SOMEWHAT, PART = 0.3, 1000
+#: Rows of the parts of a large region that meet.
+PART = 1000
 
 
 class Shingler:
@@ -115,8 +115,8 @@ def _regions(batches):
 
 
 def _tree_rows(batches):
-    """(tree, order, rep, short, region, large): the tree's minhashes big-endian, the whole signature with a byte a hash, and
-    whether the region has more rows than meet in a window."""
+    """(tree, order, rep, short, region, homes): the tree's minhashes big-endian and the whole signature with a byte a hash.
+    In a region of more rows than meet in a window, homes are the row's large regions by tree (0: none), else null."""
     for b in batches:
         out = []
         for rep, sig, regions, larger in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
@@ -124,13 +124,14 @@ def _tree_rows(batches):
 
             wanted, large, sig32 = set(regions), set(larger), np.frombuffer(sig, np.uint32)
             short = (sig32 & np.uint32(255)).astype(np.uint8).tobytes()
-            for t in range(TREES):
-                own = sig[4 * t * DEPTH : 4 * (t + 1) * DEPTH]
-                region = xxhash.xxh3_64_intdigest(own[: 4 * LEAST], t) - 2**63
+            own = [sig[4 * t * DEPTH : 4 * (t + 1) * DEPTH] for t in range(TREES)]
+            at = [xxhash.xxh3_64_intdigest(o[: 4 * LEAST], t) - 2**63 for t, o in enumerate(own)]
+            homes = np.array([r if r in large else 0 for r in at], np.int64).tobytes()
+            for t, (o, region) in enumerate(zip(own, at, strict=True)):
                 if region in wanted:
-                    out.append((t, np.frombuffer(own, np.uint32).astype(">u4").tobytes(), rep, short, region, region in large))
+                    out.append((t, np.frombuffer(o, np.uint32).astype(">u4").tobytes(), rep, short, region, homes if region in large else None))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()), strict=True)], names=["tree", "order", "rep", "short", "region", "large"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["tree", "order", "rep", "short", "region", "homes"])
 
 
 def _spanning(pairs: np.ndarray, est: np.ndarray) -> np.ndarray:
@@ -232,8 +233,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = stage(signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "near-classes")
     reps = classes.where("rep IS NOT NULL")
     met = shared_regions(reps)
-    pairs = stage(candidate_pairs(reps, met), "near-pairs")
-    labels = confirmed_components(plain, reps, met, pairs)
+    rows = stage(tree_rows(reps, met), "near-rows")
+    pairs = stage(candidate_pairs(rows), "near-pairs")
+    labels = confirmed_components(plain, rows, pairs)
     of_class = classes.select("set_key", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     of_class = stage(of_class.select("set_key", F.coalesce("label", "rep").alias("component")), "near-components")
     out = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
@@ -248,74 +250,106 @@ def shared_regions(reps: DataFrame) -> DataFrame:
     return stage(regions.join(shared, "region").select("region", "rep", "large"), "near-met")
 
 
-def candidate_pairs(reps: DataFrame, met: DataFrame) -> DataFrame:
-    """(a, b, est), a < b, of neighbours in the sorted orders."""
+def tree_rows(reps: DataFrame, met: DataFrame) -> DataFrame:
+    """A row for each representative and shared region of it."""
     wanted = met.groupBy("rep").agg(F.collect_list("region").alias("regions"), F.collect_list(F.when(F.col("large"), F.col("region"))).alias("larger"))  # at most TREES each
-    rows = reps.select("rep", "sig").join(wanted, "rep").select("rep", "sig", "regions", "larger").mapInArrow(_tree_rows, "tree int, order binary, rep long, short binary, region long, large boolean")
-    rows = stage(rows, "near-rows")
+    return reps.select("rep", "sig").join(wanted, "rep").select("rep", "sig", "regions", "larger").mapInArrow(_tree_rows, "tree int, order binary, rep long, short binary, region long, homes binary")
+
+
+def candidate_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b, est), a < b, of neighbours in the sorted orders."""
+    large, small = (rows.where(f"homes IS {x}NULL").select("tree", "order", "rep", "short", "region") for x in ("NOT ", ""))
     key, pair = ["tree", "order", F.xxhash64("rep"), "rep"], "a long, b long, est double"
-    found = rows.where("large").repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_neighbours, pair)
-    found = found.unionAll(rows.where("NOT large").repartition("region").sortWithinPartitions(*key).mapInArrow(_all_neighbours, pair))
+    found = large.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_neighbours, pair)
+    found = found.unionAll(small.repartition("region").sortWithinPartitions(*key).mapInArrow(_all_neighbours, pair))
     return found.groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
-def stragglers(reps: DataFrame, met: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    """(rep, target): documents that share a region with the hub of a larger component, resemble it a little, and are no
-    part of the component. The hub is the member with most confirmed links."""
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-    hubs = labels.join(ends, "node").groupBy("label").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"), F.count("*").alias("n")).where("n > 2").select("label", "hub")
-    hub_regions = stage(met.join(hubs, met["rep"] == hubs["hub"]).select("region", "hub", F.col("label").alias("target")), "near-hubs")
-    rows = stage(met.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("region", "rep", F.coalesce("label", "rep").alias("label")), "near-labelled")
-    pairs = rows.join(hub_regions, "region").where("label <> target").select("rep", "hub", "target").distinct()
-    x, y = reps.select("rep", F.col("sig").alias("of_rep")), reps.select(F.col("rep").alias("hub"), F.col("sig").alias("of_hub"))
-    alike = pairs.join(x, "rep").join(y, "hub").select("rep", "target", "of_rep", "of_hub").mapInArrow(_alike, "rep long, target long")
-    return stage(alike, "near-stragglers")
+def _meetings(block: pa.Table):
+    """(i, others): rows of the two parts of a block that lie in two components and agree enough. A pair meets only in the
+    first of the large regions that it shares."""
+    region, p, q = (block.column(c)[0].as_py() for c in ("region", "p", "q"))
+    side, label = block.column("side").to_numpy(), block.column("label").to_numpy()
+    short = np.frombuffer(b"".join(block.column("short").to_pylist()), np.uint8).reshape(block.num_rows, -1)
+    homes = np.frombuffer(b"".join(block.column("homes").to_pylist()), np.int64).reshape(block.num_rows, -1)
+    few, many = sorted((np.flatnonzero(side == 0), np.flatnonzero(side == 1)), key=len)
+    if p == q:
+        few = many
+    its, of = short[many], label[many]
+    for n, i in enumerate(few.tolist()):
+        start = n + 1 if p == q else 0
+        e = ((its[start:] == short[i]).mean(1) * 256 - 1) / 255
+        others = many[start:][(e >= MAYBE) & (of[start:] != label[i])]
+        both = (homes[others] == homes[i]) & (homes[i] != 0)
+        others = others[homes[i][both.argmax(1)] == region]
+        if len(others):
+            yield i, others
+
+
+def _active(block: pa.Table) -> pa.Table:
+    """The rows of a block that meet any other."""
+    seen = np.zeros(block.num_rows, bool)
+    for i, others in _meetings(block):
+        seen[i] = seen[others] = True
+    return block.filter(pa.array(seen))
+
+
+def _linked(block: pa.Table) -> pa.Table:
+    """Confirmed links of a block, but those between rows that its other links join."""
+    label, ids = block.column("label").to_pylist(), block.column("rep").to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in block.column("shingles").to_pylist()]
+    root, found = {}, []
 
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
 
-def _alike(batches):
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(b.num_rows, -1) for i in (2, 3))
-        ok = pa.array((x == y).mean(1) >= SOMEWHAT)
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["rep", "target"])
-
-
-def _meet(members: pa.Table, askers: pa.Table) -> pa.Table:
-    """For each asker the first member of this part of the component that it is linked to."""
-    found = []
-    if members.num_rows and askers.num_rows:
-        sigs = np.frombuffer(b"".join(members.column("sig").to_pylist()), np.uint32).reshape(members.num_rows, -1)
-        sets, ids = [np.frombuffer(x, np.uint64) for x in members.column("shingles").to_pylist()], members.column("rep").to_pylist()
-        for own, sig, shingles in zip(*(askers.column(c).to_pylist() for c in ("rep", "sig", "shingles")), strict=True):
-            x = np.frombuffer(shingles, np.uint64)
-            agree = (sigs == np.frombuffer(sig, np.uint32)).mean(1)
-            for k in np.argsort(-agree, kind="stable"):
-                if agree[k] < MAYBE:
-                    break
-                both = len(np.intersect1d(x, sets[k], assume_unique=True))
-                if DEN * both >= NUM * (len(x) + len(sets[k]) - both):
-                    found.append((min(own, ids[k]), max(own, ids[k])))
-                    break
+    for i, others in _meetings(block):
+        for k in others.tolist():
+            x, y = find(label[i]), find(label[k])
+            m, n = len(sets[i]), len(sets[k])
+            if x != y and DEN * min(m, n) >= NUM * max(m, n):
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if DEN * both >= NUM * (m + n - both):
+                    root[x] = y
+                    found.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
     return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def straggler_links(plain: DataFrame, reps: DataFrame, late: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): at least one confirmed link, if there is any, of each straggler with its target component.
+BLOCK = "region long, p long, q long, side int, rep long, label long, short binary, homes binary"
 
-    Both sides are cut into parts of about PART, every part of one meets every part of the other, and only links come
-    out, so neither a component nor its stragglers meet in one task and no table of pairs is made.
+
+def region_blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the large regions that hold several components, dealt into blocks of two parts of about PART.
+
+    The region's largest component makes parts of its own, which meet the other rows but not each other; every part of
+    the others meets every part. A row is repeated for each part it meets. Staged, so that the join can be split at a hot
+    region and the blocks of a region go to different tasks.
+    """
+    own = labels.select(F.col("node").alias("rep"), "label")
+    large = rows.where("homes IS NOT NULL").select("region", "rep", "short", "homes").join(own, "rep", "left")
+    large = stage(large.select("region", "rep", F.coalesce("label", "rep").alias("label"), "short", "homes"), "near-large")
+    sizes = large.groupBy("region", "label").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("n_labels")).where("n_labels > 1")
+    sizes = sizes.select("region", "main", F.ceil(F.col("n_main") / PART).alias("mains"), F.ceil((F.col("n") - F.col("n_main")) / PART).alias("others"))
+    dealt = large.join(sizes, "region").withColumn("is_main", F.col("label") == F.col("main"))
+    k = F.when(F.col("is_main"), F.pmod(F.xxhash64("rep"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("rep"), "others"))
+    dealt = dealt.withColumn("k", k).withColumn("x", F.explode(F.expr("sequence(if(is_main, mains, 0L), mains + others - 1)")))
+    side = F.when(F.col("k") > F.col("x"), 1).otherwise(0)
+    return stage(dealt.select("region", F.least("k", "x").alias("p"), F.greatest("k", "x").alias("q"), side.alias("side"), "rep", "label", "short", "homes"), "near-blocks")
+
+
+def region_links(plain: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): confirmed links between components, of all pairs that share a large region.
+
+    Blocks meet twice: first by signatures, which leaves the rows that meet any other, then with the shingles of those.
+    Only rows and links come out, so no table of pairs is made.
     """
-    part = lambda n, c: F.pmod(F.xxhash64(c), F.greatest(F.lit(1), F.ceil(n / PART)))
-    cut = lambda n: F.explode(F.expr(f"sequence(0L, greatest(1L, ceil({n} / {PART})) - 1)"))
-    askers_of = late.groupBy("target").agg(F.count("*").alias("n_askers"))
-    sizes = labels.groupBy(F.col("label").alias("target")).agg(F.count("*").alias("n_members")).join(askers_of, "target")
-    members = labels.select(F.col("label").alias("target"), F.col("node").alias("rep")).join(sizes, "target")
-    members = members.select("target", "rep", part(F.col("n_members"), "rep").alias("m"), cut("n_askers").alias("s"))
-    askers = late.join(sizes, "target").select("target", "rep", cut("n_members").alias("m"), part(F.col("n_askers"), "rep").alias("s"))
-    sets = set_table(plain, members.select(F.col("rep").alias("doc_id")).unionAll(late.select(F.col("rep").alias("doc_id"))).distinct())
-    whole = stage(sets.join(reps.select("rep", "sig"), "rep"), "near-whole")
-    key = ["target", "m", "s"]
-    again = whole.select(*[F.col(c).alias(c) for c in whole.columns])  # the same table under columns of its own
-    return members.join(whole, "rep").groupBy(*key).cogroup(askers.join(again, "rep").groupBy(*key)).applyInArrow(_meet, "a long, b long")
+    key = ["region", "p", "q"]
+    active = stage(region_blocks(rows, labels).groupBy(*key).applyInArrow(_active, BLOCK), "near-active")
+    sets = set_table(plain, active.select(F.col("rep").alias("doc_id")).distinct())
+    return stage(active.join(sets, "rep").groupBy(*key).applyInArrow(_linked, "a long, b long"), "near-late")
 
 
 def set_table(plain: DataFrame, ids: DataFrame) -> DataFrame:
@@ -335,7 +369,7 @@ def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return hit.where(F.call_function("getbit", byte, (at % 8).cast("int")) == 1).select(*rows.columns)
 
 
-def confirmed_components(plain: DataFrame, reps: DataFrame, met: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed_components(plain: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, label) of all representatives with a confirmed link."""
     def confirm(chosen: DataFrame, sets: DataFrame) -> DataFrame:
         a_sets, b_sets = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b"))
@@ -363,18 +397,12 @@ def confirmed_components(plain: DataFrame, reps: DataFrame, met: DataFrame, pair
     more = confirm(chosen, sets)
     if not more.where("linked").isEmpty():
         labels = merged_components(labels, more.where("linked"))
-    tried = tried.unionAll(more)
-    rest = stage(between(labels, tried).select("a", "b"), "near-rest")
+    rest = stage(between(labels, tried.unionAll(more)).select("a", "b"), "near-rest")
     if not rest.isEmpty():
-        last = confirm(rest, sets)
-        tried = tried.unionAll(last)
-        if not last.where("linked").isEmpty():
-            labels = merged_components(labels, last.where("linked"))
-    links = tried.where("linked").select("a", "b")
-    late = stragglers(reps, met, links, labels)
-    if late.isEmpty():
-        return labels
-    found = stage(straggler_links(plain, reps, late, labels), "near-late")
+        last = confirm(rest, sets).where("linked")
+        if not last.isEmpty():
+            labels = merged_components(labels, last)
+    found = region_links(plain, rows, labels)
     return labels if found.isEmpty() else merged_components(labels, found)
 
 

@@ -325,5 +325,24 @@ def test_near_dedup_keeps_a_link_below_higher_estimates(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for d, (_, c) in want.items()}
 
 
+def test_near_dedup_of_a_dense_family(spark):
+    """Documents at about 0.71 to each other, each with one partner at about 0.78: no row stands out in their regions."""
+    r = np.random.default_rng(7)
+    rows = []
+    for pair in range(300):
+        both = r.choice(240, 6, replace=False)
+        for k in (2 * pair, 2 * pair + 1):
+            w = [f"w{i}" for i in range(1200)]
+            for at in both:
+                w[5 * at] = f"y{pair}_{at}"
+            for at in r.choice(np.setdiff1d(np.arange(240), both), 15, replace=False):
+                w[5 * at] = f"x{k}_{at}"
+            rows.append((k, " ".join(w), None, None, None))
+    want = {d: c for d, (_, c) in brute_components(rows).items()}
+    assert len(set(want.values())) > 280  # a few pairs are linked to another
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_near_dedup_of_nothing(none):
     assert near_dedup.near_duplicates(none).count() == 0
