@@ -18,10 +18,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from callgrid.runtime import by_value
+from callgrid.runtime import by_value, stage
 
 by_value(__name__)
 
@@ -104,9 +103,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
         part = clean.where(F.col("quality") == k).orderBy(order, "doc_id").limit(per_class).select("doc_id", "quality")
         sample = part if sample is None else sample.unionAll(part)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    running = F.sum(F.octet_length("text")).over(W.orderBy("__at", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    bounded = texts.withColumn("__at", order).withColumn("__upto", running).where(F.col("__upto") <= fit_bytes)
-    rows = bounded.select("__at", "doc_id", "text", "quality").collect()
+    texts = stage(texts.withColumn("__at", order), "quality-sample")
+    sizes = sorted((r["__at"], r["doc_id"], r["n"]) for r in texts.select("__at", "doc_id", F.octet_length("text").alias("n")).collect())
+    left_out, room = [], fit_bytes
+    for _, doc, n in sizes:  # only the texts that do not fit are left out
+        if n <= room:
+            room -= n
+        else:
+            left_out.append(doc)
+    rows = texts.where(~F.col("doc_id").isin(left_out)).select("__at", "doc_id", "text", "quality").collect()
     rows.sort(key=lambda r: (r["__at"], r["doc_id"]))
     return fit([r["text"].encode() for r in rows], [r["quality"] for r in rows])
 

@@ -262,6 +262,15 @@ def test_fingerprint_properties(none):
     assert fingerprint.fingerprints_with_next(none).count() == 0
 
 
+def test_quality_leaves_out_only_the_texts_that_do_not_fit(spark):
+    rows = [(i, f"{'good' if i % 2 else 'bad'} text of document {i} " * 20, None, None, None) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, quality int")
+    most = sum(len(t) for _, t, *_ in rows)
+    first = spark.range(40).orderBy(quality.F.xxhash64(quality.F.lit(quality.SEED), "id")).first()["id"]
+    rows[first] = (first, "long " * most, None, None, None)
+    assert "constant" not in quality.fit_quality(spark.createDataFrame(rows, DOCS), labels, fit_bytes=most)
+
+
 # near-dedup
 
 def brute_components(rows):
