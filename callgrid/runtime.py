@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import os
+import re
 import sys
 import tempfile
-import time
 import types
 import uuid
 
@@ -29,9 +29,14 @@ def per_process(name: str, make):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where it is unset, a session in one process
+    (tests, benches) uses a local folder; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or "file://" + os.path.join(tempfile.gettempdir(), f"callgrid-shared-{os.getuid()}")).rstrip("/")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), f"callgrid-shared-{os.getuid()}")
+    return found.rstrip("/")
 
 
 def staged_path(spark: SparkSession, label: str) -> str:
@@ -54,26 +59,52 @@ def sweep() -> None:
     STAGED.clear()
 
 
+#: While a staged table is written, Spark drops the plan's shuffle files as soon as the write ends: nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Actions inside leave no shuffle files behind. The session's own setting is back afterwards."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+
+
 def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends, and a lost executor loses nothing."""
     path = path or staged_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Delete what is staged inside, at the end. For whole jobs, whose results are written before it ends."""
+    before = len(STAGED)
+    try:
+        yield
+    finally:
+        for path in STAGED[before:]:
+            remove(spark, path)
+        del STAGED[before:]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a staged table that no later read needs."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer referenced. It does so in the background, once their
-    objects are found dead: a first round frees the plans, a second what only they held."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+def slices(batches, rows: int = 256):
+    """The batches in pieces of few rows, so that only a piece is held as Python objects at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
 
 
 by_value(__name__)
