@@ -1,34 +1,39 @@
 """MinHash near-dedup with an LSH forest.
 
-A document's set is its distinct five-word shingles, as 64-bit hashes. Documents with equal sets form a class, and one
-representative, the smallest doc_id, goes on. Each tree of the forest orders the representatives by its own ``DEPTH``
-minhashes: they are range-partitioned and sorted, so a task streams a stretch of one order. Rows that share at least
-``LEAST`` leading hashes form a region; in it every row meets its ``NEAR`` neighbours of longest common prefix, which lie
-deeper the denser the region is, and the region's most central rows. Of the pairs whose whole signatures agree enough, a
-stretch of regions larger than that window emits a maximum spanning forest; a region within the window stays in one
-task, where all its rows meet and every such pair is emitted. Pairs are confirmed on full sets: first the best pair of
-each document, then the best ones left between components, then all that are left between two components. Last, the
-regions larger than the window are settled: every pair of their rows that still lies between two components meets, in
-blocks, and is confirmed if its signatures agree enough. So of all pairs that share a region and agree, none is left out.
-
-No group is gathered: hot classes collapse by partial aggregation, hot regions are cut by the range partitioning (the
-last sort key is a hash of the id), and links become components by label joins.
-
-Defined results: null text is empty text, and has no shingles: it is its own component. With fewer than five words the
-whole sequence is one shingle. Rows that share a doc_id are nodes of one id. A document without doc_id takes the
-component of its class, null if the class has no id, and is kept only then.
+A document's set is its distinct five-word shingles, as 64-bit hashes. Documents with equal sets form a class, and each
+class is one node. Each tree of the forest orders the nodes by minhashes of its own. Nodes that share the ``LEAST``
+leading hashes of a tree form a region. The depth that is looked at then follows the region's size:
+
+* A region of at most ``NEAR`` + 1 nodes stays in one task, where all its nodes meet.
+* A larger one is sorted by all hashes of the signature, from the tree's own on. Each node meets the ``NEAR`` before it,
+  its neighbours of longest common prefix, and these agree the deeper the denser the region is; and it meets the most
+  central nodes. Of these pairs the task emits a maximum spanning forest. That is only a head start: it joins most of the
+  region cheaply. At the end every pair of a larger region that still lies between two components meets, in blocks.
+
+Pairs whose whole signatures agree enough are confirmed on full sets: first the best pair of each node, then the best ones
+left between components, then all that are left between two components, then those of the blocks. So of all pairs that
+share a region and agree, none is left out, whatever the region's size.
+
+No group is gathered: hot classes collapse by partial aggregation, hot regions are cut by the range partitioning and then
+into blocks, and links become components by label joins. A block holds two parts of at least ``PART`` nodes, and a node
+goes into at most about ``PARTS`` blocks of a region; in regions where that is too few, the parts grow instead.
+
+Defined results: null text is empty text; without words a document has no shingles and is its own component. With fewer
+than five words the whole sequence is one shingle. Rows count by their text: rows that share a doc_id may lie in different
+components, and a row without doc_id takes part like any other. component_id is the smallest doc_id of the component, null
+if none of it has one; kept where doc_id is that.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrid.llm.components import connected_components, merged_components
 from callgrid.llm.text import LOWER, UPPER, WORD, WordHashes
-from callgrid.runtime import by_value, stage
+from callgrid.runtime import by_value, slices, stage
 
 by_value(__name__)
 
@@ -38,8 +43,8 @@ TREES, DEPTH, LEAST, NEAR, CENTRES = 24, 6, 3, 16, 3
 BITS = 1 << 26
 #: A pair is confirmed from this agreement of signatures on, four standard deviations below 0.75.
 MAYBE = 0.6
-#: Rows of the parts of a large region that meet.
-PART = 1000
+#: Nodes of the parts of a large region that meet, and the number of parts above which parts grow instead.
+PART, PARTS = 500, 64
 
 
 class Shingler:
@@ -86,52 +91,63 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least.ravel()
 
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, sig binary"
+SIGNED = "doc_id long, row_hash long, n_shingles long, set_key binary, sig binary"
+
+
+def _batch(columns, kinds, names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
 def _sign(batches):
-    s = Shingler()
-    for b in batches:
+    s, names = Shingler(), [x.split()[0] for x in SIGNED.split(", ")]
+    for b in slices(batches):
         rows = []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for doc, row_hash, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             h = s.shingles((text or "").encode())
-            rows.append((doc, len(h), s.digest(h.tobytes()) if len(h) else None, signature(h).tobytes() if len(h) else None))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "n_shingles", "set_key", "sig"])
+            rows.append((doc, row_hash, len(h), s.digest(h.tobytes()) if len(h) else None, signature(h).tobytes() if len(h) else None))
+        yield _batch(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), names)
 
 
-def _regions(batches):
-    """(region, rep): a hash of tree and first LEAST minhashes for each tree."""
+def _region(sig: bytes, t: int) -> int:
+    """A hash of a tree and its first LEAST minhashes."""
     import xxhash
 
-    for b in batches:
-        reps, regions = [], []
-        for rep, sig in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for t in range(TREES):
-                at = 4 * t * DEPTH
-                reps.append(rep)
-                regions.append(xxhash.xxh3_64_intdigest(sig[at : at + 4 * LEAST], t) - 2**63)
-        yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array(reps, pa.int64())], names=["region", "rep"])
+    at = 4 * t * DEPTH
+    return xxhash.xxh3_64_intdigest(sig[at : at + 4 * LEAST], t) - 2**63
+
+
+def _regions(batches):
+    """(region, node) for each tree."""
+    for b in slices(batches, 1024):
+        nodes, regions = [], []
+        for node, sig in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            nodes += [node] * TREES
+            regions += [_region(sig, t) for t in range(TREES)]
+        yield _batch((regions, nodes), (pa.int64(), pa.int64()), ["region", "node"])
+
+
+TREE_ROWS = "region long, node long, tree int, order binary, short binary, homes binary"
 
 
 def _tree_rows(batches):
-    """(tree, order, rep, short, region, homes): the tree's minhashes big-endian and the whole signature with a byte a hash.
-    In a region of more rows than meet in a window, homes are the row's large regions by tree (0: none), else null."""
-    for b in batches:
+    """TREE_ROWS of each node and shared region of it. short is the whole signature with a byte a hash; in a larger region,
+    order is the tree's own minhashes and then the other trees', and homes the node's larger regions by tree (0: none);
+    else both are null."""
+    names, kinds = [x.split()[0] for x in TREE_ROWS.split(", ")], (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    for b in slices(batches, 1024):
         out = []
-        for rep, sig, regions, larger in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            import xxhash
-
+        for node, sig, regions, larger in zip(*(c.to_pylist() for c in b.columns), strict=True):
             wanted, large, sig32 = set(regions), set(larger), np.frombuffer(sig, np.uint32)
             short = (sig32 & np.uint32(255)).astype(np.uint8).tobytes()
-            own = [sig[4 * t * DEPTH : 4 * (t + 1) * DEPTH] for t in range(TREES)]
-            at = [xxhash.xxh3_64_intdigest(o[: 4 * LEAST], t) - 2**63 for t, o in enumerate(own)]
+            at = [_region(sig, t) for t in range(TREES)]
             homes = np.array([r if r in large else 0 for r in at], np.int64).tobytes()
-            for t, (o, region) in enumerate(zip(own, at, strict=True)):
+            for t, region in enumerate(at):
                 if region in wanted:
-                    out.append((t, np.frombuffer(o, np.uint32).astype(">u4").tobytes(), rep, short, region, homes if region in large else None))
+                    end = (t + 1) * DEPTH
+                    order = sig32[t * DEPTH : end].astype(">u4").tobytes() + short[end:] + short[: t * DEPTH] if region in large else None
+                    out.append((region, node, t, order, short, homes if region in large else None))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["tree", "order", "rep", "short", "region", "homes"])
+            yield _batch(zip(*out, strict=True), kinds, names)
 
 
 def _spanning(pairs: np.ndarray, est: np.ndarray) -> np.ndarray:
@@ -159,65 +175,91 @@ def _centres(short: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return lo + np.argsort(-(own == common).sum(1), kind="stable")[:CENTRES]
 
 
-def _neighbours(batches, every: bool = False):
-    """Candidate pairs of a sorted stretch: up to NEAR rows before in the same region, and the region's centres. All of
-    them if ``every``, else a spanning forest."""
-    carry = None
+def _stretches(batches, columns: int):
+    """(region, node, short signatures) of the nodes of each batch."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        tree = b.column(0).to_numpy()
-        order = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u4").reshape(-1, DEPTH).astype(np.uint32)
-        rep = b.column(2).to_numpy()
-        short = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(rep), -1)
+        if b.num_rows:
+            yield b.column("region").to_numpy(), b.column("node").to_numpy(), np.frombuffer(b"".join(b.column("short").to_pylist()), np.uint8).reshape(b.num_rows, columns)
+
+
+def _agreeing(node, short, meetings):
+    """Pairs (a, b) with a < b, and their estimates, of the meetings (i, j) that agree enough."""
+    pairs, ests = [np.empty((0, 2), np.int64)], [np.empty(0)]
+    for i, j in meetings:
+        for lo in range(0, len(i), 8192):
+            x, y = i[lo : lo + 8192], j[lo : lo + 8192]
+            e = ((short[x] == short[y]).mean(1) * 256 - 1) / 255
+            ok = (e >= MAYBE) & (node[x] != node[y])
+            pairs.append(np.sort(np.stack([node[x][ok], node[y][ok]], 1), 1))
+            ests.append(e[ok])
+    return np.concatenate(pairs), np.concatenate(ests)
+
+
+PAIR = "a long, b long, est double"
+
+
+def _pairs(pair, est) -> pa.RecordBatch:
+    return _batch((pair[:, 0], pair[:, 1], est), (pa.int64(), pa.int64(), pa.float64()), ["a", "b", "est"])
+
+
+def _window(region, new: int):
+    """Meetings of each row from ``new`` on with up to NEAR rows before it in its region."""
+    for o in range(1, NEAR + 1):
+        j = np.arange(max(new, o), len(region))
+        same = region[j - o] == region[j]
+        yield (j - o)[same], j[same]
+
+
+def _small_regions(batches):
+    """All agreeing pairs of regions of at most NEAR + 1 nodes, which come together."""
+    carry = None
+    for region, node, short in _stretches(batches, TREES * DEPTH):
         new = 0
         if carry is not None:
             new = len(carry[0])
-            tree, order, rep, short = (np.concatenate(x) for x in zip(carry, (tree, order, rep, short), strict=True))
-        pairs, ests = [], []
-
-        def compare(i, j):
-            for lo in range(0, len(i), 8192):
-                x, y = i[lo : lo + 8192], j[lo : lo + 8192]
-                e = ((short[x] == short[y]).mean(1) * 256 - 1) / 255
-                ok = (e >= MAYBE) & (rep[x] != rep[y])
-                pairs.append(np.stack([rep[x][ok], rep[y][ok]], 1))
-                ests.append(e[ok])
-
-        for o in range(1, NEAR + 1):
-            j = np.arange(max(new, o), len(rep))
-            i = j - o
-            same = (tree[i] == tree[j]) & (order[i, :LEAST] == order[j, :LEAST]).all(1)
-            compare(i[same], j[same])
-        starts = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (order[1:, :LEAST] != order[:-1, :LEAST]).any(1)]))
-        sizes = np.diff(np.append(starts, len(rep)))
+            region, node, short = (np.concatenate(x) for x in zip(carry, (region, node, short), strict=True))
+        yield _pairs(*_agreeing(node, short, _window(region, new)))
+        carry = tuple(x[-NEAR:] for x in (region, node, short))
+
+
+def _large_regions(batches):
+    """A spanning forest of the agreeing pairs of a sorted stretch: neighbours, and each region's central nodes with all."""
+    carry = None
+    for region, node, short in _stretches(batches, TREES * DEPTH):
+        new = 0
+        if carry is not None:
+            new = len(carry[0])
+            region, node, short = (np.concatenate(x) for x in zip(carry, (region, node, short), strict=True))
+        starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+        sizes = np.diff(np.append(starts, len(region)))
+        meetings = list(_window(region, new))
         for lo, n in zip(starts[sizes > NEAR].tolist(), sizes[sizes > NEAR].tolist(), strict=True):
-            for centre in _centres(short, lo, lo + n):
-                compare(np.full(n, centre), np.arange(lo, lo + n))
-        if pairs and len(pair := np.concatenate(pairs)):
-            est = np.concatenate(ests)
-            keep = np.ones(len(pair), bool) if every else _spanning(pair, est)
-            pair, est = np.sort(pair[keep], 1), est[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(est)], names=["a", "b", "est"])
+            meetings += [(np.full(n, centre), np.arange(lo, lo + n)) for centre in _centres(short, lo, lo + n)]
+        pair, est = _agreeing(node, short, meetings)
+        keep = _spanning(pair, est)
+        yield _pairs(pair[keep], est[keep])
         # the last region's centres travel on in front of the last NEAR rows
-        tail = np.arange(max(0, len(rep) - NEAR), len(rep))
+        tail = np.arange(max(0, len(region) - NEAR), len(region))
         if sizes[-1] > NEAR:
-            tail = np.unique(np.concatenate([_centres(short, int(starts[-1]), len(rep)), tail]))
-        carry = tuple(x[tail] for x in (tree, order, rep, short))
-
-
-def _all_neighbours(batches):
-    return _neighbours(batches, every=True)
+            tail = np.unique(np.concatenate([_centres(short, int(starts[-1]), len(region)), tail]))
+        carry = tuple(x[tail] for x in (region, node, short))
 
 
 def _sets(batches):
+    """(node, shingles) of the texts whose set is the node's own."""
     s = Shingler()
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.shingles((t or "").encode()).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["rep", "shingles"])
+    for b in slices(batches):
+        rows = []
+        for node, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            h = s.shingles((text or "").encode()).tobytes()
+            if s.digest(h) == key:
+                rows.append((node, h))
+        if rows:
+            yield _batch(zip(*rows, strict=True), (pa.int64(), pa.binary()), ["node", "shingles"])
 
 
 def _confirm(batches):
-    for b in batches:
+    for b in slices(batches, 64):
         ok = []
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -226,42 +268,50 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
 
+def row_hash(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """(doc_id, row_hash, n_shingles, component, component_id, kept) for every row of ``docs``.
+
+    component is a number that the rows of a group share, null without shingles; row_hash is that of id and text.
+    """
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_hash(doc_id, text).alias("row_hash"), F.col(text).alias("text"))
     signed = stage(plain.mapInArrow(_sign, SIGNED), "near-signed")
-    classes = stage(signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "near-classes")
-    reps = classes.where("rep IS NOT NULL")
-    met = shared_regions(reps)
-    rows = stage(tree_rows(reps, met), "near-rows")
+    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("row_hash").alias("row_hash"), F.min("sig").alias("sig"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")  # fixed by the staging
+    rows = stage(tree_rows(classes, shared_regions(classes)), "near-rows")
     pairs = stage(candidate_pairs(rows), "near-pairs")
-    labels = confirmed_components(plain, rows, pairs)
-    of_class = classes.select("set_key", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    of_class = stage(of_class.select("set_key", F.coalesce("label", "rep").alias("component")), "near-components")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def shared_regions(reps: DataFrame) -> DataFrame:
-    """(region, rep, large) of all regions of more than one representative; a large one has more than a window."""
-    regions = stage(reps.select("rep", "sig").mapInArrow(_regions, "region long, rep long"), "near-regions")
+    labels = confirmed_components(plain, classes, rows, pairs)
+    named = classes.select("set_key", "node", "rep").join(labels, "node", "left")
+    least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("rep").alias("least"))
+    of_class = named.join(least, "label", "left").select("set_key", F.coalesce("label", "node").alias("component"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("least")).alias("of_class"))
+    out = signed.select("doc_id", "row_hash", "n_shingles", "set_key").join(stage(of_class, "near-components"), "set_key", "left")
+    component_id = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("of_class"))
+    return out.select("doc_id", "row_hash", "n_shingles", "component", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+
+
+def shared_regions(classes: DataFrame) -> DataFrame:
+    """(region, node, large) of all regions of more than one node; a large one has more than a window."""
+    regions = stage(classes.select("node", "sig").mapInArrow(_regions, "region long, node long"), "near-regions")
     shared = stage(regions.groupBy("region").count().where("count > 1").select("region", (F.col("count") > NEAR + 1).alias("large")), "near-shared")
-    return stage(regions.join(shared, "region").select("region", "rep", "large"), "near-met")
+    return stage(regions.join(shared, "region").select("region", "node", "large"), "near-met")
 
 
-def tree_rows(reps: DataFrame, met: DataFrame) -> DataFrame:
-    """A row for each representative and shared region of it."""
-    wanted = met.groupBy("rep").agg(F.collect_list("region").alias("regions"), F.collect_list(F.when(F.col("large"), F.col("region"))).alias("larger"))  # at most TREES each
-    return reps.select("rep", "sig").join(wanted, "rep").select("rep", "sig", "regions", "larger").mapInArrow(_tree_rows, "tree int, order binary, rep long, short binary, region long, homes binary")
+def tree_rows(classes: DataFrame, met: DataFrame) -> DataFrame:
+    """TREE_ROWS: a row for each node and shared region of it."""
+    wanted = met.groupBy("node").agg(F.collect_list("region").alias("regions"), F.collect_list(F.when(F.col("large"), F.col("region"))).alias("larger"))  # at most TREES each
+    return classes.select("node", "sig").join(wanted, "node").select("node", "sig", "regions", "larger").mapInArrow(_tree_rows, TREE_ROWS)
 
 
 def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, est), a < b, of neighbours in the sorted orders."""
-    large, small = (rows.where(f"homes IS {x}NULL").select("tree", "order", "rep", "short", "region") for x in ("NOT ", ""))
-    key, pair = ["tree", "order", F.xxhash64("rep"), "rep"], "a long, b long, est double"
-    found = large.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_neighbours, pair)
-    found = found.unionAll(small.repartition("region").sortWithinPartitions(*key).mapInArrow(_all_neighbours, pair))
+    """(a, b, est), a < b, of the nodes that meet in the trees."""
+    large = rows.where("homes IS NOT NULL").select("tree", "order", "region", "node", "short")
+    small = rows.where("homes IS NULL").select("region", "node", "short")
+    key = ["tree", "order", "node"]
+    found = large.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_large_regions, PAIR)
+    found = found.unionAll(small.repartition("region").sortWithinPartitions("region", "node").mapInArrow(_small_regions, PAIR))
     return found.groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
@@ -296,7 +346,7 @@ def _active(block: pa.Table) -> pa.Table:
 
 def _linked(block: pa.Table) -> pa.Table:
     """Confirmed links of a block, but those between rows that its other links join."""
-    label, ids = block.column("label").to_pylist(), block.column("rep").to_pylist()
+    label, ids = block.column("label").to_pylist(), block.column("node").to_pylist()
     sets = [np.frombuffer(x, np.uint64) for x in block.column("shingles").to_pylist()]
     root, found = {}, []
 
@@ -317,66 +367,69 @@ def _linked(block: pa.Table) -> pa.Table:
     return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-BLOCK = "region long, p long, q long, side int, rep long, label long, short binary, homes binary"
+BLOCK = "region long, p long, q long, side int, node long, label long, short binary, homes binary"
 
 
 def region_blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the large regions that hold several components, dealt into blocks of two parts of about PART.
+    """Nodes of the large regions that hold several components, dealt into blocks of two parts of about PART, or of a share
+    of the region where that would be more than PARTS parts.
 
-    The region's largest component makes parts of its own, which meet the other rows but not each other; every part of
-    the others meets every part. A row is repeated for each part it meets. Staged, so that the join can be split at a hot
+    The region's largest component makes parts of its own, which meet the other nodes but not each other; every part of
+    the others meets every part. A node is repeated for each part it meets. Staged, so that the join can be split at a hot
     region and the blocks of a region go to different tasks.
     """
-    own = labels.select(F.col("node").alias("rep"), "label")
-    large = rows.where("homes IS NOT NULL").select("region", "rep", "short", "homes").join(own, "rep", "left")
-    large = stage(large.select("region", "rep", F.coalesce("label", "rep").alias("label"), "short", "homes"), "near-large")
+    large = rows.where("homes IS NOT NULL").select("region", "node", "short", "homes").join(labels.select("node", "label"), "node", "left")
+    large = stage(large.select("region", "node", F.coalesce("label", "node").alias("label"), "short", "homes"), "near-large")
     sizes = large.groupBy("region", "label").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("n_labels")).where("n_labels > 1")
-    sizes = sizes.select("region", "main", F.ceil(F.col("n_main") / PART).alias("mains"), F.ceil((F.col("n") - F.col("n_main")) / PART).alias("others"))
+    part = F.greatest(F.lit(PART), F.ceil(F.col("n") / PARTS))
+    sizes = sizes.select("region", "main", F.ceil(F.col("n_main") / part).alias("mains"), F.ceil((F.col("n") - F.col("n_main")) / part).alias("others"))
     dealt = large.join(sizes, "region").withColumn("is_main", F.col("label") == F.col("main"))
-    k = F.when(F.col("is_main"), F.pmod(F.xxhash64("rep"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("rep"), "others"))
+    k = F.when(F.col("is_main"), F.pmod(F.xxhash64("node"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), "others"))
     dealt = dealt.withColumn("k", k).withColumn("x", F.explode(F.expr("sequence(if(is_main, mains, 0L), mains + others - 1)")))
     side = F.when(F.col("k") > F.col("x"), 1).otherwise(0)
-    return stage(dealt.select("region", F.least("k", "x").alias("p"), F.greatest("k", "x").alias("q"), side.alias("side"), "rep", "label", "short", "homes"), "near-blocks")
+    return stage(dealt.select("region", F.least("k", "x").alias("p"), F.greatest("k", "x").alias("q"), side.alias("side"), "node", "label", "short", "homes"), "near-blocks")
 
 
-def region_links(plain: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
+def region_links(plain: DataFrame, classes: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b): confirmed links between components, of all pairs that share a large region.
 
-    Blocks meet twice: first by signatures, which leaves the rows that meet any other, then with the shingles of those.
-    Only rows and links come out, so no table of pairs is made.
+    Blocks meet twice: first by signatures, which leaves the nodes that meet any other, then with the shingles of those.
+    Only nodes and links come out, so no table of pairs is made.
     """
     key = ["region", "p", "q"]
     active = stage(region_blocks(rows, labels).groupBy(*key).applyInArrow(_active, BLOCK), "near-active")
-    sets = set_table(plain, active.select(F.col("rep").alias("doc_id")).distinct())
-    return stage(active.join(sets, "rep").groupBy(*key).applyInArrow(_linked, "a long, b long"), "near-late")
+    sets = set_table(plain, classes, active.select("node").distinct())
+    return stage(active.join(sets, "node").groupBy(*key).applyInArrow(_linked, "a long, b long"), "near-late")
 
 
-def set_table(plain: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, shingles) of the wanted doc_ids."""
-    texts = maybe_among(plain, ids).join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return stage(texts.mapInArrow(_sets, "rep long, shingles binary"), "near-sets")
+def set_table(plain: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes, from one row of each. It is found by its hash, so copies stay where they are, and proved by
+    its set."""
+    wanted = stage(classes.select("node", "set_key", "row_hash").join(nodes, "node"), "near-wanted")
+    texts = maybe_among(plain, wanted).select("row_hash", "text").join(wanted, "row_hash").select("node", "set_key", "text").distinct()
+    return stage(texts.mapInArrow(_sets, "node long, shingles binary"), "near-sets")
 
 
-def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id may be among ``ids``, by a bitmap of hashed ids: of fixed size, so it may be broadcast. It only
-    spares the shuffle of other texts; an exact join follows."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    maps = ids.groupBy(F.bitmap_bucket_number(bit).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__bits"))
+def maybe_among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose row_hash may be among those of ``wanted``, by a bitmap: of fixed size, so it may be broadcast. It only
+    spares the shuffle of other texts, fewer of them the more are wanted; an exact join follows."""
+    bit = F.pmod(F.col("row_hash"), F.lit(BITS))
+    maps = wanted.groupBy(F.bitmap_bucket_number(bit).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__bits"))
     at = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = rows.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "__bucket")
     return hit.where(F.call_function("getbit", byte, (at % 8).cast("int")) == 1).select(*rows.columns)
 
 
-def confirmed_components(plain: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, label) of all representatives with a confirmed link."""
+def confirmed_components(plain: DataFrame, classes: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, label) of all nodes with a confirmed link."""
     def confirm(chosen: DataFrame, sets: DataFrame) -> DataFrame:
-        a_sets, b_sets = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b"))
+        a_sets, b_sets = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
         whole = chosen.select("a", "b").join(b_sets, "b").join(a_sets, "a").select("a", "b", "of_a", "of_b")
         return stage(whole.mapInArrow(_confirm, "a long, b long, linked boolean"), "near-confirmed")
 
-    sets = set_table(plain, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    sets = set_table(plain, classes, pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
     ends = pairs.select("a", "b", "est", F.col("a").alias("v")).unionAll(pairs.select("a", "b", "est", F.col("b").alias("v")))
     best = ends.groupBy("v").agg(F.max(F.struct("est", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
     tried = confirm(best, sets)
@@ -390,7 +443,8 @@ def confirmed_components(plain: DataFrame, rows: DataFrame, pairs: DataFrame) ->
         return left.select("a", "b", "est", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), F.coalesce("na", F.lit(1)).alias("na"), F.coalesce("nb", F.lit(1)).alias("nb")).where("la <> lb")
 
     left = between(labels, tried)
-    # between two small components every pair goes now; towards a larger one a document's best does, and spares most others
+    # between two small components every pair goes now; towards a larger one a node's best does, and spares most of the rest,
+    # which follows below
     small = left.where("na < 3 AND nb < 3").select("a", "b")
     large = left.where("na > 2 OR nb > 2").groupBy(F.when(F.col("na") > F.col("nb"), F.col("b")).otherwise(F.col("a")), F.greatest("la", "lb"), F.least("la", "lb")).agg(F.max(F.struct("est", "a", "b")).alias("x"))
     chosen = stage(small.unionAll(large.select("x.a", "x.b")).distinct(), "near-left")
@@ -402,12 +456,13 @@ def confirmed_components(plain: DataFrame, rows: DataFrame, pairs: DataFrame) ->
         last = confirm(rest, sets).where("linked")
         if not last.isEmpty():
             labels = merged_components(labels, last)
-    found = region_links(plain, rows, labels)
+    found = region_links(plain, classes, rows, labels)
     return labels if found.isEmpty() else merged_components(labels, found)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 SQL = f"""

@@ -32,9 +32,10 @@ def let(value: Column, body) -> Column:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to ``most`` words; long words are hashed each time."""
+    """64-bit hashes of words (bytes), remembered up to ``most`` words of at most 64 bytes, so in tens of MB; longer words
+    are hashed each time."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         import xxhash
 
         super().__init__()
