@@ -1,25 +1,39 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A document enters as its eligible lines' 128-bit key hashes. Batches of documents, by descending doc_id, are merged
-against the runs: an anti-join gives the keys not seen before, whose holder is the largest doc_id of the batch, and the
-semi-join the keys already held, of which only the count grows. Both form the batch's own sorted run on level 0; when
-a level has ``fanout`` runs they are compacted into one run of the next level. The text itself is read twice and
-shuffled once, by document, to take the lost lines out; runs hold hashes only.
+A document enters as the 128-bit hashes of its eligible lines. Batches of documents, by descending doc_id, are merged
+against the runs: keys that no run holds are new, and their holder is the largest doc_id of the batch; of keys already
+held only the count grows. Both form the batch's own sorted run on level 0; when a level has ``fanout`` runs they are
+compacted into one run of the next level, which later batches meet.
+
+Runs are tables in the shared folder, bucketed and sorted by the hash, with as many buckets as the session's shuffles have
+partitions. So a batch is dealt once, for its own counts, and merging it with the runs moves no row of either; only a
+compaction deals its runs anew. A batch has about ``BATCH_LINES`` lines; there are ``LEAST_BATCHES`` at least and ``MOST_BATCHES`` at most.
+
+The text itself is read twice and shuffled once, by document, to take the lost lines out; runs hold hashes only. A line
+that very many documents share is counted in two steps (each document once, then the partial counts), and the join that
+finds its occurrences is split by adaptive execution, since both sides are staged tables.
 
 Defined results: a null or empty text is one empty line. Lines whose key has fewer than ``min_chars`` code points
 always stay. A null doc_id is a document of its own and the smallest. Rows that share a doc_id count as one document;
-each keeps or loses its own lines. Blank is space, tab, LF, VT, FF, CR; only A-Z are lower-cased.
+each keeps or loses its own lines. Blank is space, tab, LF, VT, FF, CR; only A-Z are lower-cased. Columns named like the
+two results give way to them.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrid.llm.text import BLANKS, LOWER, UPPER, let, lower_ascii
-from callgrid.runtime import stage
+from callgrid.runtime import remove, shuffles_dropped, stage, staged_path
 
-MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 4
+MIN_CHARS, MIN_DOCS, FANOUT = 20, 3, 3
+BATCH_LINES, LEAST_BATCHES, MOST_BATCHES = 50_000_000, 5, 64
+
+
+RUN = "h1 long, h2 long, n_docs long, first boolean, holder long"
 
 
 def text_lines(text: Column) -> Column:
@@ -27,79 +41,107 @@ def text_lines(text: Column) -> Column:
 
 
 def eligible_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """One row (doc, tx, pos, h1, h2) per line that is long enough; doc is a struct so that a null id counts."""
+    """One row (id, tx, pos, h1, h2) per line that is long enough."""
     keys = F.transform(text_lines(F.col(text)), lambda line: lower_ascii(F.btrim(line, F.lit(BLANKS))))
     hashed = F.transform(keys, lambda k, i: F.when(F.char_length(k) >= min_chars, F.struct(i.alias("pos"), F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("second"), k).alias("h2"))))
-    lines = docs.select(F.struct(F.col(doc_id).alias("id")).alias("doc"), F.xxhash64(text).alias("tx"), F.explode(F.array_compact(hashed)).alias("x"))
-    return lines.select("doc", "tx", "x.pos", "x.h1", "x.h2")
+    lines = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tx"), F.explode(F.array_compact(hashed)).alias("x"))
+    return lines.select("id", "tx", "x.pos", "x.h1", "x.h2")
 
 
 class LineRuns:
-    """Levelled sorted runs (h1, h2, n_docs, holder) in the shared folder. holder is null in rows that only add to a count."""
+    """Levelled sorted runs (h1, h2, n_docs, first, holder): first where the run's batch was the first to hold the key, and
+    then holder is the largest doc_id (null: only rows without one)."""
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, []
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+        self.spark, self.fanout, self.levels, self.tables = spark, fanout, [], []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+    def met(self, own: DataFrame) -> DataFrame:
+        """A batch's counts (h1, h2, n_docs, holder) as a run: first where no run holds the key."""
+        own = own.withColumn("first", F.lit(True))
+        for name, _ in self._runs():  # each holds a key at most once
+            held = self.spark.table(name).select("h1", "h2", F.lit(True).alias("held"))
+            own = own.join(held, ["h1", "h2"], "left").withColumn("first", F.col("first") & F.col("held").isNull()).drop("held")
+        return own.select("h1", "h2", "n_docs", "first", F.when(F.col("first"), F.col("holder")).alias("holder"))
+
+    @staticmethod
+    def counted(lines: DataFrame) -> DataFrame:
+        documents = F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))
+        return lines.groupBy("h1", "h2").agg(documents.alias("n_docs"), F.max("id").alias("holder"))
 
     def add(self, lines: DataFrame) -> None:
-        """Merge a batch (doc, h1, h2) whose documents are all smaller than those added before."""
-        own = lines.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("holder"))
-        held = None
-        for run in self._runs():
-            keys = run.where(F.col("holder").isNotNull()).select("h1", "h2")
-            held = keys if held is None else held.unionAll(keys)
-        if held is not None:
-            # keys are held once over all runs, so one anti and one semi join split the batch
-            own = stage(own, "line-batch")
-            new, again = own.join(held, ["h1", "h2"], "left_anti"), own.join(held, ["h1", "h2"], "left_semi")
-            own = new.unionByName(again.withColumn("holder", F.lit(None).cast(own.schema["holder"].dataType)))
-        self._store(own, 0)
+        """Merge a batch (id, h1, h2) whose documents are all smaller than those added before."""
+        self._store(self.met(self.counted(lines)), 0)
+
+    def _runs(self) -> list[tuple[str, str]]:
+        return [run for level in self.levels for run in level]
 
     def _store(self, run: DataFrame, level: int) -> None:
         if len(self.levels) <= level:
             self.levels.append([])
-        run = run.repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-        self.levels[level].append(stage(run, f"line-run-{level}"))
+        name, path = f"line_run_{uuid.uuid4().hex}", staged_path(self.spark, f"line-run-{level}")
+        with shuffles_dropped(self.spark):
+            run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name, format="parquet")
+        self.tables.append((name, path))
+        self.levels[level].append((name, path))
         if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self._merged(self.levels[level]), []
             self._store(merged, level + 1)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        union = runs[0]
-        for run in runs[1:]:
-            union = union.unionAll(run)
-        return union.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
+    def _merged(self, runs: list[tuple[str, str]]) -> DataFrame:
+        """One run of several. Read as plain files: a union of bucketed scans is not dealt by bucket."""
+        union = self.spark.read.schema(RUN).parquet(*[path for _, path in runs])
+        return union.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.bool_or("first").alias("first"), F.max("holder").alias("holder"))
 
     def index(self) -> DataFrame:
         return self._merged(self._runs())
 
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """All rows and columns of ``docs`` with ``__lines`` (before), ``__kept`` (0-based numbers of the lines that stay) added."""
-    lines = stage(eligible_lines(docs, doc_id, text, min_chars), "lines")
-    cuts = lines.agg(F.percentile_approx("doc.id", [i / batches for i in range(1, batches)], 1000).alias("q")).first()["q"] or []
-    cuts = sorted({int(c) for c in cuts}, reverse=True)
-    at = F.col("doc.id")
-    runs = LineRuns(fanout)
-    for above, upto in zip([None, *cuts], [*cuts, None], strict=True):
-        part = lines
-        if above is not None:
-            part = part.where((at <= above) | at.isNull())
-        if upto is not None:
-            part = part.where(at > upto)
-        runs.add(part)
-    shared = stage(runs.index().where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder"), "line-shared")  # a table of its own, so that a hot line can be split
-    lost = lines.join(shared, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("holder"))).select(F.col("doc.id").alias("__id"), F.col("tx").alias("__tx"), "pos")
-    lost = lost.groupBy("__id", "__tx").agg(F.collect_set("pos").alias("__lost"))
-    tx = F.xxhash64(docs[text])
-    joined = docs.join(lost, docs[doc_id].eqNullSafe(lost["__id"]) & (tx == lost["__tx"]), "left")
-    n = F.size(text_lines(docs[text]))
+    def drop(self) -> None:
+        """Forget the tables and delete their files."""
+        for name, path in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, path)
+        self.levels, self.tables = [], []
+
+
+def batch_bounds(lines: DataFrame, batches: int | None) -> list:
+    """(above, upto) doc_ids of the batches, largest first; None is open."""
+    n = lines.count()
+    batches = batches or min(MOST_BATCHES, max(LEAST_BATCHES, -(-n // BATCH_LINES)))
+    cuts = lines.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000).alias("q")).first()["q"] if batches > 1 else None
+    cuts = sorted({int(c) for c in cuts or []}, reverse=True)
+    return list(zip([None, *cuts], [*cuts, None], strict=True))
+
+
+def shared_lines(spark: SparkSession, lines: DataFrame, min_docs: int, batches: int | None, fanout: int) -> DataFrame:
+    """(h1, h2, holder) of the keys that at least ``min_docs`` documents hold."""
+    runs = LineRuns(spark, fanout)
+    try:
+        for above, upto in batch_bounds(lines, batches):
+            part = lines
+            if above is not None:
+                part = part.where((F.col("id") <= above) | F.col("id").isNull())
+            if upto is not None:
+                part = part.where(F.col("id") > upto)
+            runs.add(part)
+        return stage(runs.index().where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder"), "line-shared")
+    finally:
+        runs.drop()
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT, lines: str = "__lines", kept: str = "__kept") -> DataFrame:
+    """All rows and columns of ``docs`` with two more: the number of lines before, and the 0-based numbers of the lines that
+    stay."""
+    docs = docs.drop(lines, kept)
+    table = stage(eligible_lines(docs, doc_id, text, min_chars), "lines")
+    shared = shared_lines(docs.sparkSession, table, min_docs, batches, fanout)
+    lost = table.join(shared, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("holder"))).groupBy("id", "tx").agg(F.collect_set("pos").alias("lost"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("own"), F.xxhash64(text).alias("own_tx"))
+    joined = rows.join(lost, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_tx") == F.col("tx")), "left")
+    n = F.size(text_lines(F.col("row")[text]))
     every = F.sequence(F.lit(0), n - 1)
-    kept = F.when(F.col("__lost").isNull(), every).otherwise(F.array_except(every, "__lost"))
-    return joined.select(*[docs[c] for c in docs.columns], n.cast("long").alias("__lines"), kept.alias("__kept"))
+    stay = F.when(F.col("lost").isNull(), every).otherwise(F.array_except(every, "lost"))
+    return joined.select("row.*", n.cast("long").alias(lines), stay.alias(kept))
 
 
 def kept_text(text: Column, kept: Column) -> Column:
