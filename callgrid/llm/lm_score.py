@@ -1,19 +1,24 @@
-"""Language-model scoring by deleted interpolation of bigram, unigram and base estimates.
+"""Language-model scoring by deleted interpolation of trigram, bigram, unigram and base estimates.
 
-p(w | v) = a c(v w)/c(v) + b c(w)/N + d (c(w)+1)/(N+V+1), with (a, b, d) of the bucket of the context's count c(v). The
-weights come from expectation-maximisation on held-out counts: every training token is scored with its own occurrence
-taken out of all counts (deleted estimation). A text is its lower-cased words and one end; the end is also the context
-of the first word.
+p(w | u v) = a c(u v w)/c(u v) + b c(v w)/c(v) + d c(w)/N + e (c(w)+1)/(N+V+1). The weights (a, b, d, e) belong to the
+bucket of the context's frequency: of c(u v) where the pair was seen, else of c(v). They come from
+expectation-maximisation on held-out counts: every training token is scored with its own occurrence taken out of all
+counts (deleted estimation). A text is its lower-cased words and one end; the end is also the context of the first word,
+which has no trigram.
 
 Counting without a row per token: a task turns its documents into chunks of at most ``CHUNK`` tokens. A chunk keeps its
-token sequence as ranks in its own sorted word hashes, and asks for the counts of its distinct words and word pairs: one
-packed block of sorted 64-bit hashes with its own training counts per hash bucket. A bucket's task merges the blocks of
-all chunks and answers each with total counts in the block's own order. So very frequent words and pairs are one entry
-per chunk, every corpus count is exact over all training documents, and memory is one chunk or one bucket. The number
-of buckets follows the number of tokens.
+token sequence as ranks in its own sorted word hashes, and asks for the counts of its distinct words, pairs and triples:
+blocks of sorted hashes with its own training counts, one for each of at most ``FAN`` ranges of hashes. The task of a
+range merges the blocks of all chunks and answers each in the block's own order. Above ``FAN`` chunks, groups of chunks
+are merged first and ask in turn, so the blocks grow with the input and not with its square, and a task holds about a
+chunk's worth of hashes at every size. Very frequent n-grams are one entry per chunk; every count covers all training
+documents.
 
-EM needs only the ratios of the three estimates: chunks gather a histogram of them per bucket (bounded, fine logarithmic
-bins), on which the driver iterates.
+Words keep 64 bits of hash. Pairs and triples keep as many bits as the corpus has tokens and ``SPARE`` more, so one in
+2**SPARE of them shares its count with another, at any size.
+
+EM needs only the ratios of the estimates to the base: chunks gather a histogram of them per bucket (octave bins with
+their means; its size is fixed), on which the driver iterates.
 
 Defined results: null text is an empty text, the end alone. Without training documents N is 0 and only the base is left.
 Repeated rows are scored and, if in training, counted again. A null doc_id is in training.
@@ -30,14 +35,15 @@ from pyspark.sql import functions as F
 
 from callgrid.llm.quality import held_out
 from callgrid.llm.text import WordHashes
-from callgrid.runtime import by_value, release, remove, stage, staged_path
+from callgrid.runtime import by_value, shuffles_dropped, slices, stage
 
 by_value(__name__)
 
-CHUNK, BUCKET_TOKENS, CONTEXT_BUCKETS, EM_ROUNDS = 1_000_000, 2_000_000, 24, 200
-#: EM's histogram: half-octave bins of pair to base, octave bins of the word's count.
-X_BINS, Y_BINS = 100, 16
+CHUNK, FAN, SPARE, CONTEXT_BUCKETS, EM_ROUNDS = 1_000_000, 256, 20, 24, 200
+#: EM's histogram: octave bins of trigram to base and bigram to base, octave bins of the word's count.
+X_BINS, Y_BINS = 48, 16
 END = 0x9E3779B97F4A7C15
+WORDS, PAIRS, TRIPLES = 1, 2, 3
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -78,23 +84,42 @@ def unpack_counts(b: bytes) -> np.ndarray:
     return unsqueeze(b[1:], {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[b[0]]).astype(np.int64)
 
 
-def pair_views(words: np.ndarray, at: np.ndarray, sizes: np.ndarray):
-    """Each token's context (as a rank in ``words``), the distinct pairs, and each token's pair."""
+def hash_bits(tokens: int) -> int:
+    """Bits of the hashes of pairs and triples."""
+    return min(64, int(tokens + 2).bit_length() + SPARE)
+
+
+def ngram_views(words: np.ndarray, at: np.ndarray, sizes: np.ndarray, bits: int):
+    """Of each token: its context (a rank in ``words``), and whether it is its text's first. Then the distinct pairs and
+    each token's pair, the distinct triples and each token's triple (of a first token, none: its entry means nothing)."""
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    first = np.zeros(len(at), bool)
+    first[starts] = True
     before = np.empty_like(at)
     before[1:] = at[:-1]
-    before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = np.searchsorted(words, np.uint64(END))
-    pairs, pair_at = np.unique(pair_hash(words[before], words[at]), return_inverse=True)
-    return before, pairs, pair_at
+    before[starts] = np.searchsorted(words, np.uint64(END))
+    whole = pair_hash(words[before], words[at])
+    cut = np.uint64(64 - bits)
+    pairs, pair_at = np.unique(whole >> cut, return_inverse=True)
+    previous = np.empty_like(whole)
+    previous[1:] = whole[:-1]
+    previous[0] = 0
+    later = ~first
+    triples, its = np.unique(pair_hash(previous[later], words[at[later]]) >> cut, return_inverse=True)
+    triple_at = np.zeros(len(at), np.int64)
+    triple_at[later] = its
+    return before, first, pairs, pair_at, triples, triple_at
 
 
 def _batch(rows, schema: str):
     """Arrow batch of row tuples under a schema like 'a long, b binary'."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
     fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-CHUNKS = "chunk string, docs binary, keys binary, at binary"
+CHUNKS = "chunk string, tokens long, docs binary, keys binary, at binary"
 
 
 def chunked(docs: DataFrame, chunk_tokens: int = CHUNK) -> DataFrame:
@@ -106,186 +131,230 @@ def chunked(docs: DataFrame, chunk_tokens: int = CHUNK) -> DataFrame:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as w:
             w.write_table(table)
-        return _batch([(name, sink.getvalue().to_pybytes(), pack_sorted(words), squeeze(at.astype(np.uint32)))], CHUNKS)
+        return _batch([(name, len(at), sink.getvalue().to_pybytes(), pack_sorted(words), squeeze(at.astype(np.uint32)))], CHUNKS)
 
     def run(batches):
         hashes, part, n, tokens = WordHashes(), TaskContext.get().partitionId(), 0, 0
         end, ids, held, parts = np.array([END], np.uint64), [], [], []
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                for doc, text, out in zip(*(c.slice(lo, 256).to_pylist() for c in b.columns), strict=True):
-                    own = np.concatenate([hashes.of((text or "").encode()), end])
-                    if parts and tokens + len(own) > chunk_tokens:
-                        yield close(f"{part}-{n}", ids, held, parts)
-                        ids, held, parts, tokens, n = [], [], [], 0, n + 1
-                    ids.append(doc)
-                    held.append(out)
-                    parts.append(own)
-                    tokens += len(own)
+        for b in slices(batches):
+            for doc, text, out in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = np.concatenate([hashes.of((text or "").encode()), end])
+                if parts and tokens + len(own) > chunk_tokens:
+                    yield close(f"{part}-{n}", ids, held, parts)
+                    ids, held, parts, tokens, n = [], [], [], 0, n + 1
+                ids.append(doc)
+                held.append(out)
+                parts.append(own)
+                tokens += len(own)
         if ids:
             yield close(f"{part}-{n}", ids, held, parts)
 
     return docs.mapInArrow(run, CHUNKS)
 
 
-#: kind 1: words, 2: pairs.
-ASKED = "kind int, chunk string, bucket int, keys binary, counts binary"
-
-
 def _sequence(row: dict):
     docs = pa.ipc.open_stream(row["docs"]).read_all()
     return docs, docs.column("size").to_numpy(), unpack_sorted(row["keys"]), unsqueeze(row["at"], np.uint32)
 
 
-def asked(chunks: DataFrame, buckets: int) -> DataFrame:
-    """ASKED rows of every chunk. ``buckets`` is a power of two; a hash's high bits are its bucket."""
-    shift = np.uint64(64 - buckets.bit_length() + 1)
+#: A question: sorted distinct hashes of one range, with the asker's own training counts.
+BLOCKS = "kind int, range long, owner string, keys binary, counts binary"
+
+
+def _ranges(kind: int, number: int, owner: str, keys: np.ndarray, counts: np.ndarray, bits: int, done: int, fan: int) -> list:
+    """BLOCKS rows of the ``fan`` parts of a range of hashes. ``done``: the leading bits that all hashes of it share."""
+    step = fan.bit_length() - 1
+    if step == 0:
+        return [(kind, number, owner, pack_sorted(keys), pack_counts(counts))] if len(keys) else []
+    low = (number << (bits - done)) if done else 0
+    cuts = [low + (k << (bits - done - step)) for k in range(1, fan)]
+    of = [0, *np.searchsorted(keys, np.array(cuts, np.uint64)).tolist(), len(keys)]
+    return [(kind, number * fan + k, owner, pack_sorted(keys[lo:hi]), pack_counts(counts[lo:hi])) for k, (lo, hi) in enumerate(zip(of[:-1], of[1:], strict=True)) if hi > lo]
 
-    def requests(kind, name, keys, counts):
-        of = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else np.array([0, len(keys)])
-        rows = [(kind, name, k, pack_sorted(keys[lo:hi]), pack_counts(counts[lo:hi])) for k, (lo, hi) in enumerate(zip(of[:-1], of[1:], strict=True)) if hi > lo]
-        return _batch(rows, ASKED)
+
+def asked(chunks: DataFrame, bits: int, fan: int) -> DataFrame:
+    """BLOCKS of every chunk, by ``fan`` (a power of two) ranges of hashes."""
 
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                docs, sizes, words, at = _sequence(row)
-                training = np.repeat(~docs.column("held").to_numpy(zero_copy_only=False), sizes)
-                yield requests(1, row["chunk"], words, np.bincount(at[training], minlength=len(words)))
-                _, pairs, pair_at = pair_views(words, at, sizes)
-                yield requests(2, row["chunk"], pairs, np.bincount(pair_at[training], minlength=len(pairs)))
+        for b in slices(batches, 1):
+            row = b.to_pylist()[0]
+            docs, sizes, words, at = _sequence(row)
+            training = np.repeat(~docs.column("held").to_numpy(zero_copy_only=False), sizes)
+            _, first, pairs, pair_at, triples, triple_at = ngram_views(words, at, sizes, bits)
+            for kind, keys, of, width in ((WORDS, words, at[training], 64), (PAIRS, pairs, pair_at[training], bits), (TRIPLES, triples, triple_at[training & ~first], bits)):
+                yield _batch(_ranges(kind, 0, row["chunk"], keys, np.bincount(of, minlength=len(keys)), width, 0, fan), BLOCKS)
 
-    return chunks.mapInArrow(run, ASKED)
+    return chunks.mapInArrow(run, BLOCKS)
 
 
-ANSWERS = "kind int, chunk string, bucket int, counts binary, total long, types long"
+ANSWERS = "kind int, range long, owner string, counts binary, total long, types long"
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """A bucket's total counts, in the order of each chunk's keys; a row of kind 3 has the sums over words."""
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+def _merged(table: pa.Table):
+    """The hashes of each block, all distinct ones, their summed counts, and where each block's hashes are in them."""
     keys = [unpack_sorted(k.as_py()) for k in table.column("keys")]
     counts = [unpack_counts(c.as_py()) for c in table.column("counts")]
-    merged, at = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(at, weights=np.concatenate(counts), minlength=len(merged)).astype(np.int64)  # below 2**53, so exact
-    rows, lo = [], 0
-    for chunk, k in zip(table.column("chunk").to_pylist(), keys, strict=True):
-        rows.append((kind, chunk, bucket, pack_counts(totals[at[lo : lo + len(k)]]), None, None))
-        lo += len(k)
-    if kind == 1:
-        rows.append((3, None, bucket, None, int(totals.sum()), int((totals > 0).sum())))
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(at, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)  # below 2**53, so exact
+    return [len(k) for k in keys], every, sums, at
+
+
+def _handed(table: pa.Table, sizes: list, totals: np.ndarray, at: np.ndarray) -> list:
+    """ANSWERS rows of the blocks of a table."""
+    kind, number, ends = table.column("kind")[0].as_py(), table.column("range")[0].as_py(), np.cumsum([0, *sizes])
+    return [(kind, number, o, pack_counts(totals[at[lo:hi]]), None, None) for o, lo, hi in zip(table.column("owner").to_pylist(), ends[:-1], ends[1:], strict=True)]
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """A range's total counts, in the order of each block's hashes; a row of kind 0 has the sums over words."""
+    sizes, _, totals, at = _merged(table)
+    rows = _handed(table, sizes, totals, at)
+    if table.column("kind")[0].as_py() == WORDS:
+        rows.append((0, None, None, None, int(totals.sum()), int((totals > 0).sum())))
     return pa.Table.from_batches([_batch(rows, ANSWERS)])
 
 
-WHOLE = "chunk string, docs binary, keys binary, at binary, word_counts binary, pair_counts binary"
+def answered(blocks: DataFrame, owners: int, bits: int, done: int, fan: int = FAN) -> DataFrame:
+    """ANSWERS to all blocks. ``owners``: about how many blocks a range has; ``done``: leading bits a range's hashes share."""
+    if owners <= fan:
+        return blocks.groupBy("kind", "range").applyInArrow(_answer, ANSWERS)
+    groups, step = -(-owners // fan), fan.bit_length() - 1
+    blocks = stage(blocks.withColumn("party", F.pmod(F.xxhash64("owner"), F.lit(groups))), "lm-blocks")
+    key = ["kind", "range", "party"]
+
+    def ask(table):
+        kind, number, party = (table.column(c)[0].as_py() for c in key)
+        _, every, sums, _ = _merged(table)
+        return pa.Table.from_batches([_batch(_ranges(kind, number, str(party), every, sums, 64 if kind == WORDS else bits, done, fan), BLOCKS)])
+
+    def hand_out(table, answers):
+        if not table.num_rows:
+            return pa.Table.from_batches([_batch([], ANSWERS)])
+        sizes, _, _, at = _merged(table)
+        parts = sorted(zip(answers.column("part").to_pylist(), answers.column("counts").to_pylist(), strict=True))
+        return pa.Table.from_batches([_batch(_handed(table, sizes, np.concatenate([unpack_counts(c) for _, c in parts]), at), ANSWERS)])
 
+    found = stage(answered(blocks.groupBy(*key).applyInArrow(ask, BLOCKS), groups, bits, done + step, fan), "lm-party-answers")
+    parts = found.where("kind > 0").select("kind", F.expr(f"`range` div {fan}L").alias("range"), F.col("owner").cast("long").alias("party"), F.col("range").alias("part"), "counts")
+    out = blocks.groupBy(*key).cogroup(parts.groupBy(*key)).applyInArrow(hand_out, ANSWERS)
+    return out.unionAll(found.where("kind = 0"))
 
-def _assemble(table: pa.Table) -> pa.Table:
-    """A chunk (kind 0) with the answers to its questions."""
+
+def _tokens(table: pa.Table, bits: int):
+    """Of a chunk with the answers to its questions: docs table, sizes, and per token the counts of its word, context,
+    pair, pair before it (0 for a first token) and triple."""
     d = table.to_pydict()
     own = d["kind"].index(0)
-    counts = [np.concatenate([unpack_counts(c) for _, c in sorted((b, c) for k, b, c in zip(d["kind"], d["bucket"], d["counts"], strict=True) if k == kind)]) for kind in (1, 2)]
-    return pa.Table.from_batches([_batch([(d["chunk"][own], d["docs"][own], d["keys"][own], d["at"][own], *map(pack_counts, counts))], WHOLE)])
+    docs, sizes, words, at = _sequence({c: d[c][own] for c in ("docs", "keys", "at")})
+    before, first, _, pair_at, _, triple_at = ngram_views(words, at, sizes, bits)
+    c1, c2, c3 = (
+        np.concatenate([np.zeros(0, np.int64), *(unpack_counts(c) for _, c in sorted((r, c) for k, r, c in zip(d["kind"], d["range"], d["counts"], strict=True) if k == kind))]) for kind in (WORDS, PAIRS, TRIPLES)
+    )
+    pair = c2[pair_at]
+    context, triple = np.zeros_like(pair), np.zeros_like(pair)
+    context[1:] = pair[:-1]
+    context[first] = 0
+    triple[~first] = c3[triple_at[~first]]
+    return docs, sizes, first, c1[at], c1[before], pair, context, triple
 
 
-def _tokens(row: dict):
-    """Docs table, and per token: count of its word, of its context, of the pair."""
-    docs, sizes, words, at = _sequence(row)
-    before, _, pair_at = pair_views(words, at, sizes)
-    c1 = unpack_counts(row["word_counts"])
-    return docs, sizes, c1[at], c1[before], unpack_counts(row["pair_counts"])[pair_at]
+def estimates(cw, cv, cvw, cuv, cuvw, n: int, v: int):
+    """Trigram, bigram, word and base estimates; 0 where the context was never seen."""
+    ratio = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 0.0)
+    return ratio(cuvw, cuv), ratio(cvw, cv), cw / max(1, n), (cw + 1) / (n + v + 1)
 
 
-def context_bucket(c: np.ndarray) -> np.ndarray:
-    return np.where(c > 0, np.minimum(CONTEXT_BUCKETS - 1, 1 + np.log2(np.maximum(c, 1)).astype(np.int64)), 0)
+def octave(c: np.ndarray, most: int) -> np.ndarray:
+    """0 for 0, else 1 + floor(log2 c), at most ``most`` - 1."""
+    return np.where(c > 0, np.minimum(most - 1, 1 + np.log2(np.maximum(c, 1)).astype(np.int64)), 0)
 
 
-def estimates(cw, cv, cvw, n: int, v: int):
-    """Pair, word and base estimates."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(cv > 0, cvw / np.maximum(cv, 1), 0.0), cw / max(1, n), (cw + 1) / (n + v + 1)
+def context_bucket(cv: np.ndarray, cuv: np.ndarray) -> np.ndarray:
+    """Buckets of seen pairs come after those of single contexts."""
+    return np.where(cuv > 0, CONTEXT_BUCKETS + octave(cuv, CONTEXT_BUCKETS), octave(cv, CONTEXT_BUCKETS))
 
 
-def held_out_counts(whole: DataFrame, n: int, v: int) -> list:
-    """EM's histogram over all training tokens: (context bucket, x bin, y bin) with counts and sums of log x and y."""
+CELLS = "cell long, k long, s3 double, s2 double, s1 double"
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                docs, sizes, cw, cv, cvw = _tokens(b.slice(i, 1).to_pylist()[0])
-                t = np.repeat(~docs.column("held").to_numpy(zero_copy_only=False), sizes)
-                cw, cv, cvw = cw[t] - 1, cv[t] - 1, cvw[t] - 1
-                f2, f1, f0 = estimates(cw, cv, cvw, n - 1, v)
-                lx, y = np.log2(np.maximum(f2, 1e-300) / f0), f1 / f0
-                xb = np.where(f2 > 0, np.clip(np.round(2 * lx) + 20, 1, X_BINS - 1), 0).astype(np.int64)
-                yb = np.where(cw > 0, np.minimum(Y_BINS - 1, 1 + np.log2(np.maximum(cw, 1)).astype(np.int64)), 0)
-                cell = (context_bucket(cv) * X_BINS + xb) * Y_BINS + yb
-                size = CONTEXT_BUCKETS * X_BINS * Y_BINS
-                k, sx, sy = (np.bincount(cell, weights=w, minlength=size) for w in (None, np.where(xb > 0, lx, 0.0), y))
-                some = np.flatnonzero(k)
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(k[some], pa.int64()), pa.array(sx[some], pa.float64()), pa.array(sy[some], pa.float64())], names=["cell", "k", "sx", "sy"])
-
-    cells = whole.mapInArrow(run, "cell long, k long, sx double, sy double")
-    return cells.groupBy("cell").agg(F.sum("k").alias("k"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy")).collect()  # at most one row per cell
+
+def held_out_cells(table: pa.Table, bits: int, n: int, v: int) -> pa.Table:
+    """EM's histogram of a chunk's training tokens: (bucket, trigram, bigram and word bin) with counts and summed logs."""
+    docs, sizes, first, cw, cv, cvw, cuv, cuvw = _tokens(table, bits)
+    t = np.repeat(~docs.column("held").to_numpy(zero_copy_only=False), sizes)
+    cw, cv, cvw = cw[t] - 1, cv[t] - 1, cvw[t] - 1
+    cuv, cuvw = (np.where(first[t], 0, c[t] - 1) for c in (cuv, cuvw))
+    f3, f2, f1, f0 = estimates(cw, cv, cvw, cuv, cuvw, n - 1, v)
+    logs = [np.log2(np.where(f > 0, f, f0) / f0) for f in (f3, f2, f1)]
+    bins = [np.where(f > 0, np.clip(np.round(x) + 8, 1, X_BINS - 1), 0).astype(np.int64) for f, x in zip((f3, f2), logs[:2], strict=True)]
+    cell = ((context_bucket(cv, cuv) * X_BINS + bins[0]) * X_BINS + bins[1]) * Y_BINS + octave(cw, Y_BINS)
+    some, of = np.unique(cell, return_inverse=True)
+    sums = [np.bincount(of, weights=x, minlength=len(some)) for x in (None, *logs)]
+    return pa.table([pa.array(some, pa.int64()), pa.array(sums[0].astype(np.int64)), *(pa.array(x.astype(np.float64)) for x in sums[1:])], names=[x.split()[0] for x in CELLS.split(", ")])
+
+
+def em(weight: np.ndarray, ratio: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
+    """Mixture weights by expectation-maximisation over tokens of the given weight and estimates relative to the base."""
+    w = np.where(ratio.max(0) > 0, 1.0, 0.0)
+    w /= w.sum()
+    for _ in range(rounds):
+        share = w * ratio
+        w = (weight[:, None] * share / share.sum(1, keepdims=True)).sum(0) / weight.sum()
+    w = np.where(ratio.max(0) > 0, np.maximum(w, [0.0, 0.0, 1e-6, 1e-6]), 0.0)
+    return w / w.sum()
 
 
 def mixture_weights(cells: list) -> np.ndarray:
-    """Weights (pair, word, base) of every context bucket, by EM. Buckets without held-out tokens take the one below."""
-    out, last = np.zeros((CONTEXT_BUCKETS, 3)), np.array([0.0, 0.0, 1.0])
-    by = {}
+    """Weights (trigram, bigram, word, base) of every bucket. A bucket without held-out tokens takes those of the one below;
+    the first of each kind what is left of them without the estimates it lacks."""
+    out = np.zeros((2 * CONTEXT_BUCKETS, 4))
+    by: dict = {}
     for r in cells:
-        by.setdefault(r["cell"] // (X_BINS * Y_BINS), []).append((r["k"], 2.0 ** (r["sx"] / r["k"]) if r["cell"] // Y_BINS % X_BINS else 0.0, r["sy"] / r["k"]))
-    for bucket in range(CONTEXT_BUCKETS):
+        x3, x2, y = r["cell"] // (X_BINS * Y_BINS) % X_BINS, r["cell"] // Y_BINS % X_BINS, r["cell"] % Y_BINS
+        of = [2.0 ** (s / r["k"]) if there else 0.0 for s, there in ((r["s3"], x3), (r["s2"], x2), (r["s1"], y))]
+        by.setdefault(r["cell"] // (X_BINS * X_BINS * Y_BINS), []).append((r["k"], *of, 1.0))
+    last = np.array([0.0, 0.0, 0.0, 1.0])
+    for bucket in range(2 * CONTEXT_BUCKETS):
         if bucket in by:
             a = np.array(sorted(by[bucket]))
-            ratio = np.column_stack([a[:, 1], a[:, 2], np.ones(len(a))])
-            w = np.array([0.0, 0.5, 0.5]) if bucket == 0 else np.full(3, 1 / 3)
-            for _ in range(EM_ROUNDS):
-                share = w * ratio
-                w = (a[:, :1] * share / share.sum(1, keepdims=True)).sum(0) / a[:, 0].sum()
-            w = np.maximum(w, [0.0, 1e-6, 1e-6])
-            last = w / w.sum()
+            last = em(a[:, 0], a[:, 1:])
         out[bucket] = last
-    out[0] = [0.0, *(out[0, 1:] / out[0, 1:].sum())]
     return out
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_lm(docs: DataFrame, held: str = "held_out", doc_id: str = "doc_id", text: str = "text", chunk_tokens: int = CHUNK, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
-    """SCORES of every row of ``docs``, learning from those whose column ``held`` is false."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(held).alias("held_out"))
-    tokens = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    buckets = 1 << max(0, int(tokens // bucket_tokens)).bit_length()
+def scored(table: pa.Table, bits: int, weights: np.ndarray, n: int, v: int) -> pa.Table:
+    """SCORES of a chunk's documents."""
+    docs, sizes, _, cw, cv, cvw, cuv, cuvw = _tokens(table, bits)
+    f = estimates(cw, cv, cvw, cuv, cuvw, n, v)
+    w = weights[context_bucket(cv, cuv)]
+    logs = np.log10(sum(w[:, i] * f[i] for i in range(4)))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    known, base, score = (np.add.reduceat(x, starts) for x in ((cw > 0).astype(np.int64), np.log10(f[3]), logs))
+    columns = [docs.column("doc_id").combine_chunks(), docs.column("held").combine_chunks(), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n)), pa.array(base), pa.array(score)]
+    return pa.table(columns, names=[x.split()[0] for x in SCORES.split(", ")])
+
+
+def score_lm(docs: DataFrame, held: str = "held_out", doc_id: str = "doc_id", text: str = "text", chunk_tokens: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """SCORES of every row of ``docs``, learning from those whose column ``held`` is false. ``fan`` is a power of two."""
     spark = docs.sparkSession
-    of_chunks, of_answers = staged_path(spark, "lm-chunks"), staged_path(spark, "lm-answers")
-    chunks = stage(chunked(rows, chunk_tokens), "lm-chunks", of_chunks)
-    answers = stage(asked(chunks, buckets).groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS), "lm-answers", of_answers)
-    release(spark)
-    n, v = (int(x or 0) for x in answers.where("kind = 3").agg(F.sum("total"), F.sum("types")).first())
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(held).alias("held_out"))
+    chunks = stage(chunked(rows, chunk_tokens), "lm-chunks")
+    n_chunks, tokens = chunks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    bits, ranges = hash_bits(tokens), min(fan, 1 << max(0, n_chunks - 1).bit_length())
+    answers = stage(answered(asked(chunks, bits, ranges), n_chunks, bits, ranges.bit_length() - 1, fan), "lm-answers")
+    n, v = (int(x or 0) for x in answers.where("kind = 0").agg(F.sum("total"), F.sum("types")).first())
     none = F.lit(None).cast("binary")
-    own = chunks.select(F.lit(0).alias("kind"), "chunk", F.lit(-1).alias("bucket"), "docs", "keys", "at", none.alias("counts"))
-    parts = own.unionByName(answers.where("kind < 3").select("kind", "chunk", "bucket", none.alias("docs"), none.alias("keys"), none.alias("at"), "counts"))
-    whole = stage(parts.groupBy("chunk").applyInArrow(_assemble, WHOLE), "lm-whole")
-    for path in (of_chunks, of_answers):
-        remove(spark, path)
-    release(spark)
-    weights = mixture_weights(held_out_counts(whole, n, v)) if n else np.array([[0.0, 0.0, 1.0]] * CONTEXT_BUCKETS)
-
-    def score(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                docs, sizes, cw, cv, cvw = _tokens(b.slice(i, 1).to_pylist()[0])
-                f2, f1, f0 = estimates(cw, cv, cvw, n, v)
-                w = weights[context_bucket(cv)]
-                logs = np.log10(w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] * f0)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                sums = [np.add.reduceat(x, starts) for x in ((cw > 0).astype(np.int64), np.log10(f0), logs)]
-                yield pa.RecordBatch.from_arrays([docs.column("doc_id").combine_chunks(), docs.column("held").combine_chunks(), pa.array(sizes), pa.array(sums[0]), pa.array(np.full(len(sizes), n)), pa.array(sums[1]), pa.array(sums[2])], names=[x.split()[0] for x in SCORES.split(", ")])
-
-    return whole.mapInArrow(score, SCORES)
+    own = chunks.select(F.lit(0).alias("kind"), "chunk", F.lit(-1).cast("long").alias("range"), "docs", "keys", "at", none.alias("counts"))
+    replies = answers.where("kind > 0").select("kind", F.col("owner").alias("chunk"), "range", none.alias("docs"), none.alias("keys"), none.alias("at"), "counts")
+    whole = own.unionAll(replies).groupBy("chunk")
+    weights = np.array([[0.0, 0.0, 0.0, 1.0]] * (2 * CONTEXT_BUCKETS))
+    if n:
+        cells = whole.applyInArrow(lambda t: held_out_cells(t, bits, n, v), CELLS)
+        with shuffles_dropped(spark):  # at most a row per cell
+            weights = mixture_weights(cells.groupBy("cell").agg(F.sum("k").alias("k"), *[F.sum(c).alias(c) for c in ("s3", "s2", "s1")]).collect())
+    return whole.applyInArrow(lambda t: scored(t, bits, weights, n, v), SCORES)
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
