@@ -8,6 +8,11 @@ Reader: archives are cut into byte ranges without any index. A task looks for gz
 candidate by decoding it up to ``WARC/1.``, and owns every record that starts inside, reading on past the range's end
 for the last one. Memory is one range plus one record.
 
+Damage is an error, never a shorter result: an archive must have the size its manifest states; its first member must
+begin at 0; from the first member of a range on, members must follow each other without a gap, up to the first that
+starts beyond the range, whose header is decoded too; and a member that begins like a WARC record must decode to its end,
+with the payload its header states.
+
 Files are opened through pyarrow.fs, which serves local, HDFS and object-store addresses alike.
 
 Defined results: null html is an empty payload. A null page_id is larger than any other and is referred to only if it
@@ -28,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrid.runtime import by_value, stage, staged_path
+from callgrid.runtime import by_value, slices, stage, staged_path
 
 by_value(__name__)
 
@@ -111,7 +116,7 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = 0, archive_byte
 
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
-        for b in batches:
+        for b in slices(batches, 64):
             for page_id, url, html, refers_to in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if out is None or size >= archive_bytes:
                     if out is not None:
@@ -131,43 +136,67 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = 0, archive_byte
     return stage(with_record_types(pages, min_revisit).mapInArrow(write, MANIFEST), "warc-manifest")
 
 
-def _members(source, start: int, end: int, size: int):
-    """(offset, content) of the gzip members of WARC records that start in [start, end)."""
-    source.seek(start)
-    data = source.read(end - start)
-    at = 0
-    while (at := data.find(MAGIC[:1], at)) >= 0:
-        while start + at + len(MAGIC) > start + len(data) and start + len(data) < size:  # magic across the range's end
-            data += source.read(min(64 << 10, size - start - len(data)))
-        if not data.startswith(MAGIC, at):
-            at += 1
-            if at >= end - start:
-                return
-            continue
+class _Reading:
+    """A stretch of an archive that grows as members are read on."""
+
+    def __init__(self, source, start: int, end: int, size: int):
+        source.seek(start)
+        self.source, self.start, self.size, self.data = source, start, size, bytearray(source.read(end - start))
+
+    def has(self, at: int, n: int) -> bool:
+        """Whether ``n`` bytes from ``at`` are there, or all that the archive has."""
+        while at + n > len(self.data) and self.start + len(self.data) < self.size:
+            more = self.source.read(max(1 << 16, at + n - len(self.data)))
+            if not more:
+                break
+            self.data += more
+        return at + n <= len(self.data)
+
+    def begins(self, at: int) -> bool:
+        """Whether a gzip member with a WARC record begins at ``at``."""
+        if not self.has(at, len(MAGIC)) or self.data[at : at + len(MAGIC)] != MAGIC:
+            return False
+        z, head, fed = zlib.decompressobj(31), b"", at
+        try:
+            while len(head) < 7 and not z.eof and self.has(fed, 1):
+                piece = bytes(self.data[fed : fed + 512])
+                head, fed = head + z.decompress(piece), fed + len(piece)
+        except zlib.error:
+            return False
+        return head.startswith(b"WARC/1.")
+
+    def member(self, at: int) -> tuple[bytes, int]:
+        """Content and end of the member that begins at ``at``."""
         z, parts, fed = zlib.decompressobj(31), [], at
         try:
-            while not z.eof:
-                if fed >= len(data):
-                    more = source.read(1 << 20)
-                    if not more:
-                        break
-                    data += more
-                piece = data[fed : fed + (1 << 16)]
+            while not z.eof and self.has(fed, 1):
+                piece = bytes(self.data[fed : fed + (1 << 16)])
                 fed += len(piece)
                 parts.append(z.decompress(piece))
-                if len(parts) == 1 and not parts[0].startswith(b"WARC/1.") and len(parts[0]) >= 7:
-                    raise zlib.error("another kind of member")
-            content = b"".join(parts)
-            whole = z.eof and content.startswith(b"WARC/1.") and b"\r\n\r\n" in content
-        except zlib.error:
-            whole = False
-        if whole:
+        except zlib.error as e:
+            raise ValueError(f"broken record at byte {self.start + at}: {e}") from None
+        content = b"".join(parts)
+        if not z.eof or b"\r\n\r\n" not in content:
+            raise ValueError(f"record at byte {self.start + at} is cut off")
+        return content, fed - len(z.unused_data)
+
+
+def _members(source, start: int, end: int, size: int):
+    """(offset, content) of the gzip members of WARC records that start in [start, end)."""
+    reading, at, found = _Reading(source, start, end, size), 0, False
+    while start + at < end:
+        if reading.begins(at):
+            content, after = reading.member(at)
             yield start + at, content
-            at = fed - len(z.unused_data)
-        else:
-            at += 1
-        if at >= end - start:
-            return
+            at, found = after, True
+        elif found or start == 0:
+            raise ValueError(f"no record begins at byte {start + at}")
+        else:  # before the first member of the range lies the end of one that started earlier
+            at = reading.data.find(MAGIC[:1], at + 1)
+            if at < 0:
+                return
+    if found and start + at < size and not reading.begins(at):
+        raise ValueError(f"no record begins at byte {start + at}")
 
 
 def _parsed(content: bytes):
@@ -202,6 +231,8 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool
                 system, name = _open(path)
                 rows = []
                 with system.open_input_file(name) as source:
+                    if source.size() != size:
+                        raise ValueError(f"{path} has {source.size()} bytes, its manifest says {size}")
                     for at, content in _members(source, start, min(size, start + split_bytes), size):
                         if (got := _parsed(content)) is not None:
                             rows.append((path, at, *(got if payload else got[:-1])))
