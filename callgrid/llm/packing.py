@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from callgrid.runtime import by_value, per_process, stage
+from callgrid.runtime import by_value, per_process, slices, stage
 
 by_value(__name__)
 
@@ -98,8 +98,9 @@ class Encoder:
         a, w, b = (pc.fill_null(apart.field(i), "") for i in range(3))
         marks = self._ids(pa.concat_arrays([a, b, whole]), lambda new: self._each(new, self.parts))
         words = self._ids(pc.utf8_lower(w), self._words)
-        for run in whole.filter(pc.greater(pc.utf8_length(whole), 64)).to_pylist():
-            self.parts.pop(run, None)
+        for texts in (whole, pc.utf8_lower(w)):  # very long runs and words are not remembered
+            for text in texts.filter(pc.greater(pc.utf8_length(texts), 64)).to_pylist():
+                self.parts.pop(text, None)
         k = len(runs)
         base = np.concatenate([marks[0], words[0]])
         first = np.stack([marks[1][:k], words[1] + len(marks[0]), marks[1][k : 2 * k], marks[1][2 * k :]], 1)
@@ -129,20 +130,20 @@ def tokenised(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
         gc.disable()  # millions of strings and no cycles
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part, seen = per_process(name, lambda: Encoder(sent.value)), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                ids, texts = (c.slice(lo, 2048) for c in b.columns[:2])
+        end, names, kinds = np.array([end_id], "<u4").tobytes(), [x.split()[0] for x in PIECES.split(", ")], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        try:
+            for b in slices(batches, 2048):
                 rows = []
-                for doc, data in zip(ids.to_pylist(), encoder.encode(texts), strict=True):
+                for doc, data in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
                     data += end
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         own = data[at : at + 4 * capacity]
                         n = len(own) // 4
                         rows.append((doc, k, at // 4, n, zlib.crc32(own), part, int(seen[n])))
                         seen[n] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
-        gc.enable()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        finally:  # also where the task stops early: the worker goes on to others
+            gc.enable()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, PIECES)
 
