@@ -76,6 +76,31 @@ def test_search_recall_and_ties(spark):
     assert all(abs(s - float(np.dot(values[q], values[i]))) < 1e-12 for q in by for _, i, s in by[q])
 
 
+def test_recall_on_the_embeddings(spark):
+    """At least 0.9 of the exact neighbours, with the stated share alone (no least number of entries met)."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = {}
+    for r in vector_search.search(v, v.where("vec_id % 20 = 0"), least_met=21).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in v.collect()}
+    ids, x = np.array(list(rows)), np.array(list(rows.values()))
+    hits = [len(found[q] & set(ids[np.argsort(-np.where(ids == q, -np.inf, x @ rows[q]), kind="stable")[:20]].tolist())) / 20 for q in found]
+    assert len(hits) == len([i for i in rows if i % 20 == 0]) and np.mean(hits) >= 0.9
+
+
+def test_slots_hold_every_cell():
+    counts = np.array([0, 5, 0, 9, 30, 0, 1, 3, 12, 0])
+    first, pieces = vector_search.lay_out(counts, 10)
+    low, high = vector_search.spans(first, pieces)
+    for cells in ([1, 3], [4], [6, 7, 8], list(np.flatnonzero(counts))):
+        seen = set()
+        for slot, bits in vector_search.visits_of(np.array(cells), first, pieces, low, high):
+            got = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))) + low[slot]
+            assert len(got)
+            seen |= {(int(c), slot) for c in got}
+        assert seen == {(int(c), int(first[c]) + p) for c in cells for p in range(int(pieces[c]))}
+
+
 def test_small_sets_are_exact(spark):
     rows = [(i, [float(i % 3), 1.0]) for i in range(9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -127,13 +152,41 @@ def test_archives_are_plain_gzip(spark):
     assert warc.read_warc(warc.write_warc(df.limit(0), staged_path(spark, "t"))).count() == 0
 
 
+@pytest.mark.parametrize("split", [700, 1 << 24])
+def test_damaged_archives_are_errors(spark, split, tmp_path):
+    """Cut off, with a changed byte anywhere, or with bytes between records: never fewer records without an error."""
+    r = random.Random(9)
+    rows = [(i, f"http://a/{i}", "".join(r.choice("abcdefgh ") for _ in range(400))) for i in range(40)]
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w").collect()
+    assert len(manifest) == 1 and manifest[0]["records"] == 40
+    path = manifest[0]["path"]
+    whole = open(path.removeprefix("file://"), "rb").read()
+
+    def records(data, stated):
+        with open(tmp_path / "x.warc.gz", "wb") as f:
+            f.write(data)
+        table = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", stated, 40)], warc.MANIFEST)
+        return warc.read_warc(table, split).count()
+
+    assert records(whole, len(whole)) == 40
+    starts = [i for i in range(len(whole)) if whole.startswith(warc.MAGIC, i)]
+    spoilt = [(whole[:-20], len(whole)), (whole[:-20], len(whole) - 20), (whole[: starts[7]] + b"junk" + whole[starts[7] :], len(whole) + 4), (whole[: starts[30] + 60], starts[30] + 60)]
+    for at in (0, 2, starts[5], starts[5] + 200, starts[20] + 1, len(whole) - 3):
+        spoilt.append((whole[:at] + bytes([whole[at] ^ 0xFF]) + whole[at + 1 :], len(whole)))
+    for data, stated in spoilt:
+        with pytest.raises(Exception, match="record|bytes"):
+            records(data, stated)
+
+
 # pipeline
 
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
     spark.createDataFrame([(1, 1), (7, 0), (9, 1), (8, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    docs = spark.createDataFrame(odd_documents(), DOCS).withColumn("__extra", p.F.lit("x"))
+    docs = spark.createDataFrame(odd_documents(), DOCS)
+    for name in ("__extra", "row", "id", "key", "score", "kept", "lines", "size", "words", "component"):  # names that the stages use themselves
+        docs = docs.withColumn(name, p.F.lit("x"))
     for k, (name, stage) in enumerate(p.STAGES):
         out = stage(spark, docs, str(tmp_path))
         if k < 4:
@@ -154,3 +207,76 @@ def test_pipeline_effects(spark):
     kept = sorted(r["doc_id"] for r in p.near_dedup_stage(spark, docs, "").collect() if r["doc_id"])
     assert kept == [1, 4, 5, 6, 7, 10, 11, 12, 13, 14, 15]
     assert p.run(spark, TESTDATA).count() > 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on a made corpus: each stage's rows from plain Python, the quality scores and the mix's draws apart."""
+    import collections
+    import zlib
+
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    from callgrid.llm import packing
+
+    r = random.Random(11)
+    rows, labels = [], []
+    shared = "this line stands in very many of the documents"
+    for i in range(90):
+        good = i % 3 > 0
+        own = " ".join(f"{'word' if good else '#$'}{r.randrange(400)}{'' if good else '!!'}" for _ in range(r.randrange(30, 90)))
+        rows.append((i, own + ("\n" + shared if i % 4 == 0 else ""), "en", f"s{i % 3}", 0))
+        labels.append((i, int(good)))
+    for i in range(90, 110):  # near copies of good documents
+        base = rows[3 * (i - 90) + 1][1].split("\n")[0].split(" ")
+        rows.append((i, " ".join(base + ["tail"]), "en", "s1", 0))
+        labels.append((i, 1))
+    spark.createDataFrame(rows, DOCS).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, stages = spark.read.parquet(str(tmp_path / "documents.parquet")), dict(p.STAGES)
+    good = stages["quality"](spark, docs, str(tmp_path))
+    left = {x["doc_id"]: x["text"] for x in good.collect()}
+    assert sum(dict(labels)[i] for i in left) >= 0.95 * sum(y for _, y in labels) and sum(1 - dict(labels)[i] for i in left) <= 2
+    holders = [i for i, t in left.items() if shared in t]
+    for i in left:
+        if i in holders and i != max(holders) and len(holders) >= 3:
+            left[i] = left[i].replace("\n" + shared, "")
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(len(w) - 4)} for i, t in left.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    left = {i: left[i] for i in left if find(i) == i}
+    size = collections.Counter()
+    for i, t in left.items():
+        size[rows[i][3]] += len(t.split())
+    got = collections.Counter((x["doc_id"], x["piece"], x["length"], x["ids_crc32"]) for x in p.run(spark, str(tmp_path)).collect())
+    encoder, want = Tokenizer.from_file(packing.default_vocabulary()), {}
+    for i, t in left.items():
+        ids = np.array(encoder.encode(t, add_special_tokens=False).ids + [1], "<u4")
+        want[i, 0, len(ids), zlib.crc32(ids.tobytes())] = i
+    assert set(got) <= set(want) and max(got.values()) <= 3
+    taken = collections.Counter()
+    for key, n in got.items():
+        taken[rows[want[key]][3]] += n * len(left[want[key]].split())
+    total, targets = sum(size.values()), {}
+    weight, free = dict(zip(sorted(size), (5, 2, 1), strict=False)), set(size)
+    while True:
+        rest = total - sum(targets.values())
+        share = {k: rest * weight[k] / sum(weight[j] for j in free) for k in free}
+        over = {k for k in free if share[k] > 3 * size[k]}
+        targets |= {k: 3 * size[k] for k in over} or share
+        if not over:
+            break
+        free -= over
+    longest = max(len(t.split()) for t in left.values())
+    assert all(abs(taken[k] - targets[k]) <= 3 * longest for k in size)  # a document taken in part is repeated whole

@@ -93,12 +93,13 @@ def test_knapsack_against_all_multisets():
 
 def mixed(df, **how):
     rows = mixing.sized(df, "text", "source", ["doc_id"])
-    return mixing.mixed(rows, *mixing.mix_plan(rows, **how))
+    return mixing.mixed(rows, mixing.mix_plan(rows, **how)).select("row.*", "size", "source_size", "target", "draws")
 
 
-def test_mixing_quotas_and_limits(spark, odd):
+@pytest.mark.parametrize("block_words", [7, mixing.BLOCK_WORDS])
+def test_mixing_quotas_and_limits(spark, odd, block_words):
     rows, df = odd
-    out = mixed(df).collect()
+    out = mixed(df, block_words=block_words).collect()
     assert len(out) == len(rows)
     size = {k: sum(len(words(t)) for _, t, _, s, _ in rows if s == k) for k in {r[3] for r in rows}}
     order = sorted((k for k in size if k is not None)) + [None]
@@ -115,17 +116,34 @@ def test_mixing_quotas_and_limits(spark, odd):
         free -= over
     for k in order:
         own = [r for r in out if r["source"] == k]
-        assert all(abs(r["__target"] - target[k]) < 1e-6 and r["__source_size"] == size[k] for r in own)
-        assert abs(sum(d["words"] for r in own for d in r["__draws"]) - target[k]) <= 1
-    assert all(sum(d["words"] for d in r["__draws"]) <= 3 * r["__size"] for r in out)
+        assert all(abs(r["target"] - target[k]) < 1e-6 and r["source_size"] == size[k] for r in own)
+        assert abs(sum(d["words"] for r in own for d in r["draws"]) - target[k]) <= 1
+    assert all(r["size"] == len(words(r["text"])) and sum(d["words"] for d in r["draws"]) <= 3 * r["size"] for r in out)
+    assert all(0 <= d["shard"] < mixing.LEAST_SHARDS for r in out for d in r["draws"])
 
 
 def test_mixing_reruns_agree(odd):
     _, df = odd
-    a, b = (sorted(map(str, mixed(df).select("doc_id", "__draws").collect())) for _ in range(2))
+    a, b = (sorted(map(str, mixed(df, block_words=7).select("doc_id", "draws").collect())) for _ in range(2))
     assert a == b
 
 
+def test_shards_come_whole_and_shuffled(spark):
+    """Each shard is one partition whose rows are in the order of their place, and every source is spread over the shards."""
+    docs = spark.createDataFrame([(i, f"w{i} " * 20, "en", f"s{i % 3}", 0) for i in range(900)], DOCS)
+    rows = mixing.sized(docs, "text", "source", ["doc_id"])
+    plan = mixing.mix_plan(rows, shards=4, block_words=100)
+    draws = {}
+    for r in mixing.mixed(rows, plan).select("row.doc_id", "draws").collect():
+        for d in r["draws"]:
+            draws.setdefault(r["doc_id"], []).append((d["shard"], d["place"]))
+    parts = mixing.drawn_rows(rows, plan).rdd.mapPartitions(lambda it: [[r["doc_id"] for r in it]]).collect()
+    assert len(parts) == 4 and sum(map(len, parts)) == sum(map(len, draws.values()))
+    for shard, ids in enumerate(parts):
+        assert ids == [i for _, i in sorted((place, i) for i, many in draws.items() for s, place in many if s == shard)]
+        assert {i % 3 for i in ids} == {0, 1, 2} and ids != sorted(ids)
+
+
 def test_splitting_tree_is_exact_and_random(spark):
     q = spark.createDataFrame([("a", 1000), ("b", 0), ("c", 24)], "key string, quota long")
     got = mixing.split_quotas(q, 8).collect()
@@ -140,14 +158,21 @@ def test_splitting_tree_is_exact_and_random(spark):
 def test_mixing_of_nothing(none, spark):
     assert mixed(none).count() == 0
     empty = spark.createDataFrame([(1, None, None, "a", None), (2, "", None, "b", 0)], DOCS)
-    assert all(r["__target"] == 0 and r["__draws"] == [] for r in mixed(empty).collect())
+    assert all(r["target"] == 0 and r["draws"] == [] for r in mixed(empty).collect())
+
+
+def test_mixing_takes_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", i, i, i, i) for i in range(9)], "doc_id long, text string, source string, key long, size long, block long, draws long")
+    rows = mixing.sized(docs, "text", "source", ["doc_id"])
+    out = mixing.drawn_rows(rows, mixing.mix_plan(rows))
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
 
 
 # line dedup
 
 def test_line_dedup_against_brute_force(odd):
     rows, df = odd
-    got = sorted((str(r["doc_id"]), r["__lines"], len(r["__kept"]), r["t"]) for r in line_dedup.dedup_lines(df).withColumn("t", line_dedup.kept_text(df["text"], line_dedup.F.col("__kept"))).collect())
+    got = sorted((str(r["doc_id"]), r["__lines"], len(r["__kept"]), r["t"]) for r in line_dedup.dedup_lines(df).withColumn("t", line_dedup.kept_text(line_dedup.F.col("text"), line_dedup.F.col("__kept"))).collect())
     holders = collections.defaultdict(set)
     for doc, text in texts(rows):
         for line in text.split("\n"):
@@ -164,13 +189,48 @@ def test_line_dedup_against_brute_force(odd):
 
 
 def test_runs_are_compacted(spark):
-    runs = line_dedup.LineRuns(fanout=2)
+    runs = line_dedup.LineRuns(spark, fanout=2)
     for batch in range(3):
-        rows = [((10 - batch,), i % 5 + batch, 0) for i in range(10)]
-        runs.add(spark.createDataFrame(rows, "doc struct<id:long>, h1 long, h2 long"))
+        rows = [(10 - batch, i % 5 + batch, 0) for i in range(10)]
+        runs.add(spark.createDataFrame(rows, "id long, h1 long, h2 long"))
     assert [len(x) for x in runs.levels] == [1, 1]
-    got = {r["h1"]: (r["n_docs"], r["holder"]["id"]) for r in runs.index().collect()}
+    got = {r["h1"]: (r["n_docs"], r["holder"]) for r in runs.index().collect()}
     assert got == {0: (1, 10), 1: (2, 10), 2: (3, 10), 3: (3, 10), 4: (3, 10), 5: (2, 9), 6: (1, 8)}
+    runs.drop()
+
+
+def test_runs_are_met_where_they_lie(spark):
+    """Runs are bucketed like a batch's own counts, so merging deals nothing besides the batch itself."""
+    runs, batch = line_dedup.LineRuns(spark, fanout=9), spark.range(10).selectExpr("id", "id AS h1", "0L AS h2")
+    for _ in range(3):
+        runs.add(batch)
+    plain, met = (x._jdf.queryExecution().executedPlan().toString() for x in (runs.counted(batch), runs.met(runs.counted(batch))))
+    assert met.count("Join") == 3 and met.count(" Exchange") == plain.count(" Exchange")
+    runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+@pytest.mark.parametrize("batches, fanout", [(1, 2), (7, 2), (9, 3)])
+def test_batches_meet_compacted_runs(spark, batches, fanout):
+    """Lines shared over all distances, null ids, ids on several rows: any number of batches and levels gives the same."""
+    r = np.random.default_rng(12)
+    lines = [f"line number {i} of more than twenty characters" for i in range(40)]
+    rows = [(None if i % 17 == 0 else int(i // 2 if i % 5 == 0 else i), "\n".join(lines[k] for k in r.integers(0, 40, r.integers(0, 6))), "en", "s", 0) for i in range(120)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = line_dedup.dedup_lines(df, batches=batches, fanout=fanout)
+    got = sorted((str(r["doc_id"]), r["t"]) for r in out.withColumn("t", line_dedup.kept_text(line_dedup.F.col("text"), line_dedup.F.col("__kept"))).collect())
+    holders = collections.defaultdict(set)
+    for doc, text in texts(rows):
+        for line in text.split("\n"):
+            holders[line].add(doc)
+    last = {k: max(v, key=lambda x: -1 if x is None else x) for k, v in holders.items() if len(v) >= 3 and len(k) >= 20}
+    assert got == sorted((str(doc), "\n".join(x for x in text.split("\n") if last.get(x, doc) == doc)) for doc, text in texts(rows))
+
+
+def test_line_dedup_takes_clashing_columns(spark):
+    df = spark.createDataFrame([(i, f"a line of more than twenty characters\n{i}", 5, 6, 7) for i in range(4)], "doc_id long, text string, lost long, id long, row long")
+    out = line_dedup.dedup_lines(df, lines="n", kept="k")
+    assert out.columns == [*df.columns, "n", "k"] and sorted((r["doc_id"], r["k"], r["id"]) for r in out.collect()) == [(0, [1], 6), (1, [1], 6), (2, [1], 6), (3, [0, 1], 6)]
 
 
 def test_line_dedup_of_nothing(none):
@@ -201,14 +261,110 @@ def test_quality_takes_odd_texts(spark, odd):
     assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_quality_score_is_the_calibrated_size_difference(spark, odd):
+    """Scores from the model's parts, step by step: windows, sizes under both dictionaries, the logistic curve."""
+    import zstandard
+
+    rows, df = odd
+    docs = spark.createDataFrame([(i, ("good plain prose number " if i % 2 else "x9#! buy now $$$ ") * (i + 3) + str(i), None, None, None) for i in range(60)], DOCS)
+    model = quality.fit_quality(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+
+    def sizes(text, dictionary):
+        d = zstandard.ZstdCompressionDict(dictionary)
+        c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        data = text.encode()
+        return sum(len(c.compress(data[i : i + 1024])) for i in range(0, max(1, len(data)), 1024))
+
+    got = collections.Counter((r["text"], round(r["score"], 9)) for r in quality.score_quality(df, model).collect())
+    want = collections.Counter()
+    for _, text, *_ in rows:
+        t = text or ""
+        gain = 20 * (sizes(t, model["bad"]) - sizes(t, model["good"])) / max(1, len(t.encode()))
+        size = math.log1p(len(t.encode()))
+        z = sum(w * x for w, x in zip(model["w"], (1, gain, size, gain * size), strict=True))
+        want[text, round(1 / (1 + math.exp(-max(-30, min(30, z)))), 9)] += 1
+    assert got == want
+
+
 # scoring
 
+def direct_scores(rows, held):
+    """Deleted interpolation token by token: counts in dictionaries, EM over all training tokens."""
+    texts_of = [[*words(t), None] for _, t, *_ in rows]
+    c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
+    for t, out in zip(texts_of, held, strict=True):
+        if not out:
+            for i, w in enumerate(t):
+                v = t[i - 1] if i else None
+                c1[w] += 1
+                c2[v, w] += 1
+                if i:
+                    c3[t[i - 2] if i > 1 else None, v, w] += 1
+    n, types = sum(c1.values()), len(c1)
+
+    def of(t, i, less):
+        w, v = t[i], t[i - 1] if i else None
+        u = t[i - 2] if i > 1 else None
+        cw, cv, cvw = c1[w] - less, c1[v] - less, c2[v, w] - less
+        cuv, cuvw = (c2[u, v] - less, c3[u, v, w] - less) if i else (0, 0)
+        f = (cuvw / cuv if cuv > 0 else 0.0, cvw / cv if cv > 0 else 0.0, cw / (n - less), (cw + 1) / (n - less + types + 1))
+        return ("pair", cuv.bit_length()) if cuv > 0 else ("word", cv.bit_length()), f
+
+    by = collections.defaultdict(list)
+    for t, out in zip(texts_of, held, strict=True):
+        if not out:
+            for i in range(len(t)):
+                b, f = of(t, i, 1)
+                by[b].append(f)
+    weights, last = {}, np.array([0, 0, 0, 1.0])
+    for kind in ("word", "pair"):
+        for k in range(lm_score.CONTEXT_BUCKETS):
+            if (kind, k) in by:
+                f = np.array(by[kind, k])
+                w = (f.max(0) > 0) / (f.max(0) > 0).sum()
+                for _ in range(lm_score.EM_ROUNDS):
+                    share = w * f / f[:, 3:]
+                    w = (share / share.sum(1, keepdims=True)).mean(0)
+                last = w
+            weights[kind, k] = last
+    return [sum(math.log10(max(1e-300, float(np.dot(weights[b], f)))) for b, f in (of(t, i, 0) for i in range(len(t)))) for t in texts_of]
+
+
+def test_lm_score_against_direct_interpolation(spark):
+    """Binned EM against EM over single tokens, on texts that repeat words, pairs, triples and whole texts."""
+    r = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(120)]
+    p = 1 / np.arange(1, 121)
+    rows = [(i, " ".join(r.choice(vocabulary, r.integers(1, 80), p=p / p.sum())), None, None, None) for i in range(150)]
+    rows += [(150 + i, rows[i][1], None, None, None) for i in range(20)] + [(200, "never seen words", None, None, None), (201, None, None, None, None)]
+    held = [zlib.crc32(str(row[0]).encode()) % 7 == 2 for row in rows]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("held_out", quality.held_out(lm_score.F.col("doc_id"), 7, 2))
+    got = {x["doc_id"]: x for x in lm_score.score_lm(docs, chunk_tokens=500).collect()}
+    want = direct_scores(rows, held)
+    for row, w in zip(rows, want, strict=True):
+        x = got[row[0]]
+        assert abs(x["score"] - w) < 0.01 * x["n_tokens"] + 1e-6, (row[0], x["score"], w)
+    again = [got[150 + i]["score"] / got[150 + i]["n_tokens"] for i in range(20)]
+    once = [got[i]["score"] / got[i]["n_tokens"] for i in range(20, 150)]
+    assert np.mean(again) > np.mean(once)
+
+
+def test_lm_counts_by_parties_are_the_same(spark):
+    """More chunks than the fan: groups of chunks are merged, and ask in turn, over three levels."""
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet").limit(60).withColumn("held_out", quality.held_out(lm_score.F.col("doc_id"), 7, 2))
+    a, b = ({r["doc_id"]: r for r in lm_score.score_lm(docs, chunk_tokens=n, fan=fan).collect()} for n, fan in ((3000, 2), (1 << 20, 256)))
+    assert a.keys() == b.keys()
+    for k in a:
+        assert (a[k]["n_tokens"], a[k]["n_known"], a[k]["train_tokens"]) == (b[k]["n_tokens"], b[k]["n_known"], b[k]["train_tokens"])
+        assert abs(a[k]["score"] - b[k]["score"]) < 1e-7 * b[k]["n_tokens"] and abs(a[k]["base_score"] - b[k]["base_score"]) < 1e-7
+
+
 @pytest.mark.parametrize("chunk", [50, 1_000_000])
 def test_lm_against_brute_force(spark, odd, chunk):
     rows, df = odd
     held = {r[0]: zlib.crc32(str(r[0]).encode()) % 3 == 1 and r[0] is not None for r in rows}
     got = collections.defaultdict(list)
-    for r in lm_score.score_lm(df.withColumn("held_out", quality.held_out(df["doc_id"], 3, 1)), chunk_tokens=chunk, bucket_tokens=100).collect():
+    for r in lm_score.score_lm(df.withColumn("held_out", quality.held_out(df["doc_id"], 3, 1)), chunk_tokens=chunk, fan=4).collect():
         got[r["doc_id"]].append(r)
     token = {i: [[*words(r[1]), None] for r in rows if r[0] == i] for i in held}
     c = collections.Counter(w for i in token if not held[i] for t in token[i] for w in t)
@@ -224,7 +380,7 @@ def test_lm_beats_its_base_and_chunks_do_not_matter(spark):
     out = lm_score.op7_lm_score(spark, TESTDATA).where("held_out").collect()
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
     docs = spark.read.parquet(f"{TESTDATA}/documents.parquet").withColumn("held_out", quality.held_out(lm_score.F.col("doc_id"), 7, 2))
-    a, b = ({r["doc_id"]: r["score"] for r in lm_score.score_lm(docs, chunk_tokens=n, bucket_tokens=m).collect()} for n, m in ((5000, 9000), (1 << 20, 1 << 21)))
+    a, b = ({r["doc_id"]: r["score"] for r in lm_score.score_lm(docs, chunk_tokens=n).collect()} for n in (5000, 1 << 20))
     assert all(abs(a[k] - b[k]) < 1e-8 for k in a)
 
 
@@ -262,6 +418,32 @@ def test_fingerprint_properties(none):
     assert fingerprint.fingerprints_with_next(none).count() == 0
 
 
+def test_fingerprint_against_single_triplets():
+    """Digests from triplets counted one by one, and likeness from the codes read out of the hex."""
+    r = np.random.default_rng(5)
+    texts = [b"", b"a", b"ab", b"abc", b"abcd", b"aaaaaaaaaaaa", "é漢字 and more".encode(), bytes(r.integers(0, 256, 997, dtype=np.uint8)), b"plain words in a row " * 40]
+    codes = {}
+    for data in texts:
+        counts = [0] * 256
+        for at in range(len(data)):
+            for kind, (i, j) in enumerate(((1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4))):
+                if at + j < len(data):
+                    t = fingerprint.TABLES[kind]
+                    counts[t[0][data[at]] ^ t[1][data[at + i]] ^ t[2][data[at + j]]] += 1
+        q = [sorted(counts)[k] for k in (63, 127, 191)]
+        codes[data] = [sum(c > x for x in q) for c in counts]
+        bits = "".join(f"{c:02b}" for c in codes[data])
+        size = min(255, round(12 * math.log2(1 + len(data)))) if data else 0
+        head = f"{size:02x}" + "".join(f"{min(15, x * 15 // q[2]) if q[2] else 0:x}" for x in q[:2])
+        assert fingerprint.fingerprint(data) == head + "".join(f"{int(bits[k : k + 4], 2):x}" for k in range(0, 512, 4))
+    for a in texts:
+        for b in texts:
+            x, y = fingerprint.fingerprint(a), fingerprint.fingerprint(b)
+            body = sum((0, 1, 2, 6)[abs(m - n)] for m, n in zip(codes[a], codes[b], strict=True))
+            far = body + abs(int(x[:2], 16) - int(y[:2], 16)) / 4 + (abs(int(x[2], 16) - int(y[2], 16)) + abs(int(x[3], 16) - int(y[3], 16))) / 2
+            assert abs(fingerprint.likeness(x, y) - (1 - min(far, 1.6 * 256) / (1.6 * 256))) < 1e-12
+
+
 def test_quality_leaves_out_only_the_texts_that_do_not_fit(spark):
     rows = [(i, f"{'good' if i % 2 else 'bad'} text of document {i} " * 20, None, None, None) for i in range(40)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, quality int")
@@ -334,6 +516,36 @@ def test_near_dedup_keeps_a_link_below_higher_estimates(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for d, (_, c) in want.items()}
 
 
+def test_near_dedup_of_triples_at_the_threshold(spark):
+    """150 triples of texts with 5 or 6 of 400 words changed in each, so that their likeness lies around 0.75."""
+    r = np.random.default_rng(75)
+    rows = []
+    for triple in range(150):
+        for k in range(3):
+            w = [f"t{triple}_{i}" for i in range(400)]
+            for at in r.choice(400, 5 + int(r.integers(2)), replace=False):
+                w[at] = f"x{triple}_{k}_{at}"
+            rows.append((3 * triple + k, " ".join(w), None, None, None))
+    want = {d: c for d, (_, c) in brute_components(rows).items()}
+    assert 150 < len(set(want.values())) < 300
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_near_dedup_counts_rows_by_their_text(spark):
+    """Rows that share an id lie where their texts belong; a row without id takes part; the stage keeps one row of a group."""
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = a.replace("a30", "other")
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (None, near, "en", "s", 0), (None, b, "en", "s", 0), (7, b, "en", "s", 0), (7, b, "en", "s", 0), (None, None, "en", "s", 0), (None, None, "en", "s", 0), (None, "alone without id but with words", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == sorted([("1", "1", True), ("1", "1", True), ("None", "1", False), ("None", "1", False), ("7", "1", False), ("7", "1", False), ("None", "None", True), ("None", "None", True), ("None", "None", True)])
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())
+    assert kept == sorted([("1", a), ("1", b), ("None", "None"), ("None", "None"), ("None", "alone without id but with words")])
+
+
 def test_near_dedup_of_a_dense_family(spark):
     """Documents at about 0.71 to each other, each with one partner at about 0.78: no row stands out in their regions."""
     r = np.random.default_rng(7)
