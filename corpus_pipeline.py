@@ -5,31 +5,38 @@ and work on everything their predecessor kept. Between stages the rows are writt
 
 Defined results. quality: rows with a score of 0.5 or more stay; null text is scored as empty text. line_dedup: shared
 lines go, and n_chars (if there) follows the new text; null text stays null; a text that loses all lines is empty.
-near_dedup: of each group the row of its component id stays, once; a row without doc_id stays if its class has no id.
-mixing: a row is repeated once for each pass of the mix that takes words of it and goes if none does; rows without
-words go. packing: see the operator. Empty tables give empty results; further columns pass through.
+near_dedup: of each group one row stays, that of the smallest doc_id (rows without one come last, ties go to a hash of
+the text, then of the row); rows without words all stay. mixing: a row is repeated once for each pass of the mix that
+takes words of it and goes if none does; rows without words go; rows come in the shuffled order of their output shard.
+packing: see the operator. Empty tables give empty results. Further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from callgrid.llm import line_dedup, mixing, near_dedup, packing, quality
-from callgrid.runtime import staged_path
+from callgrid.llm.text import BLANKS
+from callgrid.runtime import scratch, staged_path
+
+def unused(name: str, columns) -> str:
+    """A column name that the documents don't have."""
+    while name in columns:
+        name += "_"
+    return name
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = quality.fit_quality(docs, labels)
-    scored = quality.score_quality(docs, model, score="__quality")
-    return scored.where(F.col("__quality") >= 0.5).select(*docs.columns)
+    model, score = quality.fit_quality(docs, labels), unused("score", docs.columns)
+    return quality.score_quality(docs, model, score=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
-    text = F.when(F.col("text").isNotNull(), line_dedup.kept_text(F.col("text"), F.col("__kept")))
+    lines, kept = (unused(x, docs.columns) for x in ("lines", "kept"))
+    out = line_dedup.dedup_lines(docs, lines=lines, kept=kept)
+    text = F.when(F.col("text").isNotNull(), line_dedup.kept_text(F.col("text"), F.col(kept)))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -37,16 +44,23 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rows.withColumn("__nth", F.when(F.col("doc_id").isNotNull(), nth).otherwise(1)).where("__nth = 1").select(*docs.columns)
+    groups = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("component IS NOT NULL")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("row_hash").alias("hash"))).alias("x"))
+    key = ["hash", "id", "no_id"]
+    first = first.select("x.hash", F.coalesce("x.doc_id", F.lit(0)).alias("id"), "x.no_id")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), near_dedup.row_hash("doc_id", "text").alias("hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.col("doc_id").isNull().alias("no_id"), (F.char_length(F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS))) > 0).alias("words"),
+    )
+    hashable = [F.col(f"row.{f.name}") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    found = rows.where("words").join(first, key, "left_semi")
+    kept = found.groupBy(*key).agg(F.min_by("row", F.xxhash64(*hashable)).alias("row"))  # repeated rows are one
+    return kept.select("row").unionAll(rows.where("NOT words").select("row")).select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = mixing.sized(docs, "text", "source", ["doc_id"])
-    targets, plan = mixing.mix_plan(rows)
-    return mixing.draw_rows(mixing.mixed(rows, targets, plan), docs.columns).select(*docs.columns)
+    return mixing.drawn_rows(rows, mixing.mix_plan(rows))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +77,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = staged_path(spark, f"pipeline-{name}")
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
