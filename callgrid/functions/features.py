@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgrid.functions import kernels as K
-from callgrid.runtime import by_value
+from callgrid.runtime import by_value, slices
 
 by_value(__name__)
 
@@ -22,10 +22,19 @@ LOW_RANGE, GRID20, P_REF = (10.0, 120.0), np.linspace(10.0, 120.0, 20), 2e-5
 # Frequency regions of the call families, and the bands of the handcrafted ratios, in hertz.
 REGIONS = (("bma_16_27", 16, 27), ("bma_20_30", 20, 30), ("dd_20_120", 20, 120), ("dd_30_90", 30, 90), ("bp_15_30", 15, 30), ("bp_overtone_80_120", 80, 120))
 RATIO_BANDS = ((0, 15), (15, 30), (30, 45), (45, 60), (60, 90), (90, 125))
+# Names of the sets' columns.
 SPECTRAL = ("spectral_centroid_hz", "spectral_bandwidth_hz", "spectral_rolloff_85_hz", "spectral_flatness", "spectral_contrast", "dominant_frequency_hz", "spectral_entropy", "spectral_slope")
 STATS, PCTS, BOX = ("mean", "std", "min", "max"), ("p10", "p50", "p90"), ("duration_seconds", "real_duration_seconds", "low_frequency", "high_frequency", "frequency_span_hz")
 
+# The descriptors of an event's time and frequency box.
+CROP = (
+    "duration_seconds", "real_duration_seconds", "low_frequency", "high_frequency", "frequency_span_hz", "spectral_centroid_hz", "spectral_bandwidth_hz",
+    "spectral_rolloff_85_hz", "mean_intensity", "std_intensity", "max_intensity", "time_centroid_seconds", "frequency_contrast", "temporal_contrast",
+    "low_half_energy_ratio", "high_half_energy_ratio",
+)
 
+
+# The parameters of the named sets.
 def _registry() -> dict:
     low = {"window": "gaussian", "window_seconds": 2.0, "f_min": 10.0, "f_max": 120.0}
     clip, exact = {"db_clip": [-80.0, 0.0]}, {"family": "notebook_exact", "variant": "44", "window_dur": 2.0, "f_min": 10.0, "f_max": 120.0}
@@ -58,6 +67,15 @@ def _registry() -> dict:
 FEATURE_SETS = _registry()
 
 
+def representation(family: str, size: int = 32) -> dict:
+    """Spec of a representation of the event's box: its patch, its descriptors, or both."""
+    square, box = {"family": "patch", "height": int(size), "width": int(size), "plain_names": True}, {"family": "crop_descriptors"}
+    known = {"patch": square, "handcrafted": box, "hybrid": {"family": "hybrid", "parts": [square, box]}}
+    if family not in known:
+        raise ValueError(f"unknown representation {family!r}; known: {', '.join(known)}")
+    return known[family]
+
+
 def spec_of(name) -> dict:
     if isinstance(name, dict):
         return dict(name)
@@ -86,6 +104,13 @@ def feature_names(name) -> list[str]:
         return of("mfcc", STATS) + of("delta_mfcc", STATS[:2]) + of("delta2_mfcc", STATS[:2])
     if f == "logmel_stats":
         return cross([f"logmel_band_{i}" for i in range(spec["n_mels"])], (*STATS, "q10", "q50", "q90")) + cross(("time_pooled", "frequency_pooled"), STATS)
+    if f == "crop_descriptors":
+        return list(CROP)
+    if f == "hog":
+        across = [n // spec.get("cell", 8) - spec.get("block", 2) + 1 for n in (spec["height"], spec["width"])]
+        return [f"hog_{i}" for i in range(max(0, across[0]) * max(0, across[1]) * spec.get("block", 2) ** 2 * spec.get("orientations", 9))]
+    if f == "patch" and spec.get("plain_names"):
+        return [f"patch_{i}" for i in range(spec["height"] * spec["width"])]
     if f == "patch":
         return [f"patch_{spec['height']}x{spec['width']}_{i}" for i in range(spec["height"] * spec["width"])]
     if f == "gradient_hist":
@@ -267,14 +292,40 @@ def mfcc(e, cfg, spec):
     return np.concatenate([np.column_stack([c.mean(1), c.std(1), c.min(1), c.max(1)]).ravel(), *[np.column_stack([y.mean(1), y.std(1)]).ravel() for y in (d, d2)]])
 
 
-def band_crop(e: Event, cfg: dict) -> np.ndarray:
-    """The event's time and frequency box of its spectrogram; the nearest bin if the box holds none."""
+def boxed(e: Event, cfg: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, frequencies, frame times from the event's start) of the event's time and frequency box of its spectrogram;
+    the nearest bin if the box holds none."""
     v, f = spectrogram(e.cut(*e.span), e.rate, cfg)
     lo, hi = sorted((e.number("low_frequency"), e.number("high_frequency", float(f[-1]))))
     keep = (f >= lo) & (f <= hi)
     if not keep.any():
         keep[np.abs(f - (lo + hi) / 2).argmin()] = True
-    return v[keep]
+    hop = int(cfg.get("hop_length", max(1, int(cfg.get("win_length", cfg.get("n_fft", 512))) // 4)))
+    return v[keep], f[keep], np.arange(v.shape[1]) * hop / e.rate
+
+
+def band_crop(e: Event, cfg: dict) -> np.ndarray:
+    return boxed(e, cfg)[0]
+
+
+def crop_descriptors(e, cfg, spec):
+    """Position, width and roll-off of the box's energy, its intensity, its contrasts along both axes, its halves."""
+    v, f, t = boxed(e, cfg)
+    w, tiny = np.maximum(v, 0.0), K.TINY
+    total, by_f, by_t = w.sum(), w.sum(1), w.sum(0)
+    place = [0.0] * 4
+    if total > 0:
+        c = (f * by_f).sum() / total
+        reached = int(np.searchsorted(by_f.cumsum(), 0.85 * by_f.sum()))
+        place = [c, np.sqrt(((f - c) ** 2 * by_f).sum() / total), f[min(reached, len(f) - 1)], (t * by_t).sum() / total]
+    contrast = lambda x: float(np.subtract(*np.percentile(x, (90, 10)))) if len(x) > 1 else 0.0
+    half = max(1, len(v) // 2)
+    return [*e.box, *place[:3], v.mean(), v.std(), v.max(), place[3], contrast(v.mean(1)), contrast(v.mean(0)), w[:half].sum() / max(tiny, total), w[half:].sum() / max(tiny, total)]
+
+
+def hog(e, cfg, spec):
+    """Histogram of oriented gradients of the event's patch."""
+    return K.oriented_gradients(K.resize(band_crop(e, cfg), spec["height"], spec["width"]), spec.get("orientations", 9), spec.get("cell", 8), spec.get("block", 2))
 
 
 def patch(e, cfg, spec):
@@ -412,7 +463,7 @@ def augmented(tensor: np.ndarray, seed: int) -> np.ndarray:
     return np.clip(out, 0, 1).astype(np.float32)
 
 
-FAMILIES = {f.__name__: f for f in (waveform_stats, spectral_stats, handcrafted_stats, band_energy, logmel_stats, mfcc, patch, gradient_hist, notebook_lowfreq, relative_lowfreq, temporal_lowfreq, notebook_exact, class_region_lowfreq)}
+FAMILIES = {f.__name__: f for f in (waveform_stats, spectral_stats, handcrafted_stats, band_energy, logmel_stats, mfcc, patch, gradient_hist, notebook_lowfreq, relative_lowfreq, temporal_lowfreq, notebook_exact, class_region_lowfreq, crop_descriptors, hog)}
 
 
 def vector(e: Event, cfg: dict, name) -> np.ndarray:
@@ -426,22 +477,88 @@ def vector(e: Event, cfg: dict, name) -> np.ndarray:
     return np.nan_to_num(v, nan=0.0, posinf=0.0, neginf=0.0)
 
 
-def extract(rows: DataFrame, name, cfg: dict, id_column: str = "id") -> DataFrame:
-    """(id, features) of events that carry their file's samples and rate, by identity, not by position.
+def _views(column) -> list[np.ndarray]:
+    """The arrays of a list column as views of its buffer."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
 
-    Files should be joined to events with the smaller side moved; each batch is computed on its own.
-    """
+
+def _vectors(ids, vectors: list) -> list:
+    """Arrow columns of ids and vectors, without a Python list per vector."""
+    ends = np.cumsum([0, *map(len, vectors)])
+    flat = np.concatenate(vectors) if vectors else np.zeros(0, np.float32)
+    return [ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.float32()))]
+
+
+def extract(rows: DataFrame, name, cfg: dict, id_column: str = "id") -> DataFrame:
+    """(id, features) of rows that each carry their own samples and rate, by identity, not by position."""
     fields = [c for c in rows.columns if c not in (id_column, "samples", "rate")]
 
     def run(batches):
-        for b in batches:
-            d = b.to_pydict()
-            out = [vector(prepared({f: d[f][i] for f in fields}, d["samples"][i], d["rate"][i], cfg), cfg, name) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(id_column)), pa.array([v.tolist() for v in out], pa.list_(pa.float32()))], names=[id_column, "features"])
+        for b in slices(batches, 64):
+            samples, rate = _views(b.column("samples")), b.column("rate").to_pylist()
+            d = b.select(fields).to_pydict()
+            out = [vector(prepared({f: d[f][i] for f in fields}, samples[i], rate[i], cfg), cfg, name) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays(_vectors(b.column(id_column), out), names=[id_column, "features"])
 
     return rows.mapInArrow(run, f"{id_column} {dict(rows.dtypes)[id_column]}, features array<float>")
 
 
-def with_samples(events: DataFrame, waves: DataFrame) -> DataFrame:
-    """Events joined to decoded files (audio_path, samples, rate)."""
-    return events.join(waves.select("audio_path", "samples", F.col("rate")), "audio_path")
+#: Events of one file that a task takes at most, about; a file with more is sent to several tasks.
+EVENTS_A_TASK = 2000
+
+
+def with_files(events: DataFrame, waves: DataFrame, make, schema: str, id_column: str = "id", per_task: int = EVENTS_A_TASK) -> DataFrame:
+    """``make`` of every event with its file, as a table: a file (audio_path, rate, samples) meets its events once per
+    ``per_task`` of them, so samples are not copied per event, and a file with very many events is spread.
+
+    ``make(event, index)`` gets the table of events without their paths, the file's mono samples at their own rate, and
+    returns a pyarrow table. Events whose file is missing or unreadable give nothing.
+    """
+    parts = events.groupBy("audio_path").agg(F.ceil(F.count("*") / per_task).alias("__parts"))
+    own = events.join(parts, "audio_path").withColumn("__part", F.pmod(F.xxhash64(id_column), "__parts")).drop("__parts")
+    files = waves.where("samples IS NOT NULL").select("audio_path", "rate", "samples").join(parts, "audio_path")
+    files = files.select("audio_path", "rate", "samples", F.explode(F.expr("sequence(0L, __parts - 1)")).alias("__part"))
+    key = ["audio_path", "__part"]
+
+    def run(a, b):
+        if not a.num_rows or not b.num_rows:
+            return make(a.slice(0, 0), np.zeros(0), 1)
+        return make(a, _views(b.column("samples"))[0], b.column("rate")[0].as_py())
+
+    return own.groupBy(*key).cogroup(files.groupBy(*key)).applyInArrow(run, schema)
+
+
+def extract_from_files(events: DataFrame, waves: DataFrame, name, cfg: dict, id_column: str = "id", per_task: int = EVENTS_A_TASK) -> DataFrame:
+    """(id, features) of events by their files. The file is resampled once for all its events of a task."""
+    fields = [c for c in events.columns if c not in (id_column, "audio_path")]
+
+    def make(table, samples, rate):
+        out, ids = [], table.column(id_column).combine_chunks() if table.num_rows else pa.array([], table.schema.field(id_column).type)
+        if table.num_rows:
+            whole, d = prepared({}, samples, rate, cfg), table.select(fields).to_pydict()
+            out = [vector(Event({f: d[f][i] for f in fields}, whole.x, whole.rate), cfg, name) for i in range(table.num_rows)]
+        return pa.Table.from_arrays(_vectors(ids, out), names=[id_column, "features"])
+
+    return with_files(events, waves, make, f"{id_column} {dict(events.dtypes)[id_column]}, features array<float>", id_column, per_task)
+
+
+def export_representation(events: DataFrame, waves: DataFrame, family: str, cfg: dict, path: str, size: int = 32, pca: int | None = None) -> None:
+    """Write a representation (id, label, features) with its names and metadata. A PCA covers the patch only."""
+    from callgrid.operators import fitted
+    from callgrid.runtime import stage
+    from callgrid.sources.sinks import export_matrix
+
+    spec = representation(family, size)
+    rows = stage(extract_from_files(events, waves, spec, cfg).join(events.select("id", "label"), "id"), "representation")
+    names, width = feature_names(spec), size * size if family != "handcrafted" else len(CROP)
+    if pca:
+        part = rows.withColumn("features", F.slice("features", 1, width).cast("array<double>"))
+        reduced = fitted.reduce(fitted.one_fold(part, part), f"pca:{pca}").where("is_test").select("id", F.col("features").cast("array<float>").alias("reduced"))
+        joined = rows.join(stage(reduced, "representation-pca"), "id")
+        k = joined.select(F.size("reduced")).first()
+        rows = joined.select("id", "label", F.concat("reduced", F.slice("features", width + 1, max(1, len(names) - width))).alias("features"))
+        names = [f"{'pca' if family == 'handcrafted' else 'patch_pca'}_{i}" for i in range(k[0] if k else 0)] + names[width:]
+    export_matrix(rows, path, names, {"family": family, "size": size, "pca": pca, "audio": cfg, "crop": "literal time and frequency box"})

@@ -143,6 +143,26 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return rows[:, x0] * (1 - wx) + rows[:, x1] * wx
 
 
+def oriented_gradients(image: np.ndarray, orientations: int = 9, cell: int = 8, block: int = 2) -> np.ndarray:
+    """Histogram of oriented gradients: unsigned directions per cell, blocks normalised by L2, clipped at 0.2 and again."""
+    gy, gx = np.zeros_like(image), np.zeros_like(image)
+    gy[1:-1], gx[:, 1:-1] = image[2:] - image[:-2], image[:, 2:] - image[:, :-2]
+    m, direction = np.hypot(gx, gy), np.rad2deg(np.arctan2(gy, gx)) % 180
+    rows, columns = image.shape[0] // cell, image.shape[1] // cell
+    bins = np.minimum((direction * orientations / 180).astype(int), orientations - 1)
+    cells = np.zeros((rows, columns, orientations))
+    for b in range(orientations):
+        part = np.where(bins == b, m, 0.0)[: rows * cell, : columns * cell]
+        cells[:, :, b] = part.reshape(rows, cell, columns, cell).mean((1, 3))
+    out = []
+    for i in range(rows - block + 1):
+        for j in range(columns - block + 1):
+            v = cells[i : i + block, j : j + block].ravel()
+            v = np.minimum(v / np.sqrt((v**2).sum() + 1e-10), 0.2)
+            out.append(v / np.sqrt((v**2).sum() + 1e-10))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def stats(x: np.ndarray) -> list[float]:
     """Mean, deviation, minimum, maximum; zeros when empty."""
     return [float(f(x)) for f in (np.mean, np.std, np.min, np.max)] if np.size(x) else [0.0] * 4

@@ -77,12 +77,14 @@ def moving_average(x: Column) -> Column:
     return F.transform(x, lambda v, i: (at(i - 1) + v + at(i + 1)) / 3)
 
 
-def strict_peaks(x: Column) -> Column:
-    """Number of samples above both neighbours and above mean plus deviation."""
+def peak_count(x: Column) -> Column:
+    """Local maxima at or above mean plus deviation; a plateau counts once, the ends don't."""
     from callgrid.functions.scalars import mean, std
 
-    level = mean(x) + std(x)
-    return total(F.transform(x, lambda v, i: F.when((i > 0) & (i < F.size(x) - 1) & (v > F.get(x, i - 1)) & (v > F.get(x, i + 1)) & (v >= level), 1.0).otherwise(0.0))).cast("int")
+    runs = F.filter(x, lambda v, i: (i == 0) | (v != F.get(x, i - 1)))
+    inner = lambda r, level: F.filter(r, lambda v, i: (i > 0) & (i < F.size(r) - 1) & (v > F.get(r, i - 1)) & (v > F.get(r, i + 1)) & (v >= level))
+    counted = F.transform(F.array(F.struct(runs.alias("r"), (mean(x) + std(x)).alias("level"))), lambda s: F.size(inner(s["r"], s["level"])))
+    return F.element_at(counted, 1)
 
 
 def chunks(x: Column, k: int) -> Column:

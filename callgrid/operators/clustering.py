@@ -16,6 +16,7 @@ def k_means(rows: DataFrame, k: int, seeds: int = 5, features: str = "features")
     from pyspark.ml.functions import array_to_vector
 
     x = rows.withColumn("__v", array_to_vector(features))
+    x = x.cache()  # every run passes over the rows many times
     models = [KMeans(k=k, seed=s, featuresCol="__v", predictionCol="cluster").fit(x) for s in range(seeds)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(x).select("id", "label", "cluster")
@@ -60,6 +61,118 @@ def components(links: DataFrame) -> DataFrame:
         labels = stage(new.join(jump, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "component-labels")
 
 
+def bandwidth(x: np.ndarray, share: float = 0.2) -> float:
+    """Mean distance of a row to the last of its ``share`` nearest rows, itself included."""
+    k = max(1, int(len(x) * share))
+    return float(np.mean([np.partition(np.sqrt(((x - v) ** 2).sum(1)), k - 1)[k - 1] for v in x]))
+
+
+def modes(x: np.ndarray, width: float, rounds: int = 300) -> np.ndarray:
+    """Centres of mean shift with a flat kernel, from one seed per occupied bin of that width, densest first; a centre
+    within the width of a denser one is dropped."""
+    found = {}
+    for seed in np.unique(np.round(x / width), axis=0) * width:
+        at = seed
+        for _ in range(rounds):
+            near = ((x - at) ** 2).sum(1) <= width * width
+            if not near.any():
+                break
+            moved = x[near].mean(0)
+            done, at = np.sqrt(((moved - at) ** 2).sum()) <= 1e-3 * width, moved
+            if done:
+                break
+        if n := int((((x - at) ** 2).sum(1) <= width * width).sum()):
+            found[tuple(at)] = n
+    kept: list = []
+    for at in sorted(found, key=lambda c: (-found[c], c)):
+        if all(((np.array(at) - c) ** 2).sum() > width * width for c in kept):
+            kept.append(np.array(at))
+    return np.array(kept)
+
+
+def mean_shift(rows: DataFrame, sample: int = 3500, width: float | None = None, features: str = "features", seed: int = 0) -> DataFrame:
+    """(id, label, cluster): all rows by their nearest mode. Modes are found on the ``sample`` rows with the smallest hash, a
+    stated bound (500 rows for each of seven classes), the width on at most 1000 of them."""
+    chosen = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select(features).collect()
+    x = np.array([r[0] for r in chosen], float)
+    if not len(x):
+        return rows.select("id", "label", F.lit(None).cast("int").alias("cluster"))
+    width = width or bandwidth(x[:1000])
+    centres = modes(x, width) if width > 0 else np.unique(x, axis=0)
+    axes = F.lit([[float(v) for v in c] for c in centres])  # bounded by the sample
+    far = F.transform(axes, lambda c: F.aggregate(F.zip_with(features, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    return rows.select("id", "label", (F.array_position(far, F.array_min(far)) - 1).cast("int").alias("cluster"))
+
+
+def silhouette(rows: DataFrame, features: str = "features", block: int = 4096) -> DataFrame:
+    """(id, cluster, silhouette) of the assigned rows: how much nearer the own cluster is than the next one, 0 for a cluster
+    of one row. Exact, in blocks: a task holds two blocks and returns a sum of distances per row and cluster."""
+    import pyarrow as pa
+
+    from callgrid.operators.knn import distances
+    from callgrid.runtime import stage
+
+    own = stage(rows.where("cluster IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("cluster").cast("long").alias("cluster"), F.col(features).alias("v")), "silhouette-rows")
+    n = -(-max(1, own.count()) // block)
+    part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = F.explode(F.expr(f"sequence(0, {n - 1})"))
+    a, b = own.select(part.alias("p"), every.alias("q"), "id", "cluster", "v"), own.select(every.alias("p"), part.alias("q"), "id", "cluster", "v")
+
+    def sums(x, y):
+        out = [[], [], [], []]
+        if x.num_rows and y.num_rows:
+            matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+            clusters, of = np.unique(y.column("cluster").to_numpy(), return_inverse=True)
+            counts = np.bincount(of)
+            other = matrix(y)
+            for lo in range(0, x.num_rows, 256):
+                d = distances(matrix(x.slice(lo, 256)), other, "euclidean")
+                total = np.stack([d[:, of == c].sum(1) for c in range(len(clusters))], 1)
+                ids = x.column("id").slice(lo, 256).to_numpy()
+                for column, values in zip(out, (np.repeat(ids, len(clusters)), np.tile(clusters, len(ids)), total.ravel(), np.tile(counts, len(ids))), strict=True):
+                    column.extend(values.tolist())
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["id", "other", "total", "n"])
+
+    met = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInArrow(sums, "id long, other long, total double, n long")
+    means = met.groupBy("id", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).join(own.select("id", "cluster"), "id")
+    inner, same = F.col("total") / (F.col("n") - 1), F.col("other") == F.col("cluster")
+    both = means.groupBy("id", "cluster").agg(F.max(F.when(same & (F.col("n") > 1), inner)).alias("a"), F.min(F.when(~same, F.col("total") / F.col("n"))).alias("b"))
+    value = F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
+    return both.select("id", "cluster", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(value).alias("silhouette"))
+
+
+def measures(rows: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One row for an assignment (id, cluster) of ``rows`` (id, label, features): contingency measures, adjusted mutual
+    information, the mean silhouette of the assigned rows (null with fewer than two clusters), clusters found."""
+    table = rows.select("id", "label", "features").join(assigned.select("id", "cluster"), "id")
+    counts = table.where("cluster IS NOT NULL").groupBy("cluster", "label").count().collect()  # clusters x labels
+    clusters, labels = (sorted({r[i] for r in counts}) for i in (0, 1))
+    matrix = np.zeros((len(clusters), len(labels)))
+    for r in counts:
+        matrix[clusters.index(r[0]), labels.index(r[1])] = r["count"]
+    ami = adjusted_mutual_information(matrix) if len(counts) else 0.0
+    mean = silhouette(table).agg(F.avg("silhouette")).first()[0] if len(clusters) > 1 else None
+    return contingency_measures(table).withColumns({"ami": F.lit(float(ami)), "silhouette": F.lit(mean).cast("double"), "clusters_found": F.lit(len(clusters)), "assigned_fraction": 1 - F.col("noise_fraction")})
+
+
+def explore(rows: DataFrame, n_clusters: int, eps: float = 1.5, least: int = 10, seeds: int = 20) -> dict[str, DataFrame]:
+    """All methods on standardised rows (id, label, features): assignments, composition, and their measures, best first."""
+    from functools import reduce
+
+    from callgrid.operators import fitted
+    from callgrid.runtime import stage
+
+    both = fitted.one_fold(rows.select("id", "label", "features"), rows.select("id", "label", "features"))
+    scaled = stage(fitted.scale(both, "standard").where("is_test").select("id", "label", "features"), "cluster-rows")
+    found = {"kmeans": k_means(scaled, n_clusters, seeds), "dbscan": dbscan(scaled, eps, least), "mean_shift": mean_shift(scaled)}
+    staged = {m: stage(scaled.select("id", "label").join(t.select("id", F.col("cluster").cast("long").alias("cluster")), "id"), f"cluster-{m}") for m, t in found.items()}
+    named = [t.select(F.lit(m).alias("method"), "*") for m, t in staged.items()]
+    scores = reduce(DataFrame.unionByName, [measures(scaled, t).select(F.lit(m).alias("method"), "*") for m, t in staged.items()])
+    every = reduce(DataFrame.unionByName, named)
+    counted = every.groupBy("method", "cluster", "label").agg(F.count("*").alias("count")).orderBy("method", "cluster", F.desc("count"), "label")
+    return {"assignments": every, "composition": counted, "measures": stage(scores, "cluster-measures").orderBy(F.desc("ami"), F.desc("ari"), "method")}
+
+
 def composition(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cluster", "label").agg(F.count("*").alias("count")).orderBy("cluster", F.desc("count"), "label")
 

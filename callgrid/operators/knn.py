@@ -42,26 +42,29 @@ def distances(q: np.ndarray, t: np.ndarray, metric: str, p: float = 2.0) -> np.n
     return out
 
 
-def neighbours(train: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank from 1, neighbor_id, distance) from (id, features) tables. Fewer train rows than k are all returned."""
+def neighbours(train: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, exclude_self: bool = False, block: int = BLOCK, by: str | None = None) -> DataFrame:
+    """([by], query_id, rank from 1, neighbor_id, distance) from (id, features) tables; with ``by``, an integer column of
+    both, queries meet the train rows of their own value only. Fewer train rows than k are all returned."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
-    train, queries = stage(train.select("id", "features"), "knn-train"), stage(queries.select("id", "features"), "knn-queries")
-    n_t, n_q = (-(-max(1, x.count()) // block) for x in (train, queries))
+    own_by = F.col(by).cast("int") if by else F.lit(0)
+    train, queries = (stage(x.select(own_by.alias("by"), "id", "features"), name) for x, name in ((train, "knn-train"), (queries, "knn-queries")))
+    sizes = [x.groupBy("by").count().agg(F.max("count")).first()[0] or 1 for x in (train, queries)]
+    n_t, n_q = (-(-n // block) for n in sizes)
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n - 1})"))
-    t = train.select(part(n_t).alias("t"), every(n_q).alias("q"), "id", "features")
-    q = queries.select(every(n_t).alias("t"), part(n_q).alias("q"), "id", "features")
+    t = train.select("by", part(n_t).alias("t"), every(n_q).alias("q"), "id", "features")
+    q = queries.select("by", every(n_t).alias("t"), part(n_q).alias("q"), "id", "features")
 
     def matrix(table):
         column = table.column("features").combine_chunks()
         return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
     def meet(a, b):
-        found = [[], [], []]
+        found = [[], [], [], []]
         if a.num_rows and b.num_rows:
             ids, own, x = a.column("id").to_numpy(), b.column("id").to_numpy(), matrix(a)
-            y = matrix(b)
+            y, key = matrix(b), a.column("by")[0].as_py()
             for lo in range(0, len(own), 256):
                 for i, d in enumerate(np.round(distances(y[lo : lo + 256], x, metric, p), DIGITS)):
                     if exclude_self:
@@ -69,36 +72,40 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, metric: str = "eucl
                     cut = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
                     near = np.flatnonzero((d <= cut) & (d < np.inf))
                     near = near[np.lexsort((ids[near], d[near]))][:k]
-                    for column, values in zip(found, (np.full(len(near), own[lo + i]), ids[near], d[near]), strict=True):
+                    for column, values in zip(found, (np.full(len(near), key), np.full(len(near), own[lo + i]), ids[near], d[near]), strict=True):
                         column.extend(values.tolist())
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "neighbor_id", "distance"])
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], names=["by", "query_id", "neighbor_id", "distance"])
 
-    pairs = t.groupBy("t", "q").cogroup(q.groupBy("t", "q")).applyInArrow(meet, "query_id long, neighbor_id long, distance double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    key = ["by", "t", "q"]
+    pairs = t.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(meet, "by int, query_id long, neighbor_id long, distance double")
+    rank = F.row_number().over(W.partitionBy("by", "query_id").orderBy("distance", "neighbor_id"))
+    out = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.select(*([F.col("by").alias(by)] if by else []), "query_id", "rank", "neighbor_id", "distance")
 
 
-def votes(near: DataFrame, labels: DataFrame, weights: str = "uniform") -> DataFrame:
-    """(query_id, label, vote, probability). With distance weights only neighbours at distance 0 vote, if there are any."""
+def votes(near: DataFrame, labels: DataFrame, weights: str = "uniform", by=()) -> DataFrame:
+    """([by], query_id, label, vote, probability). With distance weights only neighbours at distance 0 vote, if there are any."""
+    key = [*by, "query_id"]
     named = near.join(labels.select(F.col("id").alias("neighbor_id"), "label"), "neighbor_id")
     if weights == "uniform":
         w = F.lit(1.0)
     elif weights == "distance":
-        zero = F.min("distance").over(W.partitionBy("query_id")) == 0
+        zero = F.min("distance").over(W.partitionBy(*key)) == 0
         w = F.when(zero, (F.col("distance") == 0).cast("double")).otherwise(1 / F.col("distance"))
     else:
         raise ValueError(f"unknown weights {weights!r}")
-    v = named.withColumn("w", w).groupBy("query_id", "label").agg(F.sum("w").alias("vote"))
-    return v.withColumn("probability", F.col("vote") / F.sum("vote").over(W.partitionBy("query_id")))
+    v = named.withColumn("w", w).groupBy(*key, "label").agg(F.sum("w").alias("vote"))
+    return v.withColumn("probability", F.col("vote") / F.sum("vote").over(W.partitionBy(*key)))
 
 
-def classify(voted: DataFrame, classes) -> DataFrame:
-    """(query_id, y_pred_label, pred_confidence, probs): most votes, ties to the class declared first."""
+def classify(voted: DataFrame, classes, by=()) -> DataFrame:
+    """([by], query_id, y_pred_label, pred_confidence, probs): most votes, ties to the class declared first."""
     from callgrid.functions.labels import code
 
     best = F.max_by(F.struct("label", "probability"), F.struct(F.round("vote", 9), -code(F.col("label"), classes)))
-    out = voted.groupBy("query_id").agg(best.alias("b"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "probability")))).alias("probs"))
-    return out.select("query_id", F.col("b.label").alias("y_pred_label"), F.col("b.probability").alias("pred_confidence"), "probs")
+    out = voted.groupBy(*by, "query_id").agg(best.alias("b"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "probability")))).alias("probs"))
+    return out.select(*by, "query_id", F.col("b.label").alias("y_pred_label"), F.col("b.probability").alias("pred_confidence"), "probs")
 
 
 def neighbour_report(near: DataFrame, meta: DataFrame) -> DataFrame:

@@ -37,6 +37,16 @@ def normalised_confusion(dense: DataFrame, groups=()) -> DataFrame:
     return dense.withColumn("share", F.coalesce(F.try_divide(F.col("n"), F.sum("n").over(W.partitionBy(*groups, "true"))), F.lit(0.0)))
 
 
+def confusion_table(dense: DataFrame, classes) -> DataFrame:
+    """The dense matrix with a row per true label and a column per predicted one."""
+    return dense.groupBy(F.col("true").alias("true_label")).pivot("pred", list(classes)).agg(F.sum("n")).orderBy("true_label")
+
+
+def with_class_columns(predictions: DataFrame, classes, probs: str = "probs") -> DataFrame:
+    """Predictions with a column prob_<class> for every declared class instead of the map, 0 where it has none."""
+    return predictions.select(*[c for c in predictions.columns if c != probs], *[F.coalesce(F.try_element_at(probs, F.lit(c)), F.lit(0.0)).alias(f"prob_{c}") for c in classes])
+
+
 def _ratio(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
@@ -125,14 +135,16 @@ def majority_baseline(predictions: DataFrame, classes) -> DataFrame:
 
 
 def permutation_baseline(predictions: DataFrame, id_column: str, seed: int = 0) -> DataFrame:
-    """Predictions replaced by a permutation of the truth: the same multiset, re-paired by two hash orders.
+    """Predictions replaced by a permutation of the truth: the same multiset, re-paired by id order and by a seeded hash.
 
     Ranks come from range-partitioned sorts, not from one global window.
     """
+    from callgrid.operators.folds import shuffled
     from callgrid.operators.sampling import global_rank
 
     a = global_rank(predictions.drop("y_pred_label"), [F.col(id_column)], "__at")
-    b = global_rank(predictions.select(F.col("y_true_label").alias("y_pred_label"), F.col(id_column).alias("__id")), [F.xxhash64(F.lit(seed), "__id"), F.col("__id")], "__at").select("__at", "y_pred_label")
+    truth = predictions.select(F.col("y_true_label").alias("y_pred_label"), F.col(id_column).alias("__id"))
+    b = global_rank(truth, shuffled("__id", seed), "__at").select("__at", "y_pred_label")
     return a.join(b, "__at").drop("__at")
 
 

@@ -6,35 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Names of the baselines. rbf_svm_rff is approximate by design: random Fourier features under a linear machine.
-MODELS = ("logistic_regression", "linear_svm", "rbf_svm_rff", "gaussian_nb", "decision_tree", "random_forest", "gradient_boosting", "mlp")
+#: Names of the baselines. rbf_svm_rff is approximate by design: random Fourier features under a linear machine. The pruned
+#: tree is chosen among depths and least gains, since Spark's trees have no cost-complexity path.
+MODELS = ("logistic_regression", "linear_svm", "rbf_svm_rff", "knn", "gaussian_nb", "decision_tree_pruned", "random_forest", "gradient_boosting", "mlp")
+#: Sizes of the models; callers may lower them. Spark's trees end at depth 30.
+SIZES = {"lr_iterations": 1000, "svm_iterations": 100, "trees": 200, "depth": 30, "rounds": 100, "hidden": 128, "mlp_iterations": 200}
+#: Trials of the pruned tree: depths and least information gains.
+PRUNING = tuple((d, g) for d in (4, 8, 12, 20) for g in (0.0, 0.005, 0.02))
+
+
+def needs_scaling(name: str) -> bool:
+    return name in ("logistic_regression", "linear_svm", "rbf_svm_rff", "knn", "mlp")
 
 
 def balanced(rows: DataFrame, label: str = "label_idx") -> DataFrame:
     """Weight total / (classes x class count)."""
-    n = F.count("*").over(W.partitionBy(label))
-    total = rows.groupBy(label).count().agg(F.sum("count").alias("t"), F.count("*").alias("k")).first()
-    return rows.withColumn("weight", F.lit(float(total["t"])) / (F.lit(total["k"]) * n))
+    counts = rows.groupBy(label).count()
+    total = counts.agg(F.sum("count").alias("t"), F.count("*").alias("k")).first()
+    weight = F.lit(float(total["t"] or 0)) / (F.lit(total["k"] or 1) * F.col("count"))
+    return rows.join(counts.select(label, weight.alias("weight")), label)  # a row per class
 
 
-def estimator(name: str, n_features: int, n_classes: int, seed: int = 0):
+def estimator(name: str, n_features: int, n_classes: int, seed: int = 0, sizes: dict | None = None):
     from pyspark.ml import classification as C
 
+    z = SIZES | (sizes or {})
     common = {"featuresCol": "vector", "labelCol": "label_idx", "predictionCol": "prediction"}
     if name == "logistic_regression":
-        return C.LogisticRegression(maxIter=100, weightCol="weight", **common)
+        return C.LogisticRegression(maxIter=z["lr_iterations"], weightCol="weight", **common)
     if name in ("linear_svm", "rbf_svm_rff"):
-        return C.OneVsRest(classifier=C.LinearSVC(maxIter=50, weightCol="weight"), weightCol="weight", **common)
+        return C.OneVsRest(classifier=C.LinearSVC(maxIter=z["svm_iterations"], weightCol="weight"), weightCol="weight", **common)
     if name == "gaussian_nb":
-        return C.NaiveBayes(modelType="gaussian", weightCol="weight", **common)
-    if name == "decision_tree":
-        return C.DecisionTreeClassifier(maxDepth=8, seed=seed, weightCol="weight", **common)
+        return C.NaiveBayes(modelType="gaussian", **common)
     if name == "random_forest":
-        return C.RandomForestClassifier(numTrees=50, maxDepth=8, featureSubsetStrategy="sqrt", seed=seed, weightCol="weight", **common)
+        return C.RandomForestClassifier(numTrees=z["trees"], maxDepth=z["depth"], featureSubsetStrategy="sqrt", seed=seed, weightCol="weight", **common)
     if name == "gradient_boosting":
-        return C.OneVsRest(classifier=C.GBTClassifier(maxIter=10, seed=seed, weightCol="weight"), weightCol="weight", **common)
+        return C.OneVsRest(classifier=C.GBTClassifier(maxIter=z["rounds"], maxDepth=3, stepSize=0.1, seed=seed, weightCol="weight"), weightCol="weight", **common)
     if name == "mlp":
-        return C.MultilayerPerceptronClassifier(layers=[n_features, 128, n_classes], maxIter=50, seed=seed, **common)
+        return C.MultilayerPerceptronClassifier(layers=[n_features, z["hidden"], n_classes], maxIter=z["mlp_iterations"], seed=seed, **common)
     raise ValueError(f"unknown model {name!r}; known: {', '.join(MODELS)}")
 
 
@@ -44,38 +53,62 @@ def fourier_features(rows: DataFrame, n_features: int, size: int = 128, gamma: f
 
     r = np.random.Generator(np.random.PCG64(seed))
     w, b = r.normal(0, np.sqrt(2 * (gamma or 1 / n_features)), (size, n_features)), r.uniform(0, 2 * np.pi, size)
-    dot = lambda k: F.aggregate(F.zip_with(features, F.lit(w[k].tolist()), lambda x, y: x * y), F.lit(float(b[k])), lambda a, x: a + x)
-    return rows.withColumn(features, F.array(*[F.cos(dot(k)) * float(np.sqrt(2 / size)) for k in range(size)]))
+    axes = F.lit([[float(x) for x in a] for a in w])
+    shifts = F.lit([float(x) for x in b])
+    dot = lambda a: F.aggregate(F.zip_with(features, a, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return rows.withColumn(features, F.transform(axes, lambda a, k: F.cos(dot(a) + F.get(shifts, k)) * float(np.sqrt(2 / size))))
 
 
-def predictions(train: DataFrame, test: DataFrame, name: str, classes, seed: int = 0) -> DataFrame:
-    """(id, y_true_label, y_pred_label) of the test rows; both tables are (id, label, features)."""
+def _ready(rows: DataFrame, classes) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     from callgrid.functions.labels import code
 
-    n = train.select(F.size("features")).first()[0]
-    if name == "rbf_svm_rff":
-        train, test = (fourier_features(x, n, seed=seed) for x in (train, test))
-        n = 128
-    ready = lambda x: x.withColumns({"label_idx": code(F.col("label"), classes).cast("double"), "vector": array_to_vector("features")})
-    model = estimator(name, n, len(classes), seed).fit(balanced(ready(train)))
-    out = model.transform(ready(test))
-    return out.select("id", F.col("label").alias("y_true_label"), F.get(F.array(*[F.lit(c) for c in classes]), F.col("prediction").cast("int")).alias("y_pred_label"))
+    return rows.withColumns({"label_idx": code(F.col("label"), classes).cast("double"), "vector": array_to_vector("features")})
+
 
+def _named(out: DataFrame, classes) -> DataFrame:
+    name = F.get(F.array(*[F.lit(c) for c in classes]), F.col("prediction").cast("int"))
+    return out.select("id", F.col("label").alias("y_true_label"), name.alias("y_pred_label"))
 
-def tree_by_depth(train: DataFrame, selection: DataFrame, classes, depths=(2, 4, 6, 8), seed: int = 0) -> int:
-    """The depth with the best macro-F1 on the selection rows; ties to the shallower tree."""
+
+def pruned_tree(train: DataFrame, selection: DataFrame, classes, seed: int = 0, trials=PRUNING):
+    """(model, trials): the tree with the best macro-F1 on the selection rows; ties to the shallower, then the one with
+    fewer leaves, then the larger least gain. trials: (depth limit, least gain, score, depth, leaves) of each."""
     from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.functions import array_to_vector
 
-    from callgrid.functions.labels import code
     from callgrid.operators.metrics import metrics
 
-    ready = lambda x: x.withColumns({"label_idx": code(F.col("label"), classes).cast("double"), "vector": array_to_vector("features")})
-    scores = []
-    for d in depths:
-        model = DecisionTreeClassifier(maxDepth=d, seed=seed, featuresCol="vector", labelCol="label_idx").fit(ready(train))
-        out = model.transform(ready(selection)).select(F.col("label").alias("y_true_label"), F.get(F.array(*[F.lit(c) for c in classes]), F.col("prediction").cast("int")).alias("y_pred_label"))
-        scores.append((-metrics(out, classes).first()["macro_f1"], d))
-    return min(scores)[1]
+    ready, judged, found = balanced(_ready(train, classes)).cache(), _ready(selection, classes).cache(), []
+    for limit, gain in trials:
+        tree = DecisionTreeClassifier(maxDepth=limit, minInfoGain=gain, seed=seed, featuresCol="vector", labelCol="label_idx", predictionCol="prediction", weightCol="weight")
+        model = tree.fit(ready)
+        score = metrics(_named(model.transform(judged), classes), classes).first()["macro_f1"]
+        leaves = (model.numNodes + 1) // 2
+        found.append(((-round(score, 9), model.depth, leaves, -gain), model, (limit, gain, score, model.depth, leaves)))
+    ready.unpersist()
+    judged.unpersist()
+    return min(found, key=lambda x: x[0])[1], [x[2] for x in found]
+
+
+def predictions(train: DataFrame, test: DataFrame, name: str, classes, seed: int = 0, sizes: dict | None = None, selection: DataFrame | None = None) -> DataFrame:
+    """(id, y_true_label, y_pred_label) of the test rows; the tables are (id, label, features). ``selection`` is what the
+    pruned tree is chosen on."""
+    if name not in MODELS:
+        raise ValueError(f"unknown model {name!r}; known: {', '.join(MODELS)}")
+    if name == "knn":
+        from callgrid.operators import knn
+
+        out = knn.classify(knn.votes(knn.neighbours(train, test, 5), train, "distance"), classes)
+        return test.select("id", F.col("label").alias("y_true_label")).join(out.select(F.col("query_id").alias("id"), "y_pred_label"), "id")
+    if name == "decision_tree_pruned":
+        if selection is None:
+            raise ValueError("the pruned tree needs selection rows")
+        model, _ = pruned_tree(train, selection, classes, seed)
+        return _named(model.transform(_ready(test, classes)), classes)
+    n = train.select(F.size("features")).first()[0]
+    if name == "rbf_svm_rff":
+        train, test = (fourier_features(x, n, seed=seed) for x in (train, test))
+        n = 128
+    model = estimator(name, n, len(classes), seed, sizes).fit(balanced(_ready(train, classes)))
+    return _named(model.transform(_ready(test, classes)), classes)

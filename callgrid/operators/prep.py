@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from callgrid.functions.scalars import finite_or
 
@@ -78,19 +79,23 @@ def quantile_knots(rows: DataFrame, n: int = 101, features: str = "features") ->
     return statistics(rows, features, np.linspace(0, 1, n).tolist()).select("pos", F.col("q").alias("knots"))
 
 
+def knot_rank(x: Column, knots: Column) -> Column:
+    """Rank in [0, 1] of a value among sorted quantiles: linear between two, the middle of those it equals."""
+    n = F.size(knots) - 1
+    below, upto = F.size(F.filter(knots, lambda k: k < x)), F.size(F.filter(knots, lambda k: k <= x))
+    lo, hi = F.get(knots, below - 1), F.get(knots, below)
+    between = (below - 1 + (x - lo) / (hi - lo)) / n
+    tie = (below + upto - 1) / 2 / n
+    return F.when(x <= F.get(knots, F.lit(0)), F.lit(0.0)).when(x >= F.get(knots, n), F.lit(1.0)).when(upto > below, tie).otherwise(between)
+
+
 def quantile_uniform(rows: DataFrame, knots: DataFrame, features: str = "features", id_column: str = "id") -> DataFrame:
-    """(id, pos, x, u): rank of each component on the training quantiles in [0, 1], ties in the middle of their knots.
+    """(id, pos, x, u): rank of each component on the training quantiles.
 
     Works on (position, value) rows joined to one row per position.
     """
     c = rows.select(id_column, F.posexplode(features).alias("pos", "x")).join(knots, "pos")
-    n = F.size("knots") - 1
-    below, upto = F.size(F.filter("knots", lambda k: k < F.col("x"))), F.size(F.filter("knots", lambda k: k <= F.col("x")))
-    lo, hi = F.get("knots", below - 1), F.get("knots", below)
-    between = (below - 1 + (F.col("x") - lo) / (hi - lo)) / n
-    tie = (below + upto - 1) / 2 / n
-    u = F.when(F.col("x") <= F.get("knots", F.lit(0)), F.lit(0.0)).when(F.col("x") >= F.get("knots", n), F.lit(1.0)).when(upto > below, tie).otherwise(between)
-    return c.select(id_column, "pos", "x", u.alias("u"))
+    return c.select(id_column, "pos", "x", knot_rank(F.col("x"), F.col("knots")).alias("u"))
 
 
 def normal_quantile(u: np.ndarray) -> np.ndarray:
@@ -132,15 +137,101 @@ def yeo_johnson_lambda(x: np.ndarray) -> float:
     return (a + b) / 2
 
 
+def yeo_johnson_column(x: Column, lam: Column) -> Column:
+    up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+    down = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / (2 - lam))
+    return F.when(x >= 0, up).otherwise(down)
+
+
+def power_exponents(values: DataFrame, keys: list[str], low: float = -4.0, high: float = 6.0, rounds: int = 5, points: int = 11) -> DataFrame:
+    """(keys, lambda): the maximum-likelihood exponent of x by keys, found on grids that narrow around the best point.
+
+    A round is one aggregation of sums for ``points`` exponents; no task holds a column. The exponent is within
+    (high - low) * (2 / (points - 1)) ** rounds of the best, 0.003 by default. Constant columns have 1.
+    """
+    from callgrid.runtime import stage
+
+    values = stage(values.where("x IS NOT NULL"), "power-values")
+    best = values.groupBy(*keys).agg(F.lit(low).alias("a"), F.lit(high).alias("b"), (F.max("x") > F.min("x")).alias("varied"))
+    for _ in range(rounds):
+        step = (F.col("b") - F.col("a")) / (points - 1)
+        grid = best.where("varied").select(*keys, step.alias("step"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("a") + i * step)).alias("lam"))
+        tried = values.join(grid, keys).withColumn("y", yeo_johnson_column(F.col("x"), F.col("lam")))
+        sums = tried.groupBy(*keys, "lam", "step").agg(F.var_pop("y").alias("v"), F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("s"), F.count("*").alias("n"))
+        loss = 0.5 * F.col("n") * F.log(F.greatest("v", F.lit(1e-300))) - (F.col("lam") - 1) * F.col("s")
+        won = sums.groupBy(*keys).agg(F.min_by(F.struct("lam", "step"), F.struct(F.round(loss, 9), "lam")).alias("w"))
+        won = won.select(*keys, (F.col("w.lam") - F.col("w.step")).alias("a"), (F.col("w.lam") + F.col("w.step")).alias("b"), F.lit(True).alias("varied"))
+        best = stage(won.unionByName(best.where("NOT varied")), "power-grid")
+    return best.select(*keys, F.when(F.col("varied"), (F.col("a") + F.col("b")) / 2).otherwise(F.lit(1.0)).alias("lambda"))
+
+
 def power_lambdas(rows: DataFrame, features: str = "features") -> DataFrame:
-    """(pos, lambda): one group per position, fitted in its own task."""
+    """(pos, lambda) of every position."""
+    return power_exponents(cells(rows, features), ["pos"])
 
-    def fit(pdf):
-        import pandas as pd
 
-        return pd.DataFrame({"pos": [pdf["pos"].iloc[0]], "lambda": [yeo_johnson_lambda(pdf["x"].dropna().to_numpy())]})
+def covariances(rows: DataFrame, means: dict, by: str = "fold", features: str = "features") -> dict:
+    """Population covariance by fold, summed from per-batch matrices; a matrix per partition and fold leaves the tasks."""
 
-    return cells(rows, features).groupBy("pos").applyInPandas(fit, "pos int, lambda double")
+    def partial(batches):
+        import pyarrow as pa
+
+        total: dict = {}
+        for b in batches:
+            fold, flat = b.column(0).to_numpy(zero_copy_only=False), b.column(1).flatten().to_numpy(zero_copy_only=False)
+            x = flat.astype(float).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
+            for f in np.unique(fold).tolist():
+                y = x[fold == f] - means[f]
+                s, n = total.get(f, (0.0, 0))
+                total[f] = s + y.T @ y, n + len(y)
+        for f, (s, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([n], pa.int64()), pa.array([s.ravel().tolist()], pa.list_(pa.float64()))], names=["fold", "n", "s"])
+
+    parts = rows.select(F.col(by).cast("int"), features).mapInArrow(partial, "fold int, n long, s array<double>")
+    summed = parts.select("fold", "n", F.posexplode("s").alias("at", "v")).groupBy("fold", "at").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    whole = summed.groupBy("fold").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "v"))).alias("s")).collect()
+    return {r["fold"]: np.array([c["v"] for c in r["s"]]).reshape(len(means[r["fold"]]), -1) / max(1, r["n"]) for r in whole}
+
+
+def neighbourhood_components(rows: DataFrame, means: dict, k: int, seed: int = 0, sample: int = 1000, rounds: int = 100, rate: float = 0.05) -> dict:
+    """Axes by fold of neighbourhood component analysis: gradient ascent on the expected leave-one-out accuracy, on the
+    ``sample`` train rows of each fold with the smallest hash (a stated bound), from the principal axes on."""
+    chosen = rows.withColumn("n", F.row_number().over(W.partitionBy("fold").orderBy(F.xxhash64(F.lit(seed), "id"), "id"))).where(F.col("n") <= sample)
+    by: dict = {}
+    for r in chosen.select("fold", "label", "features").orderBy("fold", "n").collect():
+        by.setdefault(r["fold"], []).append((r["label"], r["features"]))
+    return {f: nca_axes(np.array([v for _, v in own], float) - means[f], np.array([str(y) for y, _ in own]), k, rounds, rate) for f, own in by.items()}
+
+
+def nca_axes(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 100, rate: float = 0.05) -> np.ndarray:
+    """Axes (rows) that raise the expected accuracy of a stochastic nearest neighbour; steps that lower it are halved."""
+    axes = principal_components(x.T @ x / max(1, len(x)), k)[0]
+    axes = axes / max(1e-12, float(np.sqrt(((x @ axes.T) ** 2).sum(1).mean())))
+    same = y[:, None] == y[None]
+
+    def value(a):
+        z = x @ a.T
+        d = ((z[:, None] - z[None]) ** 2).sum(2)
+        np.fill_diagonal(d, np.inf)
+        p = np.exp(-(d - d.min(1, keepdims=True)))
+        p /= p.sum(1, keepdims=True)
+        return p, (p * same).sum(1)
+
+    p, hit = value(axes)
+    for _ in range(rounds):
+        w = p * hit[:, None] - p * same
+        both = w + w.T
+        np.fill_diagonal(both, -(w.sum(0) + w.sum(1)) + np.diag(both))
+        step = 2 * axes @ (x.T @ (np.diag(w.sum(1) + w.sum(0)) - w - w.T) @ x) / len(x)
+        moved = axes + rate * step / max(1e-12, float(np.abs(step).max())) * float(np.abs(axes).max())
+        q, now = value(moved)
+        if now.sum() > hit.sum():
+            axes, p, hit = moved, q, now
+        else:
+            rate /= 2
+            if rate < 1e-4:
+                break
+    return axes
 
 
 def covariance(rows: DataFrame, stats: list, features: str = "features") -> np.ndarray:
@@ -183,38 +274,54 @@ def projected(features: Column, stats: list, components: np.ndarray) -> Column:
     return F.array(*[dot(c) for c in components])
 
 
-def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0) -> float:
-    """Nearest-neighbour estimate between a continuous and a discrete variable (Ross 2014), with seeded tiny noise."""
-    from math import log
+def digamma(n: int) -> float:
+    return -0.5772156649015329 + sum(1 / i for i in range(1, n)) if n < 50 else float(np.log(n) - 1 / (2 * n) - 1 / (12 * n * n))
 
-    digamma = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, n)) if n < 50 else log(n) - 1 / (2 * n) - 1 / (12 * n * n)
+
+def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0) -> float:
+    """Nearest-neighbour estimate between a continuous and a discrete variable (Ross 2014), with seeded tiny noise:
+    psi(N) + mean of psi(k) - psi(rows of the label) - psi(rows within the k-th distance), over labels of two rows or more."""
     x = x / (x.std() or 1.0)
     x = x + 1e-10 * max(1.0, np.abs(x).mean()) * np.random.Generator(np.random.PCG64(seed)).standard_normal(len(x))
-    used, terms, whole = 0, 0.0, np.sort(x)
+    used, total, whole = 0, 0.0, np.sort(x)
     for c in np.unique(y):
         own = np.sort(x[y == c])
         if len(own) < 2:
             continue
         kk = min(k, len(own) - 1)
-        for i, v in enumerate(own):
-            near = np.sort(np.abs(own[max(0, i - kk) : i + kk + 1] - v))[kk]
-            r = np.nextafter(near, 0)
-            m = np.searchsorted(whole, v + r, "right") - np.searchsorted(whole, v - r, "left")
-            terms += digamma(kk) - digamma(max(1, int(m))) - 0.0 + digamma(len(own)) * -1
-            used += 1
-    return max(0.0, digamma(used) + terms / used) if used else 0.0
+        # the k nearest in a sorted column lie in a window of k on either side
+        around = np.stack([np.abs(own - np.concatenate([np.full(max(0, o), np.inf), own, np.full(max(0, -o), np.inf)])[max(0, -o) : max(0, -o) + len(own)]) for o in range(-kk, kk + 1) if o])
+        radius = np.nextafter(np.partition(around, kk - 1, axis=0)[kk - 1], 0)
+        low, high = np.searchsorted(whole, own - radius, "left"), np.searchsorted(whole, own + radius, "right")
+        for ends, at, out in ((low, 0, 1), (high, -1, -1)):  # sums round: a border row is in by its own difference
+            while (far := (low < high) & (np.abs(whole[np.clip(ends + at, 0, len(whole) - 1)] - own) > radius)).any():
+                ends += out * far
+            while (near := (ends + at - out >= 0) & (ends + at - out < len(whole)) & (np.abs(whole[np.clip(ends + at - out, 0, len(whole) - 1)] - own) <= radius)).any():
+                ends -= out * near
+        total += sum(digamma(kk) - digamma(len(own)) - digamma(max(1, int(m))) for m in high - low)
+        used += len(own)
+    return max(0.0, digamma(used) + total / used) if used else 0.0
 
 
-def select_k_best(rows: DataFrame, k: int, label: str = "label", features: str = "features", seed: int = 0) -> DataFrame:
-    """(pos, score, selected): each position is scored in its own group; k is clamped to the number of positions."""
+def mutual_information_scores(values: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
+    """(keys, score) from rows (keys, x, label): each key is scored in its own group, since the estimate needs its whole
+    sorted column (a position of one feature table; 16 bytes a row)."""
+    import pyarrow as pa
 
-    def score(pdf):
-        import pandas as pd
+    kinds = {"int": pa.int32(), "bigint": pa.int64()}
+    types = dict(values.dtypes)
 
-        return pd.DataFrame({"pos": [pdf["pos"].iloc[0]], "score": [mutual_information(pdf["x"].to_numpy(float), pdf["label"].to_numpy(), seed=seed)]})
+    def score(table):
+        x, y = table.column("x").to_numpy(), np.array(table.column("label").to_pylist(), dtype=object).astype(str)
+        keep = np.isfinite(x)
+        found = mutual_information(x[keep], y[keep], seed=seed) if keep.any() else None
+        return pa.table([pa.array([table.column(k)[0].as_py()], kinds[types[k]]) for k in keys] + [pa.array([found], pa.float64())], names=[*keys, "score"])
 
-    c = rows.select(F.col(label).alias("label"), F.posexplode(features).alias("pos", "x"))
-    scored = c.groupBy("pos").applyInPandas(score, "pos int, score double")
-    from pyspark.sql import Window as W
+    return values.select(*keys, "x", "label").groupBy(*keys).applyInArrow(score, ", ".join(f"{k} {types[k]}" for k in keys) + ", score double")
 
+
+def select_k_best(rows: DataFrame, k: int, label: str = "label", features: str = "features", seed: int = 0) -> DataFrame:
+    """(pos, score, selected): k is clamped to the number of positions."""
+    values = rows.select(F.col(label).alias("label"), F.posexplode(features).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    scored = mutual_information_scores(values, ["pos"], seed)
     return scored.withColumn("selected", F.row_number().over(W.orderBy(F.desc(F.round("score", 9)), "pos")) <= max(1, k))

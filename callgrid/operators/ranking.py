@@ -46,6 +46,11 @@ def pivoted(candidates: DataFrame, models, value: str = "macro_f1") -> DataFrame
     return candidates.groupBy("feature_set").pivot("model", list(models)).agg(F.max(value)).orderBy("feature_set")
 
 
+def compared(results: DataFrame, models, values=("macro_f1", "accuracy"), prefix: str = "official_test") -> DataFrame:
+    """A row for each representation, a column for each model and value."""
+    return results.groupBy("representation").pivot("model", list(models)).agg(*[F.max(f"{prefix}_{v}").alias(v) for v in values]).orderBy("representation")
+
+
 def grid(spec: dict, seed: int = 0, limit: int | None = None) -> list[dict]:
     """All combinations of a parameter grid: cosine takes no tree search, p counts only for minkowski, repeats go, the
     order is shuffled by hash, and every feature set comes up before any comes twice."""

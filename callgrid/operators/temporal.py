@@ -47,7 +47,7 @@ def islands(frames: DataFrame, config: DetectorConfig) -> DataFrame:
 
 def frame_predictions(frames: DataFrame, label_index, noise: float = 0.1, seed: int = 0) -> DataFrame:
     """Stand-in predictions for marked frames: the class index, dropped for a hash-chosen share of frames."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "audio_path", "frame"), F.lit(10_000)) / 10_000
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "audio_path", F.col("frame").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
     return frames.withColumns({"pred": F.when(u < noise, 0).otherwise(label_index), "confidence": F.when(u < 2 * noise, 0.6).otherwise(0.9)})
 
 
@@ -96,6 +96,12 @@ def totals(summary: DataFrame) -> DataFrame:
     return s.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def run_summary(detections: DataFrame, truths: DataFrame) -> DataFrame:
+    """One row: files of either side, truths, detections."""
+    sides = truths.select("audio_path", F.lit(1).alias("t"), F.lit(0).alias("d")).unionAll(detections.select("audio_path", F.lit(0), F.lit(1)))
+    return sides.agg(F.count_distinct("audio_path").alias("files"), F.sum("t").alias("truths"), F.sum("d").alias("detections"))
+
+
 REPORT_THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 

@@ -221,11 +221,6 @@ def q30_majority_baseline(spark, d):
     return metrics.majority_baseline(T.predictions(spark, d), T.VECTOR_CLASSES).select("id", "y_true_label", "y_pred_label")
 
 
-@query()
-def q31_permutation_baseline(spark, d):
-    return metrics.permutation_baseline(T.predictions(spark, d), "id").select("id", "y_true_label", "y_pred_label")
-
-
 @query(f"""WITH {T.PREDICTIONS_SQL}, s AS (SELECT y_pred_label AS label, round(pred_confidence, 2) AS score, (y_true_label = y_pred_label)::INT AS pos FROM predictions),
 b AS (SELECT label, score, sum(pos) AS tp_here, count(*) AS n_here FROM s GROUP BY ALL), c AS (SELECT *, sum(tp_here) OVER w AS tp, sum(n_here) OVER w AS n, sum(tp_here) OVER (PARTITION BY label) AS total FROM b WINDOW w AS (PARTITION BY label ORDER BY score DESC))
 SELECT label, score, round(tp / n, 6) AS precision, round(tp / total, 6) AS recall, round(tp / n * tp_here / total, 6) AS ap_part FROM c""")
@@ -346,12 +341,6 @@ def q48_variance_threshold(spark, d):
     return rounded(stats.select("pos", (F.col("std") * F.col("std")).alias("variance"), F.col("pos").isin(*positions).alias("kept")))
 
 
-@query()
-def q49_quantile_uniform(spark, d):
-    v = T.vectors(spark, d)
-    return rounded(prep.quantile_uniform(v, prep.quantile_knots(v.where("NOT is_test"))))
-
-
 @query()
 def q50_pca_topk(spark, d):
     v = T.vectors(spark, d)
@@ -437,11 +426,6 @@ def q60_logo_folds(spark, d):
     return folds.leave_one_group_out(T.vectors(spark, d).select("id", "domain"), "domain")
 
 
-@query()
-def q61_group_folds(spark, d):
-    return folds.group_folds(T.vectors(spark, d).select("id", "domain"), 3, "domain")
-
-
 @query(f"WITH {T.PREDICTIONS_SQL}, s AS (SELECT dataset, y_true_label, avg((y_true_label = y_pred_label)::INT) AS accuracy FROM predictions GROUP BY ALL) SELECT dataset, round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6) AS accuracy_std, round(min(accuracy), 6) AS accuracy_min FROM s GROUP BY dataset")
 def q62_cv_scores(spark, d):
     s = T.predictions(spark, d).groupBy("dataset", "y_true_label").agg(F.avg((F.col("y_true_label") == F.col("y_pred_label")).cast("double")).alias("accuracy"))
@@ -623,13 +607,6 @@ def q87_kmeans_composition(spark, d):
     return clustering.composition(clustering.k_means(T.vectors(spark, d), 10, seeds=2))
 
 
-@query()
-def q88_dbscan(spark, d):
-    from callgrid.operators import clustering
-
-    return clustering.dbscan(T.vectors(spark, d), 1.0, 5)
-
-
 @query(f"WITH {T.PREDICTIONS_SQL}, c AS (SELECT y_pred_label AS cluster, y_true_label AS label, count(*) AS n FROM predictions GROUP BY ALL), m AS (SELECT n, sum(n) OVER (PARTITION BY cluster) AS a, sum(n) OVER (PARTITION BY label) AS b, sum(n) OVER () AS t FROM c), s AS (SELECT sum(-n / t * ln(b / t)) AS hl, sum(-n / t * ln(a / t)) AS hc, sum(n / t * ln(n * t / (a * b))) AS mi, sum(n * (n - 1) / 2) AS both_, sum(n / a * a * (a - 1) / 2) AS sc, sum(n / b * b * (b - 1) / 2) AS sl, max(t * (t - 1) / 2) AS pairs FROM m) SELECT round(mi / hl, 6) AS homogeneity, round(mi / hc, 6) AS completeness, round(2 * mi / (hl + hc), 6) AS nmi, round((both_ - sc * sl / pairs) / ((sc + sl) / 2 - sc * sl / pairs), 6) AS ari, 0.0::DOUBLE AS noise_fraction FROM s")
 def q89_contingency_measures(spark, d):
     from callgrid.operators import clustering
@@ -640,13 +617,13 @@ def q89_contingency_measures(spark, d):
 
 @query()
 def q90_baseline_models(spark, d):
-    from functools import reduce
+    """All baselines but boosting, whose hundred rounds for each of ten classes suit no interactive query; the forest is
+    smaller than its default (README)."""
+    from callgrid.plans import baselines
 
-    from callgrid.operators import models
-
-    v = T.vectors(spark, d)
-    out = [models.predictions(v.where("NOT is_test"), v.where("is_test"), m, T.VECTOR_CLASSES).withColumn("model", F.lit(m)) for m in ("logistic_regression", "gaussian_nb", "random_forest")]
-    return rounded(metrics.metrics(reduce(DataFrame.unionAll, out), T.VECTOR_CLASSES, ["model"]))
+    names = tuple(m for m in baselines.models.MODELS if m != "gradient_boosting")
+    out = baselines.compare({"raw": T.vectors(spark, d)}, T.VECTOR_CLASSES, names, sizes={"trees": 30, "depth": 10, "lr_iterations": 200, "mlp_iterations": 100})
+    return rounded(out["results"].drop("selection_method"))
 
 
 def sounding(spark, d):
@@ -680,12 +657,6 @@ def q100_windowed_counts(spark, d):
     return rounded(out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")}), 3)
 
 
-@query(f"WITH {_near_sql('euclidean')}, r AS (SELECT query_id, avg(distance) AS m, any_value(q.label) = mode(v.label) AS same FROM near JOIN vectors v ON v.id = neighbor_id JOIN vectors q ON q.id = query_id GROUP BY query_id) SELECT query_id % 2 = 0 AS correct, count(*) AS n, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.5), 6) AS median, round(quantile_cont(m, 0.9), 6) AS p90 FROM r GROUP BY 1")
-def q101_neighbor_distance_stats(spark, d):
-    report = knn.neighbour_report(near(spark, d), T.vectors(spark, d)).withColumn("correct", F.col("query_id") % 2 == 0)
-    return rounded(knn.distance_stats(report))
-
-
 @query(f"WITH {T.CHECKED_SQL} SELECT 'label' AS \"column\", count(DISTINCT label) + max((label IS NULL)::INT) AS n_distinct FROM checked UNION ALL SELECT 'dataset', count(DISTINCT dataset) + max((dataset IS NULL)::INT) FROM checked")
 def q102_distinct_with_null(spark, d):
     return profile.distinct_with_null(checked(spark, d), "label", "dataset")

@@ -10,6 +10,3 @@ MANIFEST = (
     "valid_event", "quality_status", "source_annotation", "source_row",
 )
 ISSUES = ("split", "dataset", "filename", "label_raw", "label", "source", "row", "issue", "start_seconds", "end_seconds", "audio_duration_seconds", "real_duration_seconds")
-DETECTION = "audio_path string, start double, end double, label string, confidence double"
-OPTIONAL_GROUPS = ("recording_id", "session_id", "site", "domain", "audio_id", "annotator")
-EVENT_METADATA = ("split", "dataset", "filename", "audio_path", "label", "source_row", "start_seconds", "end_seconds", "clip_start_seconds", "clip_end_seconds", "low_frequency", "high_frequency", "real_duration_seconds")

@@ -34,10 +34,18 @@ def write_json(value, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small table as Markdown: floats with four digits, missing cells empty."""
+    """A small table as Markdown: floats with four digits, missing cells empty. Larger tables are an error."""
     cell = lambda v: "" if v is None or v != v else f"{v:.4f}" if isinstance(v, float) else str(v)
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write the table with Spark")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in df.limit(most).collect()]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def export_matrix(df: DataFrame, path: str, names: list[str], metadata: dict) -> None:
@@ -49,8 +57,7 @@ def export_matrix(df: DataFrame, path: str, names: list[str], metadata: dict) ->
 def cached(spark: SparkSession, root: str, key, make) -> DataFrame:
     """A table kept under the hash of what it depends on; made once."""
     path = f"{root.rstrip('/')}/{stable_hash(key)}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -66,10 +73,28 @@ def clear_cache(spark: SparkSession, root: str, except_current: bool = False) ->
     remove(spark, root)
 
 
+def run_table(spark: SparkSession, runs_root: str, score: str = "macro_f1") -> DataFrame:
+    """A row for each run with a metrics file: (run, score, has_predictions), best first, runs without a score last."""
+    runs = spark.read.option("multiLine", True).schema(f"{score} double").json(f"{runs_root}/*/best_metrics.json")
+    run = lambda c: F.regexp_extract(c, "(.*)/[^/]*$", 1)
+    runs = runs.select(run(F.col("_metadata.file_path")).alias("run"), score)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*predictions*").load(runs_root)
+    having = files.select(run(F.col("_metadata.file_path")).alias("run")).distinct().withColumn("has_predictions", F.lit(True))
+    return runs.join(having, "run", "left").na.fill(False, ["has_predictions"]).orderBy(F.desc_nulls_last(score), "run")
+
+
 def latest_run(spark: SparkSession, runs_root: str, score: str = "macro_f1") -> str | None:
-    """The run directory with the best score among those with a metrics file."""
-    runs = spark.read.option("multiLine", True).json(f"{runs_root}/*/best_metrics.json").withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), "(.*)/[^/]*$", 1))
-    return runs.agg(F.max_by("run", F.struct(score, "run"))).first()[0]
+    """The run directory with the best score among those with a metrics file and predictions."""
+    return run_table(spark, runs_root, score).where("has_predictions").agg(F.max_by("run", F.struct(F.coalesce(F.col(score), F.lit(-1.0)), "run"))).first()[0]
+
+
+def last_report(spark: SparkSession, root: str, name: str) -> str:
+    """The last report of a name in the run directories, by path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
+    found = files.agg(F.max("path")).first()[0]
+    if found is None:
+        raise FileNotFoundError(f"no {name} under {root}")
+    return found
 
 
 def readme_score(text: F.Column):

@@ -6,6 +6,7 @@ PCM and 32 and 64 bit floats are read. A file that is no WAV gives nulls and the
 
 from __future__ import annotations
 
+import io
 import struct
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrid.runtime import by_value
+from callgrid.runtime import by_value, slices
 
 by_value(__name__)
 
@@ -21,24 +22,31 @@ HEADER = "audio_path string, rate int, channels int, frames long, duration doubl
 WAVE = "audio_path string, rate int, samples array<float>, error string"
 
 
-def header(data: bytes) -> tuple[int, int, int, int, int, int]:
-    """(format, channels, rate, bits, offset of the samples, their bytes); the format of an extensible header is its subtype."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+def read_header(f) -> tuple[int, int, int, int, int, int]:
+    """(format, channels, rate, bits, offset of the samples, their bytes) of an open file, from chunk to chunk: only chunk
+    headers and the format are read, whatever lies before the samples. An extensible header's format is its subtype."""
+    if (start := f.read(12))[:4] != b"RIFF" or start[8:12] != b"WAVE":
         raise ValueError("not a RIFF WAVE file")
     at, kind = 12, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+    while len(head := f.read(8)) == 8:
+        name, size = head[:4], struct.unpack("<I", head[4:])[0]
         if name == b"fmt ":
-            tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, at + 8)
-            kind = (struct.unpack_from("<H", data, at + 32)[0] if tag == 0xFFFE else tag, channels, rate, bits)
+            body = f.read(min(size, 40))
+            tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", body)
+            kind = (struct.unpack_from("<H", body, 24)[0] if tag == 0xFFFE else tag, channels, rate, bits)
         elif name == b"data":
             if kind is None:
                 raise ValueError("data before format")
             return *kind, at + 8, size
         at += 8 + size + size % 2
+        f.seek(at)
     raise ValueError("no data chunk")
 
 
+def header(data: bytes) -> tuple[int, int, int, int, int, int]:
+    return read_header(io.BytesIO(data))
+
+
 def decode(data: bytes) -> tuple[np.ndarray, int]:
     """(frames x channels float32, rate)."""
     tag, channels, rate, bits, at, size = header(data)
@@ -69,26 +77,44 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
-    """(audio_path, bytes): contents are not read."""
-    return _files(spark, path, glob).select(F.col("path").alias("audio_path"), F.col("length").alias("bytes"))
+    """(audio_path, bytes, modified): contents are not read."""
+    return _files(spark, path, glob).select(F.col("path").alias("audio_path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+#: Stores whose files tasks open by themselves, to read headers only.
+SEEKABLE = ("file", "hdfs", "s3", "s3a", "gs", "abfss")
 
 
 def durations(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
-    """HEADER of every file: only the header's bytes go to Python."""
-    files = _files(spark, path, glob).select("path", F.substring("content", 1, 4096).alias("head"), F.lit(True).alias("x"))
+    """HEADER of every file. In stores that tasks can open, only headers are read; from others Spark reads whole files."""
+    found = listing(spark, path, glob)
+    first = found.select("audio_path").first()
+    seek = first is not None and first[0].partition(":")[0] in SEEKABLE
+    files = found.select("audio_path") if seek else _files(spark, path, glob).select("path", "content")
+    names, kinds = [x.split()[0] for x in HEADER.split(", ")], (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.string())
+
+    def opened(p, content):
+        if not seek:
+            return io.BytesIO(content)
+        from pyarrow import fs
+
+        scheme, _, rest = p.partition(":")
+        system, name = fs.FileSystem.from_uri(f"file:///{rest.lstrip('/')}" if scheme == "file" else p.replace("s3a:", "s3:", 1))
+        return system.open_input_file(name)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 64):
             rows = []
-            for p, head in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for p, *content in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 try:
-                    _, channels, rate, bits, _, size = header(head)
+                    with opened(p, content[0] if content else None) as f:
+                        _, channels, rate, bits, _, size = read_header(f)
                     n = size // (channels * bits // 8)
                     rows.append((p, rate, channels, n, n / rate, None))
                 except (ValueError, struct.error, ZeroDivisionError) as e:
                     rows.append((p, None, None, None, None, str(e)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.string()), strict=True)], names=[x.split()[0] for x in HEADER.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return files.mapInArrow(run, HEADER)
 
@@ -98,13 +124,15 @@ def waves(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
     files = _files(spark, path, glob).select("path", "content")
 
     def run(batches):
-        for b in batches:
-            for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    x, rate = decode(data)
-                    row = (p, rate, x.mean(1).tolist(), None)
-                except (ValueError, struct.error) as e:
-                    row = (p, None, None, str(e))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.list_(pa.float32()), pa.string()), strict=True)], names=["audio_path", "rate", "samples", "error"])
+        for b in slices(batches, 1):
+            p, data = b.column(0)[0].as_py(), b.column(1)[0].as_py()
+            x, rate, error = None, None, None
+            try:
+                x, rate = decode(data)
+            except (ValueError, struct.error) as e:
+                error = str(e)
+            mono = pa.array(x.mean(1).astype(np.float32)) if x is not None else pa.array([], pa.float32())
+            samples = pa.ListArray.from_arrays(pa.array([0, len(mono)], pa.int32()), mono) if x is not None else pa.array([None], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([rate], pa.int32()), samples, pa.array([error], pa.string())], names=["audio_path", "rate", "samples", "error"])
 
     return files.mapInArrow(run, WAVE)

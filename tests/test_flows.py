@@ -20,8 +20,10 @@ def test_submission_reports(spark):
 
 
 def test_failing_candidate_is_a_row(spark):
-    got = pipelines.evaluate(table(spark).drop("is_test"), ["c0", "c1", "c2"], {"scaler": "none such"}, 0).first()
-    assert got["status"].startswith("error") and got["random_accuracy"] is None
+    rows = pipelines.evaluate(table(spark).drop("is_test"), ["c0", "c1", "c2"], [{"scaler": "none such"}, {"k": 1}, {"k": 3}])
+    got = {r["candidate"]: r for r in pipelines.results(spark, rows).collect()}
+    assert got[0]["status"] == "error" and "none such" in got[0]["error"] and got[0]["random_accuracy"] is None
+    assert got[1]["status"] == got[2]["status"] == "ok" and got[2]["domain_macro_f1"] > 0.6
 
 
 def test_images(spark, tmp_path):

@@ -3,6 +3,7 @@
 import pytest
 from conftest import TESTDATA
 
+from callgrid.plans import report_queries  # noqa: F401
 from callgrid.plans.queries import ORACLES, QUERIES
 
 
