@@ -100,11 +100,41 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def steady_memory() -> None:
+    """Have this worker process give blocks of a megabyte or more back to the system as soon as they are free. By default
+    the C library keeps ever larger ones for itself, and Spark's workers live on from task to task."""
+
+    def tune():
+        import ctypes
+
+        with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own ways
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # -3: M_MMAP_THRESHOLD
+        return True
+
+    per_process("steady_memory", tune)
+
+
+def trimmed() -> None:
+    """Give free memory of this worker process back to the system, at the end of a task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, rows: int = 256):
-    """The batches in pieces of few rows, so that only a piece is held as Python objects at a time."""
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
+    """The batches in pieces of few rows, so that only a piece is held as Python objects at a time; at the end of the task
+    its memory goes back to the system."""
+    steady_memory()
+    try:
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                yield b.slice(lo, rows)
+    finally:
+        trimmed()
 
 
 by_value(__name__)
