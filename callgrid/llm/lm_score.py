@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 
 from callgrid.llm.quality import held_out
 from callgrid.llm.text import WordHashes
-from callgrid.runtime import by_value, shuffles_dropped, slices, stage
+from callgrid.runtime import by_value, shuffles_dropped, slices, stage, steady_memory
 
 by_value(__name__)
 
-CHUNK, FAN, SPARE, CONTEXT_BUCKETS, EM_ROUNDS = 1_000_000, 256, 20, 24, 200
+CHUNK, FAN, SPARE, CONTEXT_BUCKETS, EM_ROUNDS = 500_000, 512, 20, 24, 200
 #: EM's histogram: octave bins of trigram to base and bigram to base, octave bins of the word's count.
 X_BINS, Y_BINS = 48, 16
 END = 0x9E3779B97F4A7C15
@@ -192,6 +192,7 @@ ANSWERS = "kind int, range long, owner string, counts binary, total long, types
 
 def _merged(table: pa.Table):
     """The hashes of each block, all distinct ones, their summed counts, and where each block's hashes are in them."""
+    steady_memory()
     keys = [unpack_sorted(k.as_py()) for k in table.column("keys")]
     counts = [unpack_counts(c.as_py()) for c in table.column("counts")]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -243,6 +244,7 @@ def answered(blocks: DataFrame, owners: int, bits: int, done: int, fan: int = FA
 def _tokens(table: pa.Table, bits: int):
     """Of a chunk with the answers to its questions: docs table, sizes, and per token the counts of its word, context,
     pair, pair before it (0 for a first token) and triple."""
+    steady_memory()
     d = table.to_pydict()
     own = d["kind"].index(0)
     docs, sizes, words, at = _sequence({c: d[c][own] for c in ("docs", "keys", "at")})
