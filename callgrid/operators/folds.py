@@ -88,13 +88,22 @@ def hold_out(rows: DataFrame, share: float = 0.2, label: str = "label", id_colum
 
 
 def selection_split(rows: DataFrame, share: float = 0.25, group: str | None = None, label: str = "label", id_column: str = "id", seed: int = 0) -> tuple[DataFrame, str]:
-    """(rows with column held_out, how): whole groups if there are several, else stratified, else at random."""
-    u = lambda c: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(c).cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
-    if group and rows.select(group).distinct().count() > 1:
-        return rows.withColumn("held_out", u(group) < share), "group_shuffle"
+    """(rows with column held_out, how): a share of the groups, one at least and not all, if there are several and both
+    sides have two labels; else a stratified share; else rows at random."""
+    if group:
+        names = rows.select(group).distinct()
+        n = names.count()
+        if n > 1:
+            k = max(1, min(n - 1, round(share * n)))
+            chosen = names.orderBy(*shuffled(group, seed)).limit(k).select(F.col(group).alias("__group"), F.lit(True).alias("held_out"))
+            out = rows.join(chosen, F.col(group).eqNullSafe(F.col("__group")), "left").drop("__group").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+            sides = out.groupBy("held_out").agg(F.count_distinct(label).alias("labels")).agg(F.min("labels"), F.count("*")).first()
+            if sides[0] is not None and sides[0] >= 2 and sides[1] == 2:
+                return out, "group_shuffle"
     if (rows.groupBy(label).count().agg(F.min("count")).first()[0] or 0) >= 2:
         return hold_out(rows, share, label, id_column, seed), "stratified_shuffle"
-    return rows.withColumn("held_out", u(id_column) < share), "random"
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
+    return rows.withColumn("held_out", u < share), "random"
 
 
 def score_summary(scores: DataFrame, keys, *columns: str) -> DataFrame:
