@@ -58,7 +58,8 @@ def bucket_counts(data: bytes) -> np.ndarray:
 def fingerprint(data: bytes) -> str:
     """Digest as hex: length code, ratio nibbles, then two bits a bucket. Equal bytes give equal digests."""
     counts = bucket_counts(data)
-    q1, q2, q3 = (int(x) for x in np.partition(counts, (BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1))[[BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]])
+    q1, q2, q3 = (int(x) for x in np.partition(counts, (BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1))[[BUCKETS // 4 - 1, BUCKETS // 2 - 1,
+        3 * BUCKETS // 4 - 1]])
     codes = (counts > q1).astype(np.uint8) + (counts > q2) + (counts > q3)
     body = np.packbits(((codes[:, None] >> np.array([1, 0], np.uint8)) & 1).ravel().astype(np.uint8)).tobytes()
     size = min(255, round(12 * math.log2(1 + len(data))) if data else 0)
@@ -135,9 +136,11 @@ def fingerprints_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str =
     out = stage(rows.mapInArrow(_stream, STREAM), "fingerprints")
     firsts, lasts = out.where("kind = 'first'"), out.where("kind = 'last'")
     numbers = firsts.select("part")  # one small integer per partition
-    links = numbers.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("next_part"))
+    links = numbers.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")),
+        F.min("part").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("next_part"))
     heads = firsts.select(F.col("part").alias("next_part"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
-    ends = lasts.select("part", "doc_id", "text", "fingerprint").join(links, "part").join(heads, "next_part").select("doc_id", "text", "fingerprint", "next_text", "next_print")
+    ends = lasts.select("part", "doc_id", "text", "fingerprint").join(links, "part").join(heads, "next_part").select("doc_id", "text", "fingerprint",
+        "next_text", "next_print")
     return out.where("kind = 'done'").select(*NAMES).unionByName(ends.mapInArrow(_borders, RESULT))
 
 

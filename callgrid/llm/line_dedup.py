@@ -43,7 +43,8 @@ def text_lines(text: Column) -> Column:
 def eligible_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
     """One row (id, tx, pos, h1, h2) per line that is long enough."""
     keys = F.transform(text_lines(F.col(text)), lambda line: lower_ascii(F.btrim(line, F.lit(BLANKS))))
-    hashed = F.transform(keys, lambda k, i: F.when(F.char_length(k) >= min_chars, F.struct(i.alias("pos"), F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("second"), k).alias("h2"))))
+    hashed = F.transform(keys, lambda k, i: F.when(F.char_length(k) >= min_chars, F.struct(i.alias("pos"), F.xxhash64(k).alias("h1"),
+        F.xxhash64(F.lit("second"), k).alias("h2"))))
     lines = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tx"), F.explode(F.array_compact(hashed)).alias("x"))
     return lines.select("id", "tx", "x.pos", "x.h1", "x.h2")
 
@@ -129,7 +130,8 @@ def shared_lines(spark: SparkSession, lines: DataFrame, min_docs: int, batches:
         runs.drop()
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT, lines: str = "__lines", kept: str = "__kept") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int
+    | None = None, fanout: int = FANOUT, lines: str = "__lines", kept: str = "__kept") -> DataFrame:
     """All rows and columns of ``docs`` with two more: the number of lines before, and the 0-based numbers of the lines that
     stay."""
     docs = docs.drop(lines, kept)

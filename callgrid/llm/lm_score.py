@@ -169,7 +169,8 @@ def _ranges(kind: int, number: int, owner: str, keys: np.ndarray, counts: np.nda
     low = (number << (bits - done)) if done else 0
     cuts = [low + (k << (bits - done - step)) for k in range(1, fan)]
     of = [0, *np.searchsorted(keys, np.array(cuts, np.uint64)).tolist(), len(keys)]
-    return [(kind, number * fan + k, owner, pack_sorted(keys[lo:hi]), pack_counts(counts[lo:hi])) for k, (lo, hi) in enumerate(zip(of[:-1], of[1:], strict=True)) if hi > lo]
+    return [(kind, number * fan + k, owner, pack_sorted(keys[lo:hi]), pack_counts(counts[lo:hi])) for k, (lo, hi) in enumerate(zip(of[:-1], of[1:],
+        strict=True)) if hi > lo]
 
 
 def asked(chunks: DataFrame, bits: int, fan: int) -> DataFrame:
@@ -181,7 +182,8 @@ def asked(chunks: DataFrame, bits: int, fan: int) -> DataFrame:
             docs, sizes, words, at = _sequence(row)
             training = np.repeat(~docs.column("held").to_numpy(zero_copy_only=False), sizes)
             _, first, pairs, pair_at, triples, triple_at = ngram_views(words, at, sizes, bits)
-            for kind, keys, of, width in ((WORDS, words, at[training], 64), (PAIRS, pairs, pair_at[training], bits), (TRIPLES, triples, triple_at[training & ~first], bits)):
+            for kind, keys, of, width in ((WORDS, words, at[training], 64), (PAIRS, pairs, pair_at[training], bits), (TRIPLES, triples,
+                triple_at[training & ~first], bits)):
                 yield _batch(_ranges(kind, 0, row["chunk"], keys, np.bincount(of, minlength=len(keys)), width, 0, fan), BLOCKS)
 
     return chunks.mapInArrow(run, BLOCKS)
@@ -203,7 +205,8 @@ def _merged(table: pa.Table):
 def _handed(table: pa.Table, sizes: list, totals: np.ndarray, at: np.ndarray) -> list:
     """ANSWERS rows of the blocks of a table."""
     kind, number, ends = table.column("kind")[0].as_py(), table.column("range")[0].as_py(), np.cumsum([0, *sizes])
-    return [(kind, number, o, pack_counts(totals[at[lo:hi]]), None, None) for o, lo, hi in zip(table.column("owner").to_pylist(), ends[:-1], ends[1:], strict=True)]
+    return [(kind, number, o, pack_counts(totals[at[lo:hi]]), None, None) for o, lo, hi in zip(table.column("owner").to_pylist(), ends[:-1], ends[1:],
+        strict=True)]
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -236,7 +239,8 @@ def answered(blocks: DataFrame, owners: int, bits: int, done: int, fan: int = FA
         return pa.Table.from_batches([_batch(_handed(table, sizes, np.concatenate([unpack_counts(c) for _, c in parts]), at), ANSWERS)])
 
     found = stage(answered(blocks.groupBy(*key).applyInArrow(ask, BLOCKS), groups, bits, done + step, fan), "lm-party-answers")
-    parts = found.where("kind > 0").select("kind", F.expr(f"`range` div {fan}L").alias("range"), F.col("owner").cast("long").alias("party"), F.col("range").alias("part"), "counts")
+    parts = found.where("kind > 0").select("kind", F.expr(f"`range` div {fan}L").alias("range"), F.col("owner").cast("long").alias("party"),
+        F.col("range").alias("part"), "counts")
     out = blocks.groupBy(*key).cogroup(parts.groupBy(*key)).applyInArrow(hand_out, ANSWERS)
     return out.unionAll(found.where("kind = 0"))
 
@@ -250,7 +254,8 @@ def _tokens(table: pa.Table, bits: int):
     docs, sizes, words, at = _sequence({c: d[c][own] for c in ("docs", "keys", "at")})
     before, first, _, pair_at, _, triple_at = ngram_views(words, at, sizes, bits)
     c1, c2, c3 = (
-        np.concatenate([np.zeros(0, np.int64), *(unpack_counts(c) for _, c in sorted((r, c) for k, r, c in zip(d["kind"], d["range"], d["counts"], strict=True) if k == kind))]) for kind in (WORDS, PAIRS, TRIPLES)
+        np.concatenate([np.zeros(0, np.int64), *(unpack_counts(c) for _, c in sorted((r, c) for k, r, c in zip(d["kind"], d["range"], d["counts"],
+            strict=True) if k == kind))]) for kind in (WORDS, PAIRS, TRIPLES)
     )
     pair = c2[pair_at]
     context, triple = np.zeros_like(pair), np.zeros_like(pair)
@@ -291,7 +296,8 @@ def held_out_cells(table: pa.Table, bits: int, n: int, v: int) -> pa.Table:
     cell = ((context_bucket(cv, cuv) * X_BINS + bins[0]) * X_BINS + bins[1]) * Y_BINS + octave(cw, Y_BINS)
     some, of = np.unique(cell, return_inverse=True)
     sums = [np.bincount(of, weights=x, minlength=len(some)) for x in (None, *logs)]
-    return pa.table([pa.array(some, pa.int64()), pa.array(sums[0].astype(np.int64)), *(pa.array(x.astype(np.float64)) for x in sums[1:])], names=[x.split()[0] for x in CELLS.split(", ")])
+    return pa.table([pa.array(some, pa.int64()), pa.array(sums[0].astype(np.int64)), *(pa.array(x.astype(np.float64)) for x in sums[1:])],
+        names=[x.split()[0] for x in CELLS.split(", ")])
 
 
 def em(weight: np.ndarray, ratio: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
@@ -334,7 +340,8 @@ def scored(table: pa.Table, bits: int, weights: np.ndarray, n: int, v: int) -> p
     logs = np.log10(sum(w[:, i] * f[i] for i in range(4)))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     known, base, score = (np.add.reduceat(x, starts) for x in ((cw > 0).astype(np.int64), np.log10(f[3]), logs))
-    columns = [docs.column("doc_id").combine_chunks(), docs.column("held").combine_chunks(), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n)), pa.array(base), pa.array(score)]
+    columns = [docs.column("doc_id").combine_chunks(), docs.column("held").combine_chunks(), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes),
+        n)), pa.array(base), pa.array(score)]
     return pa.table(columns, names=[x.split()[0] for x in SCORES.split(", ")])
 
 
@@ -349,7 +356,8 @@ def score_lm(docs: DataFrame, held: str = "held_out", doc_id: str = "doc_id", te
     n, v = (int(x or 0) for x in answers.where("kind = 0").agg(F.sum("total"), F.sum("types")).first())
     none = F.lit(None).cast("binary")
     own = chunks.select(F.lit(0).alias("kind"), "chunk", F.lit(-1).cast("long").alias("range"), "docs", "keys", "at", none.alias("counts"))
-    replies = answers.where("kind > 0").select("kind", F.col("owner").alias("chunk"), "range", none.alias("docs"), none.alias("keys"), none.alias("at"), "counts")
+    replies = answers.where("kind > 0").select("kind", F.col("owner").alias("chunk"), "range", none.alias("docs"), none.alias("keys"), none.alias("at"),
+        "counts")
     whole = own.unionAll(replies).groupBy("chunk")
     weights = np.array([[0.0, 0.0, 0.0, 1.0]] * (2 * CONTEXT_BUCKETS))
     if n:

@@ -75,7 +75,8 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     A node's vector is kept in parts of sources. Each split draws first how much of each part goes left, then how much of
     each source within its part, which is the same distribution as drawing from all sources at once.
     """
-    parts = quotas.groupBy(F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("string").alias("key")).agg(F.sort_array(F.collect_list(F.struct("key", F.col("quota").alias("q")))).alias("quotas"))
+    parts = quotas.groupBy(F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("string").alias("key")).agg(F.sort_array(F.collect_list(F.struct("key",
+        F.col("quota").alias("q")))).alias("quotas"))
     nodes = parts.agg(F.sort_array(F.collect_list(F.struct("key", "quotas"))).alias("parts")).select(F.lit(0).cast("long").alias("node"), "parts")
     level = 0
     while 2**level < shards:
@@ -125,9 +126,11 @@ def mix_plan(rows: DataFrame, weights=WEIGHTS, limit: int = LIMIT, shards: int |
     passes = stage(sizes, "mix-blocks").withColumn("pass", F.explode(F.expr(f"sequence(0, {limit - 1})")))
     passes = passes.withColumn("due", F.expr("greatest(0L, least(source_size, cast(round(target) AS bigint) - pass * source_size))")).where("due > 0")
     up_to = W.partitionBy("key", "pass").orderBy("place", "block").rowsBetween(W.unboundedPreceding, -1)
-    passes = passes.withColumn("place", F.xxhash64(F.lit(seed + 2), "key", "pass", "block")).withColumn("before", F.coalesce(F.sum("words").over(up_to), F.lit(0)))
+    passes = passes.withColumn("place", F.xxhash64(F.lit(seed + 2), "key", "pass", "block")).withColumn("before", F.coalesce(F.sum("words").over(up_to),
+        F.lit(0)))
     due = passes.withColumn("take", F.expr("least(words, due - before)")).where("take > 0")
-    due = stage(due.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("pass", "place", "block")).cast("long")).select("key", "block", "pass", "take", "k"), "mix-due")
+    due = stage(due.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("pass", "place", "block")).cast("long")).select("key", "block",
+        "pass", "take", "k"), "mix-due")
     shares = split_quotas(due.groupBy("key").agg(F.count("*").alias("quota")), shards, seed)
     end = F.sum("quota").over(W.partitionBy("key").orderBy("shard"))
     drawn = shares.withColumn("end", end).where("quota > 0").select("key", "shard", F.explode(F.expr("sequence(end - quota + 1, end)")).alias("k"))

@@ -179,7 +179,8 @@ def _stretches(batches, columns: int):
     """(region, node, short signatures) of the nodes of each batch."""
     for b in slices(batches, 4096):
         if b.num_rows:
-            yield b.column("region").to_numpy(), b.column("node").to_numpy(), np.frombuffer(b"".join(b.column("short").to_pylist()), np.uint8).reshape(b.num_rows, columns)
+            yield b.column("region").to_numpy(), b.column("node").to_numpy(), np.frombuffer(b"".join(b.column("short").to_pylist()),
+                np.uint8).reshape(b.num_rows, columns)
 
 
 def _agreeing(node, short, meetings):
@@ -279,17 +280,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_hash(doc_id, text).alias("row_hash"), F.col(text).alias("text"))
     signed = stage(plain.mapInArrow(_sign, SIGNED), "near-signed")
-    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("row_hash").alias("row_hash"), F.min("sig").alias("sig"))
+    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("row_hash").alias("row_hash"),
+        F.min("sig").alias("sig"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")  # fixed by the staging
     rows = stage(tree_rows(classes, shared_regions(classes)), "near-rows")
     pairs = stage(candidate_pairs(rows), "near-pairs")
     labels = confirmed_components(plain, classes, rows, pairs)
     named = classes.select("set_key", "node", "rep").join(labels, "node", "left")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("rep").alias("least"))
-    of_class = named.join(least, "label", "left").select("set_key", F.coalesce("label", "node").alias("component"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("least")).alias("of_class"))
+    of_class = named.join(least, "label", "left").select("set_key", F.coalesce("label", "node").alias("component"), F.when(F.col("label").isNull(),
+        F.col("rep")).otherwise(F.col("least")).alias("of_class"))
     out = signed.select("doc_id", "row_hash", "n_shingles", "set_key").join(stage(of_class, "near-components"), "set_key", "left")
     component_id = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("of_class"))
-    return out.select("doc_id", "row_hash", "n_shingles", "component", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+    return out.select("doc_id", "row_hash", "n_shingles", "component", component_id.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component_id).alias("kept"))
 
 
 def shared_regions(classes: DataFrame) -> DataFrame:
@@ -301,7 +305,8 @@ def shared_regions(classes: DataFrame) -> DataFrame:
 
 def tree_rows(classes: DataFrame, met: DataFrame) -> DataFrame:
     """TREE_ROWS: a row for each node and shared region of it."""
-    wanted = met.groupBy("node").agg(F.collect_list("region").alias("regions"), F.collect_list(F.when(F.col("large"), F.col("region"))).alias("larger"))  # at most TREES each
+    wanted = met.groupBy("node").agg(F.collect_list("region").alias("regions"), F.collect_list(F.when(F.col("large"),
+        F.col("region"))).alias("larger"))  # at most TREES each
     return classes.select("node", "sig").join(wanted, "node").select("node", "sig", "regions", "larger").mapInArrow(_tree_rows, TREE_ROWS)
 
 
@@ -381,14 +386,16 @@ def region_blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
     large = rows.where("homes IS NOT NULL").select("region", "node", "short", "homes").join(labels.select("node", "label"), "node", "left")
     large = stage(large.select("region", "node", F.coalesce("label", "node").alias("label"), "short", "homes"), "near-large")
     sizes = large.groupBy("region", "label").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("n_labels")).where("n_labels > 1")
+    sizes = sizes.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"),
+        F.count("*").alias("n_labels")).where("n_labels > 1")
     part = F.greatest(F.lit(PART), F.ceil(F.col("n") / PARTS))
     sizes = sizes.select("region", "main", F.ceil(F.col("n_main") / part).alias("mains"), F.ceil((F.col("n") - F.col("n_main")) / part).alias("others"))
     dealt = large.join(sizes, "region").withColumn("is_main", F.col("label") == F.col("main"))
     k = F.when(F.col("is_main"), F.pmod(F.xxhash64("node"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), "others"))
     dealt = dealt.withColumn("k", k).withColumn("x", F.explode(F.expr("sequence(if(is_main, mains, 0L), mains + others - 1)")))
     side = F.when(F.col("k") > F.col("x"), 1).otherwise(0)
-    return stage(dealt.select("region", F.least("k", "x").alias("p"), F.greatest("k", "x").alias("q"), side.alias("side"), "node", "label", "short", "homes"), "near-blocks")
+    return stage(dealt.select("region", F.least("k", "x").alias("p"), F.greatest("k", "x").alias("q"), side.alias("side"), "node", "label", "short",
+        "homes"), "near-blocks")
 
 
 def region_links(plain: DataFrame, classes: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -440,13 +447,15 @@ def confirmed_components(plain: DataFrame, classes: DataFrame, rows: DataFrame,
         sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("n")), "label")
         la, lb = (sized.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
         left = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
-        return left.select("a", "b", "est", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), F.coalesce("na", F.lit(1)).alias("na"), F.coalesce("nb", F.lit(1)).alias("nb")).where("la <> lb")
+        return left.select("a", "b", "est", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), F.coalesce("na", F.lit(1)).alias("na"),
+            F.coalesce("nb", F.lit(1)).alias("nb")).where("la <> lb")
 
     left = between(labels, tried)
     # between two small components every pair goes now; towards a larger one a node's best does, and spares most of the rest,
     # which follows below
     small = left.where("na < 3 AND nb < 3").select("a", "b")
-    large = left.where("na > 2 OR nb > 2").groupBy(F.when(F.col("na") > F.col("nb"), F.col("b")).otherwise(F.col("a")), F.greatest("la", "lb"), F.least("la", "lb")).agg(F.max(F.struct("est", "a", "b")).alias("x"))
+    large = left.where("na > 2 OR nb > 2").groupBy(F.when(F.col("na") > F.col("nb"), F.col("b")).otherwise(F.col("a")), F.greatest("la", "lb"),
+        F.least("la", "lb")).agg(F.max(F.struct("est", "a", "b")).alias("x"))
     chosen = stage(small.unionAll(large.select("x.a", "x.b")).distinct(), "near-left")
     more = confirm(chosen, sets)
     if not more.where("linked").isEmpty():

@@ -130,7 +130,8 @@ def tokenised(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
         gc.disable()  # millions of strings and no cycles
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part, seen = per_process(name, lambda: Encoder(sent.value)), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        end, names, kinds = np.array([end_id], "<u4").tobytes(), [x.split()[0] for x in PIECES.split(", ")], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        end, names, kinds = np.array([end_id], "<u4").tobytes(), [x.split()[0] for x in PIECES.split(", ")], (pa.int64(), pa.int32(), pa.int64(),
+            pa.int64(), pa.int64(), pa.int32(), pa.int64())
         try:
             for b in slices(batches, 2048):
                 rows = []
@@ -219,7 +220,8 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int
     if not len(lengths):
         return []
     mass = np.cumsum(histogram[lengths] * lengths)
-    last = np.arange(len(lengths)) if len(lengths) <= CLASSES else np.unique(np.minimum(np.searchsorted(mass, mass[-1] * np.arange(1, CLASSES + 1) / CLASSES), len(lengths) - 1))
+    last = np.arange(len(lengths)) if len(lengths) <= CLASSES else np.unique(np.minimum(np.searchsorted(mass, mass[-1] * np.arange(1, CLASSES
+        + 1) / CLASSES), len(lengths) - 1))
     tops = lengths[last]
     lows = np.concatenate([[0], tops[:-1]])
     counts = np.array([histogram[lo + 1 : hi + 1].sum() for lo, hi in zip(lows, tops, strict=True)])
@@ -309,7 +311,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at = np.searchsorted(plan_rows[:, 0], (length << 48) | rank, side="right") - 1
             key, sequence, offset, k = plan_rows[at].T
             j = rank - (key & ((1 << 48) - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence + j // k), pa.array(offset + (j % k) * length)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence + j // k), pa.array(offset + (j % k) * length)], names=["doc_id", "piece",
+                "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 

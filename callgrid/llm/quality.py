@@ -44,7 +44,8 @@ class Compressors:
     """The two compressors of a task."""
 
     def __init__(self, good: bytes, bad: bytes):
-        self.pair = [zstandard.ZstdCompressor(level=LEVEL, dict_data=self._prepared(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (good, bad)]
+        self.pair = [zstandard.ZstdCompressor(level=LEVEL, dict_data=self._prepared(d), write_content_size=False, write_checksum=False,
+            write_dict_id=False) for d in (good, bad)]
 
     @staticmethod
     def _prepared(data: bytes):
@@ -96,13 +97,15 @@ def held_out(doc_id: Column, parts: int, which: int) -> Column:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fit_bytes: int = FIT_BYTES) -> dict:
     """Fit on labelled documents (doc_id, text) and (doc_id, quality); ids, at most 2 x ``per_class``, are broadcast."""
-    clean = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("__most")).where("quality = __most")
+    clean = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"),
+        F.max("quality").alias("__most")).where("quality = __most")
     order = F.xxhash64(F.lit(SEED), "doc_id")
     sample = None
     for k in (0, 1):
         part = clean.where(F.col("quality") == k).orderBy(order, "doc_id").limit(per_class).select("doc_id", "quality")
         sample = part if sample is None else sample.unionAll(part)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id",
+        "quality").agg(F.min("text").alias("text"))
     texts = stage(texts.withColumn("__at", order), "quality-sample")
     sizes = sorted((r["__at"], r["doc_id"], r["n"]) for r in texts.select("__at", "doc_id", F.octet_length("text").alias("n")).collect())
     left_out, room = [], fit_bytes

@@ -70,7 +70,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keep: list[str], url: str = "
         return F.flatten(F.transform(hosts, lambda x: F.transform(paths, lambda y: F.sha2(F.concat(x, y), 256))))
 
     none = F.array().cast("array<string>")
-    digests = let(F.struct(host.alias("h"), path.alias("p")), lambda x: F.when(x["h"] != "", expressions(x["h"], x["p"])).otherwise(none)) if labels and sizes else none
+    digests = let(F.struct(host.alias("h"), path.alias("p")), lambda x: F.when(x["h"] != "", expressions(x["h"],
+        x["p"])).otherwise(none)) if labels and sizes else none
     probes = rows.select(*keys, F.posexplode_outer(digests).alias("__at", "__digest"))
     probes = probes.withColumn("__short", F.substring("__digest", 1, SHORT))
     met = probes.join(indexed_rules(rules), "__short", "left")

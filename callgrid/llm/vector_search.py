@@ -65,7 +65,8 @@ def entries(vectors: DataFrame, size: int, keep: int) -> DataFrame:
             for i, k, v in zip(at, _keys(x), x, strict=True):
                 found.setdefault(k, (v.tobytes(), set()))[1].add(int(ids[i]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array([v for v, _ in found.values()], pa.binary()), pa.array([sorted(s)[:keep] for _, s in found.values()], pa.list_(pa.int64()))], names=["key", "vec", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array([v for v, _ in found.values()], pa.binary()),
+                    pa.array([sorted(s)[:keep] for _, s in found.values()], pa.list_(pa.int64()))], names=["key", "vec", "ids"])
 
     parts = vectors.mapInArrow(fold, "key binary, vec binary, ids array<long>")
     ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
@@ -142,7 +143,8 @@ def visits_of(met: np.ndarray, first: np.ndarray, pieces: np.ndarray, low: np.nd
             yield int(first[cell]) + piece, b"\x80"
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, share: float = SHARE, sample: int = SAMPLE, most_centroids: int = MOST_CENTROIDS, slot: int = SLOT, least_met: int = LEAST_MET) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, share: float = SHARE, sample: int = SAMPLE, most_centroids: int = MOST_CENTROIDS,
+    slot: int = SLOT, least_met: int = LEAST_MET) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of (vec_id, embedding) for each row of ``queries``."""
     spark = vectors.sparkSession
     with_id = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -178,7 +180,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, share: f
         for b in batches:
             at, v = _vectors(b.column(1), size)
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(_keys(v), pa.binary()), pa.array([r.tobytes() for r in v], pa.binary())], names=["query_id", "key", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(_keys(v), pa.binary()), pa.array([r.tobytes() for r in v],
+                pa.binary())], names=["query_id", "key", "vec"])
 
     asked = stage(asking.mapInArrow(key_queries, "query_id long, key binary, vec binary"), "ann-queries")
     distinct = asked.groupBy("key").agg(F.min("vec").alias("vec"))
@@ -195,17 +198,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, share: f
                 met = np.sort(np.array(walk(books[0] @ q[:half], books[1] @ q[half:], plain, enough), np.int64))
                 rows += [(s, own, key, vec, cells) for s, cells in visits_of(met, first, pieces, low, high)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["slot", "block", "query", "vec", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(),
+                    pa.binary(), pa.binary()), strict=True)], names=["slot", "block", "query", "vec", "cells"])
 
     def lay(batches):
         for b in slices(batches, 4096):
             cell = b.column("cell").to_numpy()
             piece = np.array([int.from_bytes(x[:8], "little") for x in b.column("key").to_pylist()], np.uint64) % pieces[cell].astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((first[cell] + piece.astype(np.int64)).astype(np.int32)), *(b.column(c) for c in ("cell", "vec", "ids"))], names=["slot", "cell", "vec", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array((first[cell] + piece.astype(np.int64)).astype(np.int32)), *(b.column(c) for c in ("cell", "vec",
+                "ids"))], names=["slot", "cell", "vec", "ids"])
 
     tasks = -(-n_asked // 256)  # walking the heap is the costly part: spread it whatever the size in bytes
-    visits = distinct.select("key", "vec", block.alias("block")).repartition(tasks, "key").mapInArrow(traverse, "slot int, block int, query binary, vec binary, cells binary")
-    laid = placed.select("key", "cell", "vec", "ids").mapInArrow(lay, "slot int, cell int, vec binary, ids array<long>").withColumn("block", F.explode(F.expr(f"sequence(0, {n_blocks - 1})")))
+    visits = distinct.select("key", "vec", block.alias("block")).repartition(tasks, "key").mapInArrow(traverse,
+        "slot int, block int, query binary, vec binary, cells binary")
+    laid = placed.select("key", "cell", "vec", "ids").mapInArrow(lay, "slot int, cell int, vec binary, ids array<long>").withColumn("block",
+        F.explode(F.expr(f"sequence(0, {n_blocks - 1})")))
 
     def rerank(queries_in, entries_in):
         """Each query's k + 1 best rows of the slot: entries whose cells it met, by their exact products."""
@@ -231,7 +238,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, share: f
 
     found = visits.groupBy("slot", "block").cogroup(laid.groupBy("slot", "block")).applyInArrow(rerank, "query binary, far double, vec_id long")
     nth = F.row_number().over(W.partitionBy("query").orderBy("far", "vec_id"))
-    lists = found.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("far", "vec_id"))).alias("nearest"))
+    lists = found.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("far",
+        "vec_id"))).alias("nearest"))
     mine = asked.select("query_id", F.col("key").alias("query")).join(stage(lists, "ann-lists"), "query")
     best = F.slice(F.filter("nearest", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     ranked = mine.select("query_id", F.posexplode(best).alias("at", "x"))

@@ -77,7 +77,8 @@ def record(page_id, url, payload: bytes, refers_to=None, revisit: bool = False,
     block = http if revisit else http + payload
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
+        f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
+            f"Content-Length: {len(block)}",
     ]
     if revisit:
         head[2:2] = [f"WARC-Refers-To: {_name(refers_to)}", f"WARC-Profile: {PROFILE}"]
@@ -96,7 +97,8 @@ def with_record_types(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     """(page_id, url, html, revisits, refers_to): revisits where an equal payload has a smaller page_id."""
     digest = F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
     light = stage(pages.select("page_id", digest.alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size")), "warc-digests")
-    firsts = light.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
+    firsts = light.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("refers_to"),
+        F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
     again = light.join(firsts, "digest").where("page_id IS NULL OR page_id > refers_to").groupBy("page_id", "digest").agg(F.min("refers_to").alias("refers_to"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), digest.alias("digest"))
     same = rows["page_id"].eqNullSafe(again["page_id"]) & (rows["digest"] == again["digest"])

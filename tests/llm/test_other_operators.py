@@ -34,8 +34,10 @@ def judged(url, rules, default="allow"):
 
 def test_urls_against_brute_force(spark):
     r = random.Random(5)
-    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "a.example.net", "/en/x"), ("allow", "com", ""), ("block", "com", ""), ("block", "org", "/p")]
-    hosts, paths = ["net", "example.net", "A.Example.NET", "b.a.example.net", "xnet", "x.com", "q.org:80", "", "..net"], ["", "/", "/en/", "/en/xyz", "/p/q", "/EN/", "//"]
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "a.example.net", "/en/x"), ("allow", "com", ""), ("block", "com", ""),
+        ("block", "org", "/p")]
+    hosts, paths = ["net", "example.net", "A.Example.NET", "b.a.example.net", "xnet", "x.com", "q.org:80", "", "..net"], ["", "/", "/en/", "/en/xyz",
+        "/p/q", "/EN/", "//"]
     urls = [None, "", "no scheme", "http://"] + [f"http://{r.choice(hosts)}{r.choice(paths)}{r.choice(['', '?a=/en/', '#x', '?://net/'])}" for _ in range(150)]
     df = spark.createDataFrame([(i % 60, u, "extra", "clash") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
     out = url_filter.judge_urls(df, url_filter.rule_table(spark, rules), ["page_id"]).collect()
@@ -45,7 +47,8 @@ def test_urls_against_brute_force(spark):
 
 def test_repeated_pages_and_no_rules(spark):
     df = spark.createDataFrame([(1, "http://a.net/")] * 3 + [(None, None)] * 2, "page_id long, url string")
-    assert [r["verdict"] for r in url_filter.judge_urls(df, url_filter.rule_table(spark), ["page_id"]).orderBy("page_id").collect()] == ["allow"] * 2 + ["block"] * 3
+    assert [r["verdict"] for r in url_filter.judge_urls(df, url_filter.rule_table(spark),
+        ["page_id"]).orderBy("page_id").collect()] == ["allow"] * 2 + ["block"] * 3
     empty = url_filter.rule_table(spark).limit(0)
     assert {r["verdict"] for r in url_filter.judge_urls(df, empty, ["page_id"]).collect()} == {"allow"}
     assert url_filter.judge_urls(df.limit(0), url_filter.rule_table(spark), ["page_id"]).count() == 0
@@ -62,7 +65,8 @@ def exact(rows, query, k):
 def test_search_recall_and_ties(spark):
     r = np.random.default_rng(6)
     rows = [(i, r.normal(size=8).round(3).tolist()) for i in range(3000)] + [(3000 + i, [1.0] * 8) for i in range(50)]
-    bad = [(4000, None), (4001, [0.0] * 8), (4002, [1.0] * 7 + [None]), (4003, [float("nan")] * 8), (4004, [1.0] * 3), (None, [1.0] * 8), (4005, [float("inf")] * 8)]
+    bad = [(4000, None), (4001, [0.0] * 8), (4002, [1.0] * 7 + [None]), (4003, [float("nan")] * 8), (4004, [1.0] * 3), (None, [1.0] * 8), (4005,
+        [float("inf")] * 8)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
     out = vector_search.search(df, df.where("vec_id % 20 = 0")).collect()
     by = {}
@@ -122,7 +126,8 @@ def test_walk_is_in_order():
 
 def pages(spark):
     big = "x" * 300_000
-    rows = [(5, "http://a/", "same"), (2, "http://b/ c%20", "same"), (9, None, "same"), (1, "u", None), (3, "u", ""), (None, "u", "same"), (7, "u\r\nX: y", big), (8, "u", big), (2, "again", "same"), (11, "é", "\x1f\x8b\x08 not a member")]
+    rows = [(5, "http://a/", "same"), (2, "http://b/ c%20", "same"), (9, None, "same"), (1, "u", None), (3, "u", ""), (None, "u", "same"), (7, "u\r\nX: y",
+        big), (8, "u", big), (2, "again", "same"), (11, "é", "\x1f\x8b\x08 not a member")]
     return rows, spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
@@ -140,8 +145,10 @@ def test_warc_round_trip(spark, split):
     for i, u, h in rows:
         h = h or ""
         again = i is None or i > least[h]
-        want.append((i, u, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "revisit" if again else "response", least[h] if again else None, b"" if again else h.encode()))
-    assert sorted(map(repr, want)) == sorted(repr((r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], bytes(r["payload"]))) for r in got)
+        want.append((i, u, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "revisit" if again else "response", least[h]
+            if again else None, b"" if again else h.encode()))
+    assert sorted(map(repr, want)) == sorted(repr((r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"],
+        bytes(r["payload"]))) for r in got)
 
 
 def test_archives_are_plain_gzip(spark):
@@ -170,7 +177,8 @@ def test_damaged_archives_are_errors(spark, split, tmp_path):
 
     assert records(whole, len(whole)) == 40
     starts = [i for i in range(len(whole)) if whole.startswith(warc.MAGIC, i)]
-    spoilt = [(whole[:-20], len(whole)), (whole[:-20], len(whole) - 20), (whole[: starts[7]] + b"junk" + whole[starts[7] :], len(whole) + 4), (whole[: starts[30] + 60], starts[30] + 60)]
+    spoilt = [(whole[:-20], len(whole)), (whole[:-20], len(whole) - 20), (whole[: starts[7]] + b"junk" + whole[starts[7] :], len(whole) + 4),
+        (whole[: starts[30] + 60], starts[30] + 60)]
     for at in (0, 2, starts[5], starts[5] + 200, starts[20] + 1, len(whole) - 3):
         spoilt.append((whole[:at] + bytes([whole[at] ^ 0xFF]) + whole[at + 1 :], len(whole)))
     for data, stated in spoilt:

@@ -60,7 +60,8 @@ def test_packing_of_nothing(none):
 @pytest.mark.parametrize("kind", ["uniform", "middle", "few", "one", "small"])
 def test_plan_holds_every_piece_and_is_tight(kind):
     r = np.random.default_rng(1)
-    lengths = {"uniform": r.integers(1, 4097, 5000), "middle": r.integers(1000, 2200, 5000), "few": r.choice([1500, 1300, 1290, 3000, 700], 5000), "one": np.full(1000, 1365), "small": r.integers(1, 40, 5000)}[kind]
+    lengths = {"uniform": r.integers(1, 4097, 5000), "middle": r.integers(1000, 2200, 5000), "few": r.choice([1500, 1300, 1290, 3000, 700], 5000),
+        "one": np.full(1000, 1365), "small": r.integers(1, 40, 5000)}[kind]
     h = np.bincount(lengths, minlength=4097)
     held, n = np.zeros(4097, int), 0
     for used, times in packing.plan(h):
@@ -162,7 +163,8 @@ def test_mixing_of_nothing(none, spark):
 
 
 def test_mixing_takes_clashing_columns(spark):
-    docs = spark.createDataFrame([(i, "a b c", "s", i, i, i, i) for i in range(9)], "doc_id long, text string, source string, key long, size long, block long, draws long")
+    docs = spark.createDataFrame([(i, "a b c", "s", i, i, i, i) for i in range(9)],
+        "doc_id long, text string, source string, key long, size long, block long, draws long")
     rows = mixing.sized(docs, "text", "source", ["doc_id"])
     out = mixing.drawn_rows(rows, mixing.mix_plan(rows))
     assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
@@ -172,7 +174,8 @@ def test_mixing_takes_clashing_columns(spark):
 
 def test_line_dedup_against_brute_force(odd):
     rows, df = odd
-    got = sorted((str(r["doc_id"]), r["__lines"], len(r["__kept"]), r["t"]) for r in line_dedup.dedup_lines(df).withColumn("t", line_dedup.kept_text(line_dedup.F.col("text"), line_dedup.F.col("__kept"))).collect())
+    got = sorted((str(r["doc_id"]), r["__lines"], len(r["__kept"]), r["t"]) for r in line_dedup.dedup_lines(df).withColumn("t",
+        line_dedup.kept_text(line_dedup.F.col("text"), line_dedup.F.col("__kept"))).collect())
     holders = collections.defaultdict(set)
     for doc, text in texts(rows):
         for line in text.split("\n"):
@@ -215,7 +218,8 @@ def test_batches_meet_compacted_runs(spark, batches, fanout):
     """Lines shared over all distances, null ids, ids on several rows: any number of batches and levels gives the same."""
     r = np.random.default_rng(12)
     lines = [f"line number {i} of more than twenty characters" for i in range(40)]
-    rows = [(None if i % 17 == 0 else int(i // 2 if i % 5 == 0 else i), "\n".join(lines[k] for k in r.integers(0, 40, r.integers(0, 6))), "en", "s", 0) for i in range(120)]
+    rows = [(None if i % 17 == 0 else int(i // 2 if i % 5 == 0 else i), "\n".join(lines[k] for k in r.integers(0, 40, r.integers(0, 6))), "en", "s", 0)
+        for i in range(120)]
     df = spark.createDataFrame(rows, DOCS)
     out = line_dedup.dedup_lines(df, batches=batches, fanout=fanout)
     got = sorted((str(r["doc_id"]), r["t"]) for r in out.withColumn("t", line_dedup.kept_text(line_dedup.F.col("text"), line_dedup.F.col("__kept"))).collect())
@@ -228,9 +232,11 @@ def test_batches_meet_compacted_runs(spark, batches, fanout):
 
 
 def test_line_dedup_takes_clashing_columns(spark):
-    df = spark.createDataFrame([(i, f"a line of more than twenty characters\n{i}", 5, 6, 7) for i in range(4)], "doc_id long, text string, lost long, id long, row long")
+    df = spark.createDataFrame([(i, f"a line of more than twenty characters\n{i}", 5, 6, 7) for i in range(4)],
+        "doc_id long, text string, lost long, id long, row long")
     out = line_dedup.dedup_lines(df, lines="n", kept="k")
-    assert out.columns == [*df.columns, "n", "k"] and sorted((r["doc_id"], r["k"], r["id"]) for r in out.collect()) == [(0, [1], 6), (1, [1], 6), (2, [1], 6), (3, [0, 1], 6)]
+    assert out.columns == [*df.columns, "n", "k"] and sorted((r["doc_id"], r["k"], r["id"]) for r in out.collect()) == [(0, [1], 6), (1, [1], 6), (2, [1],
+        6), (3, [0, 1], 6)]
 
 
 def test_line_dedup_of_nothing(none):
@@ -266,7 +272,8 @@ def test_quality_score_is_the_calibrated_size_difference(spark, odd):
     import zstandard
 
     rows, df = odd
-    docs = spark.createDataFrame([(i, ("good plain prose number " if i % 2 else "x9#! buy now $$$ ") * (i + 3) + str(i), None, None, None) for i in range(60)], DOCS)
+    docs = spark.createDataFrame([(i, ("good plain prose number " if i % 2 else "x9#! buy now $$$ ") * (i + 3) + str(i), None, None, None)
+        for i in range(60)], DOCS)
     model = quality.fit_quality(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
 
     def sizes(text, dictionary):
@@ -421,7 +428,8 @@ def test_fingerprint_properties(none):
 def test_fingerprint_against_single_triplets():
     """Digests from triplets counted one by one, and likeness from the codes read out of the hex."""
     r = np.random.default_rng(5)
-    texts = [b"", b"a", b"ab", b"abc", b"abcd", b"aaaaaaaaaaaa", "é漢字 and more".encode(), bytes(r.integers(0, 256, 997, dtype=np.uint8)), b"plain words in a row " * 40]
+    texts = [b"", b"a", b"ab", b"abc", b"abcd", b"aaaaaaaaaaaa", "é漢字 and more".encode(), bytes(r.integers(0, 256, 997, dtype=np.uint8)),
+        b"plain words in a row " * 40]
     codes = {}
     for data in texts:
         counts = [0] * 256
@@ -538,10 +546,12 @@ def test_near_dedup_counts_rows_by_their_text(spark):
 
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
     near = a.replace("a30", "other")
-    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (None, near, "en", "s", 0), (None, b, "en", "s", 0), (7, b, "en", "s", 0), (7, b, "en", "s", 0), (None, None, "en", "s", 0), (None, None, "en", "s", 0), (None, "alone without id but with words", "en", "s", 0)]
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (None, near, "en", "s", 0), (None, b, "en", "s", 0), (7, b, "en", "s", 0), (7, b, "en", "s", 0),
+        (None, None, "en", "s", 0), (None, None, "en", "s", 0), (None, "alone without id but with words", "en", "s", 0)]
     docs = spark.createDataFrame(rows, DOCS)
     got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
-    assert got == sorted([("1", "1", True), ("1", "1", True), ("None", "1", False), ("None", "1", False), ("7", "1", False), ("7", "1", False), ("None", "None", True), ("None", "None", True), ("None", "None", True)])
+    assert got == sorted([("1", "1", True), ("1", "1", True), ("None", "1", False), ("None", "1", False), ("7", "1", False), ("7", "1", False), ("None",
+        "None", True), ("None", "None", True), ("None", "None", True)])
     kept = sorted((str(r["doc_id"]), str(r["text"])) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())
     assert kept == sorted([("1", a), ("1", b), ("None", "None"), ("None", "None"), ("None", "alone without id but with words")])
 
