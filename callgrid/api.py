@@ -37,7 +37,8 @@ def events(rows: DataFrame, aggregation: dict | None = None) -> DataFrame:
     """Valid events with an id, a domain and, where wanted, aggregated labels."""
     from callgrid.functions.labels import aggregated
 
-    out = ingest.valid_rows(rows).withColumns({"id": F.xxhash64("split", "dataset", "filename", "source_row"), "domain": F.col("dataset"), "is_test": F.col("split") == "validation"})
+    out = ingest.valid_rows(rows).withColumns({"id": F.xxhash64("split", "dataset", "filename", "source_row"), "domain": F.col("dataset"),
+        "is_test": F.col("split") == "validation"})
     return out.withColumn("label", aggregated(F.col("label"), aggregation)) if aggregation else out
 
 
@@ -96,10 +97,12 @@ def baselines(manifest_path: str, config_path: str, data_root: str, out: str) ->
     own, rows = c.get("classical") or {}, events(manifest(manifest_path))
     if limit := own.get("limit_per_split"):
         rows = sampling.first_n(rows, ["split", "label"], ["dataset", "filename", "source_row"], int(limit))
-    tables = {r: feature_table(rows, data_root, representation(r, own.get("img_size", 32)), c["audio"]) for r in own.get("representations", ["handcrafted", "patch", "hybrid"])}
+    tables = {r: feature_table(rows, data_root, representation(r, own.get("img_size", 32)), c["audio"]) for r in own.get("representations", ["handcrafted",
+        "patch", "hybrid"])}
     pca = own.get("pca") or {}
     parts = {r: (pca.get("components_by_family") or {}).get(r, pca.get("components")) for r in tables} if pca.get("enabled") else None
-    found = B.compare(tables, classes_of(c), tuple(own.get("models") or B.models.MODELS), FAMILIES, parts, float(own.get("validation_fraction", 0.2)), int(c.get("seed", 42)))
+    found = B.compare(tables, classes_of(c), tuple(own.get("models") or B.models.MODELS), FAMILIES, parts, float(own.get("validation_fraction", 0.2)),
+        int(c.get("seed", 42)))
     for name, t in found.items():
         t.write.mode("overwrite").parquet(f"{out}/{name}")
     return found
@@ -110,7 +113,8 @@ def clustering(manifest_path: str, config_path: str, data_root: str, out: str) -
 
     c = settings(config_path)
     own, split = c.get("clustering") or {}, c.get("test_split", "validation")
-    rows = sampling.random_n(events(manifest(manifest_path)).where(F.col("split") == split), ["label"], "id", int(own.get("per_class_limit", 500)), int(c.get("seed", 42)))
+    rows = sampling.random_n(events(manifest(manifest_path)).where(F.col("split") == split), ["label"], "id", int(own.get("per_class_limit", 500)),
+        int(c.get("seed", 42)))
     table = feature_table(rows, data_root, representation(own.get("representation", "handcrafted"), own.get("img_size", 32)), c["audio"])
     found = C.explore(table, len(classes_of(c)))
     for name, t in found.items():
@@ -128,7 +132,8 @@ def imbalance_audit(manifest_path: str, predictions_path: str, config_path: str,
 def notebook_evaluation(manifest_path: str, config_path: str, data_root: str, out: str) -> dict[str, DataFrame]:
     c = settings(config_path)
     rows = events(manifest(manifest_path), mapping_of(c))
-    table = feature_table(rows.where(F.col("split") == c.get("train_split", "train")), data_root, (c.get("notebook") or {}).get("feature_set", "notebook_exact_44"), c["audio"])
+    table = feature_table(rows.where(F.col("split") == c.get("train_split", "train")), data_root, (c.get("notebook") or {}).get("feature_set",
+        "notebook_exact_44"), c["audio"])
     found = audits.notebook_evaluation(table, classes_of(c))
     for name, t in found.items():
         t.write.mode("overwrite").parquet(f"{out}/{name}")

@@ -18,7 +18,8 @@ def build(args) -> None:
     issues.write.mode("overwrite").parquet(args.quality_report)
     rows, found = spark.read.parquet(args.out), spark.read.parquet(args.quality_report)
     sinks.report(profile.quality_summary(found), args.quality_summary)
-    for name, columns in (("class_distribution", ("split", "label")), ("split_distribution", ("split",)), ("dataset_distribution", ("split", "dataset")), ("class_distribution_overall", ("label",))):
+    for name, columns in (("class_distribution", ("split", "label")), ("split_distribution", ("split",)), ("dataset_distribution", ("split", "dataset")),
+        ("class_distribution_overall", ("label",))):
         sinks.report(profile.counts(rows, *columns), f"{args.split_distribution_dir}/{name}.csv")
 
 
@@ -43,7 +44,8 @@ def submission(args) -> None:
 
 
 def search(args) -> None:
-    api.search(args.manifest, args.config, args.data_root, args.output_dir, quick_mode=args.quick, resume=args.resume, domain_aware=not args.cv_focused, wanted=args.stage)
+    api.search(args.manifest, args.config, args.data_root, args.output_dir, quick_mode=args.quick, resume=args.resume, domain_aware=not args.cv_focused,
+        wanted=args.stage)
 
 
 def baselines(args) -> None:
@@ -63,7 +65,8 @@ def representations(args) -> None:
 
     rows = api.events(api.manifest(args.manifest)).where(api.F.col("split").isin(*args.splits))
     rows = rows.orderBy("split", "dataset", "filename", "source_row").limit(args.limit) if args.limit else rows
-    export_representation(*api._located(rows, args.data_root), args.family, api.settings(args.config)["audio"], args.out, args.img_size, args.pca_components or None)
+    export_representation(*api._located(rows, args.data_root), args.family, api.settings(args.config)["audio"], args.out, args.img_size,
+        args.pca_components or None)
 
 
 def spectrograms(args) -> None:
@@ -115,11 +118,13 @@ def main(argv=None) -> None:
         for f in flags:
             p.add_argument(f"--{f}", required=True)
         for f, v in defaults.items():
-            p.add_argument(f"--{f.replace('_', '-')}", **({"action": "store_true"} if v is False else {"nargs": "+", "default": v} if isinstance(v, list) else {"default": v, "type": type(v)}))
+            p.add_argument(f"--{f.replace('_', '-')}", **({"action": "store_true"} if v is False else {"nargs": "+", "default": v} if isinstance(v, list)
+                else {"default": v, "type": type(v)}))
         p.set_defaults(run=run)
 
     both, three = ["train", "validation"], ("manifest", "config", "data-root")
-    command("build-manifest", build, "data-root", "out", quality_report="quality_issues", quality_summary="quality_summary.csv", split_distribution_dir="reports", min_valid_seconds=0.5, splits=both)
+    command("build-manifest", build, "data-root", "out", quality_report="quality_issues", quality_summary="quality_summary.csv",
+        split_distribution_dir="reports", min_valid_seconds=0.5, splits=both)
     command("check-splits", check, "manifest", out="split_integrity.csv")
     command("features", features, *three, "out", feature_set="handcrafted_stats")
     command("submission", submission, *three, "output-dir", rebuild_manifest=False)

@@ -23,8 +23,10 @@ LOW_RANGE, GRID20, P_REF = (10.0, 120.0), np.linspace(10.0, 120.0, 20), 2e-5
 REGIONS = (("bma_16_27", 16, 27), ("bma_20_30", 20, 30), ("dd_20_120", 20, 120), ("dd_30_90", 30, 90), ("bp_15_30", 15, 30), ("bp_overtone_80_120", 80, 120))
 RATIO_BANDS = ((0, 15), (15, 30), (30, 45), (45, 60), (60, 90), (90, 125))
 # Names of the sets' columns.
-SPECTRAL = ("spectral_centroid_hz", "spectral_bandwidth_hz", "spectral_rolloff_85_hz", "spectral_flatness", "spectral_contrast", "dominant_frequency_hz", "spectral_entropy", "spectral_slope")
-STATS, PCTS, BOX = ("mean", "std", "min", "max"), ("p10", "p50", "p90"), ("duration_seconds", "real_duration_seconds", "low_frequency", "high_frequency", "frequency_span_hz")
+SPECTRAL = ("spectral_centroid_hz", "spectral_bandwidth_hz", "spectral_rolloff_85_hz", "spectral_flatness", "spectral_contrast", "dominant_frequency_hz",
+    "spectral_entropy", "spectral_slope")
+STATS, PCTS, BOX = ("mean", "std", "min", "max"), ("p10", "p50", "p90"), ("duration_seconds", "real_duration_seconds", "low_frequency", "high_frequency",
+    "frequency_span_hz")
 
 # The descriptors of an event's time and frequency box.
 CROP = (
@@ -38,7 +40,8 @@ CROP = (
 def _registry() -> dict:
     low = {"window": "gaussian", "window_seconds": 2.0, "f_min": 10.0, "f_max": 120.0}
     clip, exact = {"db_clip": [-80.0, 0.0]}, {"family": "notebook_exact", "variant": "44", "window_dur": 2.0, "f_min": 10.0, "f_max": 120.0}
-    grid = lambda n, mean, top, whole: {"family": "notebook_lowfreq", "grid_points": n, "include_mean": mean, "include_max": top, "include_global": whole} | low | clip
+    grid = lambda n, mean, top, whole: {"family": "notebook_lowfreq", "grid_points": n, "include_mean": mean, "include_max": top,
+        "include_global": whole} | low | clip
     mix = lambda *parts: {"family": "hybrid", "parts": list(parts)}
     sets = {f: {"family": f} for f in ("handcrafted_stats", "waveform_stats", "spectral_stats")}
     sets |= {f"band_energy_{s}_{n}": {"family": "band_energy", "n_bands": n, "scale": s} for s in ("linear", "mel") for n in (8, 16, 32, 64)}
@@ -46,20 +49,29 @@ def _registry() -> dict:
     sets |= {f"logmel_stats_{n}": {"family": "logmel_stats", "n_mels": n} for n in (32, 64, 96, 128)}
     sets |= {f"patch_{h}x{w}": {"family": "patch", "height": h, "width": w} for h, w in ((32, 32), (48, 48), (64, 64), (96, 64), (128, 64))}
     sets |= {f"classical_texture_{n}x{n}": {"family": "gradient_hist", "height": n, "width": n, "bins": b} for n, b in ((32, 8), (64, 12))}
-    sets |= {"notebook_lowfreq_band_features": grid(32, True, True, True), "notebook_lowfreq_mean_20": grid(20, True, False, True), "notebook_lowfreq_max_20": grid(20, False, True, True), "notebook_lowfreq_meanmax_64": grid(64, True, True, False)}
-    sets |= {"relative_lowfreq_shape_features": {"family": "relative_lowfreq", "grid_points": 32, "median_subtract": True} | low | clip, "temporal_lowfreq_shape_features": {"family": "temporal_lowfreq", "total_energy_normalize": True} | low}
+    sets |= {"notebook_lowfreq_band_features": grid(32, True, True, True), "notebook_lowfreq_mean_20": grid(20, True, False, True),
+        "notebook_lowfreq_max_20": grid(20, False, True, True), "notebook_lowfreq_meanmax_64": grid(64, True, True, False)}
+    sets |= {"relative_lowfreq_shape_features": {"family": "relative_lowfreq", "grid_points": 32, "median_subtract": True} | low | clip,
+        "temporal_lowfreq_shape_features": {"family": "temporal_lowfreq", "total_energy_normalize": True} | low}
     sets |= {
-        "notebook_exact_26": exact | {"variant": "26"}, "notebook_exact_44": exact, "notebook_exact_44_noclip": exact, "notebook_exact_44_dynrange": exact | {"dynamic_range_clip": True, "dynamic_range_db": 80.0},
-        "notebook_exact_44_plus_duration": exact | {"include_duration": True}, "notebook_exact_44_plus_bbox": exact | {"include_bbox": True, "rule_dependent": True},
+        "notebook_exact_26": exact | {"variant": "26"}, "notebook_exact_44": exact, "notebook_exact_44_noclip": exact, "notebook_exact_44_dynrange": exact
+            | {"dynamic_range_clip": True, "dynamic_range_db": 80.0},
+        "notebook_exact_44_plus_duration": exact | {"include_duration": True}, "notebook_exact_44_plus_bbox": exact | {"include_bbox": True,
+            "rule_dependent": True},
         "class_region_lowfreq_features": {"family": "class_region_lowfreq", "window_dur": 2.0, "f_min": 10.0, "f_max": 120.0},
     }
     rel, tmp = "relative_lowfreq_shape_features", "temporal_lowfreq_shape_features"
     sets |= {
-        "waveform_spectral_stats": mix("waveform_stats", "spectral_stats"), "lowfreq_relative_temporal": mix(rel, tmp), "lowfreq_all": mix("notebook_lowfreq_band_features", rel, tmp),
-        "lowfreq_all_plus_mfcc": mix("lowfreq_all", "mfcc_20"), "lowfreq_all_plus_logmel": mix("lowfreq_all", "logmel_stats_32"), "lowfreq_all_plus_waveform_spectral": mix("lowfreq_all", "waveform_spectral_stats"),
-        "lowfreq_all_plus_regions": mix("lowfreq_all", "class_region_lowfreq_features"), "notebook_exact_44_plus_regions": mix("notebook_exact_44", "class_region_lowfreq_features"),
-        "hybrid_spectral_band16": mix("spectral_stats", "band_energy_linear_16"), "hybrid_mfcc20_logmel64": mix("mfcc_20", "logmel_stats_64"), "hybrid_stats_mfcc20_logmel64": mix("handcrafted_stats", "mfcc_20", "logmel_stats_64"),
-        "hybrid_stats_patch32": mix("handcrafted_stats", "patch_32x32"), "all_stats": mix("waveform_stats", "spectral_stats", "band_energy_linear_16", "mfcc_20", "logmel_stats_64"),
+        "waveform_spectral_stats": mix("waveform_stats", "spectral_stats"), "lowfreq_relative_temporal": mix(rel, tmp),
+            "lowfreq_all": mix("notebook_lowfreq_band_features", rel, tmp),
+        "lowfreq_all_plus_mfcc": mix("lowfreq_all", "mfcc_20"), "lowfreq_all_plus_logmel": mix("lowfreq_all", "logmel_stats_32"),
+            "lowfreq_all_plus_waveform_spectral": mix("lowfreq_all", "waveform_spectral_stats"),
+        "lowfreq_all_plus_regions": mix("lowfreq_all", "class_region_lowfreq_features"), "notebook_exact_44_plus_regions": mix("notebook_exact_44",
+            "class_region_lowfreq_features"),
+        "hybrid_spectral_band16": mix("spectral_stats", "band_energy_linear_16"), "hybrid_mfcc20_logmel64": mix("mfcc_20", "logmel_stats_64"),
+            "hybrid_stats_mfcc20_logmel64": mix("handcrafted_stats", "mfcc_20", "logmel_stats_64"),
+        "hybrid_stats_patch32": mix("handcrafted_stats", "patch_32x32"), "all_stats": mix("waveform_stats", "spectral_stats", "band_energy_linear_16",
+            "mfcc_20", "logmel_stats_64"),
     }
     return sets
 
@@ -91,14 +103,17 @@ def feature_names(name) -> list[str]:
     if f == "hybrid":
         return [n for p in spec["parts"] for n in feature_names(p)]
     if f == "waveform_stats":
-        return [*BOX, *cross(["rms"], STATS + PCTS), "zcr_mean", "zcr_std", *cross(["envelope"], STATS + PCTS), "envelope_peak_count", "envelope_peak_rate", "crest_factor", "attack_time_fraction", "decay_time_fraction", "attack_slope", "decay_slope"]
+        return [*BOX, *cross(["rms"], STATS + PCTS), "zcr_mean", "zcr_std", *cross(["envelope"], STATS + PCTS), "envelope_peak_count",
+            "envelope_peak_rate", "crest_factor", "attack_time_fraction", "decay_time_fraction", "attack_slope", "decay_slope"]
     if f == "spectral_stats":
         return [*cross(SPECTRAL, STATS), "frequency_of_max_energy_hz"]
     if f == "handcrafted_stats":
-        return [*BOX, *cross(("rms", "zcr", *SPECTRAL[:6]), STATS), "envelope_mean", "envelope_std", "envelope_max", "envelope_peak_count", "crest_factor", "snr_like_ratio", *[f"band_ratio_{a}_{b}hz" for a, b in RATIO_BANDS]]
+        return [*BOX, *cross(("rms", "zcr", *SPECTRAL[:6]), STATS), "envelope_mean", "envelope_std", "envelope_max", "envelope_peak_count", "crest_factor",
+            "snr_like_ratio", *[f"band_ratio_{a}_{b}hz" for a, b in RATIO_BANDS]]
     if f == "band_energy":
         s, n = spec["scale"], spec["n_bands"]
-        return [*cross([f"{s}_band_{i}" for i in range(n)], ("log_energy_mean", "log_energy_std", "log_energy_max", "energy_ratio")), *[f"{s}_band_ratio_{i}_{i + 1}" for i in range(n - 1)], f"{s}_band_energy_entropy"]
+        return [*cross([f"{s}_band_{i}" for i in range(n)], ("log_energy_mean", "log_energy_std", "log_energy_max", "energy_ratio")),
+            *[f"{s}_band_ratio_{i}_{i + 1}" for i in range(n - 1)], f"{s}_band_energy_entropy"]
     if f == "mfcc":
         of = lambda p, s: cross([f"{p}_{i}" for i in range(spec["n_mfcc"])], s)
         return of("mfcc", STATS) + of("delta_mfcc", STATS[:2]) + of("delta2_mfcc", STATS[:2])
@@ -117,17 +132,25 @@ def feature_names(name) -> list[str]:
         p = f"gradient_hist_{spec['height']}x{spec['width']}"
         return [f"{p}_bin_{i}" for i in range(spec["bins"])] + [f"{p}_magnitude_mean", f"{p}_magnitude_std"]
     if f == "notebook_lowfreq":
-        return ([f"lowfreq_global_{s}" for s in STATS] if spec["include_global"] else []) + ([f"lowfreq_grid_{i}_mean" for i in grid] if spec["include_mean"] else []) + ([f"lowfreq_grid_{i}_max" for i in grid] if spec["include_max"] else [])
+        return ([f"lowfreq_global_{s}" for s in STATS] if spec["include_global"] else []) + ([f"lowfreq_grid_{i}_mean" for i in grid]
+            if spec["include_mean"] else []) + ([f"lowfreq_grid_{i}_max" for i in grid] if spec["include_max"] else [])
     if f == "relative_lowfreq":
-        return [f"lowfreq_grid_{i}_{k}" for k in ("energy_fraction", "median_centered_mean", "median_centered_max") for i in grid] + [f"lowfreq_{k}" for k in ("ratio_10_30_to_30_60", "ratio_10_30_to_60_120", "ratio_30_60_to_60_120", "fraction_20_30", "fraction_30_60", "fraction_60_120", "peak_frequency_hz", "peak_energy_relative_to_median", "centroid_hz", "bandwidth_hz", "entropy")]
+        return [f"lowfreq_grid_{i}_{k}" for k in ("energy_fraction", "median_centered_mean", "median_centered_max") for i in grid] + [f"lowfreq_{k}"
+            for k in ("ratio_10_30_to_30_60", "ratio_10_30_to_60_120", "ratio_30_60_to_60_120", "fraction_20_30", "fraction_30_60", "fraction_60_120",
+                "peak_frequency_hz", "peak_energy_relative_to_median", "centroid_hz", "bandwidth_hz", "entropy")]
     if f == "temporal_lowfreq":
-        return [f"lowfreq_time_{c}_chunk_{i}_{k}_energy" for c in (3, 5, 10) for k in ("mean", "max") for i in range(c)] + [f"lowfreq_temporal_{k}" for k in ("energy_slope", "max_index_fraction", "max_to_total", "top10_fraction", "smoothed_peak_count")]
+        return [f"lowfreq_time_{c}_chunk_{i}_{k}_energy" for c in (3, 5, 10) for k in ("mean", "max") for i in range(c)] + [f"lowfreq_temporal_{k}"
+            for k in ("energy_slope", "max_index_fraction", "max_to_total", "top10_fraction", "smoothed_peak_count")]
     if f == "notebook_exact":
         tail = ["notebook_bma_20_30_mean_db", "notebook_bma_20_30_max_db"] if spec["variant"] == "26" else [f"notebook_grid_{i:02d}_max_db" for i in range(20)]
-        more = (["event_duration_seconds"] if spec.get("include_duration") else []) + ([f"bbox_{k}" for k in ("low_frequency", "high_frequency", "bandwidth", "center_frequency")] if spec.get("include_bbox") else [])
+        more = (["event_duration_seconds"] if spec.get("include_duration") else []) + ([f"bbox_{k}" for k in ("low_frequency", "high_frequency",
+            "bandwidth", "center_frequency")] if spec.get("include_bbox") else [])
         return [f"notebook_db_{s}" for s in STATS] + [f"notebook_grid_{i:02d}_mean_db" for i in range(20)] + tail + more
     if f == "class_region_lowfreq":
-        return [f"{n}_{k}" for n, _, _ in REGIONS for k in ("mean_db", "max_db", "energy_fraction")] + ["ratio_16_30_to_30_60", "ratio_20_30_to_80_120", "ratio_30_90_to_10_120", "ratio_80_120_to_15_30", "event_duration_seconds", "temporal_energy_slope", "temporal_max_index_fraction", "temporal_concentration_max_to_total", "temporal_top10_fraction", "temporal_peak_count", *[f"dominant_frequency_{s}" for s in (*STATS, "slope")], "frequency_centroid_hz", "frequency_bandwidth_hz", "frequency_entropy", "frequency_peak_count", "overtone_80_120_to_20_30"]
+        return [f"{n}_{k}" for n, _, _ in REGIONS for k in ("mean_db", "max_db", "energy_fraction")] + ["ratio_16_30_to_30_60", "ratio_20_30_to_80_120",
+            "ratio_30_90_to_10_120", "ratio_80_120_to_15_30", "event_duration_seconds", "temporal_energy_slope", "temporal_max_index_fraction",
+                "temporal_concentration_max_to_total", "temporal_top10_fraction", "temporal_peak_count", *[f"dominant_frequency_{s}" for s in (*STATS,
+                    "slope")], "frequency_centroid_hz", "frequency_bandwidth_hz", "frequency_entropy", "frequency_peak_count", "overtone_80_120_to_20_30"]
     raise ValueError(f"unknown feature family {f!r}")
 
 
@@ -198,7 +221,8 @@ def _descriptors(f, m, p) -> dict:
     q, g = p / total, f - f.mean()
     logs = np.log(m)
     values = (
-        c, np.sqrt(((f[:, None] - c) ** 2 * p).sum(0) / total), f[roll], np.exp(logs.mean(0)) / (m.mean(0) + K.TINY), np.percentile(m, 90, axis=0) - np.percentile(m, 10, axis=0),
+        c, np.sqrt(((f[:, None] - c) ** 2 * p).sum(0) / total), f[roll], np.exp(logs.mean(0)) / (m.mean(0) + K.TINY), np.percentile(m, 90,
+            axis=0) - np.percentile(m, 10, axis=0),
         f[p.argmax(0)], -(q * np.log2(q + K.TINY)).sum(0) / np.log2(max(2, len(p))), (g[:, None] * (logs - logs.mean(0))).sum(0) / ((g**2).sum() + K.TINY),
     )
     return dict(zip(SPECTRAL, values, strict=True))
@@ -219,7 +243,8 @@ def waveform_stats(e, cfg, spec):
     env = K.envelope(x)
     at, n, peaks = int(env.argmax()), len(env), K.peak_count(env)
     attack = at / max(1, n - 1)
-    return [*e.box, *K.stats(rms), *K.percentiles(rms), float(zcr.mean()), float(zcr.std()), *K.stats(env), *K.percentiles(env), peaks, peaks / max(e.box[1], K.TINY), _crest(x), attack, 1 - attack, (env[at] - env[0]) / max(1, at), (env[-1] - env[at]) / max(1, n - at - 1)]
+    return [*e.box, *K.stats(rms), *K.percentiles(rms), float(zcr.mean()), float(zcr.std()), *K.stats(env), *K.percentiles(env), peaks,
+        peaks / max(e.box[1], K.TINY), _crest(x), attack, 1 - attack, (env[at] - env[0]) / max(1, at), (env[-1] - env[at]) / max(1, n - at - 1)]
 
 
 def spectral_stats(e, cfg, spec):
@@ -236,7 +261,8 @@ def handcrafted_stats(e, cfg, spec):
     limit = min(e.rate / 2, 125.0)
     whole = max(p[f <= limit].sum(), K.TINY)
     ratios = [p[(f >= lo) & (f < min(hi, limit))].sum() / whole for lo, hi in RATIO_BANDS]
-    return [*e.box, *K.stats(rms), *K.stats(zcr), *[v for k in SPECTRAL[:6] for v in K.stats(d[k])], env.mean(), env.std(), env.max(), K.peak_count(env), _crest(x), np.percentile(a, 95) / (np.percentile(a, 50) + K.TINY), *ratios]
+    return [*e.box, *K.stats(rms), *K.stats(zcr), *[v for k in SPECTRAL[:6] for v in K.stats(d[k])], env.mean(), env.std(), env.max(), K.peak_count(env),
+        _crest(x), np.percentile(a, 95) / (np.percentile(a, 50) + K.TINY), *ratios]
 
 
 def band_energy(e, cfg, spec):
@@ -245,7 +271,8 @@ def band_energy(e, cfg, spec):
     edges = K.hertz(np.linspace(K.mel(lo), K.mel(hi), n + 1)) if spec["scale"] == "mel" else np.linspace(lo, hi, n + 1)
     own = np.array([p[(f >= a) & ((f <= b) if i == n - 1 else (f < b))].sum(0) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
     ratio, logs = own.sum(1) / (own.sum() + K.TINY), np.log1p(own)
-    return [*np.column_stack([logs.mean(1), logs.std(1), logs.max(1), ratio]).ravel(), *(ratio[:-1] / np.maximum(ratio[1:], K.TINY)), -(ratio * np.log2(ratio + K.TINY)).sum() / np.log2(max(2, n))]
+    return [*np.column_stack([logs.mean(1), logs.std(1), logs.max(1), ratio]).ravel(), *(ratio[:-1] / np.maximum(ratio[1:], K.TINY)),
+        -(ratio * np.log2(ratio + K.TINY)).sum() / np.log2(max(2, n))]
 
 
 def normalised(values: np.ndarray, cfg: dict) -> np.ndarray:
@@ -289,7 +316,8 @@ def mfcc(e, cfg, spec):
     c = K.cosine_transform(_logmel(e, cfg, spec["n_mels"]))[: spec["n_mfcc"]]
     d = np.diff(c, axis=1, prepend=c[:, :1])
     d2 = np.diff(d, axis=1, prepend=d[:, :1])
-    return np.concatenate([np.column_stack([c.mean(1), c.std(1), c.min(1), c.max(1)]).ravel(), *[np.column_stack([y.mean(1), y.std(1)]).ravel() for y in (d, d2)]])
+    return np.concatenate([np.column_stack([c.mean(1), c.std(1), c.min(1), c.max(1)]).ravel(), *[np.column_stack([y.mean(1), y.std(1)]).ravel()
+        for y in (d, d2)]])
 
 
 def boxed(e: Event, cfg: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -320,12 +348,14 @@ def crop_descriptors(e, cfg, spec):
         place = [c, np.sqrt(((f - c) ** 2 * by_f).sum() / total), f[min(reached, len(f) - 1)], (t * by_t).sum() / total]
     contrast = lambda x: float(np.subtract(*np.percentile(x, (90, 10)))) if len(x) > 1 else 0.0
     half = max(1, len(v) // 2)
-    return [*e.box, *place[:3], v.mean(), v.std(), v.max(), place[3], contrast(v.mean(1)), contrast(v.mean(0)), w[:half].sum() / max(tiny, total), w[half:].sum() / max(tiny, total)]
+    return [*e.box, *place[:3], v.mean(), v.std(), v.max(), place[3], contrast(v.mean(1)), contrast(v.mean(0)), w[:half].sum() / max(tiny, total),
+        w[half:].sum() / max(tiny, total)]
 
 
 def hog(e, cfg, spec):
     """Histogram of oriented gradients of the event's patch."""
-    return K.oriented_gradients(K.resize(band_crop(e, cfg), spec["height"], spec["width"]), spec.get("orientations", 9), spec.get("cell", 8), spec.get("block", 2))
+    return K.oriented_gradients(K.resize(band_crop(e, cfg), spec["height"], spec["width"]), spec.get("orientations", 9), spec.get("cell", 8),
+        spec.get("block", 2))
 
 
 def patch(e, cfg, spec):
@@ -354,7 +384,8 @@ def low_spectrogram(e, cfg, spec):
     p, f = np.abs(K.spectrum(x, w / w.sum(), hop, n_fft)) ** 2, K.bands_of(e.rate, n_fft)
     lo, hi = float(spec.get("f_min", LOW_RANGE[0])), min(float(spec.get("f_max", LOW_RANGE[1])), e.rate / 2)
     keep = (f >= lo) & (f <= hi)
-    f, p = (f[keep], p[keep]) if keep.any() else (np.linspace(lo, hi, max(2, int(spec.get("grid_points", 32)))), np.zeros((max(2, int(spec.get("grid_points", 32))), 1)))
+    f, p = (f[keep], p[keep]) if keep.any() else (np.linspace(lo, hi, max(2, int(spec.get("grid_points", 32)))), np.zeros((max(2,
+        int(spec.get("grid_points", 32))), 1)))
     p = np.maximum(p, 1e-20)
     if spec.get("total_energy_normalize"):
         p = p / max(p.sum(), 1e-20)
@@ -378,7 +409,8 @@ def _on(grid, f, profile):
 def notebook_lowfreq(e, cfg, spec):
     f, _, v = low_spectrogram(e, cfg, spec)
     g = np.linspace(spec["f_min"], spec["f_max"], spec["grid_points"])
-    return [*(K.stats(v) if spec["include_global"] else []), *(_on(g, f, v.mean(1)) if spec["include_mean"] else []), *(_on(g, f, v.max(1)) if spec["include_max"] else [])]
+    return [*(K.stats(v) if spec["include_global"] else []), *(_on(g, f, v.mean(1)) if spec["include_mean"] else []), *(_on(g, f, v.max(1))
+        if spec["include_max"] else [])]
 
 
 def relative_lowfreq(e, cfg, spec):
@@ -388,7 +420,8 @@ def relative_lowfreq(e, cfg, spec):
     inside = lambda a, b: p[(f >= a) & (f < b)].sum()
     e1, e2, e3, tiny, m = inside(10, 30), inside(30, 60), inside(60, 120), 1e-20, p.mean(1)
     total = p.sum() + tiny
-    more = [e1 / max(e2, tiny), e1 / max(e3, tiny), e2 / max(e3, tiny), inside(20, 30) / total, e2 / total, e3 / total, f[m.argmax()], m.max() / max(np.median(m), tiny), *K.spread(f, m, tiny)]
+    more = [e1 / max(e2, tiny), e1 / max(e3, tiny), e2 / max(e3, tiny), inside(20, 30) / total, e2 / total, e3 / total, f[m.argmax()],
+        m.max() / max(np.median(m), tiny), *K.spread(f, m, tiny)]
     return [*(power / max(power.sum(), tiny)), *(mean - np.median(mean)), *(top - np.median(top)), *more]
 
 
@@ -428,7 +461,8 @@ def notebook_exact(e, cfg, spec):
     tail = [_closed(f, mean, 20, 30, np.mean), _closed(f, top, 20, 30, np.max)] if spec["variant"] == "26" else _on(GRID20, f, top)
     lo = e.number("low_frequency")
     hi = e.number("high_frequency", lo)
-    return [*K.stats(db), *_on(GRID20, f, mean), *tail, *([e.box[0]] if spec.get("include_duration") else []), *([lo, hi, max(0.0, hi - lo), (lo + hi) / 2] if spec.get("include_bbox") else [])]
+    return [*K.stats(db), *_on(GRID20, f, mean), *tail, *([e.box[0]] if spec.get("include_duration") else []), *([lo, hi, max(0.0, hi - lo), (lo
+        + hi) / 2] if spec.get("include_bbox") else [])]
 
 
 def class_region_lowfreq(e, cfg, spec):
@@ -437,9 +471,11 @@ def class_region_lowfreq(e, cfg, spec):
     energy = lambda a, b: p[(f >= a) & (f <= b)].sum()
     total = max(energy(10, 120), tiny)
     regions = [v for _, a, b in REGIONS for v in (_closed(f, mean, a, b, np.mean), _closed(f, top, a, b, np.max), energy(a, b) / total)]
-    ratios = [energy(16, 30) / max(energy(30, 60), tiny), energy(20, 30) / max(energy(80, 120), tiny), energy(30, 90) / total, energy(80, 120) / max(energy(15, 30), tiny)]
+    ratios = [energy(16, 30) / max(energy(30, 60), tiny), energy(20, 30) / max(energy(80, 120), tiny), energy(30, 90) / total, energy(80,
+        120) / max(energy(15, 30), tiny)]
     t, loud, profile = p.sum(0) / max(p.sum(), tiny), f[p.argmax(0)], p.mean(1)
-    return [*regions, *ratios, e.box[0], *K.time_shape(t), *K.stats(loud), K.slope(loud), *K.spread(f, profile, tiny), K.peak_count(profile), energy(80, 120) / max(energy(20, 30), tiny)]
+    return [*regions, *ratios, e.box[0], *K.time_shape(t), *K.stats(loud), K.slope(loud), *K.spread(f, profile, tiny), K.peak_count(profile), energy(80,
+        120) / max(energy(20, 30), tiny)]
 
 
 def event_tensor(e: Event, cfg: dict, size: int = 64) -> np.ndarray:
@@ -463,7 +499,8 @@ def augmented(tensor: np.ndarray, seed: int) -> np.ndarray:
     return np.clip(out, 0, 1).astype(np.float32)
 
 
-FAMILIES = {f.__name__: f for f in (waveform_stats, spectral_stats, handcrafted_stats, band_energy, logmel_stats, mfcc, patch, gradient_hist, notebook_lowfreq, relative_lowfreq, temporal_lowfreq, notebook_exact, class_region_lowfreq, crop_descriptors, hog)}
+FAMILIES = {f.__name__: f for f in (waveform_stats, spectral_stats, handcrafted_stats, band_energy, logmel_stats, mfcc, patch, gradient_hist,
+    notebook_lowfreq, relative_lowfreq, temporal_lowfreq, notebook_exact, class_region_lowfreq, crop_descriptors, hog)}
 
 
 def vector(e: Event, cfg: dict, name) -> np.ndarray:
@@ -556,7 +593,8 @@ def export_representation(events: DataFrame, waves: DataFrame, family: str, cfg:
     names, width = feature_names(spec), size * size if family != "handcrafted" else len(CROP)
     if pca:
         part = rows.withColumn("features", F.slice("features", 1, width).cast("array<double>"))
-        reduced = fitted.reduce(fitted.one_fold(part, part), f"pca:{pca}").where("is_test").select("id", F.col("features").cast("array<float>").alias("reduced"))
+        reduced = fitted.reduce(fitted.one_fold(part, part), f"pca:{pca}").where("is_test").select("id",
+            F.col("features").cast("array<float>").alias("reduced"))
         joined = rows.join(stage(reduced, "representation-pca"), "id")
         k = joined.select(F.size("reduced")).first()
         rows = joined.select("id", "label", F.concat("reduced", F.slice("features", width + 1, max(1, len(names) - width))).alias("features"))

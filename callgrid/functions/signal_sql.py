@@ -82,7 +82,8 @@ def peak_count(x: Column) -> Column:
     from callgrid.functions.scalars import mean, std
 
     runs = F.filter(x, lambda v, i: (i == 0) | (v != F.get(x, i - 1)))
-    inner = lambda r, level: F.filter(r, lambda v, i: (i > 0) & (i < F.size(r) - 1) & (v > F.get(r, i - 1)) & (v > F.get(r, i + 1)) & (v >= level))
+    inner = lambda r, level: F.filter(r, lambda v, i: (i > 0) & (i < F.size(r) - 1) & (v > F.get(r, i - 1)) & (v > F.get(r, i
+        + 1)) & (v >= level))
     counted = F.transform(F.array(F.struct(runs.alias("r"), (mean(x) + std(x)).alias("level"))), lambda s: F.size(inner(s["r"], s["level"])))
     return F.element_at(counted, 1)
 

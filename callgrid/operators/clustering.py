@@ -35,9 +35,11 @@ def dbscan(rows: DataFrame, eps: float, least: int, axes: int = 3, features: str
     steps = F.expr("sequence(-1, 1)")
     near = pts.select("id", "v", "cell")
     for i in range(axes):
-        near = near.withColumn("d", F.explode(steps)).withColumn("cell", F.transform("cell", lambda c, j: F.when(j == i, c + F.col("d")).otherwise(c))).drop("d")  # noqa: B023
+        near = near.withColumn("d", F.explode(steps)).withColumn("cell", F.transform("cell", lambda c, j: F.when(j == i, c
+            + F.col("d")).otherwise(c))).drop("d")  # noqa: B023
     far = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    links = stage(near.join(pts.select(F.col("id").alias("other"), F.col("v").alias("w"), "cell"), "cell").where(far <= eps).select("id", "other"), "dbscan-links")
+    links = stage(near.join(pts.select(F.col("id").alias("other"), F.col("v").alias("w"), "cell"), "cell").where(far <= eps).select("id", "other"),
+        "dbscan-links")
     core = links.groupBy("id").count().where(F.col("count") >= least).select("id")
     of_core = links.join(core, "id").join(core.select(F.col("id").alias("other")), "other")
     labels = components(of_core.select(F.col("id").alias("a"), F.col("other").alias("b")))
@@ -112,7 +114,8 @@ def silhouette(rows: DataFrame, features: str = "features", block: int = 4096) -
     from callgrid.operators.knn import distances
     from callgrid.runtime import stage
 
-    own = stage(rows.where("cluster IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("cluster").cast("long").alias("cluster"), F.col(features).alias("v")), "silhouette-rows")
+    own = stage(rows.where("cluster IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("cluster").cast("long").alias("cluster"),
+        F.col(features).alias("v")), "silhouette-rows")
     n = -(-max(1, own.count()) // block)
     part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = F.explode(F.expr(f"sequence(0, {n - 1})"))
@@ -129,14 +132,17 @@ def silhouette(rows: DataFrame, features: str = "features", block: int = 4096) -
                 d = distances(matrix(x.slice(lo, 256)), other, "euclidean")
                 total = np.stack([d[:, of == c].sum(1) for c in range(len(clusters))], 1)
                 ids = x.column("id").slice(lo, 256).to_numpy()
-                for column, values in zip(out, (np.repeat(ids, len(clusters)), np.tile(clusters, len(ids)), total.ravel(), np.tile(counts, len(ids))), strict=True):
+                for column, values in zip(out, (np.repeat(ids, len(clusters)), np.tile(clusters, len(ids)), total.ravel(), np.tile(counts, len(ids))),
+                    strict=True):
                     column.extend(values.tolist())
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["id", "other", "total", "n"])
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["id", "other",
+            "total", "n"])
 
     met = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInArrow(sums, "id long, other long, total double, n long")
     means = met.groupBy("id", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).join(own.select("id", "cluster"), "id")
     inner, same = F.col("total") / (F.col("n") - 1), F.col("other") == F.col("cluster")
-    both = means.groupBy("id", "cluster").agg(F.max(F.when(same & (F.col("n") > 1), inner)).alias("a"), F.min(F.when(~same, F.col("total") / F.col("n"))).alias("b"))
+    both = means.groupBy("id", "cluster").agg(F.max(F.when(same & (F.col("n") > 1), inner)).alias("a"), F.min(F.when(~same,
+        F.col("total") / F.col("n"))).alias("b"))
     value = F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
     return both.select("id", "cluster", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(value).alias("silhouette"))
 
@@ -152,7 +158,8 @@ def measures(rows: DataFrame, assigned: DataFrame) -> DataFrame:
         matrix[clusters.index(r[0]), labels.index(r[1])] = r["count"]
     ami = adjusted_mutual_information(matrix) if len(counts) else 0.0
     mean = silhouette(table).agg(F.avg("silhouette")).first()[0] if len(clusters) > 1 else None
-    return contingency_measures(table).withColumns({"ami": F.lit(float(ami)), "silhouette": F.lit(mean).cast("double"), "clusters_found": F.lit(len(clusters)), "assigned_fraction": 1 - F.col("noise_fraction")})
+    return contingency_measures(table).withColumns({"ami": F.lit(float(ami)), "silhouette": F.lit(mean).cast("double"),
+        "clusters_found": F.lit(len(clusters)), "assigned_fraction": 1 - F.col("noise_fraction")})
 
 
 def explore(rows: DataFrame, n_clusters: int, eps: float = 1.5, least: int = 10, seeds: int = 20) -> dict[str, DataFrame]:
@@ -165,7 +172,8 @@ def explore(rows: DataFrame, n_clusters: int, eps: float = 1.5, least: int = 10,
     both = fitted.one_fold(rows.select("id", "label", "features"), rows.select("id", "label", "features"))
     scaled = stage(fitted.scale(both, "standard").where("is_test").select("id", "label", "features"), "cluster-rows")
     found = {"kmeans": k_means(scaled, n_clusters, seeds), "dbscan": dbscan(scaled, eps, least), "mean_shift": mean_shift(scaled)}
-    staged = {m: stage(scaled.select("id", "label").join(t.select("id", F.col("cluster").cast("long").alias("cluster")), "id"), f"cluster-{m}") for m, t in found.items()}
+    staged = {m: stage(scaled.select("id", "label").join(t.select("id", F.col("cluster").cast("long").alias("cluster")), "id"), f"cluster-{m}") for m,
+        t in found.items()}
     named = [t.select(F.lit(m).alias("method"), "*") for m, t in staged.items()]
     scores = reduce(DataFrame.unionByName, [measures(scaled, t).select(F.lit(m).alias("method"), "*") for m, t in staged.items()])
     every = reduce(DataFrame.unionByName, named)
@@ -184,15 +192,19 @@ def contingency_measures(rows: DataFrame) -> DataFrame:
     c = c.withColumns({"a": F.sum("n").over(W.partitionBy("cluster")), "b": F.sum("n").over(W.partitionBy("label")), "t": F.sum("n").over(W.partitionBy())})
     pairs = lambda x: x * (x - 1) / 2
     one = c.agg(
-        F.sum(-(F.col("n") / F.col("t")) * F.log(F.col("b") / F.col("t"))).alias("h_label"), F.sum(-(F.col("n") / F.col("t")) * F.log(F.col("a") / F.col("t"))).alias("h_cluster"),
+        F.sum(-(F.col("n") / F.col("t")) * F.log(F.col("b") / F.col("t"))).alias("h_label"),
+            F.sum(-(F.col("n") / F.col("t")) * F.log(F.col("a") / F.col("t"))).alias("h_cluster"),
         F.sum((F.col("n") / F.col("t")) * F.log(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("mi"), F.sum(pairs(F.col("n"))).alias("both"),
-        F.sum(F.col("n") / F.col("a") * pairs(F.col("a"))).alias("same_cluster"), F.sum(F.col("n") / F.col("b") * pairs(F.col("b"))).alias("same_label"), F.max(pairs(F.col("t"))).alias("pairs"),
+        F.sum(F.col("n") / F.col("a") * pairs(F.col("a"))).alias("same_cluster"), F.sum(F.col("n") / F.col("b") * pairs(F.col("b"))).alias("same_label"),
+            F.max(pairs(F.col("t"))).alias("pairs"),
     )
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(1.0))
     expected = F.col("same_cluster") * F.col("same_label") / F.col("pairs")
     return one.crossJoin(n_all).select(  # one row each
-        share(F.col("mi"), F.col("h_label")).alias("homogeneity"), share(F.col("mi"), F.col("h_cluster")).alias("completeness"), share(2 * F.col("mi"), F.col("h_label") + F.col("h_cluster")).alias("nmi"),
-        share(F.col("both") - expected, (F.col("same_cluster") + F.col("same_label")) / 2 - expected).alias("ari"), (1 - F.col("assigned") / F.col("all")).alias("noise_fraction"),
+        share(F.col("mi"), F.col("h_label")).alias("homogeneity"), share(F.col("mi"), F.col("h_cluster")).alias("completeness"), share(2 * F.col("mi"),
+            F.col("h_label") + F.col("h_cluster")).alias("nmi"),
+        share(F.col("both") - expected, (F.col("same_cluster") + F.col("same_label")) / 2 - expected).alias("ari"),
+            (1 - F.col("assigned") / F.col("all")).alias("noise_fraction"),
     )
 
 

@@ -50,7 +50,8 @@ def _cells(table: DataFrame) -> DataFrame:
 
 def _arrays(stats: DataFrame, **columns) -> DataFrame:
     """(fold, an array over positions for each column) from rows by (fold, pos)."""
-    packed = stats.select("fold", F.struct("pos", *[c.alias(n) for n, c in columns.items()]).alias("s")).groupBy("fold").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    packed = stats.select("fold", F.struct("pos", *[c.alias(n) for n,
+        c in columns.items()]).alias("s")).groupBy("fold").agg(F.array_sort(F.collect_list("s")).alias("s"))
     return packed.select("fold", *[F.col(f"s.{n}").alias(f"__{n}") for n in columns])
 
 
@@ -85,7 +86,8 @@ def _quantile(table: DataFrame, normal: bool) -> DataFrame:
     values = F.lit(prep.normal_quantile(grid).tolist())  # a fixed table, read with linear interpolation
     step = lambda u: u * (NORMAL_KNOTS - 1)
     low = lambda u: F.least(F.floor(step(u)), F.lit(NORMAL_KNOTS - 2)).cast("int")
-    return out.withColumn("features", F.transform("features", lambda u: F.get(values, low(u)) + (step(u) - low(u)) * (F.get(values, low(u) + 1) - F.get(values, low(u)))))
+    return out.withColumn("features", F.transform("features", lambda u: F.get(values, low(u)) + (step(u) - low(u)) * (F.get(values, low(u)
+        + 1) - F.get(values, low(u)))))
 
 
 def _power(table: DataFrame) -> DataFrame:
@@ -125,7 +127,8 @@ def _projected(table: DataFrame, components: dict, mean: dict) -> DataFrame:
     """Centred features on each fold's components, from the driver: folds x components x positions numbers."""
     spark = table.sparkSession
     rows = [(int(f), [[float(v) for v in c] for c in components[f]], [float(v) for v in mean[f]]) for f in components]
-    arrays = spark.createDataFrame(rows, "fold int, __axes array<array<double>>, __mean array<double>").withColumn("fold", F.col("fold").cast(table.schema["fold"].dataType))
+    arrays = spark.createDataFrame(rows, "fold int, __axes array<array<double>>, __mean array<double>").withColumn("fold",
+        F.col("fold").cast(table.schema["fold"].dataType))
     centred = F.zip_with("features", "__mean", lambda x, m: x - m)
     dot = lambda axis: F.aggregate(F.zip_with(centred, axis, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
     return _with(table, arrays, F.transform("__axes", dot))

@@ -87,7 +87,8 @@ def hold_out(rows: DataFrame, share: float = 0.2, label: str = "label", id_colum
     return rows.withColumn("held_out", rank >= 1 - share)
 
 
-def selection_split(rows: DataFrame, share: float = 0.25, group: str | None = None, label: str = "label", id_column: str = "id", seed: int = 0) -> tuple[DataFrame, str]:
+def selection_split(rows: DataFrame, share: float = 0.25, group: str | None = None, label: str = "label", id_column: str = "id",
+    seed: int = 0) -> tuple[DataFrame, str]:
     """(rows with column held_out, how): a share of the groups, one at least and not all, if there are several and both
     sides have two labels; else a stratified share; else rows at random."""
     if group:
@@ -96,7 +97,8 @@ def selection_split(rows: DataFrame, share: float = 0.25, group: str | None = No
         if n > 1:
             k = max(1, min(n - 1, round(share * n)))
             chosen = names.orderBy(*shuffled(group, seed)).limit(k).select(F.col(group).alias("__group"), F.lit(True).alias("held_out"))
-            out = rows.join(chosen, F.col(group).eqNullSafe(F.col("__group")), "left").drop("__group").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+            out = rows.join(chosen, F.col(group).eqNullSafe(F.col("__group")), "left").drop("__group").withColumn("held_out", F.coalesce("held_out",
+                F.lit(False)))
             sides = out.groupBy("held_out").agg(F.count_distinct(label).alias("labels")).agg(F.min("labels"), F.count("*")).first()
             if sides[0] is not None and sides[0] >= 2 and sides[1] == 2:
                 return out, "group_shuffle"

@@ -32,7 +32,8 @@ def checked(rows: DataFrame, aliases: dict = L.ALIASES, display: dict = L.DISPLA
     first = W.partitionBy(*EVENT_KEY, eligible).orderBy("file_rank", "source_row")
     duration = F.col("end_seconds") - F.col("start_seconds")
     clip0, clip1 = F.greatest(F.lit(0.0), "start_seconds"), F.least("end_seconds", "audio_duration_seconds")
-    out = out.withColumns({"__repeat": eligible & (F.row_number().over(first) > 1), "duration_seconds": duration, "clip_start_seconds": clip0, "clip_end_seconds": clip1, "real_duration_seconds": clip1 - clip0})
+    out = out.withColumns({"__repeat": eligible & (F.row_number().over(first) > 1), "duration_seconds": duration, "clip_start_seconds": clip0,
+        "clip_end_seconds": clip1, "real_duration_seconds": clip1 - clip0})
     issue = (
         F.when(F.col("label").isNull(), F.concat(F.lit("unknown_label_alias:"), "label_raw"))
         .when(~F.col("audio_exists"), "missing_audio")
@@ -44,7 +45,8 @@ def checked(rows: DataFrame, aliases: dict = L.ALIASES, display: dict = L.DISPLA
         .when(F.col("real_duration_seconds") < min_valid_seconds, "too_little_audio")
     )
     status = F.when(F.col("end_seconds") <= F.col("audio_duration_seconds"), "ok").otherwise("clipped_end")
-    return out.withColumns({"issue": issue, "label_display": L.mapped(F.col("label"), display), "quality_status": status, "valid_event": F.lit(True)}).drop("__repeat")
+    return out.withColumns({"issue": issue, "label_display": L.mapped(F.col("label"), display), "quality_status": status,
+        "valid_event": F.lit(True)}).drop("__repeat")
 
 
 def manifest(all_rows: DataFrame) -> DataFrame:
@@ -79,7 +81,8 @@ def split_of_path(path, default: str = "validation"):
 
 
 def split_role(split, official: str = "validation"):
-    return F.when(split == official, "official_held_out_test").when(split == "inner_validation", "inner_validation").when(split == "train", "official_train").otherwise("custom")
+    return F.when(split == official, "official_held_out_test").when(split == "inner_validation", "inner_validation").when(split == "train",
+        "official_train").otherwise("custom")
 
 
 def metadata(rows: DataFrame, columns, optional=()) -> DataFrame:

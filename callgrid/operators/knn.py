@@ -42,7 +42,8 @@ def distances(q: np.ndarray, t: np.ndarray, metric: str, p: float = 2.0) -> np.n
     return out
 
 
-def neighbours(train: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, exclude_self: bool = False, block: int = BLOCK, by: str | None = None) -> DataFrame:
+def neighbours(train: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, exclude_self: bool = False, block: int = BLOCK,
+    by: str | None = None) -> DataFrame:
     """([by], query_id, rank from 1, neighbor_id, distance) from (id, features) tables; with ``by``, an integer column of
     both, queries meet the train rows of their own value only. Fewer train rows than k are all returned."""
     if metric not in METRICS:
@@ -113,9 +114,11 @@ def neighbour_report(near: DataFrame, meta: DataFrame) -> DataFrame:
     rows = near.join(meta.select(F.col("id").alias("neighbor_id"), "label", "domain"), "neighbor_id")
     of = F.array_sort(F.collect_list(F.struct("rank", "neighbor_id", "label", "domain", "distance")))
     text = lambda c: F.array_join(F.transform("x", lambda r: r[c].cast("string")), " ")
-    return rows.groupBy("query_id").agg(of.alias("x"), F.avg("distance").alias("mean_distance")).select("query_id", text("neighbor_id").alias("neighbor_ids"), text("label").alias("neighbor_labels"), text("domain").alias("neighbor_domains"), "mean_distance")
+    return rows.groupBy("query_id").agg(of.alias("x"), F.avg("distance").alias("mean_distance")).select("query_id",
+        text("neighbor_id").alias("neighbor_ids"), text("label").alias("neighbor_labels"), text("domain").alias("neighbor_domains"), "mean_distance")
 
 
 def distance_stats(report: DataFrame, correct: str = "correct") -> DataFrame:
     """Mean neighbour distances by correctness: count, mean, median, 90th percentile."""
-    return report.groupBy(correct).agg(F.count("*").alias("n"), F.avg("mean_distance").alias("mean"), F.percentile("mean_distance", 0.5).alias("median"), F.percentile("mean_distance", 0.9).alias("p90"))
+    return report.groupBy(correct).agg(F.count("*").alias("n"), F.avg("mean_distance").alias("mean"), F.percentile("mean_distance", 0.5).alias("median"),
+        F.percentile("mean_distance", 0.9).alias("p90"))

@@ -27,7 +27,8 @@ def confusion(predictions: DataFrame, classes, groups=(), **names) -> DataFrame:
     dim = class_table(predictions.sparkSession, classes)
     grid = dim.select(F.col("label").alias("true"), F.explode(F.array(*[F.lit(x) for x in classes])).alias("pred"))
     if groups:
-        grid = _groups(c, groups).select(*groups, F.explode(F.array(*[F.lit(x) for x in classes])).alias("true")).withColumn("pred", F.explode(F.array(*[F.lit(x) for x in classes])))
+        grid = _groups(c, groups).select(*groups, F.explode(F.array(*[F.lit(x) for x in classes])).alias("true")).withColumn("pred",
+            F.explode(F.array(*[F.lit(x) for x in classes])))
     on = [*groups, "true", "pred"]
     return grid.join(c, on, "left").select(*on, F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -44,7 +45,8 @@ def confusion_table(dense: DataFrame, classes) -> DataFrame:
 
 def with_class_columns(predictions: DataFrame, classes, probs: str = "probs") -> DataFrame:
     """Predictions with a column prob_<class> for every declared class instead of the map, 0 where it has none."""
-    return predictions.select(*[c for c in predictions.columns if c != probs], *[F.coalesce(F.try_element_at(probs, F.lit(c)), F.lit(0.0)).alias(f"prob_{c}") for c in classes])
+    return predictions.select(*[c for c in predictions.columns if c != probs], *[F.coalesce(F.try_element_at(probs, F.lit(c)),
+        F.lit(0.0)).alias(f"prob_{c}") for c in classes])
 
 
 def _ratio(a, b):
@@ -53,9 +55,11 @@ def _ratio(a, b):
 
 def per_class(dense: DataFrame, groups=()) -> DataFrame:
     """(groups..., label, precision, recall, f1, support, predicted); 0 where undefined."""
-    sides = dense.select(*groups, F.explode(F.array(F.struct(F.col("true").alias("label"), F.lit(1).alias("t")), F.struct(F.col("pred").alias("label"), F.lit(0).alias("t")))).alias("x"), "n", (F.col("true") == F.col("pred")).alias("hit"))
+    sides = dense.select(*groups, F.explode(F.array(F.struct(F.col("true").alias("label"), F.lit(1).alias("t")), F.struct(F.col("pred").alias("label"),
+        F.lit(0).alias("t")))).alias("x"), "n", (F.col("true") == F.col("pred")).alias("hit"))
     sums = sides.groupBy(*groups, F.col("x.label").alias("label")).agg(
-        F.sum(F.col("n") * F.col("x.t")).alias("support"), F.sum(F.col("n") * (1 - F.col("x.t"))).alias("predicted"), F.sum(F.when(F.col("hit"), F.col("n") * F.col("x.t")).otherwise(0)).alias("tp"),
+        F.sum(F.col("n") * F.col("x.t")).alias("support"), F.sum(F.col("n") * (1 - F.col("x.t"))).alias("predicted"), F.sum(F.when(F.col("hit"),
+            F.col("n") * F.col("x.t")).otherwise(0)).alias("tp"),
     )
     out = sums.withColumns({"precision": _ratio(F.col("tp"), F.col("predicted")), "recall": _ratio(F.col("tp"), F.col("support"))})
     f1 = _ratio(2 * F.col("precision") * F.col("recall"), F.when(F.col("precision") + F.col("recall") > 0, F.col("precision") + F.col("recall")))
@@ -69,8 +73,10 @@ def summary(classes_table: DataFrame, groups=()) -> DataFrame:
     return classes_table.groupBy(*groups).agg(
         F.sum("support").alias("support"), _ratio(F.sum("tp"), F.sum("support")).alias("accuracy"),
         *[F.avg(m).alias(f"macro_{m}") for m in ("precision", "recall", "f1")],
-        F.coalesce(F.avg(F.when(here, F.col("f1"))), F.lit(0.0)).alias("present_macro_f1"), F.coalesce(F.avg(F.when(here, F.col("recall"))), F.lit(0.0)).alias("balanced_accuracy"),
-        F.coalesce(F.avg(F.when(here | (F.col("predicted") > 0), F.col("f1"))), F.lit(0.0)).alias("macro_f1_fold"), F.min("recall").alias("min_class_recall"), *[v.alias(k) for k, v in weighted.items()],
+        F.coalesce(F.avg(F.when(here, F.col("f1"))), F.lit(0.0)).alias("present_macro_f1"), F.coalesce(F.avg(F.when(here, F.col("recall"))),
+            F.lit(0.0)).alias("balanced_accuracy"),
+        F.coalesce(F.avg(F.when(here | (F.col("predicted") > 0), F.col("f1"))), F.lit(0.0)).alias("macro_f1_fold"),
+            F.min("recall").alias("min_class_recall"), *[v.alias(k) for k, v in weighted.items()],
     )
 
 
@@ -80,7 +86,8 @@ def metrics(predictions: DataFrame, classes, groups=(), **names) -> DataFrame:
 
 def report_rows(classes_table: DataFrame) -> DataFrame:
     """The per-class report unpivoted to (label, metric, score)."""
-    return classes_table.select("label", F.explode(F.create_map(*[x for m in ("precision", "recall", "f1", "support") for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "score"))
+    return classes_table.select("label", F.explode(F.create_map(*[x for m in ("precision", "recall", "f1", "support") for x in (F.lit(m),
+        F.col(m).cast("double"))])).alias("metric", "score"))
 
 
 def errors(predictions: DataFrame) -> DataFrame:
@@ -105,13 +112,15 @@ def within_family_errors(predictions: DataFrame, families: dict) -> DataFrame:
     from callgrid.functions.labels import mapped
 
     e = errors(predictions).withColumns({"family": mapped(F.col("y_true_label"), families), "__other": mapped(F.col("y_pred_label"), families)})
-    return e.where(F.col("family") == F.col("__other")).groupBy("family", "y_true_label", "y_pred_label").agg(F.count("*").alias("count")).orderBy("family", F.desc("count"), "y_true_label", "y_pred_label")
+    return e.where(F.col("family") == F.col("__other")).groupBy("family", "y_true_label",
+        "y_pred_label").agg(F.count("*").alias("count")).orderBy("family", F.desc("count"), "y_true_label", "y_pred_label")
 
 
 def predicted_vs_true(predictions: DataFrame, classes) -> DataFrame:
     """Counts of each class as truth and as prediction, and their difference."""
     c = cube(predictions)
-    sums = c.select(F.explode(F.array(F.struct(F.col("true").alias("label"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p")), F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p")))).alias("x"))
+    sums = c.select(F.explode(F.array(F.struct(F.col("true").alias("label"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p")),
+        F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p")))).alias("x"))
     sums = sums.groupBy(F.col("x.label").alias("label")).agg(F.sum("x.t").alias("t"), F.sum("x.p").alias("p"))
     out = class_table(predictions.sparkSession, classes).join(sums, "label", "left")
     t, p = (F.coalesce(x, F.lit(0)).cast("long") for x in ("t", "p"))
@@ -121,7 +130,9 @@ def predicted_vs_true(predictions: DataFrame, classes) -> DataFrame:
 def confidence_analysis(predictions: DataFrame, classes) -> DataFrame:
     """By true class: support, accuracy, mean and median probability of the truth, mean confidence; 0 when empty."""
     hit = (F.col("y_true_label") == F.col("y_pred_label")).cast("double")
-    by = predictions.groupBy(F.col("y_true_label").alias("label")).agg(F.count("*").alias("support"), F.avg(hit).alias("accuracy"), F.avg("true_probability").alias("mean_true_probability"), F.percentile("true_probability", 0.5).alias("median_true_probability"), F.avg("pred_confidence").alias("mean_confidence"))
+    by = predictions.groupBy(F.col("y_true_label").alias("label")).agg(F.count("*").alias("support"), F.avg(hit).alias("accuracy"),
+        F.avg("true_probability").alias("mean_true_probability"), F.percentile("true_probability", 0.5).alias("median_true_probability"),
+            F.avg("pred_confidence").alias("mean_confidence"))
     out = class_table(predictions.sparkSession, classes).join(by, "label", "left").drop("label_idx")
     return out.na.fill(0)
 
@@ -155,7 +166,8 @@ def pr_curve(predictions: DataFrame, score: str = "score", positive: str = "posi
     total = F.sum("tp_here").over(W.partitionBy(*groups))
     pts = by.withColumns({"tp": F.sum("tp_here").over(w), "n": F.sum("n_here").over(w), "total": total})
     precision = F.col("tp") / F.col("n")
-    return pts.select(*groups, score, precision.alias("precision"), _ratio(F.col("tp"), F.col("total")).alias("recall"), (precision * _ratio(F.col("tp_here"), F.col("total"))).alias("ap_part"))
+    return pts.select(*groups, score, precision.alias("precision"), _ratio(F.col("tp"), F.col("total")).alias("recall"),
+        (precision * _ratio(F.col("tp_here"), F.col("total"))).alias("ap_part"))
 
 
 def average_precision(predictions: DataFrame, score: str = "score", positive: str = "positive", groups=("label",)) -> DataFrame:
@@ -168,7 +180,8 @@ def threshold_report(classes_table: DataFrame, least: float = 0.8) -> DataFrame:
 
 def with_true_probability(predictions: DataFrame, probs: str = "probs") -> DataFrame:
     """Adds pred_confidence and true_probability from a map label -> probability."""
-    return predictions.withColumns({"pred_confidence": F.array_max(F.map_values(probs)), "true_probability": F.coalesce(F.try_element_at(probs, "y_true_label"), F.lit(0.0))})
+    return predictions.withColumns({"pred_confidence": F.array_max(F.map_values(probs)), "true_probability": F.coalesce(F.try_element_at(probs,
+        "y_true_label"), F.lit(0.0))})
 
 
 def audit_checks(dense: DataFrame) -> DataFrame:

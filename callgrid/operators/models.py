@@ -41,7 +41,8 @@ def estimator(name: str, n_features: int, n_classes: int, seed: int = 0, sizes:
     if name == "random_forest":
         return C.RandomForestClassifier(numTrees=z["trees"], maxDepth=z["depth"], featureSubsetStrategy="sqrt", seed=seed, weightCol="weight", **common)
     if name == "gradient_boosting":
-        return C.OneVsRest(classifier=C.GBTClassifier(maxIter=z["rounds"], maxDepth=3, stepSize=0.1, seed=seed, weightCol="weight"), weightCol="weight", **common)
+        return C.OneVsRest(classifier=C.GBTClassifier(maxIter=z["rounds"], maxDepth=3, stepSize=0.1, seed=seed, weightCol="weight"), weightCol="weight",
+            **common)
     if name == "mlp":
         return C.MultilayerPerceptronClassifier(layers=[n_features, z["hidden"], n_classes], maxIter=z["mlp_iterations"], seed=seed, **common)
     raise ValueError(f"unknown model {name!r}; known: {', '.join(MODELS)}")
@@ -81,7 +82,8 @@ def pruned_tree(train: DataFrame, selection: DataFrame, classes, seed: int = 0,
 
     ready, judged, found = balanced(_ready(train, classes)).cache(), _ready(selection, classes).cache(), []
     for limit, gain in trials:
-        tree = DecisionTreeClassifier(maxDepth=limit, minInfoGain=gain, seed=seed, featuresCol="vector", labelCol="label_idx", predictionCol="prediction", weightCol="weight")
+        tree = DecisionTreeClassifier(maxDepth=limit, minInfoGain=gain, seed=seed, featuresCol="vector", labelCol="label_idx", predictionCol="prediction",
+            weightCol="weight")
         model = tree.fit(ready)
         score = metrics(_named(model.transform(judged), classes), classes).first()["macro_f1"]
         leaves = (model.numNodes + 1) // 2
@@ -91,7 +93,8 @@ def pruned_tree(train: DataFrame, selection: DataFrame, classes, seed: int = 0,
     return min(found, key=lambda x: x[0])[1], [x[2] for x in found]
 
 
-def predictions(train: DataFrame, test: DataFrame, name: str, classes, seed: int = 0, sizes: dict | None = None, selection: DataFrame | None = None) -> DataFrame:
+def predictions(train: DataFrame, test: DataFrame, name: str, classes, seed: int = 0, sizes: dict | None = None, selection: DataFrame
+    | None = None) -> DataFrame:
     """(id, y_true_label, y_pred_label) of the test rows; the tables are (id, label, features). ``selection`` is what the
     pruned tree is chosen on."""
     if name not in MODELS:

@@ -155,9 +155,11 @@ def power_exponents(values: DataFrame, keys: list[str], low: float = -4.0, high:
     best = values.groupBy(*keys).agg(F.lit(low).alias("a"), F.lit(high).alias("b"), (F.max("x") > F.min("x")).alias("varied"))
     for _ in range(rounds):
         step = (F.col("b") - F.col("a")) / (points - 1)
-        grid = best.where("varied").select(*keys, step.alias("step"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("a") + i * step)).alias("lam"))
+        grid = best.where("varied").select(*keys, step.alias("step"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("a")
+            + i * step)).alias("lam"))
         tried = values.join(grid, keys).withColumn("y", yeo_johnson_column(F.col("x"), F.col("lam")))
-        sums = tried.groupBy(*keys, "lam", "step").agg(F.var_pop("y").alias("v"), F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("s"), F.count("*").alias("n"))
+        sums = tried.groupBy(*keys, "lam", "step").agg(F.var_pop("y").alias("v"), F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("s"),
+            F.count("*").alias("n"))
         loss = 0.5 * F.col("n") * F.log(F.greatest("v", F.lit(1e-300))) - (F.col("lam") - 1) * F.col("s")
         won = sums.groupBy(*keys).agg(F.min_by(F.struct("lam", "step"), F.struct(F.round(loss, 9), "lam")).alias("w"))
         won = won.select(*keys, (F.col("w.lam") - F.col("w.step")).alias("a"), (F.col("w.lam") + F.col("w.step")).alias("b"), F.lit(True).alias("varied"))
@@ -185,7 +187,8 @@ def covariances(rows: DataFrame, means: dict, by: str = "fold", features: str =
                 s, n = total.get(f, (0.0, 0))
                 total[f] = s + y.T @ y, n + len(y)
         for f, (s, n) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([n], pa.int64()), pa.array([s.ravel().tolist()], pa.list_(pa.float64()))], names=["fold", "n", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([n], pa.int64()), pa.array([s.ravel().tolist()],
+                pa.list_(pa.float64()))], names=["fold", "n", "s"])
 
     parts = rows.select(F.col(by).cast("int"), features).mapInArrow(partial, "fold int, n long, s array<double>")
     summed = parts.select("fold", "n", F.posexplode("s").alias("at", "v")).groupBy("fold", "at").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
@@ -290,13 +293,15 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0)
             continue
         kk = min(k, len(own) - 1)
         # the k nearest in a sorted column lie in a window of k on either side
-        around = np.stack([np.abs(own - np.concatenate([np.full(max(0, o), np.inf), own, np.full(max(0, -o), np.inf)])[max(0, -o) : max(0, -o) + len(own)]) for o in range(-kk, kk + 1) if o])
+        around = np.stack([np.abs(own - np.concatenate([np.full(max(0, o), np.inf), own, np.full(max(0, -o), np.inf)])[max(0, -o) : max(0, -o)
+            + len(own)]) for o in range(-kk, kk + 1) if o])
         radius = np.nextafter(np.partition(around, kk - 1, axis=0)[kk - 1], 0)
         low, high = np.searchsorted(whole, own - radius, "left"), np.searchsorted(whole, own + radius, "right")
         for ends, at, out in ((low, 0, 1), (high, -1, -1)):  # sums round: a border row is in by its own difference
             while (far := (low < high) & (np.abs(whole[np.clip(ends + at, 0, len(whole) - 1)] - own) > radius)).any():
                 ends += out * far
-            while (near := (ends + at - out >= 0) & (ends + at - out < len(whole)) & (np.abs(whole[np.clip(ends + at - out, 0, len(whole) - 1)] - own) <= radius)).any():
+            while (near := (ends + at - out >= 0) & (ends + at - out < len(whole)) & (np.abs(whole[np.clip(ends + at - out, 0,
+                len(whole) - 1)] - own) <= radius)).any():
                 ends -= out * near
         total += sum(digamma(kk) - digamma(len(own)) - digamma(max(1, int(m))) for m in high - low)
         used += len(own)

@@ -79,7 +79,8 @@ def distinct_with_null(rows: DataFrame, *columns: str) -> DataFrame:
 def evaluability(rows: DataFrame, classes, least: int = 2, label: str = "label") -> DataFrame:
     """One row: whether every declared class has enough rows, and the smallest class."""
     d = dense_distribution(rows, classes, label)
-    return d.agg((F.min("count") >= least).alias("evaluable"), F.min_by("label", F.struct("count", "label_idx")).alias("smallest_class"), F.min("count").alias("smallest_count"))
+    return d.agg((F.min("count") >= least).alias("evaluable"), F.min_by("label", F.struct("count", "label_idx")).alias("smallest_class"),
+        F.min("count").alias("smallest_count"))
 
 
 def class_weights(rows: DataFrame, classes, multipliers: dict | None = None, label: str = "label") -> DataFrame:

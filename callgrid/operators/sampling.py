@@ -39,4 +39,5 @@ def global_rank(rows: DataFrame, order, name: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = parts.groupBy("__part").agg(F.count("*").alias("n")).select("__part", before.alias("__before"))
     own = F.row_number().over(W.partitionBy("__part").orderBy(*keys))
-    return parts.withColumn("__own", own).join(starts, "__part").withColumn(name, F.col("__own") - 1 + F.col("__before")).drop("__part", "__own", "__before", *keys)
+    return parts.withColumn("__own", own).join(starts, "__part").withColumn(name, F.col("__own") - 1 + F.col("__before")).drop("__part", "__own",
+        "__before", *keys)

@@ -39,10 +39,12 @@ def islands(frames: DataFrame, config: DetectorConfig) -> DataFrame:
     """
     on = frames.where((F.col("pred") > 0) & (F.col("confidence") >= config.confidence_threshold))
     run = F.col("frame") - F.row_number().over(W.partitionBy("audio_path").orderBy("frame"))
-    runs = on.withColumn("run", run).groupBy("audio_path", "run").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.mode("pred", True).alias("pred"), F.avg("confidence").alias("confidence"))
+    runs = on.withColumn("run", run).groupBy("audio_path", "run").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.mode("pred",
+        True).alias("pred"), F.avg("confidence").alias("confidence"))
     long = runs.where((F.col("last") - F.col("first") + 1) / config.fps >= config.min_event_seconds)
     label = F.get(F.array(*[F.lit(c) for c in config.classes]), F.col("pred") - 1) if config.multiclass else F.lit("event")
-    return long.select("audio_path", (F.col("first") / config.fps).alias("start"), ((F.col("last") + 1) / config.fps).alias("end"), label.alias("label"), "confidence")
+    return long.select("audio_path", (F.col("first") / config.fps).alias("start"), ((F.col("last") + 1) / config.fps).alias("end"), label.alias("label"),
+        "confidence")
 
 
 def frame_predictions(frames: DataFrame, label_index, noise: float = 0.1, seed: int = 0) -> DataFrame:
@@ -58,7 +60,8 @@ def overlaps(detections: DataFrame, truths: DataFrame) -> DataFrame:
     buckets; a pair counts in the bucket where its overlap begins.
     """
     width = 300.0
-    cut = lambda d, p: d.where("end > start").select("audio_path", F.col(f"{p}_id"), F.col("start").alias(f"{p}0"), F.col("end").alias(f"{p}1"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("bucket"))
+    cut = lambda d, p: d.where("end > start").select("audio_path", F.col(f"{p}_id"), F.col("start").alias(f"{p}0"), F.col("end").alias(f"{p}1"),
+        F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("bucket"))
     a, b = cut(detections, "pred"), cut(truths, "gt")
     both = a.join(b, ["audio_path", "bucket"]).where("pred0 < gt1 AND gt0 < pred1")
     own = both.where(F.floor(F.greatest("pred0", "gt0") / width) == F.col("bucket"))
@@ -80,12 +83,14 @@ def matches(detections: DataFrame, truths: DataFrame, thresholds) -> DataFrame:
 def file_summary(detections: DataFrame, truths: DataFrame, thresholds) -> DataFrame:
     """(audio_path, threshold, gt, detected, tp, fp, fn, mean_iou) for every file of either side."""
     d, t = detections.groupBy("audio_path").agg(F.count("*").alias("detected")), truths.groupBy("audio_path").agg(F.count("*").alias("gt"))
-    files = t.join(d, "audio_path", "full").select("audio_path", F.coalesce("gt", F.lit(0)).alias("gt"), F.coalesce("detected", F.lit(0)).alias("detected"), F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
+    files = t.join(d, "audio_path", "full").select("audio_path", F.coalesce("gt", F.lit(0)).alias("gt"), F.coalesce("detected",
+        F.lit(0)).alias("detected"), F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
     tp = matches(detections, truths, thresholds).groupBy("audio_path", "threshold").agg(F.count("*").alias("tp"), F.avg("iou").alias("mean_iou"))
     out = files.join(tp, ["audio_path", "threshold"], "left")
     n = F.coalesce("tp", F.lit(0))
     iou = F.when((F.col("gt") == 0) & (F.col("detected") == 0), 1.0).otherwise(F.coalesce("mean_iou", F.lit(0.0)))
-    return out.select("audio_path", "threshold", "gt", "detected", n.alias("tp"), (F.col("detected") - n).alias("fp"), (F.col("gt") - n).alias("fn"), iou.alias("mean_iou"))
+    return out.select("audio_path", "threshold", "gt", "detected", n.alias("tp"), (F.col("detected") - n).alias("fp"), (F.col("gt") - n).alias("fn"),
+        iou.alias("mean_iou"))
 
 
 def totals(summary: DataFrame) -> DataFrame:

@@ -31,7 +31,8 @@ def class_distributions(manifest: DataFrame, classes) -> DataFrame:
 def overlaps(manifest: DataFrame, train: str = "train", test: str = "validation") -> DataFrame:
     """(check, overlap): distinct keys that both splits have, of events, audio files and datasets."""
     a, b = manifest.where(F.col("split") == train), manifest.where(F.col("split") == test)
-    parts = [a.select(*k).intersect(b.select(*k)).agg(F.count("*").alias("overlap")).select(F.lit(n).alias("check"), "overlap") for n, k in (("event", EVENT), ("audio_path", ("audio_path",)), ("dataset", ("dataset",)))]
+    parts = [a.select(*k).intersect(b.select(*k)).agg(F.count("*").alias("overlap")).select(F.lit(n).alias("check"), "overlap") for n, k in (("event",
+        EVENT), ("audio_path", ("audio_path",)), ("dataset", ("dataset",)))]
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -42,8 +43,10 @@ def imbalance_audit(manifest: DataFrame, predictions: DataFrame, classes) -> dic
     both = {"model": predictions, "majority": metrics.majority_baseline(predictions, classes), "permutation": metrics.permutation_baseline(predictions, "id")}
     scores = reduce(DataFrame.unionAll, [metrics.metrics(p, classes).select(F.lit(n).alias("kind"), "*") for n, p in both.items()])
     return {
-        "distribution": class_distributions(manifest, classes), "overlaps": overlaps(manifest), "per_class": per_class, "weak_classes": metrics.threshold_report(per_class),
-        "scores": scores, "confusion": metrics.normalised_confusion(dense), "top_confusions": metrics.top_confusions(predictions), "checks": metrics.audit_checks(dense),
+        "distribution": class_distributions(manifest, classes), "overlaps": overlaps(manifest), "per_class": per_class,
+            "weak_classes": metrics.threshold_report(per_class),
+        "scores": scores, "confusion": metrics.normalised_confusion(dense), "top_confusions": metrics.top_confusions(predictions),
+            "checks": metrics.audit_checks(dense),
     }
 
 
@@ -57,7 +60,8 @@ def leaky_hold_out(rows: DataFrame, classes, config: dict = NOTEBOOK, share: flo
     """Predictions of a stratified hold-out whose scaler has seen all rows: a diagnostic of what the leak is worth."""
     split = stage(folds.hold_out(rows, share, seed=seed), "leaky-rows")
     every = fitted.one_fold(split, split)
-    scaled = stage(fitted.transformed(every, config["imputer"], config["scaler"]).where("is_test").select("id", "label", "domain", "features", "held_out"), "leaky-scaled")
+    scaled = stage(fitted.transformed(every, config["imputer"], config["scaler"]).where("is_test").select("id", "label", "domain", "features", "held_out"),
+        "leaky-scaled")
     near = knn.neighbours(scaled.where("NOT held_out"), scaled.where("held_out"), int(config["k"]), config["metric"], float(config["p"]))
     out = knn.classify(knn.votes(near, scaled, config["weights"]), classes).withColumnRenamed("query_id", "id")
     return out.join(scaled.select("id", "label", "domain"), "id").withColumn("y_true_label", F.col("label"))
@@ -72,10 +76,12 @@ def notebook_evaluation(rows: DataFrame, classes, k: int = 5, group: str = "doma
     """
     rows = rows.select("id", "label", "features", F.col(group).cast("string").alias("domain"))
     every = stage(rows.withColumn("scope", F.col("domain")).unionAll(rows.withColumn("scope", F.lit("combined"))), "notebook-rows")
-    least = every.groupBy("scope", "label").agg(F.count("*").alias("n")).groupBy("scope").agg(F.sum("n").alias("rows"), F.min("n").alias("smallest"), F.count("*").alias("labels"), F.min_by("label", F.struct("n", "label")).alias("rarest"))
+    least = every.groupBy("scope", "label").agg(F.count("*").alias("n")).groupBy("scope").agg(F.sum("n").alias("rows"), F.min("n").alias("smallest"),
+        F.count("*").alias("labels"), F.min_by("label", F.struct("n", "label")).alias("rarest"))
     able = (F.col("smallest") >= 2) & (F.col("labels") >= 2)
     reason = F.when(F.col("labels") < 2, "a single class").when(F.col("smallest") < 2, F.concat(F.lit("too few rows of "), "rarest"))
-    status = stage(least.select("scope", "rows", F.when(able, "ok").otherwise("skipped").alias("status"), reason.alias("reason"), F.greatest(F.lit(2), F.least(F.lit(k), "smallest")).alias("k")), "notebook-scopes")
+    status = stage(least.select("scope", "rows", F.when(able, "ok").otherwise("skipped").alias("status"), reason.alias("reason"), F.greatest(F.lit(2),
+        F.least(F.lit(k), "smallest")).alias("k")), "notebook-scopes")
     numbered = status.where("status = 'ok'").withColumn("first", F.row_number().over(W.orderBy("scope")) * 1000)
     nth = F.row_number().over(W.partitionBy("scope", "label").orderBy(*folds.shuffled("id")))
     split = every.join(numbered, "scope").withColumn("fold", (F.col("first") + (nth - 1) % F.col("k")).cast("int"))
@@ -83,7 +89,8 @@ def notebook_evaluation(rows: DataFrame, classes, k: int = 5, group: str = "doma
     near = pipelines.neighbours(fitted.copies(of_scope, "fold", within="scope"), config, int(config["k"]))
     named = pipelines.classified(near, rows, classes, config).join(of_scope.select("fold", "scope").distinct(), "fold")
     by_fold = metrics.metrics(named, classes, ["scope", "fold"])
-    scores = by_fold.groupBy("scope").agg(*[f(m).alias(f"{m}_{s}") for m in ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1") for s, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    scores = by_fold.groupBy("scope").agg(*[f(m).alias(f"{m}_{s}") for m in ("accuracy", "macro_precision", "macro_recall", "macro_f1",
+        "weighted_f1") for s, f in (("mean", F.avg), ("std", F.stddev_pop))])
     leak = metrics.metrics(leaky_hold_out(rows, classes, config), classes).withColumn("leaky", F.lit(True))
     return {"domains": status.drop("k").join(scores, "scope", "left").orderBy("scope"), "leaky": leak}
 

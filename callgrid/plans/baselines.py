@@ -16,7 +16,8 @@ from callgrid.runtime import stage
 FIT, SELECTION, TEST = "fit", "inner_validation", "official_held_out_test"
 
 
-def compare(tables: dict, classes, names=models.MODELS, families: dict | None = None, pca: dict | None = None, share: float = 0.2, seed: int = 0, sizes: dict | None = None) -> dict[str, DataFrame]:
+def compare(tables: dict, classes, names=models.MODELS, families: dict | None = None, pca: dict | None = None, share: float = 0.2, seed: int = 0,
+    sizes: dict | None = None) -> dict[str, DataFrame]:
     """Report tables of a comparison. ``tables`` maps representations to (id, label, domain, features, is_test).
 
     Imputing, scaling and the optional PCA (components by representation) are fitted on the inner fit rows alone. results
@@ -31,7 +32,8 @@ def compare(tables: dict, classes, names=models.MODELS, families: dict | None =
         rest = split.where("held_out").select(*columns, F.lit(SELECTION).alias("split_role")).unionAll(test.select(*columns, F.lit(TEST).alias("split_role")))
         both = fitted.one_fold(fit.withColumn("split_role", F.lit(FIT)), rest)
         reducer = f"pca:{pca[representation]}" if pca and pca.get(representation) else "none"
-        ready = {s: stage(fitted.transformed(both, "median", "standard" if s else "none", reducer), f"baseline-{representation}") for s in {models.needs_scaling(m) for m in names}}
+        ready = {s: stage(fitted.transformed(both, "median", "standard" if s else "none", reducer), f"baseline-{representation}")
+            for s in {models.needs_scaling(m) for m in names}}
         counts = ready[next(iter(ready))].groupBy("split_role").count().collect()
         n = {r["split_role"]: r["count"] for r in counts}
         widths.append((representation, table.select(F.size("features")).first()[0], n.get(FIT, 0), n.get(SELECTION, 0), n.get(TEST, 0), how))
@@ -47,11 +49,13 @@ def compare(tables: dict, classes, names=models.MODELS, families: dict | None =
     wanted = ("macro_f1", "balanced_accuracy", "accuracy")
     of = lambda role, prefix: scores.where(F.col("split_role") == role).select(*key, *[F.col(c).alias(f"{prefix}_{c}") for c in wanted])
     spark = every.sparkSession
-    sizes_of = spark.createDataFrame(widths, "representation string, features_before_pipeline int, fit_rows long, selection_rows long, official_test_rows long, selection_method string")
+    sizes_of = spark.createDataFrame(widths,
+        "representation string, features_before_pipeline int, fit_rows long, selection_rows long, official_test_rows long, selection_method string")
     results = sizes_of.join(of(SELECTION, "selection"), "representation").join(of(TEST, "official_test"), key)
     test_rows = every.where(F.col("split_role") == TEST)
     out = {
-        "predictions": every, "results": results, "comparison": ranking.compared(results, names), "per_class": metrics.per_class(metrics.confusion(test_rows, classes, key), key),
+        "predictions": every, "results": results, "comparison": ranking.compared(results, names),
+            "per_class": metrics.per_class(metrics.confusion(test_rows, classes, key), key),
         "by_domain": metrics.metrics(test_rows, classes, [*key, "dataset"]), "confusion": metrics.confusion(test_rows, classes, key),
     }
     if families:

@@ -22,7 +22,8 @@ def checked(config: dict) -> dict:
     """The configuration with its defaults; unknown names are an error."""
     c = DEFAULT | config
     reducer = str(c["reducer"]).partition(":")[0]
-    for name, value, known in (("scaler", c["scaler"], fitted.SCALERS), ("reducer", reducer, fitted.REDUCERS), ("metric", c["metric"], knn.METRICS), ("imputer", c["imputer"], ("mean", "median")), ("weights", c["weights"], ("uniform", "distance"))):
+    for name, value, known in (("scaler", c["scaler"], fitted.SCALERS), ("reducer", reducer, fitted.REDUCERS), ("metric", c["metric"], knn.METRICS),
+        ("imputer", c["imputer"], ("mean", "median")), ("weights", c["weights"], ("uniform", "distance"))):
         if value not in known:
             raise ValueError(f"unknown {name} {value!r}; known: {', '.join(known)}")
     if int(c["k"]) < 1:
@@ -38,7 +39,8 @@ def from_config(config: dict) -> dict:
     if "n_neighbors" in flat:
         flat["k"] = flat.pop("n_neighbors")
     if isinstance(reducer, dict):
-        kind, value = reducer.get("type", "none"), next((reducer[x] for x in ("n_components", "k", "threshold", "variance") if reducer.get(x) is not None), None)
+        kind, value = reducer.get("type", "none"), next((reducer[x] for x in ("n_components", "k", "threshold", "variance") if reducer.get(x) is not None),
+            None)
         kind = {"variance_threshold": "variance", "select_k_best": "kbest", "pca_variance": "pca"}.get(kind, kind)
         reducer = kind if value is None or kind == "none" else f"{kind}:{value}"
     if reducer is None and (n := flat.pop("pca_components", None)):
@@ -134,7 +136,8 @@ def results(spark, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame(plain, ", ".join(RESULT)).select(*names)
 
 
-def evaluate(rows: DataFrame, classes, candidates: list[dict], first: int = 0, k: int = 3, group: str = "domain", scenarios: tuple = ("stratified", "group_folds")) -> list[dict]:
+def evaluate(rows: DataFrame, classes, candidates: list[dict], first: int = 0, k: int = 3, group: str = "domain", scenarios: tuple = ("stratified",
+    "group_folds")) -> list[dict]:
     """Result rows of candidates of one feature set, under a random and a domain scenario; equal scenarios run once."""
     scored = {s: evaluated(rows, classes, candidates, s, k, group) for s in dict.fromkeys(scenarios)}
     width = rows.select(F.size("features")).first()
@@ -142,7 +145,8 @@ def evaluate(rows: DataFrame, classes, candidates: list[dict], first: int = 0, k
     for i, c in enumerate(candidates):
         found = [scored[s][i] for s in scenarios]
         error = next((x["error"] for x in found if "error" in x), None)
-        row = {"candidate": first + i, "feature_set": str(c.get("feature_set", "")), "params": json.dumps(c, sort_keys=True, default=str), "status": "error" if error else "ok", "error": error, "feature_dimension": width and width[0]}
+        row = {"candidate": first + i, "feature_set": str(c.get("feature_set", "")), "params": json.dumps(c, sort_keys=True, default=str),
+            "status": "error" if error else "ok", "error": error, "feature_dimension": width and width[0]}
         if not error:
             row |= {f"{name}_{m}": v for name, x in zip(("random", "domain"), found, strict=True) for m, v in x.items()}
         out.append(row)
@@ -174,13 +178,19 @@ def submission(rows: DataFrame, classes, config: dict, families: dict | None = N
     per_class = metrics.per_class(dense)
     report = knn.neighbour_report(near.drop("fold"), train).withColumnRenamed("query_id", "id")
     report = report.join(p.select("id", "y_true_label", "y_pred_label", (F.col("y_true_label") == F.col("y_pred_label")).alias("correct")), "id")
-    counts = rows.agg(F.count_if(~F.col("is_test")).alias("fit_rows"), F.count_if("is_test").alias("official_test_rows"), F.max(F.size("features")).alias("features_before_pipeline"))
+    counts = rows.agg(F.count_if(~F.col("is_test")).alias("fit_rows"), F.count_if("is_test").alias("official_test_rows"),
+        F.max(F.size("features")).alias("features_before_pipeline"))
     out = {
-        "predictions": p, "predictions_wide": metrics.with_class_columns(p, classes), "confusion": dense, "confusion_matrix": metrics.confusion_table(dense, classes),
-        "confusion_normalised": metrics.normalised_confusion(dense), "per_class": per_class, "report": metrics.report_rows(per_class), "thresholds": metrics.threshold_report(per_class),
-        "summary": metrics.summary(per_class), "by_domain": metrics.metrics(p, classes, ["dataset"]), "by_domain_class": metrics.per_class(by_domain, ["dataset"]),
-        "top_confusions": metrics.top_confusions(p), "delta": metrics.predicted_vs_true(p, classes), "confidence": metrics.confidence_analysis(p, classes), "errors": metrics.errors(p),
-        "majority": metrics.metrics(metrics.majority_baseline(p, classes), classes), "permutation": metrics.metrics(metrics.permutation_baseline(p, "id"), classes),
+        "predictions": p, "predictions_wide": metrics.with_class_columns(p, classes), "confusion": dense,
+            "confusion_matrix": metrics.confusion_table(dense, classes),
+        "confusion_normalised": metrics.normalised_confusion(dense), "per_class": per_class, "report": metrics.report_rows(per_class),
+            "thresholds": metrics.threshold_report(per_class),
+        "summary": metrics.summary(per_class), "by_domain": metrics.metrics(p, classes, ["dataset"]), "by_domain_class": metrics.per_class(by_domain,
+            ["dataset"]),
+        "top_confusions": metrics.top_confusions(p), "delta": metrics.predicted_vs_true(p, classes), "confidence": metrics.confidence_analysis(p, classes),
+            "errors": metrics.errors(p),
+        "majority": metrics.metrics(metrics.majority_baseline(p, classes), classes), "permutation": metrics.metrics(metrics.permutation_baseline(p, "id"),
+            classes),
         "neighbours": report, "neighbour_distances": knn.distance_stats(report), "audit": metrics.audit_checks(dense),
     }
     # one row each: the configuration beside the scores
@@ -191,8 +201,10 @@ def submission(rows: DataFrame, classes, config: dict, families: dict | None = N
 
         grouped = p.withColumns({x: aggregated(F.col(x), families) for x in ("y_true_label", "y_pred_label")})
         names = tuple(dict.fromkeys(families.get(x, x) for x in classes))
-        out |= {"ambiguities": metrics.within_family_errors(p, families), "family_summary": metrics.metrics(grouped, names), "family_per_class": metrics.per_class(metrics.confusion(grouped, names))}
-        out |= {"family_confusion": metrics.confusion_table(metrics.confusion(grouped, names), names), "family_by_domain": metrics.metrics(grouped, names, ["dataset"])}
+        out |= {"ambiguities": metrics.within_family_errors(p, families), "family_summary": metrics.metrics(grouped, names),
+            "family_per_class": metrics.per_class(metrics.confusion(grouped, names))}
+        out |= {"family_confusion": metrics.confusion_table(metrics.confusion(grouped, names), names), "family_by_domain": metrics.metrics(grouped, names,
+            ["dataset"])}
     return out
 
 

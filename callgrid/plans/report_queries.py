@@ -16,10 +16,12 @@ from callgrid.sources import tables as T
 # ---- helpers of the ingest ----------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {T.CHECKED_SQL} SELECT source_row, CASE WHEN contains(audio_path, '/train/') THEN 'train' WHEN contains(audio_path, '/validation/') THEN 'validation' ELSE 'other' END AS by_path,
+@query(f"""WITH {T.CHECKED_SQL} SELECT source_row,
+  CASE WHEN contains(audio_path, '/train/') THEN 'train' WHEN contains(audio_path, '/validation/') THEN 'validation' ELSE 'other' END AS by_path,
   CASE WHEN split = 'validation' THEN 'official_held_out_test' WHEN split = 'train' THEN 'official_train' ELSE 'custom' END AS role FROM manifest""")
 def q104_split_of_path(spark, d):
-    return kept(spark, d).select("source_row", ingest.split_of_path(F.col("audio_path"), "other").alias("by_path"), ingest.split_role(F.col("split")).alias("role"))
+    return kept(spark, d).select("source_row", ingest.split_of_path(F.col("audio_path"), "other").alias("by_path"),
+        ingest.split_role(F.col("split")).alias("role"))
 
 
 @query(f"WITH {T.CHECKED_SQL} SELECT source_row, split, dataset FROM manifest WHERE source_row % 3 = 0 AND split IN ('train')")
@@ -28,20 +30,23 @@ def q105_valid_rows(spark, d):
     return ingest.valid_rows(kept(spark, d).withColumn("valid_event", flag), ["train"]).select("source_row", "split", "dataset")
 
 
-@query(f"""WITH {T.VECTORS_SQL}, classes AS (SELECT 'c' || i AS label, i AS label_idx FROM range(12) t(i)), n AS (SELECT c.label, label_idx, count(v.id) AS count FROM classes c LEFT JOIN vectors v ON v.label = c.label GROUP BY ALL)
+@query(f"""WITH {T.VECTORS_SQL}, classes AS (SELECT 'c' || i AS label, i AS label_idx FROM range(12) t(i)), n AS (SELECT c.label, label_idx,
+  count(v.id) AS count FROM classes c LEFT JOIN vectors v ON v.label = c.label GROUP BY ALL)
 SELECT min(count) >= 2 AS evaluable, arg_min(label, count * 100 + label_idx) AS smallest_class, min(count) AS smallest_count FROM n""")
 def q106_evaluability(spark, d):
     return profile.evaluability(T.vectors(spark, d), tuple(f"c{i}" for i in range(12)))
 
 
-@query(f"WITH {T.PREDICTIONS_SQL} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support, predicted, tp FROM ({_prf()}) WHERE recall < 0.8 OR f1 < 0.8")
+@query(f"""WITH {T.PREDICTIONS_SQL} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(f1, 6) AS f1, support, predicted, tp FROM ({_prf()}) WHERE recall < 0.8 OR f1 < 0.8""")
 def q107_threshold_report(spark, d):
     return rounded(metrics.threshold_report(metrics.per_class(metrics.confusion(T.predictions(spark, d), T.VECTOR_CLASSES))))
 
 
 @query(f"WITH {T.CHECKED_SQL} SELECT split, dataset, label, source_row, low_frequency, high_frequency, audio_path FROM manifest")
 def q108_metadata(spark, d):
-    return ingest.metadata(kept(spark, d), ["split", "dataset", "label", "source_row", "low_frequency", "high_frequency", "not_there"], ["audio_path", "recording_id"])
+    return ingest.metadata(kept(spark, d), ["split", "dataset", "label", "source_row", "low_frequency", "high_frequency", "not_there"], ["audio_path",
+        "recording_id"])
 
 
 @query(f"WITH {T.CHECKED_SQL} SELECT dataset, label, count(*) AS count FROM manifest GROUP BY ALL")
@@ -55,7 +60,9 @@ def q110_unknown_labels(spark, d):
 
 
 @query(f"""WITH {T.CHECKED_SQL}, classes AS (SELECT unnest(['view', 'click', 'signup', 'purchase', 'absent']) AS label, unnest(range(5)) AS label_idx)
-SELECT c.label, label_idx::INT AS label_idx, count(m.source_row) AS count, round(count(m.source_row) / sum(count(m.source_row)) OVER (), 6) AS fraction FROM classes c LEFT JOIN manifest m ON m.label = c.label GROUP BY ALL""")
+SELECT c.label, label_idx::INT AS label_idx, count(m.source_row) AS count,
+  round(count(m.source_row) / sum(count(m.source_row)) OVER (), 6) AS fraction FROM classes c LEFT
+  JOIN manifest m ON m.label = c.label GROUP BY ALL""")
 def q111_dense_distribution(spark, d):
     return rounded(profile.dense_distribution(kept(spark, d), (*T.CLASSES, "absent")))
 
@@ -65,7 +72,8 @@ def q112_label_codes(spark, d):
     return kept(spark, d).select("source_row", F.coalesce(L.code(F.col("label"), ("view", "click", "signup")), F.lit(-1)).alias("code"))
 
 
-EVENT_KEYS = {"event": "dataset, filename, label, start_seconds, end_seconds", "audio_path": "audio_path", "file": "dataset, filename", "source_row": "dataset, filename, source_row"}
+EVENT_KEYS = {"event": "dataset, filename, label, start_seconds, end_seconds", "audio_path": "audio_path", "file": "dataset, filename",
+    "source_row": "dataset, filename, source_row"}
 
 
 def _leaks(key: str, columns: str) -> str:
@@ -73,7 +81,9 @@ def _leaks(key: str, columns: str) -> str:
     return f"SELECT '{key}' AS \"check\", count(*) AS leaked_rows FROM l tr WHERE split = 'train' AND EXISTS (SELECT 1 FROM l te WHERE te.split = 'validation' AND {on})"
 
 
-@query(f"""WITH {T.CHECKED_SQL}, l AS (SELECT CASE WHEN source_row % 5 = 0 THEN 'validation' ELSE 'train' END AS split, dataset, filename, audio_path, label, start_seconds, end_seconds, source_row FROM manifest)
+@query(f"""WITH {T.CHECKED_SQL},
+  l AS (SELECT CASE WHEN source_row % 5 = 0 THEN 'validation' ELSE 'train' END AS split, dataset, filename, audio_path, label, start_seconds, end_seconds, source_row
+  FROM manifest)
 {' UNION ALL '.join(_leaks(k, c) for k, c in EVENT_KEYS.items())}""")
 def q113_leakage_key_sets(spark, d):
     rows = kept(spark, d).withColumn("split", F.when(F.col("source_row") % 5 == 0, "validation").otherwise("train"))
@@ -81,15 +91,20 @@ def q113_leakage_key_sets(spark, d):
 
 
 @query(f"""WITH {T.CHECKED_SQL}, l AS (SELECT split, label, CAST(floor(start_seconds / 600) AS BIGINT) AS slot FROM manifest)
-SELECT label, slot FROM l tr WHERE split = 'train' AND EXISTS (SELECT 1 FROM l te WHERE te.split = 'validation' AND te.label = tr.label AND te.slot = tr.slot) ORDER BY label, slot LIMIT 5""")
+SELECT label, slot FROM l tr WHERE split = 'train' AND EXISTS (SELECT 1 FROM l te
+  WHERE te.split = 'validation' AND te.label = tr.label AND te.slot = tr.slot) ORDER BY label, slot LIMIT 5""")
 def q114_leakage_examples(spark, d):
     rows = kept(spark, d).withColumn("slot", F.floor(F.col("start_seconds") / 600))
     return leakage.leakage_examples(rows, ("label", "slot"))  # a report of five
 
 
-@query(f"""WITH {T.CHECKED_SQL}, s AS (SELECT split, label, count(*) AS n FROM manifest GROUP BY GROUPING SETS ((split, label), (label))), g AS (SELECT coalesce(split, 'all') AS split, label, n FROM s),
-grid AS (SELECT split, label FROM (SELECT DISTINCT split FROM g) CROSS JOIN (SELECT unnest(['view', 'click', 'signup', 'purchase', 'absent']) AS label)), e AS (SELECT grid.split, grid.label, coalesce(n, 0) AS n FROM grid LEFT JOIN g USING (split, label))
-SELECT split, label, n AS count, round(n / sum(n) OVER w, 6) AS fraction, round(max(n) OVER w / min(CASE WHEN n > 0 THEN n END) OVER w, 6) AS imbalance_ratio FROM e WINDOW w AS (PARTITION BY split)""")
+@query(f"""WITH {T.CHECKED_SQL}, s AS (SELECT split, label, count(*) AS n FROM manifest GROUP BY GROUPING SETS ((split, label), (label))),
+  g AS (SELECT coalesce(split, 'all') AS split, label, n FROM s),
+grid AS (SELECT split, label FROM (SELECT DISTINCT split FROM g) CROSS
+  JOIN (SELECT unnest(['view', 'click', 'signup', 'purchase', 'absent']) AS label)),
+  e AS (SELECT grid.split, grid.label, coalesce(n, 0) AS n FROM grid LEFT JOIN g USING (split, label))
+SELECT split, label, n AS count, round(n / sum(n) OVER w, 6) AS fraction,
+  round(max(n) OVER w / min(CASE WHEN n > 0 THEN n END) OVER w, 6) AS imbalance_ratio FROM e WINDOW w AS (PARTITION BY split)""")
 def q115_class_distributions(spark, d):
     return rounded(audits.class_distributions(kept(spark, d), (*T.CLASSES, "absent")))
 
@@ -99,13 +114,16 @@ def q115_class_distributions(spark, d):
 CLASS_COLUMNS = ", ".join(f"round(coalesce(sum(probability) FILTER (label = 'c{i}'), 0), 6) AS prob_c{i}" for i in range(10))
 
 
-@query(f"WITH {_near_sql('euclidean')}{VOTES_SQL.format(w='1.0')} SELECT query_id AS id, {CLASS_COLUMNS}, round(max(probability), 6) AS pred_confidence FROM shares GROUP BY query_id")
+@query(f"""WITH {_near_sql('euclidean')}{VOTES_SQL.format(w='1.0')} SELECT query_id AS id, {CLASS_COLUMNS},
+  round(max(probability), 6) AS pred_confidence FROM shares GROUP BY query_id""")
 def q116_prediction_columns(spark, d):
     p = knn.classify(knn.votes(near(spark, d), T.vectors(spark, d)), T.VECTOR_CLASSES).withColumnRenamed("query_id", "id")
     return rounded(metrics.with_class_columns(p.drop("y_pred_label"), T.VECTOR_CLASSES))
 
 
-@query(f"WITH {T.PREDICTIONS_SQL} SELECT t.label AS true_label, {', '.join(f'count(*) FILTER (y_pred_label = {chr(39)}c{i}{chr(39)}) AS c{i}' for i in range(10))} FROM classes t LEFT JOIN predictions ON y_true_label = t.label GROUP BY t.label")
+@query(f"""WITH {T.PREDICTIONS_SQL}
+  SELECT t.label AS true_label, {', '.join(f'count(*) FILTER (y_pred_label = {chr(39)}c{i}{chr(39)}) AS c{i}' for i in range(10))}
+  FROM classes t LEFT JOIN predictions ON y_true_label = t.label GROUP BY t.label""")
 def q117_confusion_table(spark, d):
     return metrics.confusion_table(metrics.confusion(T.predictions(spark, d), T.VECTOR_CLASSES), T.VECTOR_CLASSES)
 
@@ -115,28 +133,36 @@ def q118_audit_checks(spark, d):
     return metrics.audit_checks(metrics.confusion(T.predictions(spark, d), T.VECTOR_CLASSES))
 
 
-@query(f"""WITH {T.PREDICTIONS_SQL} SELECT id, y_true_label, y_pred_label, round(pred_confidence, 6) AS pred_confidence FROM predictions WHERE y_true_label <> y_pred_label ORDER BY pred_confidence DESC, id LIMIT 20""")
+@query(f"""WITH {T.PREDICTIONS_SQL} SELECT id, y_true_label, y_pred_label, round(pred_confidence, 6) AS pred_confidence FROM predictions
+  WHERE y_true_label <> y_pred_label ORDER BY pred_confidence DESC, id LIMIT 20""")
 def q119_error_samples(spark, d):
     worst = metrics.errors(T.predictions(spark, d)).orderBy(F.desc("pred_confidence"), "id").limit(20)  # a report of twenty
     return rounded(worst.select("id", "y_true_label", "y_pred_label", "pred_confidence"))
 
 
-@query(f"WITH {T.PREDICTIONS_SQL} SELECT id, round(pow(1 - true_probability, 2) * -ln(true_probability) * CASE WHEN y_true_label = 'c1' THEN 2 ELSE 1 END, 6) AS loss FROM predictions")
+@query(f"""WITH {T.PREDICTIONS_SQL} SELECT id,
+  round(pow(1 - true_probability, 2) * -ln(true_probability) * CASE WHEN y_true_label = 'c1' THEN 2 ELSE 1 END, 6) AS loss FROM predictions""")
 def q120_focal_loss(spark, d):
     weight = F.when(F.col("y_true_label") == "c1", 2.0).otherwise(1.0)
     return rounded(T.predictions(spark, d).select("id", S.focal_loss(F.col("true_probability"), 2.0, weight).alias("loss")))
 
 
-@query(f"""WITH {T.PREDICTIONS_SQL}, s AS (SELECT y_pred_label AS label, round(pred_confidence, 2) AS score, (y_true_label = y_pred_label)::INT AS pos FROM predictions),
-b AS (SELECT label, score, sum(pos) AS tp_here, count(*) AS n_here FROM s GROUP BY ALL), c AS (SELECT *, sum(tp_here) OVER w AS tp, sum(n_here) OVER w AS n, sum(tp_here) OVER (PARTITION BY label) AS total FROM b WINDOW w AS (PARTITION BY label ORDER BY score DESC))
+@query(f"""WITH {T.PREDICTIONS_SQL}, s AS (SELECT y_pred_label AS label,
+  round(pred_confidence, 2) AS score, (y_true_label = y_pred_label)::INT AS pos FROM predictions),
+b AS (SELECT label, score, sum(pos) AS tp_here, count(*) AS n_here FROM s GROUP BY ALL), c AS (SELECT *,
+  sum(tp_here) OVER w AS tp, sum(n_here) OVER w AS n, sum(tp_here) OVER (PARTITION BY label) AS total FROM b
+  WINDOW w AS (PARTITION BY label ORDER BY score DESC))
 SELECT label, round(sum(tp / n * tp_here / total), 6) AS average_precision FROM c GROUP BY label""")
 def q121_average_precision(spark, d):
-    p = T.predictions(spark, d).select(F.col("y_pred_label").alias("label"), F.round("pred_confidence", 2).alias("score"), (F.col("y_true_label") == F.col("y_pred_label")).alias("positive"))
+    p = T.predictions(spark, d).select(F.col("y_pred_label").alias("label"), F.round("pred_confidence", 2).alias("score"),
+        (F.col("y_true_label") == F.col("y_pred_label")).alias("positive"))
     return rounded(metrics.average_precision(p))
 
 
-@query(f"""WITH {_near_sql('euclidean')}{VOTES_SQL.format(w='1.0')}, best AS (SELECT query_id, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(vote, 9) DESC, label) AS n FROM shares) WHERE n = 1),
-r AS (SELECT query_id, avg(distance) AS m FROM near GROUP BY query_id) SELECT best.label = v.label AS correct, count(*) AS n, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.5), 6) AS median, round(quantile_cont(m, 0.9), 6) AS p90
+@query(f"""WITH {_near_sql('euclidean')}{VOTES_SQL.format(w='1.0')}, best AS (SELECT query_id, label
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(vote, 9) DESC, label) AS n FROM shares) WHERE n = 1),
+r AS (SELECT query_id, avg(distance) AS m FROM near GROUP BY query_id) SELECT best.label = v.label AS correct, count(*) AS n,
+  round(avg(m), 6) AS mean, round(quantile_cont(m, 0.5), 6) AS median, round(quantile_cont(m, 0.9), 6) AS p90
 FROM r JOIN best USING (query_id) JOIN vectors v ON v.id = query_id GROUP BY 1""")
 def q101_neighbor_distance_stats(spark, d):
     v, found = T.vectors(spark, d), near(spark, d)
@@ -145,18 +171,27 @@ def q101_neighbor_distance_stats(spark, d):
     return rounded(knn.distance_stats(report))
 
 
-@query(f"WITH {T.PREDICTIONS_SQL}, a AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM predictions), b AS (SELECT y_true_label AS moved, row_number() OVER (ORDER BY md5('0:' || id), id) AS n FROM predictions) SELECT id, y_true_label, moved AS y_pred_label FROM a JOIN b USING (n)")
+@query(f"""WITH {T.PREDICTIONS_SQL}, a AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM predictions),
+  b AS (SELECT y_true_label AS moved, row_number() OVER (ORDER BY md5('0:' || id), id) AS n FROM predictions)
+  SELECT id, y_true_label, moved AS y_pred_label FROM a JOIN b USING (n)""")
 def q31_permutation_baseline(spark, d):
     return metrics.permutation_baseline(T.predictions(spark, d), "id").select("id", "y_true_label", "y_pred_label")
 
 
-SCALED_SQL = f"""{CELLS_SQL}, scaled AS (SELECT id, is_test, pos, (x - q2) / CASE WHEN q3 = q1 THEN 1 ELSE q3 - q1 END AS x FROM cells JOIN fit USING (pos)), unit AS (SELECT id, is_test, list(x / n ORDER BY pos) AS features FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY id)) AS n FROM scaled) GROUP BY ALL),
-dist AS (SELECT q.id AS query_id, t.id AS neighbor_id, round({DISTANCE_SQL['euclidean']}, 9) AS distance FROM unit q CROSS JOIN unit t WHERE q.is_test AND NOT t.is_test), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM dist) WHERE rank <= 5)
-{VOTES_SQL.format(w='1.0')}, best AS (SELECT query_id, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(vote, 9) DESC, label) AS n FROM shares) WHERE n = 1),
-predictions AS (SELECT v.id, v.label AS y_true_label, best.label AS y_pred_label FROM best JOIN vectors v ON v.id = query_id), classes AS (SELECT 'c' || i AS label, i AS label_idx FROM range(10) t(i))"""
+SCALED_SQL = f"""{CELLS_SQL}, scaled AS (SELECT id, is_test, pos, (x - q2) / CASE WHEN q3 = q1 THEN 1 ELSE q3 - q1 END AS x FROM cells
+  JOIN fit USING (pos)), unit AS (SELECT id, is_test, list(x / n ORDER BY pos) AS features
+  FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY id)) AS n FROM scaled) GROUP BY ALL),
+dist AS (SELECT q.id AS query_id, t.id AS neighbor_id, round({DISTANCE_SQL['euclidean']}, 9) AS distance FROM unit q CROSS
+  JOIN unit t WHERE q.is_test AND NOT t.is_test), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+  ORDER BY distance, neighbor_id) AS rank FROM dist) WHERE rank <= 5)
+{VOTES_SQL.format(w='1.0')}, best AS (SELECT query_id, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+  ORDER BY round(vote, 9) DESC, label) AS n FROM shares) WHERE n = 1),
+predictions AS (SELECT v.id, v.label AS y_true_label, best.label AS y_pred_label FROM best JOIN vectors v ON v.id = query_id),
+  classes AS (SELECT 'c' || i AS label, i AS label_idx FROM range(10) t(i))"""
 
 
-@query(f"WITH {SCALED_SQL} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support, predicted, tp FROM ({_prf()})")
+@query(f"""WITH {SCALED_SQL} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(f1, 6) AS f1, support, predicted, tp FROM ({_prf()})""")
 def q122_submission_classes(spark, d):
     """Robust scaling, unit length, five neighbours, votes, per-class metrics: the flow as a user calls it."""
     from callgrid.plans.pipelines import submission
@@ -169,12 +204,14 @@ def q122_submission_classes(spark, d):
 ORDER_SQL = "weighted_f1 DESC NULLS LAST, accuracy DESC, macro_f1 DESC, macro_precision DESC, weighted_f1_std, candidate"
 
 
-@query(f"WITH {CANDIDATES_SQL} SELECT candidate, feature_set FROM (SELECT *, row_number() OVER (PARTITION BY feature_set ORDER BY {ORDER_SQL}) AS n FROM c) WHERE n = 1 ORDER BY {ORDER_SQL} LIMIT 5")
+@query(f"""WITH {CANDIDATES_SQL} SELECT candidate, feature_set FROM (SELECT *, row_number() OVER (PARTITION BY feature_set
+  ORDER BY {ORDER_SQL}) AS n FROM c) WHERE n = 1 ORDER BY {ORDER_SQL} LIMIT 5""")
 def q123_top_feature_sets(spark, d):
     return ranking.top_feature_sets(candidates(spark, d), 5).select("candidate", "feature_set")  # a top-5 report
 
 
-@query(f"WITH {CANDIDATES_SQL} SELECT feature_set AS family, model, round(max(macro_f1), 6) AS selection_macro_f1 FROM c GROUP BY ALL ORDER BY max(macro_f1) DESC, family, model LIMIT 1")
+@query(f"""WITH {CANDIDATES_SQL} SELECT feature_set AS family, model, round(max(macro_f1), 6) AS selection_macro_f1 FROM c GROUP BY ALL
+  ORDER BY max(macro_f1) DESC, family, model LIMIT 1""")
 def q124_best_baseline(spark, d):
     results = candidates(spark, d).groupBy(F.col("feature_set").alias("family"), "model").agg(F.max("macro_f1").alias("selection_macro_f1"))
     return rounded(ranking.best_baseline(results))
@@ -185,27 +222,33 @@ DOMAIN_SQL = "macro_f1 DESC, accuracy DESC, weighted_f1 DESC NULLS LAST, weighte
 
 @query(f"WITH {CANDIDATES_SQL} SELECT candidate, row_number() OVER (ORDER BY {DOMAIN_SQL})::INT AS place FROM c ORDER BY {DOMAIN_SQL} LIMIT 50")
 def q125_domain_ranking(spark, d):
-    c = candidates(spark, d).select("candidate", F.col("macro_f1").alias("domain_macro_f1"), F.col("accuracy").alias("domain_accuracy"), F.col("weighted_f1").alias("random_macro_f1"), F.col("weighted_f1_std").alias("domain_macro_f1_std"))
+    c = candidates(spark, d).select("candidate", F.col("macro_f1").alias("domain_macro_f1"), F.col("accuracy").alias("domain_accuracy"),
+        F.col("weighted_f1").alias("random_macro_f1"), F.col("weighted_f1_std").alias("domain_macro_f1_std"))
     best = ranking.top(c, 50, ranking.DOMAIN_AWARE)  # a top-50 report
     return best.select("candidate", F.row_number().over(W.orderBy(*ranking.order(ranking.DOMAIN_AWARE))).alias("place"))
 
 
 @query("SELECT p_partkey AS id, json_object('brand', p_brand, 'size', p_size, 'type', p_type)::VARCHAR AS params FROM part")
 def q126_params_text(spark, d):
-    p = T.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))
+    p = T.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.col("p_size").alias("size"),
+        F.col("p_brand").alias("brand"))
     return p.select("id", ranking.params_text("type", "size", "brand").alias("params"))
 
 
-@query(f"WITH {T.VECTORS_SQL}, g AS (SELECT domain, row_number() OVER (ORDER BY md5('0:' || domain), domain) AS n FROM (SELECT DISTINCT domain FROM vectors)) SELECT id, n <= 2 AS held_out FROM vectors JOIN g USING (domain)")
+@query(f"""WITH {T.VECTORS_SQL}, g AS (SELECT domain, row_number() OVER (ORDER BY md5('0:' || domain), domain) AS n
+  FROM (SELECT DISTINCT domain FROM vectors)) SELECT id, n <= 2 AS held_out FROM vectors JOIN g USING (domain)""")
 def q127_selection_split(spark, d):
     rows, how = folds.selection_split(T.vectors(spark, d).select("id", "label", "domain"), 0.25, "domain")
     assert how == "group_shuffle"
     return rows.select("id", "held_out")
 
 
-@query(f"""WITH RECURSIVE {T.VECTORS_SQL}, g AS (SELECT domain, n, row_number() OVER (ORDER BY n DESC, domain) AS i FROM (SELECT domain, count(*) AS n FROM vectors GROUP BY 1)),
+@query(f"""WITH RECURSIVE {T.VECTORS_SQL}, g AS (SELECT domain, n, row_number() OVER (ORDER BY n DESC, domain) AS i FROM (SELECT domain,
+  count(*) AS n FROM vectors GROUP BY 1)),
 walk(i, domain, fold, loads) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0, [0, 0, 0]::BIGINT[] UNION ALL
-  SELECT g.i, g.domain, (list_position(loads, list_min(loads)) - 1)::INT, list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + g.n ELSE x END) FROM walk JOIN g ON g.i = walk.i + 1)
+ 
+  SELECT g.i, g.domain, (list_position(loads, list_min(loads)) - 1)::INT, list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + g.n ELSE x END)
+  FROM walk JOIN g ON g.i = walk.i + 1)
 SELECT id, v.domain, fold FROM vectors v JOIN walk ON walk.domain = v.domain""")
 def q61_group_folds(spark, d):
     return folds.group_folds(T.vectors(spark, d).select("id", "domain"), 3, "domain")
@@ -219,15 +262,21 @@ def q128_scenario_rows(spark, d):
     return scenario_rows(T.vectors(spark, d), "stratified", 3, "domain").groupBy("fold", "label").agg(F.count("*").alias("n"))
 
 
-CV_SQL = f"""{T.VECTORS_SQL}, folded AS (SELECT id, label, features, (dense_rank() OVER (ORDER BY domain) - 1)::INT AS fold FROM vectors), copies AS (SELECT f.fold AS fold, r.fold = f.fold AS is_test, r.id, r.label, r.features FROM folded r CROSS JOIN (SELECT DISTINCT fold FROM folded) f),
-cells AS (SELECT fold, is_test, id, unnest(features) AS x, generate_subscripts(features, 1) AS pos FROM copies), fit AS (SELECT fold, pos, avg(x) AS m, stddev_pop(x) AS s FROM cells WHERE NOT is_test GROUP BY ALL),
-ready AS (SELECT fold, is_test, id, list((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY pos) AS features FROM cells JOIN fit USING (fold, pos) GROUP BY ALL),
-dist AS (SELECT q.fold, q.id AS query_id, t.id AS neighbor_id, round({DISTANCE_SQL['euclidean']}, 9) AS distance FROM ready q JOIN ready t ON q.fold = t.fold AND q.is_test AND NOT t.is_test),
+CV_SQL = f"""{T.VECTORS_SQL}, folded AS (SELECT id, label, features, (dense_rank() OVER (ORDER BY domain) - 1)::INT AS fold FROM vectors),
+  copies AS (SELECT f.fold AS fold, r.fold = f.fold AS is_test, r.id, r.label, r.features FROM folded r CROSS
+  JOIN (SELECT DISTINCT fold FROM folded) f),
+cells AS (SELECT fold, is_test, id, unnest(features) AS x, generate_subscripts(features, 1) AS pos FROM copies),
+  fit AS (SELECT fold, pos, avg(x) AS m, stddev_pop(x) AS s FROM cells WHERE NOT is_test GROUP BY ALL),
+ready AS (SELECT fold, is_test, id, list((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY pos) AS features FROM cells
+  JOIN fit USING (fold, pos) GROUP BY ALL),
+dist AS (SELECT q.fold, q.id AS query_id, t.id AS neighbor_id, round({DISTANCE_SQL['euclidean']}, 9) AS distance FROM ready q
+  JOIN ready t ON q.fold = t.fold AND q.is_test AND NOT t.is_test),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM dist) WHERE rank <= 3),
 votes AS (SELECT fold, query_id, label, count(*) AS vote FROM near JOIN vectors v ON v.id = neighbor_id GROUP BY ALL)"""
 
 
-@query(f"WITH {CV_SQL} SELECT query_id AS id, fold, label AS y_pred_label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vote DESC, label) AS n FROM votes) WHERE n = 1")
+@query(f"""WITH {CV_SQL} SELECT query_id AS id, fold, label AS y_pred_label FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+  ORDER BY vote DESC, label) AS n FROM votes) WHERE n = 1""")
 def q129_cross_validation(spark, d):
     """Pooled predictions of one fold per domain: each fold standardised by its own train rows, one plan for all."""
     from callgrid.plans.pipelines import cross_validate, scenario_rows
@@ -238,9 +287,12 @@ def q129_cross_validation(spark, d):
 
 # ---- preprocessing ------------------------------------------------------------------------------------------------
 
-@query(f"""WITH {CELLS_SQL}, knots AS (SELECT pos, quantile_cont(x, {[round(i / 100, 2) for i in range(101)]}) AS k FROM cells WHERE NOT is_test GROUP BY pos), r AS (
+@query(f"""WITH {CELLS_SQL}, knots AS (SELECT pos, quantile_cont(x, {[round(i / 100, 2) for i in range(101)]}) AS k FROM cells
+  WHERE NOT is_test GROUP BY pos), r AS (
   SELECT id, pos, x, k, len(list_filter(k, lambda v: v < x)) AS below, len(list_filter(k, lambda v: v <= x)) AS upto FROM cells JOIN knots USING (pos))
-SELECT id, pos::INT AS pos, round(x, 6) + 0.0 AS x, round(CASE WHEN x <= k[1] THEN 0 WHEN x >= k[101] THEN 1 WHEN upto > below THEN (below + upto - 1) / 2 / 100 ELSE (below - 1 + (x - k[below]) / (k[below + 1] - k[below])) / 100 END, 6) + 0.0 AS u FROM r""")
+SELECT id, pos::INT AS pos, round(x, 6) + 0.0 AS x,
+  round(CASE WHEN x <= k[1] THEN 0 WHEN x >= k[101] THEN 1 WHEN upto > below THEN (below + upto - 1) / 2 / 100 ELSE (below - 1 + (x - k[below]) / (k[below + 1] - k[below])) / 100 END, 6) + 0.0 AS u
+  FROM r""")
 def q49_quantile_uniform(spark, d):
     from callgrid.operators import prep
 
@@ -248,7 +300,8 @@ def q49_quantile_uniform(spark, d):
     return rounded(prep.quantile_uniform(v, prep.quantile_knots(v.where("NOT is_test"))))
 
 
-@query(f"""WITH {CELLS_SQL}, w AS (SELECT id, pos, (x - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS x FROM cells JOIN fit USING (pos)) SELECT id, pos::INT AS pos, round(x, 6) + 0.0 AS x FROM w""")
+@query(f"""WITH {CELLS_SQL}, w AS (SELECT id, pos, (x - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS x FROM cells JOIN fit USING (pos))
+  SELECT id, pos::INT AS pos, round(x, 6) + 0.0 AS x FROM w""")
 def q130_fitted_minmax(spark, d):
     """Scaling by the fold-wise steps, with one fold."""
     from callgrid.operators import fitted
@@ -263,23 +316,29 @@ def q130_fitted_minmax(spark, d):
 FAR_SQL = "sqrt(list_sum(list_transform(list_zip(a.features, b.features), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 
 
-@query(f"""WITH RECURSIVE {T.VECTORS_SQL}, links AS (SELECT a.id AS a, b.id AS b FROM vectors a CROSS JOIN vectors b WHERE {FAR_SQL} <= 1.0), core AS (SELECT a AS id FROM links GROUP BY a HAVING count(*) >= 5),
-edges AS (SELECT a, b FROM links WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), reach(v, r) AS (SELECT DISTINCT a, a FROM edges UNION SELECT reach.v, edges.b FROM reach JOIN edges ON reach.r = edges.a),
+@query(f"""WITH RECURSIVE {T.VECTORS_SQL}, links AS (SELECT a.id AS a, b.id AS b FROM vectors a CROSS JOIN vectors b WHERE {FAR_SQL} <= 1.0),
+  core AS (SELECT a AS id FROM links GROUP BY a HAVING count(*) >= 5),
+edges AS (SELECT a, b FROM links WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+  reach(v, r) AS (SELECT DISTINCT a, a FROM edges UNION SELECT reach.v, edges.b FROM reach JOIN edges ON reach.r = edges.a),
 labels AS (SELECT v, min(r) AS label FROM reach GROUP BY v), border AS (SELECT a, min(label) AS label FROM links JOIN labels ON v = b GROUP BY a)
 SELECT id, coalesce(labels.label, border.label) AS cluster FROM vectors LEFT JOIN labels ON labels.v = id LEFT JOIN border ON border.a = id""")
 def q88_dbscan(spark, d):
     return clustering.dbscan(T.vectors(spark, d), 1.0, 5)
 
 
-@query(f"""WITH {T.VECTORS_SQL}, c AS (SELECT id, features, id % 4 AS cluster FROM vectors WHERE id % 9 > 0), m AS (SELECT a.id, a.cluster, b.cluster AS other, sum({FAR_SQL}) AS total, count(*) AS n FROM c a CROSS JOIN c b GROUP BY ALL),
-s AS (SELECT id, cluster, max(total / (n - 1)) FILTER (cluster = other) AS a, min(total / n) FILTER (cluster <> other) AS b FROM m GROUP BY ALL) SELECT id, cluster, round((b - a) / greatest(a, b), 6) AS silhouette FROM s""")
+@query(f"""WITH {T.VECTORS_SQL}, c AS (SELECT id, features, id % 4 AS cluster FROM vectors WHERE id % 9 > 0),
+  m AS (SELECT a.id, a.cluster, b.cluster AS other, sum({FAR_SQL}) AS total, count(*) AS n FROM c a CROSS JOIN c b GROUP BY ALL),
+s AS (SELECT id, cluster, max(total / (n - 1)) FILTER (cluster = other) AS a, min(total / n) FILTER (cluster <> other) AS b FROM m
+  GROUP BY ALL) SELECT id, cluster, round((b - a) / greatest(a, b), 6) AS silhouette FROM s""")
 def q131_silhouette(spark, d):
     rows = T.vectors(spark, d).withColumn("cluster", F.when(F.col("id") % 9 > 0, F.col("id") % 4))
     return rounded(clustering.silhouette(rows))
 
 
-@query(f"""WITH {T.PREDICTIONS_SQL}, n AS (SELECT y_pred_label AS c, y_true_label AS l, count(*)::DOUBLE AS k FROM predictions GROUP BY ALL), a AS (SELECT c, sum(k) AS a FROM n GROUP BY 1), b AS (SELECT l, sum(k) AS b FROM n GROUP BY 1), t AS (SELECT sum(k) AS t FROM n),
-mi AS (SELECT sum(k / t * ln(k * t / (a * b))) AS mi FROM n JOIN a USING (c) JOIN b USING (l), t), h AS (SELECT (SELECT -sum(a / t * ln(a / t)) FROM a, t) AS ha, (SELECT -sum(b / t * ln(b / t)) FROM b, t) AS hb),
+@query(f"""WITH {T.PREDICTIONS_SQL}, n AS (SELECT y_pred_label AS c, y_true_label AS l, count(*)::DOUBLE AS k FROM predictions GROUP BY ALL),
+  a AS (SELECT c, sum(k) AS a FROM n GROUP BY 1), b AS (SELECT l, sum(k) AS b FROM n GROUP BY 1), t AS (SELECT sum(k) AS t FROM n),
+mi AS (SELECT sum(k / t * ln(k * t / (a * b))) AS mi FROM n JOIN a USING (c) JOIN b USING (l), t),
+  h AS (SELECT (SELECT -sum(a / t * ln(a / t)) FROM a, t) AS ha, (SELECT -sum(b / t * ln(b / t)) FROM b, t) AS hb),
 e AS (SELECT sum(k / t * ln(t * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1))) AS e
   FROM (SELECT a, b, t, unnest(range(greatest(1, a + b - t)::BIGINT, least(a, b)::BIGINT + 1)) AS k FROM a CROSS JOIN b CROSS JOIN t))
 SELECT round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami FROM mi, h, e""")
@@ -297,27 +356,42 @@ def q132_adjusted_mutual_information(spark, d):
 # ---- detection ----------------------------------------------------------------------------------------------------
 
 NINE = ", ".join(f"{t}" for t in temporal.REPORT_THRESHOLDS)
-REPORT_SQL = f"""{IOU_SQL}, best AS (SELECT * FROM (SELECT audio_path, pred_id, gt_id, round(iou, 9) AS iou, row_number() OVER (PARTITION BY audio_path, pred_id ORDER BY round(iou, 9) DESC, gt_id) AS n FROM pairs) WHERE n = 1),
-thresholds AS (SELECT unnest([{NINE}]::DOUBLE[]) AS threshold), matched AS (SELECT * FROM (SELECT audio_path, threshold, pred_id, gt_id, iou, row_number() OVER (PARTITION BY audio_path, threshold, gt_id ORDER BY pred_id) AS k FROM best JOIN thresholds ON iou >= threshold) WHERE k = 1)"""
+REPORT_SQL = f"""{IOU_SQL}, best AS (SELECT * FROM (SELECT audio_path, pred_id, gt_id,
+  round(iou, 9) AS iou, row_number() OVER (PARTITION BY audio_path, pred_id ORDER BY round(iou, 9) DESC, gt_id) AS n FROM pairs) WHERE n = 1),
+thresholds AS (SELECT unnest([{NINE}]::DOUBLE[]) AS threshold), matched AS (SELECT *
+  FROM (SELECT audio_path, threshold, pred_id, gt_id, iou, row_number() OVER (PARTITION BY audio_path, threshold, gt_id
+  ORDER BY pred_id) AS k FROM best JOIN thresholds ON iou >= threshold) WHERE k = 1)"""
 
 
-@query(f"WITH {REPORT_SQL}, s AS (SELECT threshold, count(*) AS tp FROM matched GROUP BY 1), n AS (SELECT (SELECT count(*) FROM detections) AS d, (SELECT count(*) FROM intervals) AS g) SELECT threshold, tp, d - tp AS fp, g - tp AS fn, round(tp / d, 6) AS precision, round(tp / g, 6) AS recall FROM s, n")
+@query(f"""WITH {REPORT_SQL}, s AS (SELECT threshold, count(*) AS tp FROM matched GROUP BY 1), n AS (SELECT (SELECT count(*)
+  FROM detections) AS d, (SELECT count(*) FROM intervals) AS g) SELECT threshold, tp, d - tp AS fp, g - tp AS fn,
+  round(tp / d, 6) AS precision, round(tp / g, 6) AS recall FROM s, n""")
 def q133_detection_report(spark, d):
     found = temporal.totals(temporal.file_summary(T.detections(spark, d), T.intervals(spark, d), temporal.REPORT_THRESHOLDS))
     return rounded(found.select("threshold", "tp", "fp", "fn", "precision", "recall"))
 
 
-@query(f"WITH {T.INTERVALS_SQL} SELECT (SELECT count(DISTINCT audio_path) FROM (SELECT audio_path FROM intervals UNION ALL SELECT audio_path FROM detections)) AS files, (SELECT count(*) FROM intervals) AS truths, (SELECT count(*) FROM detections) AS detections")
+@query(f"""WITH {T.INTERVALS_SQL} SELECT (SELECT count(DISTINCT audio_path) FROM (SELECT audio_path FROM intervals UNION ALL
+  SELECT audio_path FROM detections)) AS files, (SELECT count(*) FROM intervals) AS truths, (SELECT count(*) FROM detections) AS detections""")
 def q134_detector_summary(spark, d):
     return temporal.run_summary(T.detections(spark, d), T.intervals(spark, d))
 
 
-@query(f"""WITH {T.INTERVALS_SQL}, marked AS (SELECT audio_path, gt_id, label, unnest(range(greatest(0, floor(start / 4)::BIGINT), least(ceil("end" / 4)::BIGINT, ceil({T.DAY_END} / 4)::BIGINT))) AS frame FROM intervals),
-f AS (SELECT audio_path, frame, max_by(label, gt_id) AS label FROM marked GROUP BY ALL), u AS (SELECT audio_path, frame, list_position(['view', 'click', 'signup', 'purchase'], label) AS c, ('0x' || substr(md5('0:' || audio_path || ':' || frame), 1, 8))::BIGINT / 4294967296 AS u FROM f),
-p AS (SELECT audio_path, frame, CASE WHEN u < 0.1 THEN 0 ELSE c END AS pred, CASE WHEN u < 0.2 THEN 0.6 ELSE 0.9 END AS confidence FROM u), o AS (SELECT *, frame - row_number() OVER (PARTITION BY audio_path ORDER BY frame) AS run FROM p WHERE pred > 0 AND confidence >= 0.5),
-n AS (SELECT audio_path, run, pred, count(*) AS k FROM o GROUP BY ALL), m AS (SELECT audio_path, run, pred FROM (SELECT *, row_number() OVER (PARTITION BY audio_path, run ORDER BY k DESC, pred) AS r FROM n) WHERE r = 1),
+@query(f"""WITH {T.INTERVALS_SQL},
+  marked AS (SELECT audio_path, gt_id, label, unnest(range(greatest(0, floor(start / 4)::BIGINT), least(ceil("end" / 4)::BIGINT, ceil({T.DAY_END} / 4)::BIGINT))) AS frame
+  FROM intervals),
+f AS (SELECT audio_path, frame, max_by(label, gt_id) AS label FROM marked GROUP BY ALL),
+  u AS (SELECT audio_path, frame, list_position(['view', 'click', 'signup', 'purchase'], label) AS c, ('0x' || substr(md5('0:' || audio_path || ':' || frame), 1, 8))::BIGINT / 4294967296 AS u
+  FROM f),
+p AS (SELECT audio_path, frame, CASE WHEN u < 0.1 THEN 0 ELSE c END AS pred, CASE WHEN u < 0.2 THEN 0.6 ELSE 0.9 END AS confidence
+  FROM u), o AS (SELECT *, frame - row_number() OVER (PARTITION BY audio_path ORDER BY frame) AS run FROM p
+  WHERE pred > 0 AND confidence >= 0.5),
+n AS (SELECT audio_path, run, pred, count(*) AS k FROM o GROUP BY ALL), m AS (SELECT audio_path, run, pred
+  FROM (SELECT *, row_number() OVER (PARTITION BY audio_path, run ORDER BY k DESC, pred) AS r FROM n) WHERE r = 1),
 g AS (SELECT audio_path, run, min(frame) AS a, max(frame) AS b, avg(confidence) AS confidence FROM o GROUP BY ALL)
-SELECT audio_path, round(a / 0.25, 6) AS start, round((b + 1) / 0.25, 6) AS "end", ['view', 'click', 'signup', 'purchase'][pred] AS label, round(confidence, 6) AS confidence FROM g JOIN m USING (audio_path, run) WHERE (b - a + 1) / 0.25 >= 8""")
+SELECT audio_path, round(a / 0.25, 6) AS start,
+  round((b + 1) / 0.25, 6) AS "end", ['view', 'click', 'signup', 'purchase'][pred] AS label, round(confidence, 6) AS confidence
+  FROM g JOIN m USING (audio_path, run) WHERE (b - a + 1) / 0.25 >= 8""")
 def q135_offline_detection(spark, d):
     """Frames, stand-in predictions with seeded noise, islands."""
     rows = T.intervals(spark, d).withColumn("duration", F.lit(T.DAY_END))
@@ -326,33 +400,44 @@ def q135_offline_detection(spark, d):
 
 # ---- signals and scalars ------------------------------------------------------------------------------------------
 
-@query(f"""WITH {CELLS_SQL}, turns AS (SELECT id, pos, x, lag(x) OVER (PARTITION BY id ORDER BY pos) IS DISTINCT FROM x AS start FROM cells), runs AS (SELECT id, pos, x FROM turns WHERE start),
-n AS (SELECT id, x, lag(x) OVER w AS before, lead(x) OVER w AS after FROM runs WINDOW w AS (PARTITION BY id ORDER BY pos)), level AS (SELECT id, avg(x) + stddev_pop(x) AS level FROM cells GROUP BY id)
+@query(f"""WITH {CELLS_SQL}, turns AS (SELECT id, pos, x, lag(x) OVER (PARTITION BY id ORDER BY pos) IS DISTINCT FROM x AS start FROM cells),
+  runs AS (SELECT id, pos, x FROM turns WHERE start),
+n AS (SELECT id, x, lag(x) OVER w AS before, lead(x) OVER w AS after FROM runs WINDOW w AS (PARTITION BY id ORDER BY pos)),
+  level AS (SELECT id, avg(x) + stddev_pop(x) AS level FROM cells GROUP BY id)
 SELECT id, count(*) FILTER (x > before AND x > after AND x >= level)::INT AS peaks FROM n JOIN level USING (id) GROUP BY id""")
 def q136_peak_count(spark, d):
     return T.vectors(spark, d).select("id", G.peak_count(F.col("features")).alias("peaks"))
 
 
-@query(f"""WITH {CELLS_SQL}, a AS (SELECT id, abs(x) AS x, row_number() OVER (PARTITION BY id ORDER BY abs(x) DESC) AS n FROM cells) SELECT id, round(sum(x) FILTER (n <= 7) / sum(x), 6) AS top_share FROM a GROUP BY id""")
+@query(f"""WITH {CELLS_SQL}, a AS (SELECT id, abs(x) AS x, row_number() OVER (PARTITION BY id ORDER BY abs(x) DESC) AS n FROM cells)
+  SELECT id, round(sum(x) FILTER (n <= 7) / sum(x), 6) AS top_share FROM a GROUP BY id""")
 def q137_top_share(spark, d):
     return rounded(T.vectors(spark, d).select("id", S.top_share(F.transform("features", F.abs)).alias("top_share")))
 
 
-@query("""SELECT p_partkey AS id, round(CASE WHEN p_size > 25 THEN 10 * log10((p_size - 25) / (20e-6 * 20e-6)) ELSE 0 END, 6) AS db, coalesce(TRY_CAST(substr(p_type, 1, 1) || p_size AS DOUBLE), -1.0) AS safe, coalesce(TRY_CAST(p_size || '.5' AS DOUBLE), -1.0) AS half FROM part""")
+@query("""SELECT p_partkey AS id,
+  round(CASE WHEN p_size > 25 THEN 10 * log10((p_size - 25) / (20e-6 * 20e-6)) ELSE 0 END, 6) AS db, coalesce(TRY_CAST(substr(p_type, 1, 1) || p_size AS DOUBLE), -1.0) AS safe, coalesce(TRY_CAST(p_size || '.5' AS DOUBLE), -1.0) AS half
+  FROM part""")
 def q138_safe_scalars(spark, d):
     size = F.col("p_size")
     p = T.table(spark, d, "part")
-    return rounded(p.select(F.col("p_partkey").alias("id"), S.decibels_re_20_upa(F.when(size > 25, size - 25.0).otherwise(0.0)).alias("db"), S.safe_double(F.concat(F.substring("p_type", 1, 1), size.cast("string")), -1.0).alias("safe"), S.safe_double(F.concat(size.cast("string"), F.lit(".5")), -1.0).alias("half")))
+    return rounded(p.select(F.col("p_partkey").alias("id"), S.decibels_re_20_upa(F.when(size > 25, size - 25.0).otherwise(0.0)).alias("db"),
+        S.safe_double(F.concat(F.substring("p_type", 1, 1), size.cast("string")), -1.0).alias("safe"), S.safe_double(F.concat(size.cast("string"),
+            F.lit(".5")), -1.0).alias("half")))
 
 
-@query(f"WITH {T.CHECKED_SQL} SELECT split, label, source_row, round(clip_start_seconds, 6) AS start_seconds, round(clip_end_seconds, 6) AS end_seconds FROM (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY dataset, filename, source_row) AS n FROM manifest) WHERE n <= 3")
+@query(f"""WITH {T.CHECKED_SQL} SELECT split, label, source_row, round(clip_start_seconds, 6) AS start_seconds,
+  round(clip_end_seconds, 6) AS end_seconds FROM (SELECT *, row_number() OVER (PARTITION BY split, label
+  ORDER BY dataset, filename, source_row) AS n FROM manifest) WHERE n <= 3""")
 def q139_crop_extents(spark, d):
     from callgrid.operators import sampling
 
     first = sampling.first_n(kept(spark, d), ["split", "label"], ["dataset", "filename", "source_row"], 3)  # three panels of each
-    return rounded(first.select("split", "label", "source_row", F.col("clip_start_seconds").alias("start_seconds"), F.col("clip_end_seconds").alias("end_seconds")))
+    return rounded(first.select("split", "label", "source_row", F.col("clip_start_seconds").alias("start_seconds"),
+        F.col("clip_end_seconds").alias("end_seconds")))
 
 
 @query(f"WITH {T.CHECKED_SQL} SELECT label_raw, label, count(*) AS n FROM checked WHERE issue IS NULL OR issue NOT LIKE 'unknown%' GROUP BY ALL")
 def q140_display_names(spark, d):
-    return checked(spark, d).where("issue IS NULL OR issue NOT LIKE 'unknown%'").groupBy("label_raw", L.normalised(F.col("annotation"), T.ALIASES).alias("label")).agg(F.count("*").alias("n"))
+    return checked(spark, d).where("issue IS NULL OR issue NOT LIKE 'unknown%'").groupBy("label_raw", L.normalised(F.col("annotation"),
+        T.ALIASES).alias("label")).agg(F.count("*").alias("n"))

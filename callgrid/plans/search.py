@@ -18,7 +18,8 @@ from callgrid.sources import sinks
 
 PARAMETERS = ("imputer", "scaler", "reducer", "k", "weights", "metric", "p")
 # What quick mode prefers and keeps at most, and the ablation's candidate and feature sets.
-QUICK_SETS = ("handcrafted_stats", "waveform_spectral_stats", "notebook_lowfreq_band_features", "relative_lowfreq_shape_features", "temporal_lowfreq_shape_features")
+QUICK_SETS = ("handcrafted_stats", "waveform_spectral_stats", "notebook_lowfreq_band_features", "relative_lowfreq_shape_features",
+    "temporal_lowfreq_shape_features")
 QUICK_MOST = {"k": 4, "metric": 2, "reducer": 3, "scaler": 3}
 QUICK_CANDIDATES, QUICK_ROWS = 12, 1000
 ABLATION = {"imputer": "median", "scaler": "robust_l2", "reducer": "none", "k": 1, "weights": "uniform", "metric": "cosine", "p": 2}
@@ -98,7 +99,8 @@ def run(rows: DataFrame, features, classes, settings: dict, domain_aware: bool =
             try:
                 out += pipelines.evaluate(table(name), classes, own, first + len(out), n, group, ("stratified", found[1]))
             except ValueError as e:  # a feature set that doesn't exist
-                out += [{"candidate": first + len(out) + i, "feature_set": name, "params": json.dumps(c, sort_keys=True), "status": "error", "error": str(e)[:200]} for i, c in enumerate(own)]
+                out += [{"candidate": first + len(out) + i, "feature_set": name, "params": json.dumps(c, sort_keys=True), "status": "error",
+                    "error": str(e)[:200]} for i, c in enumerate(own)]
         return [r | {"stage": of} for r in out]
 
     every: list[dict] = []
@@ -120,7 +122,8 @@ def run(rows: DataFrame, features, classes, settings: dict, domain_aware: bool =
     best = [json.loads(r["params"]) for r in ranking.top(ok, int(settings.get("domain_cv_top_n", 5)), keys).collect()]
     out = {"results": ranking.ranked(ok, keys), "failed": scored.where("status <> 'ok'"), "families": ranking.best_per_feature_set(ok, keys)}
     out["ablation"] = ranking.ranked(scored.where("stage = 'ablation'"), keys)
-    strategy = {"scenarios": found[0], "domain_scenario": found[1], "ranking_scenario": found[1] if domain_aware else "stratified", "group_column": group, "n_splits": n, "rows": "official training split only"}
+    strategy = {"scenarios": found[0], "domain_scenario": found[1], "ranking_scenario": found[1] if domain_aware else "stratified", "group_column": group,
+        "n_splits": n, "rows": "official training split only"}
     out["strategy"] = spark.createDataFrame([(json.dumps(strategy, sort_keys=True),)], "strategy string")
     if not best:
         return out
@@ -128,7 +131,8 @@ def run(rows: DataFrame, features, classes, settings: dict, domain_aware: bool =
     for place, c in enumerate(best, 1):
         for s in found[0]:
             scores = pipelines.evaluated(table(c["feature_set"]), classes, [c], s, n, group)[0]
-            again.append((place, s, c["feature_set"], json.dumps(c, sort_keys=True), scores.get("error"), *[scores.get(f"{m}{x}") for m in pipelines.SCORES for x in ("", "_std", "_worst")]))
+            again.append((place, s, c["feature_set"], json.dumps(c, sort_keys=True), scores.get("error"), *[scores.get(f"{m}{x}")
+                for m in pipelines.SCORES for x in ("", "_std", "_worst")]))
     columns = ", ".join(f"{m}{x} double" for m in pipelines.SCORES for x in ("", "_std", "_worst"))
     out["scenarios"] = spark.createDataFrame(again, f"place int, scenario string, feature_set string, params string, error string, {columns}")
     won = pipelines.scenario_rows(table(best[0]["feature_set"]), strategy["ranking_scenario"], n, group)
@@ -144,7 +148,8 @@ def finished(spark: SparkSession, folder: str) -> bool:
     return all(exists(spark, f"{folder}/{name}/_SUCCESS") for name in ("results", "best_config"))
 
 
-def run_to(rows: DataFrame, features, classes, config: dict, folder: str, quick_mode: bool = False, resume: bool = False, domain_aware: bool = True, wanted: str = "full") -> str:
+def run_to(rows: DataFrame, features, classes, config: dict, folder: str, quick_mode: bool = False, resume: bool = False, domain_aware: bool = True,
+    wanted: str = "full") -> str:
     """Run a search and write its tables, the winner's configuration and a summary under a folder of a shared store."""
     spark = rows.sparkSession
     if resume and finished(spark, folder):
@@ -165,7 +170,8 @@ def run_to(rows: DataFrame, features, classes, config: dict, folder: str, quick_
 
 def summary_text(out: dict[str, DataFrame], domain_aware: bool) -> str:
     """The search in Markdown: the split, the winner, the ten best, the best of each feature set."""
-    columns = ["candidate", "stage", "feature_set", "random_accuracy", "random_weighted_f1", "random_macro_f1", "domain_accuracy", "domain_macro_f1", "domain_accuracy_worst"]
+    columns = ["candidate", "stage", "feature_set", "random_accuracy", "random_weighted_f1", "random_macro_f1", "domain_accuracy", "domain_macro_f1",
+        "domain_accuracy_worst"]
     strategy = json.loads(out["strategy"].first()[0])
     keys = pipelines.ranking_keys(domain_aware)
     parts = ["# Search", "", f"- candidates: {out['results'].count()}", f"- ranking: {'domains first' if domain_aware else 'stratified folds first'}"]

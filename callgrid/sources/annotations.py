@@ -17,7 +17,8 @@ from callgrid.sources import wav
 
 def headers(spark: SparkSession, data_root: str, split: str) -> DataFrame:
     """(split, source, columns) from the first line of every file."""
-    lines = spark.read.text(f"{data_root}/{split}/annotations/*.csv").select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("at"))
+    lines = spark.read.text(f"{data_root}/{split}/annotations/*.csv").select("value", F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("at"))
     first = lines.where("at = 0").groupBy("source").agg(F.first("value").alias("value"))
     return first.select(F.lit(split).alias("split"), "source", F.transform(F.split("value", ","), lambda c: F.trim(F.btrim(c, F.lit('"﻿')))).alias("columns"))
 
@@ -41,7 +42,8 @@ def annotation_rows(spark: SparkSession, data_root: str, splits=("train", "valid
     for columns, paths in sorted(kinds.items()):
         schema = ", ".join(f"`{c}` {'double' if c in ('low_frequency', 'high_frequency') else 'string'}" for c in columns)
         raw = spark.read.schema(schema).option("header", True).csv(sorted(paths))
-        place = [F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at")]
+        place = [F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("__block"),
+            F.monotonically_increasing_id().alias("__at")]
         scans.append(raw.select(*REQUIRED, *place))
     if not scans:
         fields = [f"{c} {'double' if c in ('low_frequency', 'high_frequency') else 'string'}" for c in REQUIRED]
@@ -55,7 +57,8 @@ def annotation_rows(spark: SparkSession, data_root: str, splits=("train", "valid
 def located(rows: DataFrame, data_root: str, durations: DataFrame) -> DataFrame:
     """Rows with audio_path, audio_exists and audio_duration_seconds; the file table has one row per WAV file."""
     path = F.concat_ws("/", F.lit(data_root.rstrip("/")), "split", F.lit("audio"), "dataset", "filename")
-    files = durations.select(F.regexp_replace("audio_path", "^file:/+", "/").alias("audio_path"), F.col("duration").alias("audio_duration_seconds"), F.lit(True).alias("__there"))
+    files = durations.select(F.regexp_replace("audio_path", "^file:/+", "/").alias("audio_path"), F.col("duration").alias("audio_duration_seconds"),
+        F.lit(True).alias("__there"))
     out = rows.withColumn("audio_path", F.regexp_replace(path, "^file:/+", "/")).join(files, "audio_path", "left")
     return ingest.with_offsets(out.withColumn("audio_exists", F.coalesce("__there", F.lit(False))).drop("__there"))
 

@@ -8,8 +8,10 @@ import os
 
 # The two spectrogram presets.
 PRESETS = {
-    "aplose_512_98": {"sample_rate": 250, "n_fft": 512, "win_length": 256, "hop_length": 5, "n_mels": 256, "f_min": 0.0, "f_max": 125.0, "overlap_percent": 98, "scale": "Default", "frequency_scale": "linear"},
-    "aplose_256_90": {"sample_rate": 250, "n_fft": 256, "win_length": 256, "hop_length": 26, "n_mels": 128, "f_min": 0.0, "f_max": 125.0, "overlap_percent": 90, "scale": "Default", "frequency_scale": "linear"},
+    "aplose_512_98": {"sample_rate": 250, "n_fft": 512, "win_length": 256, "hop_length": 5, "n_mels": 256, "f_min": 0.0, "f_max": 125.0,
+        "overlap_percent": 98, "scale": "Default", "frequency_scale": "linear"},
+    "aplose_256_90": {"sample_rate": 250, "n_fft": 256, "win_length": 256, "hop_length": 26, "n_mels": 128, "f_min": 0.0, "f_max": 125.0,
+        "overlap_percent": 90, "scale": "Default", "frequency_scale": "linear"},
 }
 #: What a child that names a preset keeps of its parent's audio settings.
 KEPT = ("margin_seconds", "normalization", "db_min", "db_max")

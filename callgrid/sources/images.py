@@ -27,7 +27,8 @@ def event_images(rows: DataFrame, cfg: dict, size: int = 224, id_column: str = "
     def run(batches):
         for b in slices(batches, 16):
             d = b.to_pydict()
-            out = [png(np.moveaxis(X.event_tensor(X.prepared({f: d[f][i] for f in fields}, d["samples"][i], d["rate"][i], cfg), cfg, size), 0, 2)) for i in range(b.num_rows)]
+            out = [png(np.moveaxis(X.event_tensor(X.prepared({f: d[f][i] for f in fields}, d["samples"][i], d["rate"][i], cfg), cfg, size), 0, 2))
+                for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(id_column), pa.array(out, pa.binary())], names=[id_column, "png"])
 
     return rows.mapInArrow(run, f"{id_column} {dict(rows.dtypes)[id_column]}, png binary")
@@ -45,7 +46,8 @@ def _of_events(events: DataFrame, waves: DataFrame, cfg: dict, make, columns: li
             rows = [make(X.Event({f: d[f][i] for f in fields}, whole.x, whole.rate)) for i in range(table.num_rows)]
         ids = table.column(id_column).combine_chunks() if table.num_rows else pa.array([], table.schema.field(id_column).type)
         made = list(zip(*rows, strict=True)) or [()] * len(columns)
-        return pa.Table.from_arrays([ids, *(pa.array(m, t) for m, (_, _, t) in zip(made, columns, strict=True))], names=[id_column, *(n for n, _, _ in columns)])
+        return pa.Table.from_arrays([ids, *(pa.array(m, t) for m, (_, _, t) in zip(made, columns, strict=True))], names=[id_column, *(n for n, _,
+            _ in columns)])
 
     schema = ", ".join([f"{id_column} {kind}", *(f"{n} {t}" for n, t, _ in columns)])
     return X.with_files(events, waves, run, schema, id_column)
@@ -79,7 +81,8 @@ def cached_tensors(events: DataFrame, waves: DataFrame, files: DataFrame, cfg: d
     spark, box = events.sparkSession, ("clip_start_seconds", "clip_end_seconds", "low_frequency", "high_frequency")
     about = json.dumps({"version": TENSOR_VERSION, "size": size, "audio": cfg}, sort_keys=True)
     key = F.sha1(F.to_json(F.struct(F.lit(about).alias("about"), "audio_path", "bytes", "modified", *box)))
-    keyed = events.join(files.select("audio_path", "bytes", F.col("modified").cast("string").alias("modified")), "audio_path").withColumn("key", key).drop("bytes", "modified")
+    keyed = events.join(files.select("audio_path", "bytes", F.col("modified").cast("string").alias("modified")), "audio_path").withColumn("key",
+        key).drop("bytes", "modified")
     missing = keyed
     if exists(spark, root):
         missing = keyed.join(spark.read.parquet(root).select("key").distinct(), "key", "left_anti")
@@ -88,7 +91,8 @@ def cached_tensors(events: DataFrame, waves: DataFrame, files: DataFrame, cfg: d
         return e.row["key"], X.event_tensor(e, cfg, size).ravel().tolist()
 
     made = _of_events(missing, waves, cfg, make, [("key", "string", pa.string()), ("tensor", "array<float>", pa.list_(pa.float32()))], id_column)
-    made.join(missing.select(id_column, "split", "label"), id_column).drop(id_column).dropDuplicates(["key"]).write.mode("append").partitionBy("split", "label").parquet(root)
+    made.join(missing.select(id_column, "split", "label"), id_column).drop(id_column).dropDuplicates(["key"]).write.mode("append").partitionBy("split",
+        "label").parquet(root)
     return keyed.select(id_column, "split", "label", "key").join(spark.read.parquet(root).select("key", "tensor"), "key")
 
 
@@ -131,7 +135,8 @@ def heatmap(dense: DataFrame, classes, cell: int = 24) -> bytes:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(image_path, height, width, channels, data) of image files."""
     i = spark.read.format("image").option("dropInvalid", True).load(path)
-    return i.select(F.col("image.origin").alias("image_path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    return i.select(F.col("image.origin").alias("image_path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"),
+        F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
 def tensors(spark: SparkSession, path: str, size: int = 224) -> DataFrame:
@@ -141,7 +146,8 @@ def tensors(spark: SparkSession, path: str, size: int = 224) -> DataFrame:
         for b in slices(batches, 16):
             out = []
             for h, w, n, data in zip(*(b.column(c).to_pylist() for c in ("height", "width", "channels", "data")), strict=True):
-                a = np.frombuffer(data, np.uint8).reshape(h, w, n)[:, :, ::-1] if n == 3 else np.repeat(np.frombuffer(data, np.uint8).reshape(h, w, n)[:, :, :1], 3, 2)  # Spark keeps BGR
+                a = np.frombuffer(data, np.uint8).reshape(h, w, n)[:, :, ::-1] if n == 3 else np.repeat(np.frombuffer(data, np.uint8).reshape(h, w, n)[:,
+                    :, :1], 3, 2)  # Spark keeps BGR
                 out.append(np.stack([K.resize(a[:, :, c] / 255.0, size, size) for c in range(3)]).astype(np.float32).ravel())
             yield pa.RecordBatch.from_arrays([b.column("image_path"), *X._vectors(None, out)[1:]], names=["image_path", "tensor"])
 

@@ -51,7 +51,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def export_matrix(df: DataFrame, path: str, names: list[str], metadata: dict) -> None:
     """A feature matrix as Parquet (id, label, features) with its names and metadata beside it."""
     df.write.mode("overwrite").parquet(f"{path}/matrix")
-    df.sparkSession.createDataFrame([(json.dumps(names), json.dumps(metadata, sort_keys=True))], "names string, metadata string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+    df.sparkSession.createDataFrame([(json.dumps(names), json.dumps(metadata, sort_keys=True))],
+        "names string, metadata string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
 
 def cached(spark: SparkSession, root: str, key, make) -> DataFrame:
@@ -125,4 +126,5 @@ def png(image) -> bytes:
     h, w = a.shape[:2]
     raw = b"".join(b"\0" + a[i].tobytes() for i in range(h))
     chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if a.ndim == 3 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if a.ndim == 3 else 0, 0, 0, 0)) + chunk(b"IDAT",
+        zlib.compress(raw)) + chunk(b"IEND", b"")

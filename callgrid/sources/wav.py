@@ -69,7 +69,8 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
 def encode(samples: np.ndarray, rate: int) -> bytes:
     """Mono float32 WAV."""
     data = np.asarray(samples, "<f4").tobytes()
-    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 3, 1, rate, 4 * rate, 4, 32) + b"data" + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 3, 1, rate, 4 * rate, 4,
+        32) + b"data" + struct.pack("<I", len(data)) + data
 
 
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -133,6 +134,7 @@ def waves(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
                 error = str(e)
             mono = pa.array(x.mean(1).astype(np.float32)) if x is not None else pa.array([], pa.float32())
             samples = pa.ListArray.from_arrays(pa.array([0, len(mono)], pa.int32()), mono) if x is not None else pa.array([None], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([rate], pa.int32()), samples, pa.array([error], pa.string())], names=["audio_path", "rate", "samples", "error"])
+            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([rate], pa.int32()), samples, pa.array([error], pa.string())], names=["audio_path",
+                "rate", "samples", "error"])
 
     return files.mapInArrow(run, WAVE)

@@ -15,4 +15,5 @@ def windowed_counts(events: DataFrame, ts: str = "ts", late: str = "1 hour", wid
 
 def to_table(stream: DataFrame, path: str, checkpoint: str):
     """Append finished windows to a Parquet table; both folders must be shared."""
-    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation",
+        checkpoint).trigger(availableNow=True).start()

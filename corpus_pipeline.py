@@ -49,7 +49,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     key = ["hash", "id", "no_id"]
     first = first.select("x.hash", F.coalesce("x.doc_id", F.lit(0)).alias("id"), "x.no_id")
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), near_dedup.row_hash("doc_id", "text").alias("hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.struct(*docs.columns).alias("row"), near_dedup.row_hash("doc_id", "text").alias("hash"), F.coalesce(F.col("doc_id").cast("long"),
+            F.lit(0)).alias("id"),
         F.col("doc_id").isNull().alias("no_id"), (F.char_length(F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS))) > 0).alias("words"),
     )
     hashable = [F.col(f"row.{f.name}") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]

@@ -14,8 +14,10 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared"))).config("spark.driver.memory", "4g").getOrCreate()
+        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled",
+            "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", "file://"
+            + str(tmp_path_factory.mktemp("shared"))).config("spark.driver.memory", "4g").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
@@ -43,7 +45,8 @@ def same(oracle):
 
         a, b = df.toPandas(), oracle(sql, folder)
         assert sorted(a.columns) == sorted(b.columns)
-        plain = lambda v: None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
+        plain = lambda v: None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, float) else v.item() if hasattr(v,
+            "item") else v
         rows = lambda x: sorted(repr([plain(v) for v in r]) for r in x[sorted(x.columns)].astype(object).values.tolist())
         assert rows(a) == rows(b)
 

@@ -59,7 +59,8 @@ def test_scalers_by_numpy(spark):
     p = out("power")
     assert np.allclose(p.mean(0), 0, atol=1e-9) and np.allclose(p.std(0), 1)
     for k in range(5):
-        lam = min(np.linspace(-4, 6, 5001), key=lambda v: 0.5 * len(x) * np.log(prep.yeo_johnson(x[:, k], v).var()) - (v - 1) * (np.sign(x[:, k]) * np.log1p(np.abs(x[:, k]))).sum())
+        lam = min(np.linspace(-4, 6, 5001), key=lambda v: 0.5 * len(x) * np.log(prep.yeo_johnson(x[:, k], v).var()) - (v - 1) * (np.sign(x[:,
+            k]) * np.log1p(np.abs(x[:, k]))).sum())
         y = prep.yeo_johnson(x[:, k], lam)
         assert np.allclose(p[:, k], (y - y.mean()) / y.std(), atol=0.02)
 
@@ -102,7 +103,8 @@ def test_cross_validation_equals_folds_one_by_one(spark):
     got = {r["id"]: r["y_pred_label"] for r in pipelines.cross_validate(folded, CLASSES, config).collect()}
     want = {}
     for f in range(3):
-        want |= {r["id"]: r["y_pred_label"] for r in pipelines.predict(folded.where(f"fold <> {f}").drop("fold"), folded.where(f"fold = {f}").drop("fold"), CLASSES, config).collect()}
+        want |= {r["id"]: r["y_pred_label"] for r in pipelines.predict(folded.where(f"fold <> {f}").drop("fold"), folded.where(f"fold = {f}").drop("fold"),
+            CLASSES, config).collect()}
     assert got == want and len(got) == 90
 
 
@@ -119,7 +121,8 @@ SETTINGS = {
     "cv": {"n_splits": 2, "group_column": "domain"}, "limit_per_class": 30, "domain_cv_top_n": 2, "ablation": {"feature_sets": ["raw", "none such"], "k": 3},
     "stages": [
         {"name": "wide", "feature_sets": ["raw", "noise"], "scaler": ["standard", "minmax"], "k": [1, 3], "max_candidates": 6},
-        {"name": "deep", "feature_sets_from_previous_top": 1, "scaler": ["standard"], "reducer": ["none", "pca:2"], "k": [3, 5], "weights": ["uniform", "distance"]},
+        {"name": "deep", "feature_sets_from_previous_top": 1, "scaler": ["standard"], "reducer": ["none", "pca:2"], "k": [3, 5], "weights": ["uniform",
+            "distance"]},
     ],
 }
 
@@ -154,7 +157,8 @@ def test_search_stages_and_reports(spark, tmp_path):
 def test_search_modes(spark, tmp_path):
     assert [s["name"] for s in search.chosen_stages(SETTINGS, "1")] == ["wide"] and len(search.chosen_stages(SETTINGS, "full")) == 2
     quick = search.quick({"stages": [{"feature_sets": ["mfcc_13", "handcrafted_stats"], "k": [1, 2, 3, 4, 5], "max_candidates": 30}]})
-    assert quick["stages"][0]["feature_sets"] == ["handcrafted_stats"] and quick["stages"][0]["k"] == [1, 2, 3, 4] and quick["stages"][0]["max_candidates"] == 12 and quick["limit_per_class"] == 1000
+    assert quick["stages"][0]["feature_sets"] == ["handcrafted_stats"] and quick["stages"][0]["k"] == [1, 2, 3,
+        4] and quick["stages"][0]["max_candidates"] == 12 and quick["limit_per_class"] == 1000
     rows, make = feature_maker(spark)
     calls = []
 
@@ -181,7 +185,8 @@ def test_submission_has_its_reports(spark, tmp_path):
     assert len(p) == 24 and out["result"].first()["fit_rows"] == 96 and out["result"].first()["accuracy"] == np.mean([r["y_true_label"] == r["y_pred_label"] for r in p])
     wide = out["predictions_wide"].first()
     assert abs(sum(wide[f"prob_{c}"] for c in CLASSES) - 1) < 1e-9
-    assert {r["correct"] for r in out["neighbours"].collect()} <= {True, False} and out["family_summary"].first()["accuracy"] >= out["summary"].first()["accuracy"]
+    assert {r["correct"] for r in out["neighbours"].collect()} <= {True,
+        False} and out["family_summary"].first()["accuracy"] >= out["summary"].first()["accuracy"]
     pipelines.save_model(rows.where("NOT is_test"), CLASSES, {"scaler": "standard", "k": 3}, str(tmp_path / "m"))
     train, classes, config = pipelines.load_model(spark, str(tmp_path / "m"))
     again = {r["id"]: r["y_pred_label"] for r in pipelines.predict(train, rows.where("is_test"), classes, config).collect()}
@@ -208,7 +213,8 @@ def test_baselines_of_all_models(spark):
     assert {r["model"] for r in got} == set(models.MODELS)
     assert [r["selection_macro_f1"] for r in got] == sorted((r["selection_macro_f1"] for r in got), reverse=True)
     assert all(r["official_test_rows"] == 30 and r["fit_rows"] + r["selection_rows"] == 120 for r in got)
-    assert np.mean([r["official_test_accuracy"] for r in got]) > 0.7 and out["best"].first()["model"] == min((r["model"] for r in got if r["selection_macro_f1"] == got[0]["selection_macro_f1"]))
+    assert np.mean([r["official_test_accuracy"] for r in got]) > 0.7 and out["best"].first()["model"] == min((r["model"] for r in got
+        if r["selection_macro_f1"] == got[0]["selection_macro_f1"]))
     assert out["predictions"].count() == len(models.MODELS) * (30 + got[0]["selection_rows"])
 
 
@@ -234,7 +240,8 @@ def test_silhouette_and_measures(spark):
     r = np.random.default_rng(2)
     x = np.concatenate([r.normal(size=(40, 3)), r.normal(size=(30, 3)) + 6, r.normal(size=(1, 3)) + 30])
     label, cluster = ["a"] * 40 + ["b"] * 30 + ["c"], [0] * 40 + [1] * 30 + [2]
-    rows = spark.createDataFrame([(i, label[i], x[i].tolist(), None if i == 5 else cluster[i]) for i in range(71)], "id long, label string, features array<double>, cluster long")
+    rows = spark.createDataFrame([(i, label[i], x[i].tolist(), None if i == 5 else cluster[i]) for i in range(71)],
+        "id long, label string, features array<double>, cluster long")
     got = {v["id"]: v["silhouette"] for v in clustering.silhouette(rows, block=16).collect()}
     assert len(got) == 70 and got[70] == 0
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
@@ -300,7 +307,8 @@ def test_imbalance_audit(spark):
 # sources
 
 def chunked_wav(samples, rate, junk):
-    body = b"".join(struct.pack("<4sI", name, len(data)) + data + b"\0" * (len(data) % 2) for name, data in ((b"LIST", junk), (b"fmt ", struct.pack("<HHIIHH", 3, 1, rate, 4 * rate, 4, 32)), (b"bext", junk), (b"data", np.asarray(samples, "<f4").tobytes())))
+    body = b"".join(struct.pack("<4sI", name, len(data)) + data + b"\0" * (len(data) % 2) for name, data in ((b"LIST", junk), (b"fmt ",
+        struct.pack("<HHIIHH", 3, 1, rate, 4 * rate, 4, 32)), (b"bext", junk), (b"data", np.asarray(samples, "<f4").tobytes())))
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
 
 
@@ -337,15 +345,18 @@ def test_annotations_of_many_files_and_headers(spark, tmp_path):
 
 def events(spark, n, files=1):
     rows = [(i, f"f{i % files}", 0.1 + 0.01 * (i % 50), 0.9 + 0.01 * (i % 50), 10.0, 60.0, "train", "bma" if i % 2 else "bmb") for i in range(n)]
-    return spark.createDataFrame(rows, "id long, audio_path string, clip_start_seconds double, clip_end_seconds double, low_frequency double, high_frequency double, split string, label string")
+    return spark.createDataFrame(rows,
+        "id long, audio_path string, clip_start_seconds double, clip_end_seconds double, low_frequency double, high_frequency double, split string, label string")
 
 
-CFG = {"sample_rate": 250, "n_fft": 64, "win_length": 64, "hop_length": 16, "n_mels": 16, "f_min": 0, "f_max": 125, "frequency_scale": "linear", "normalization": "sample"}
+CFG = {"sample_rate": 250, "n_fft": 64, "win_length": 64, "hop_length": 16, "n_mels": 16, "f_min": 0, "f_max": 125, "frequency_scale": "linear",
+    "normalization": "sample"}
 
 
 def wave_table(spark, files=1, n=2000):
     r = np.random.default_rng(8)
-    return spark.createDataFrame([(f"f{k}", 250, [float(v) for v in r.normal(size=n)]) for k in range(files)], "audio_path string, rate int, samples array<float>")
+    return spark.createDataFrame([(f"f{k}", 250, [float(v) for v in r.normal(size=n)]) for k in range(files)],
+        "audio_path string, rate int, samples array<float>")
 
 
 def test_files_meet_their_events_once(spark):
@@ -374,7 +385,8 @@ def test_panels_cache_and_error_images(spark, tmp_path):
     panels = images.crop_panels(e, w, CFG, 32)
     r = panels.orderBy("id").first()
     assert bytes(r["png"]).startswith(b"\x89PNG") and (r["start_seconds"], r["lowest_hz"] >= 10, r["highest_hz"] <= 60) == (0.1, True, True)
-    predictions = spark.createDataFrame([(i, "a", "b" if i < 4 else "a", 0.5 + i / 10) for i in range(6)], "id long, y_true_label string, y_pred_label string, pred_confidence double")
+    predictions = spark.createDataFrame([(i, "a", "b" if i < 4 else "a", 0.5 + i / 10) for i in range(6)],
+        "id long, y_true_label string, y_pred_label string, pred_confidence double")
     out = images.error_images(predictions, panels.select("id", "png"), f"file://{tmp_path}/errors", 3).collect()
     assert sorted(x["id"] for x in out) == [1, 2, 3]
     files = spark.createDataFrame([("f0", 8000, "2020")], "audio_path string, bytes long, modified string")
@@ -400,7 +412,8 @@ def test_runs_and_reports(spark, tmp_path):
             (tmp_path / run / "val_predictions.csv").write_text("a\n1\n")
     got = [(r["run"].rsplit("/", 1)[1], r["macro_f1"], r["has_predictions"]) for r in sinks.run_table(spark, str(tmp_path)).collect()]
     assert got == [("r2", 0.9, False), ("r4", 0.7, True), ("r1", 0.5, True), ("r3", None, True)]
-    assert sinks.latest_run(spark, str(tmp_path)).endswith("r4") and sinks.last_report(spark, str(tmp_path), "val_predictions.csv").endswith("r4/val_predictions.csv")
+    assert sinks.latest_run(spark, str(tmp_path)).endswith("r4") and sinks.last_report(spark, str(tmp_path),
+        "val_predictions.csv").endswith("r4/val_predictions.csv")
     with pytest.raises(FileNotFoundError):
         sinks.last_report(spark, str(tmp_path), "none.csv")
     with pytest.raises(ValueError):
@@ -457,7 +470,8 @@ def test_commands_end_to_end(spark, tmp_path):
     three = ["--manifest", m, "--config", c, "--data-root", root]
     cli.main(["regenerate", "--data-root", root, "--manifest", m, "--reports-root", str(tmp_path / "reports")])
     assert json.loads((tmp_path / "reports/provenance.json").read_text())["rows"] == {"manifest": 36, "issues": 0}
-    for command, flag in (("submission", "--output-dir"), ("search", "--output-dir"), ("baselines", "--output-dir"), ("clustering", "--output-dir"), ("notebook", "--output-dir"), ("verify-crops", "--out"), ("spectrograms", "--out"), ("representations", "--out"), ("features", "--out")):
+    for command, flag in (("submission", "--output-dir"), ("search", "--output-dir"), ("baselines", "--output-dir"), ("clustering", "--output-dir"),
+        ("notebook", "--output-dir"), ("verify-crops", "--out"), ("spectrograms", "--out"), ("representations", "--out"), ("features", "--out")):
         more = ["--cv-focused"] if command == "search" else ["--family", "handcrafted"] if command == "representations" else []
         cli.main([command, *three, flag, f"file://{tmp_path}/out/{command}", *more])
     out = f"file://{tmp_path}/out"
@@ -466,4 +480,5 @@ def test_commands_end_to_end(spark, tmp_path):
     cli.main(["audit", "--manifest", m, "--config", c, "--predictions", f"{out}/submission/predictions", "--out", f"{out}/audit"])
     cli.main(["inspect-errors", *three, "--predictions", f"{out}/submission/predictions", "--out", f"{out}/errors"])
     again = api.predict(f"{out}/submission/model", api.feature_table(api.events(api.manifest(m)).where("is_test"), root, "spectral_stats", CFG))
-    assert {r["id"]: r["y_pred_label"] for r in again.collect()} == {r["id"]: r["y_pred_label"] for r in spark.read.parquet(f"{out}/submission/predictions").collect()}
+    assert {r["id"]: r["y_pred_label"] for r in again.collect()} == {r["id"]: r["y_pred_label"]
+        for r in spark.read.parquet(f"{out}/submission/predictions").collect()}

@@ -27,7 +27,8 @@ def test_failing_candidate_is_a_row(spark):
 
 
 def test_images(spark, tmp_path):
-    rows = spark.createDataFrame([(i, [float(np.sin(j)) for j in range(250)], 250, 0.1, 0.9, 10.0, 40.0) for i in range(3)], "id long, samples array<double>, rate int, clip_start_seconds double, clip_end_seconds double, low_frequency double, high_frequency double")
+    rows = spark.createDataFrame([(i, [float(np.sin(j)) for j in range(250)], 250, 0.1, 0.9, 10.0, 40.0) for i in range(3)],
+        "id long, samples array<double>, rate int, clip_start_seconds double, clip_end_seconds double, low_frequency double, high_frequency double")
     cfg = {"sample_rate": 250, "n_fft": 64, "hop_length": 16, "n_mels": 16, "f_min": 0, "f_max": 125}
     paths = images.export(images.event_images(rows, cfg, 32), f"file://{tmp_path}/out").collect()
     assert len(paths) == 3
@@ -46,7 +47,8 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_detection_flow(spark):
-    events = spark.createDataFrame([("f", 0, 1.0, 3.0, "a", 10.0), ("f", 1, 5.0, 6.0, "b", 10.0)], "audio_path string, row int, start double, end double, label string, duration double")
+    events = spark.createDataFrame([("f", 0, 1.0, 3.0, "a", 10.0), ("f", 1, 5.0, 6.0, "b", 10.0)],
+        "audio_path string, row int, start double, end double, label string, duration double")
     got = temporal.detect(events, "duration", "row", temporal.DetectorConfig(4.0, 0.5, 0.5, True, ("a", "b")), noise=0.0)
     assert [(r["start"], r["end"], r["label"]) for r in got.orderBy("start").collect()] == [(1.0, 3.0, "a"), (5.0, 6.0, "b")]
 
@@ -59,7 +61,8 @@ def test_cli_builds_a_manifest(spark, tmp_path, monkeypatch):
     (tmp_path / "train/audio/d/2020-01-01T00-00-00_000.wav").write_bytes(wav.encode(np.zeros(500), 250))
     (tmp_path / "train/annotations/a.csv").write_text("dataset,filename,annotation,annotator,low_frequency,high_frequency,start_datetime,end_datetime\nd,2020-01-01T00-00-00_000.wav,bma,x,1,2,2020-01-01T00:00:00Z,2020-01-01T00:00:01Z\n")
     out = tmp_path / "out"
-    cli.main(["build-manifest", "--data-root", str(tmp_path), "--out", str(out / "m"), "--quality-report", str(out / "q"), "--quality-summary", str(out / "s.csv"), "--split-distribution-dir", str(out / "r"), "--splits", "train"])
+    cli.main(["build-manifest", "--data-root", str(tmp_path), "--out", str(out / "m"), "--quality-report", str(out / "q"), "--quality-summary",
+        str(out / "s.csv"), "--split-distribution-dir", str(out / "r"), "--splits", "train"])
     assert spark.read.parquet(str(out / "m")).count() == 1 and (out / "r/class_distribution.csv").exists()
     cli.main(["check-splits", "--manifest", str(out / "m"), "--out", str(out / "leak.csv")])
 

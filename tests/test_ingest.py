@@ -24,7 +24,8 @@ def row(start, end, label="bma", name="2020-01-01T00-00-00_000.wav"):
 
 def test_kept_duplicate_and_late_event(spark, tmp_path):
     audio(tmp_path)
-    write(tmp_path, [row(0.5, 1.5), row(0.5, 1.5, "Bm-A"), row(3.0, 4.0), row(0.1, 0.2), row(1.5, 3.0), row(0.2, 0.2), row(0.0, 1.0, "zzz"), row(0.0, 1.0, "bmb", "2020-01-01T01-00-00_000.wav")])
+    write(tmp_path, [row(0.5, 1.5), row(0.5, 1.5, "Bm-A"), row(3.0, 4.0), row(0.1, 0.2), row(1.5, 3.0), row(0.2, 0.2), row(0.0, 1.0, "zzz"), row(0.0, 1.0,
+        "bmb", "2020-01-01T01-00-00_000.wav")])
     write(tmp_path, [["x", "y"]], "short", header=["dataset", "filename"])
     manifest, issues = annotations.build_manifest(spark, str(tmp_path), ["train"])
     kept = {r["source_row"]: r for r in manifest.collect()}
@@ -47,7 +48,8 @@ def test_aliases(spark, raw, label):
 
 def test_leakage_is_raised(spark):
     cols = "split string, dataset string, filename string, audio_path string, label string, start_seconds double, end_seconds double, source_row long"
-    rows = spark.createDataFrame([("train", "d", "f", "p", "a", 0.0, 1.0, 1), ("validation", "d", "f", "p", "a", 0.0, 1.0, 1), ("train", "d", "g", "q", None, 0.0, 1.0, 2)], cols)
+    rows = spark.createDataFrame([("train", "d", "f", "p", "a", 0.0, 1.0, 1), ("validation", "d", "f", "p", "a", 0.0, 1.0, 1), ("train", "d", "g", "q",
+        None, 0.0, 1.0, 2)], cols)
     assert {r["check"]: r["leaked_rows"] for r in leakage.leakage_counts(rows).collect()} == {"event": 1, "audio_path": 1, "file": 1, "source_row": 1}
     with pytest.raises(ValueError, match="leakage"):
         leakage.require_no_leakage(rows)
@@ -59,7 +61,8 @@ def test_wav_formats(tag, bits, kind, scale):
 
     x = np.array([0.5, -0.25, 0.0, 0.125])
     data = (x * scale).astype(kind).tobytes()
-    head = b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, tag, 2, 250, 0, 0, bits) + b"data" + struct.pack("<I", len(data))
+    head = b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, tag, 2, 250, 0, 0, bits) + b"data" + struct.pack("<I",
+        len(data))
     got, rate = wav.decode(head + data)
     assert rate == 250 and got.shape == (2, 2) and np.allclose(got.ravel(), x)
 

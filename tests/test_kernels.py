@@ -13,7 +13,8 @@ R = np.random.default_rng(21)
 
 def dft(x, n):
     """One-sided transform of n points, term by term."""
-    return np.array([sum(v * complex(math.cos(2 * math.pi * k * i / n), -math.sin(2 * math.pi * k * i / n)) for i, v in enumerate(x[:n])) for k in range(n // 2 + 1)])
+    return np.array([sum(v * complex(math.cos(2 * math.pi * k * i / n), -math.sin(2 * math.pi * k * i / n)) for i, v in enumerate(x[:n]))
+        for k in range(n // 2 + 1)])
 
 
 def test_spectrum_is_the_transform_of_each_frame():
@@ -61,7 +62,8 @@ def test_envelope_from_the_analytic_signal(n):
     x = R.normal(size=n)
     whole = [sum(x[i] * complex(math.cos(2 * math.pi * k * i / n), -math.sin(2 * math.pi * k * i / n)) for i in range(n)) for k in range(n)]
     keep = [1 if k == 0 or 2 * k == n else 2 if 2 * k < n else 0 for k in range(n)]
-    analytic = [sum(h * s * complex(math.cos(2 * math.pi * k * i / n), math.sin(2 * math.pi * k * i / n)) for k, (h, s) in enumerate(zip(keep, whole, strict=True))) / n for i in range(n)]
+    analytic = [sum(h * s * complex(math.cos(2 * math.pi * k * i / n), math.sin(2 * math.pi * k * i / n)) for k, (h, s) in enumerate(zip(keep, whole,
+        strict=True))) / n for i in range(n)]
     assert np.allclose(K.envelope(x), np.abs(analytic))
 
 
@@ -85,8 +87,10 @@ def test_peaks(x, peaks):
 
 
 def test_descriptors_of_a_tone():
-    e = X.Event({"clip_start_seconds": 0.0, "clip_end_seconds": 4.0, "low_frequency": 20.0, "high_frequency": 60.0, "duration_seconds": 4.0}, np.sin(2 * np.pi * 40 * np.arange(1000) / 250), 250)
-    cfg = {"sample_rate": 250, "n_fft": 64, "win_length": 64, "hop_length": 16, "n_mels": 32, "f_min": 0, "f_max": 125, "frequency_scale": "linear", "normalization": "sample"}
+    e = X.Event({"clip_start_seconds": 0.0, "clip_end_seconds": 4.0, "low_frequency": 20.0, "high_frequency": 60.0, "duration_seconds": 4.0},
+        np.sin(2 * np.pi * 40 * np.arange(1000) / 250), 250)
+    cfg = {"sample_rate": 250, "n_fft": 64, "win_length": 64, "hop_length": 16, "n_mels": 32, "f_min": 0, "f_max": 125, "frequency_scale": "linear",
+        "normalization": "sample"}
     d = dict(zip(X.feature_names("spectral_stats"), X.vector(e, cfg, "spectral_stats"), strict=True))
     assert abs(d["dominant_frequency_hz_mean"] - 40) < 4 and abs(d["spectral_centroid_hz_mean"] - 40) < 4 and d["frequency_of_max_energy_hz"] == d["dominant_frequency_hz_max"]
     box = dict(zip(X.CROP, X.vector(e, cfg, X.representation("handcrafted")), strict=True))

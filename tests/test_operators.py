@@ -81,7 +81,8 @@ def test_yeo_johnson_makes_symmetric():
 def test_mutual_information_orders_features():
     r = np.random.default_rng(7)
     y = r.integers(0, 3, 300)
-    assert prep.mutual_information(y + r.normal(0, 0.1, 300), y) > prep.mutual_information(y + r.normal(0, 2, 300), y) > prep.mutual_information(r.normal(size=300), y) - 0.1
+    assert prep.mutual_information(y + r.normal(0, 0.1, 300), y) > prep.mutual_information(y + r.normal(0, 2, 300),
+        y) > prep.mutual_information(r.normal(size=300), y) - 0.1
 
 
 def test_islands_and_empty_input(spark):
@@ -141,6 +142,7 @@ def test_cluster_measures(spark):
 @pytest.mark.parametrize("name", ["logistic_regression", "gaussian_nb", "random_forest"])
 def test_baselines_learn(spark, name):
     r = np.random.default_rng(9)
-    rows = spark.createDataFrame([(i, f"c{i % 2}", (r.normal(size=3) + 3 * (i % 2)).tolist()) for i in range(120)], "id long, label string, features array<double>")
+    rows = spark.createDataFrame([(i, f"c{i % 2}", (r.normal(size=3) + 3 * (i % 2)).tolist()) for i in range(120)],
+        "id long, label string, features array<double>")
     out = models.predictions(rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"), name, ["c0", "c1"], sizes={"trees": 50, "depth": 8})
     assert metrics.metrics(out, ["c0", "c1"]).first()["accuracy"] > 0.9

@@ -41,5 +41,6 @@ def test_entry_without_llm(tmp_path):
     for _ in range(2):
         subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True)
         (copy / "corpus_pipeline.py").unlink(missing_ok=True)
-    collected = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=copy, env=env, capture_output=True, text=True)
+    collected = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=copy, env=env,
+        capture_output=True, text=True)
     assert collected.returncode == 0, collected.stdout[-2000:]
