@@ -70,6 +70,8 @@ def train(manifest_path: str, config_path: str, data_root: str, out: str) -> dic
     found = pipelines.submission(table, classes_of(c), knn, None if mapping_of(c) else FAMILIES)
     for name, t in found.items():
         t.write.mode("overwrite").parquet(f"{out}/{name}")
+    text = pipelines.overview(found, knn.get("feature_set", "handcrafted_stats"))
+    table.sparkSession.createDataFrame([(text,)], "line string").coalesce(1).write.mode("overwrite").text(f"{out}/overview")
     pipelines.save_model(table.where("NOT is_test"), classes_of(c), knn, f"{out}/model")
     return found
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -109,6 +109,12 @@ def classify(voted: DataFrame, classes, by=()) -> DataFrame:
     return out.select(*by, "query_id", F.col("b.label").alias("y_pred_label"), F.col("b.probability").alias("pred_confidence"), "probs")
 
 
+def distance_text(distance: Column) -> Column:
+    """A distance with eight significant digits, without trailing zeros; for values from 0.001 to ten million."""
+    scale = F.pow(F.lit(10.0), 7 - F.floor(F.log10(distance)))
+    return F.when(distance == 0, F.lit("0")).otherwise(F.regexp_replace((F.round(distance * scale) / scale).cast("string"), "[.]0$", ""))
+
+
 def neighbour_report(near: DataFrame, meta: DataFrame) -> DataFrame:
     """One row a query: the neighbours' ids, labels and domains in order, and their mean distance."""
     rows = near.join(meta.select(F.col("id").alias("neighbor_id"), "label", "domain"), "neighbor_id")

@@ -208,6 +208,18 @@ def submission(rows: DataFrame, classes, config: dict, families: dict | None = N
     return out
 
 
+def overview(tables: dict[str, DataFrame], feature_set: str = "") -> str:
+    """A submission in Markdown: its settings, its scores, each domain's scores."""
+    from callgrid.sources.sinks import markdown
+
+    r = tables["result"].first()
+    lines = ["# Submission", "", f"- feature set: {feature_set}", *[f"- {x}: {r[x]}" for x in (*DEFAULT, "fit_rows", "official_test_rows",
+        "features_before_pipeline")]]
+    lines += [f"- {m}: {r[m]:.4f}" for m in ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1")]
+    by = tables["by_domain"].select("dataset", "support", "accuracy", "macro_f1", "weighted_f1").orderBy("dataset")
+    return "\n".join([*lines, "", "## By domain", "", markdown(by)])
+
+
 def save_model(rows: DataFrame, classes, config: dict, path: str) -> None:
     """A classifier as files: its training rows and its configuration. Its fitted statistics follow from them."""
     spark = rows.sparkSession

@@ -247,6 +247,7 @@ def q127_selection_split(spark, d):
   count(*) AS n FROM vectors GROUP BY 1)),
 walk(i, domain, fold, loads) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0, [0, 0, 0]::BIGINT[] UNION ALL
  
+ 
   SELECT g.i, g.domain, (list_position(loads, list_min(loads)) - 1)::INT, list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + g.n ELSE x END)
   FROM walk JOIN g ON g.i = walk.i + 1)
 SELECT id, v.domain, fold FROM vectors v JOIN walk ON walk.domain = v.domain""")
@@ -441,3 +442,12 @@ def q139_crop_extents(spark, d):
 def q140_display_names(spark, d):
     return checked(spark, d).where("issue IS NULL OR issue NOT LIKE 'unknown%'").groupBy("label_raw", L.normalised(F.col("annotation"),
         T.ALIASES).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_near_sql('manhattan')} SELECT query_id, string_agg(rtrim(rtrim(printf('%.7f',
+  round(distance * pow(10, 7 - floor(log10(distance)))) / pow(10, 7 - floor(log10(distance)))), '0'), '.'), ' ' ORDER BY rank) AS distances
+  FROM near GROUP BY query_id""")
+def q141_neighbour_distances(spark, d):
+    """Distances as a report prints them, in the order of their ranks."""
+    text = F.array_sort(F.collect_list(F.struct("rank", knn.distance_text(F.col("distance")).alias("text"))))
+    return near(spark, d, "manhattan").groupBy("query_id").agg(F.array_join(F.transform(text, lambda x: x["text"]), " ").alias("distances"))

@@ -55,6 +55,13 @@ def export_matrix(df: DataFrame, path: str, names: list[str], metadata: dict) ->
         "names string, metadata string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
 
+def manifest_signature(rows: DataFrame) -> dict:
+    """What a cache of features depends on in a manifest: its columns, and an order-free hash and count of its rows."""
+    names = sorted(rows.columns)
+    r = rows.select(F.xxhash64(*names).alias("h")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("h")).first()
+    return {"columns": names, "rows": r["n"], "hash": r["h"]}
+
+
 def cached(spark: SparkSession, root: str, key, make) -> DataFrame:
     """A table kept under the hash of what it depends on; made once."""
     path = f"{root.rstrip('/')}/{stable_hash(key)}"

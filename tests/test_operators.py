@@ -144,5 +144,5 @@ def test_baselines_learn(spark, name):
     r = np.random.default_rng(9)
     rows = spark.createDataFrame([(i, f"c{i % 2}", (r.normal(size=3) + 3 * (i % 2)).tolist()) for i in range(120)],
         "id long, label string, features array<double>")
-    out = models.predictions(rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"), name, ["c0", "c1"], sizes={"trees": 50, "depth": 8})
+    out = models.predictions(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), name, ["c0", "c1"], sizes={"trees": 50, "depth": 8})
     assert metrics.metrics(out, ["c0", "c1"]).first()["accuracy"] > 0.9
