@@ -30,7 +30,7 @@ from callgrid.runtime import stage
 
 WEIGHTS, LIMIT, SEED = (5, 2, 1), 3, 20260105
 BLOCK_WORDS, MOST_BLOCKS = 1 << 14, 1 << 20
-SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS = 1 << 26, 16, 1 << 17
+SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS = 1 << 22, 16, 1 << 17
 PARTS = 64
 
 
