@@ -101,14 +101,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def steady_memory() -> None:
-    """Have this worker process give blocks of a megabyte or more back to the system as soon as they are free. By default
-    the C library keeps ever larger ones for itself, and Spark's workers live on from task to task."""
+    """Have this worker process give blocks of 16 megabytes or more back to the system as soon as they are free. By default
+    the C library comes to keep larger ones for itself, and Spark's workers live on from task to task."""
 
     def tune():
         import ctypes
 
         with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own ways
-            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # -3: M_MMAP_THRESHOLD
+            ctypes.CDLL(None).mallopt(-3, 1 << 24)  # -3: M_MMAP_THRESHOLD
         return True
 
     per_process("steady_memory", tune)
