@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 
 from callgrid.llm.quality import held_out
 from callgrid.llm.text import WordHashes
-from callgrid.runtime import by_value, shuffles_dropped, slices, stage, steady_memory
+from callgrid.runtime import by_value, shuffles_dropped, slices, stage, steady_memory, trimmed
 
 by_value(__name__)
 
-CHUNK, FAN, SPARE, CONTEXT_BUCKETS, EM_ROUNDS = 500_000, 512, 20, 24, 200
+CHUNK, FAN, SPARE, CONTEXT_BUCKETS, EM_ROUNDS = 1_000_000, 256, 20, 24, 200
 #: EM's histogram: octave bins of trigram to base and bigram to base, octave bins of the word's count.
 X_BINS, Y_BINS = 48, 16
 END = 0x9E3779B97F4A7C15
@@ -286,6 +286,7 @@ CELLS = "cell long, k long, s3 double, s2 double, s1 double"
 
 def held_out_cells(table: pa.Table, bits: int, n: int, v: int) -> pa.Table:
     """EM's histogram of a chunk's training tokens: (bucket, trigram, bigram and word bin) with counts and summed logs."""
+    trimmed()
     docs, sizes, first, cw, cv, cvw, cuv, cuvw = _tokens(table, bits)
     t = np.repeat(~docs.column("held").to_numpy(zero_copy_only=False), sizes)
     cw, cv, cvw = cw[t] - 1, cv[t] - 1, cvw[t] - 1
@@ -334,6 +335,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def scored(table: pa.Table, bits: int, weights: np.ndarray, n: int, v: int) -> pa.Table:
     """SCORES of a chunk's documents."""
+    trimmed()
     docs, sizes, _, cw, cv, cvw, cuv, cuvw = _tokens(table, bits)
     f = estimates(cw, cv, cvw, cuv, cuvw, n, v)
     w = weights[context_bucket(cv, cuv)]
