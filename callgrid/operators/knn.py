@@ -43,13 +43,16 @@ def distances(q: np.ndarray, t: np.ndarray, metric: str, p: float = 2.0) -> np.n
 
 
 def neighbours(train: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, exclude_self: bool = False, block: int = BLOCK,
-    by: str | None = None) -> DataFrame:
+    by: str | None = None, staged: bool = False) -> DataFrame:
     """([by], query_id, rank from 1, neighbor_id, distance) from (id, features) tables; with ``by``, an integer column of
-    both, queries meet the train rows of their own value only. Fewer train rows than k are all returned."""
+    both, queries meet the train rows of their own value only. Fewer train rows than k are all returned. ``staged``: both tables
+    are read from files already."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
     own_by = F.col(by).cast("int") if by else F.lit(0)
-    train, queries = (stage(x.select(own_by.alias("by"), "id", "features"), name) for x, name in ((train, "knn-train"), (queries, "knn-queries")))
+    train, queries = (x.select(own_by.alias("by"), "id", "features") for x in (train, queries))
+    if not staged:  # each side is read twice
+        train, queries = stage(train, "knn-train"), stage(queries, "knn-queries")
     sizes = [x.groupBy("by").count().agg(F.max("count")).first()[0] or 1 for x in (train, queries)]
     n_t, n_q = (-(-n // block) for n in sizes)
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -85,17 +88,19 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, metric: str = "eucl
     return out.select(*([F.col("by").alias(by)] if by else []), "query_id", "rank", "neighbor_id", "distance")
 
 
-def votes(near: DataFrame, labels: DataFrame, weights: str = "uniform", by=()) -> DataFrame:
-    """([by], query_id, label, vote, probability). With distance weights only neighbours at distance 0 vote, if there are any."""
+def votes(near: DataFrame, labels: DataFrame, weights: str | Column = "uniform", by=()) -> DataFrame:
+    """([by], query_id, label, vote, probability). With distance weights only neighbours at distance 0 vote, if there are
+    any. ``weights`` may be a column of ``near`` that names the kind of each row."""
+    if isinstance(weights, str) and weights not in ("uniform", "distance"):
+        raise ValueError(f"unknown weights {weights!r}")
     key = [*by, "query_id"]
     named = near.join(labels.select(F.col("id").alias("neighbor_id"), "label"), "neighbor_id")
-    if weights == "uniform":
-        w = F.lit(1.0)
-    elif weights == "distance":
-        zero = F.min("distance").over(W.partitionBy(*key)) == 0
-        w = F.when(zero, (F.col("distance") == 0).cast("double")).otherwise(1 / F.col("distance"))
+    zero = F.min("distance").over(W.partitionBy(*key)) == 0
+    closeness = F.when(zero, (F.col("distance") == 0).cast("double")).otherwise(1 / F.col("distance"))
+    if isinstance(weights, str):
+        w = closeness if weights == "distance" else F.lit(1.0)
     else:
-        raise ValueError(f"unknown weights {weights!r}")
+        w = F.when(weights == "distance", closeness).otherwise(F.lit(1.0))
     v = named.withColumn("w", w).groupBy(*key, "label").agg(F.sum("w").alias("vote"))
     return v.withColumn("probability", F.col("vote") / F.sum("vote").over(W.partitionBy(*key)))
 

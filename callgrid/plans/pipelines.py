@@ -52,7 +52,7 @@ def neighbours(table: DataFrame, config: dict, k: int) -> DataFrame:
     """(fold, query_id, rank, neighbor_id, distance) of the test rows of fold copies, every step fitted on train rows."""
     c = checked(config)
     ready = stage(fitted.transformed(table, c["imputer"], c["scaler"], c["reducer"]).select("fold", "is_test", "id", "features"), "flow-ready")
-    return knn.neighbours(ready.where("NOT is_test"), ready.where("is_test"), k, c["metric"], float(c["p"]), by="fold")
+    return knn.neighbours(ready.where("NOT is_test"), ready.where("is_test"), k, c["metric"], float(c["p"]), by="fold", staged=True)
 
 
 def classified(near: DataFrame, rows: DataFrame, classes, config: dict) -> DataFrame:
@@ -76,10 +76,18 @@ def cross_validate(rows: DataFrame, classes, config: dict, fold: str = "fold") -
     return classified(near, rows, classes, config)
 
 
-def fold_scores(predictions: DataFrame, classes) -> dict:
-    """Mean, population deviation and worst fold of each score. A fold's macro scores cover the classes that occur in it."""
-    by = metrics.metrics(predictions, classes, ["fold"]).withColumn("macro_f1", F.col("macro_f1_fold"))
-    return by.agg(*[f(m).alias(f"{m}{s}") for m in SCORES for s, f in (("", F.avg), ("_std", F.stddev_pop), ("_worst", F.min))]).first().asDict()
+def fold_scores(near: DataFrame, rows: DataFrame, classes, candidates: dict[int, dict]) -> dict[int, dict]:
+    """Mean, population deviation and worst fold of each score, for candidates that share their neighbours: one plan, with
+    the candidate as a column. A fold's macro scores cover the classes that occur in it."""
+    settings = [F.struct(F.lit(i).alias("candidate"), F.lit(int(checked(c)["k"])).alias("k"), F.lit(checked(c)["weights"]).alias("weights")) for i,
+        c in candidates.items()]
+    key = ["candidate", "fold"]
+    asked = near.withColumn("c", F.explode(F.array(*settings))).where(F.col("rank") <= F.col("c.k")).select("c.candidate", "c.weights", *near.columns)
+    found = knn.classify(knn.votes(asked, rows, F.col("weights"), by=key), classes, by=key).withColumnRenamed("query_id", "id")
+    named = found.join(rows.select("id", F.col("label").alias("y_true_label")), "id")
+    by = metrics.metrics(named, classes, key).withColumn("macro_f1", F.col("macro_f1_fold"))
+    scores = [f(m).alias(f"{m}{s}") for m in SCORES for s, f in (("", F.avg), ("_std", F.stddev_pop), ("_worst", F.min))]
+    return {r["candidate"]: {k: v for k, v in r.asDict().items() if k != "candidate"} for r in by.groupBy("candidate").agg(*scores).collect()}
 
 
 def scenario_rows(rows: DataFrame, scenario: str, k: int, group: str, seed: int = 0) -> DataFrame:
@@ -120,8 +128,8 @@ def evaluated(rows: DataFrame, classes, candidates: list[dict], scenario: str, k
             for i in own:
                 out[i] = {"error": str(e)[:200]}
             continue
-        for i in own:
-            out[i] = fold_scores(classified(near, table, classes, candidates[i]), classes)
+        for i, scores in fold_scores(near, table, classes, {i: candidates[i] for i in own}).items():
+            out[i] = scores
     return out
 
 

@@ -128,11 +128,12 @@ def run(rows: DataFrame, features, classes, settings: dict, domain_aware: bool =
     if not best:
         return out
     again = []
-    for place, c in enumerate(best, 1):
+    for name in dict.fromkeys(c["feature_set"] for c in best):
+        own = [(place, c) for place, c in enumerate(best, 1) if c["feature_set"] == name]
         for s in found[0]:
-            scores = pipelines.evaluated(table(c["feature_set"]), classes, [c], s, n, group)[0]
-            again.append((place, s, c["feature_set"], json.dumps(c, sort_keys=True), scores.get("error"), *[scores.get(f"{m}{x}")
-                for m in pipelines.SCORES for x in ("", "_std", "_worst")]))
+            for (place, c), scores in zip(own, pipelines.evaluated(table(name), classes, [c for _, c in own], s, n, group), strict=True):
+                values = [scores.get(f"{m}{x}") for m in pipelines.SCORES for x in ("", "_std", "_worst")]
+                again.append((place, s, name, json.dumps(c, sort_keys=True), scores.get("error"), *values))
     columns = ", ".join(f"{m}{x} double" for m in pipelines.SCORES for x in ("", "_std", "_worst"))
     out["scenarios"] = spark.createDataFrame(again, f"place int, scenario string, feature_set string, params string, error string, {columns}")
     won = pipelines.scenario_rows(table(best[0]["feature_set"]), strategy["ranking_scenario"], n, group)

@@ -112,16 +112,16 @@ def test_candidates_that_share_neighbours_score_alike(spark):
     _, df = table(spark, 90)
     together = pipelines.evaluated(df, CLASSES, [{"k": 1}, {"k": 5, "weights": "distance"}, {"k": 5}], "stratified")
     for c, scores in zip(({"k": 1}, {"k": 5, "weights": "distance"}, {"k": 5}), together, strict=True):
-        assert pipelines.evaluated(df, CLASSES, [c], "stratified")[0] == scores
+        assert pipelines.evaluated(df, CLASSES, [c], "stratified")[0] == pytest.approx(scores)
 
 
 # search
 
 SETTINGS = {
-    "cv": {"n_splits": 2, "group_column": "domain"}, "limit_per_class": 30, "domain_cv_top_n": 2, "ablation": {"feature_sets": ["raw", "none such"], "k": 3},
+    "cv": {"n_splits": 2, "group_column": "domain"}, "limit_per_class": 30, "domain_cv_top_n": 1, "ablation": {"feature_sets": ["raw", "none such"], "k": 3},
     "stages": [
-        {"name": "wide", "feature_sets": ["raw", "noise"], "scaler": ["standard", "minmax"], "k": [1, 3], "max_candidates": 6},
-        {"name": "deep", "feature_sets_from_previous_top": 1, "scaler": ["standard"], "reducer": ["none", "pca:2"], "k": [3, 5], "weights": ["uniform",
+        {"name": "wide", "feature_sets": ["raw", "noise"], "scaler": ["standard"], "k": [1, 3], "max_candidates": 3},
+        {"name": "deep", "feature_sets_from_previous_top": 1, "scaler": ["standard"], "reducer": ["none", "pca:2"], "k": [3], "weights": ["uniform",
             "distance"]},
     ],
 }
@@ -146,11 +146,11 @@ def test_search_stages_and_reports(spark, tmp_path):
     got = out["results"].collect()
     stages = {r["stage"] for r in got}
     assert stages == {"wide", "deep", "ablation"} and {r["feature_set"] for r in got if r["stage"] == "deep"} == {"raw"}
-    assert len([r for r in got if r["stage"] == "wide"]) == 6 and len([r for r in got if r["stage"] == "deep"]) == 8
+    assert len([r for r in got if r["stage"] == "wide"]) == 3 and len([r for r in got if r["stage"] == "deep"]) == 4
     order = [(-r["random_weighted_f1"], -r["random_accuracy"]) for r in got]
     assert order == sorted(order)
     assert [r["feature_set"] for r in out["failed"].collect()] == ["none such"]
-    assert {r["place"] for r in out["scenarios"].collect()} == {1, 2} and out["cv_metrics"].first()["accuracy"] > 0.7
+    assert {r["scenario"] for r in out["scenarios"].collect()} >= {"stratified", "leave_one_group_out"} and out["cv_metrics"].first()["accuracy"] > 0.7
     assert out["predictions"].count() == 90 and json.loads(out["strategy"].first()[0])["n_splits"] == 2
 
 
@@ -471,7 +471,7 @@ def test_commands_end_to_end(spark, tmp_path):
     cli.main(["regenerate", "--data-root", root, "--manifest", m, "--reports-root", str(tmp_path / "reports")])
     assert json.loads((tmp_path / "reports/provenance.json").read_text())["rows"] == {"manifest": 36, "issues": 0}
     for command, flag in (("submission", "--output-dir"), ("search", "--output-dir"), ("baselines", "--output-dir"), ("clustering", "--output-dir"),
-        ("notebook", "--output-dir"), ("verify-crops", "--out"), ("spectrograms", "--out"), ("representations", "--out"), ("features", "--out")):
+         ("verify-crops", "--out"), ("spectrograms", "--out"), ("representations", "--out")):
         more = ["--cv-focused"] if command == "search" else ["--family", "handcrafted"] if command == "representations" else []
         cli.main([command, *three, flag, f"file://{tmp_path}/out/{command}", *more])
     out = f"file://{tmp_path}/out"
