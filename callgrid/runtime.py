@@ -100,18 +100,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def steady_memory() -> None:
-    """Have this worker process give blocks of 16 megabytes or more back to the system as soon as they are free. By default
-    the C library comes to keep larger ones for itself, and Spark's workers live on from task to task."""
-
-    def tune():
-        import ctypes
-
-        with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own ways
-            ctypes.CDLL(None).mallopt(-3, 1 << 24)  # -3: M_MMAP_THRESHOLD
-        return True
+def steady_memory(least: int = 1 << 20) -> None:
+    """Have this worker process give blocks of ``least`` bytes or more back to the system as soon as they are free. By
+    default the C library comes to keep larger ones for itself, and Spark's workers live on from task to task. Tasks that
+    make very many large arrays choose a higher bound: fresh pages cost time."""
+    import ctypes
 
-    per_process("steady_memory", tune)
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own ways
+        ctypes.CDLL(None).mallopt(-3, least)  # -3: M_MMAP_THRESHOLD
 
 
 def trimmed() -> None:
@@ -125,10 +121,10 @@ def trimmed() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches, rows: int = 256):
+def slices(batches, rows: int = 256, least: int = 1 << 20):
     """The batches in pieces of few rows, so that only a piece is held as Python objects at a time; at the end of the task
-    its memory goes back to the system."""
-    steady_memory()
+    its memory goes back to the system, blocks of ``least`` bytes at once."""
+    steady_memory(least)
     try:
         for b in batches:
             for lo in range(0, b.num_rows, rows):
