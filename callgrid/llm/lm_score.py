@@ -43,6 +43,8 @@ CHUNK, FAN, SPARE, CONTEXT_BUCKETS, EM_ROUNDS = 1_000_000, 256, 20, 24, 200
 #: EM's histogram: octave bins of trigram to base and bigram to base, octave bins of the word's count.
 X_BINS, Y_BINS = 48, 16
 END = 0x9E3779B97F4A7C15
+#: Arrays of a chunk are below this many bytes; a worker keeps such blocks within a task.
+ARRAYS = 1 << 24
 WORDS, PAIRS, TRIPLES = 1, 2, 3
 
 
@@ -136,7 +138,7 @@ def chunked(docs: DataFrame, chunk_tokens: int = CHUNK) -> DataFrame:
     def run(batches):
         hashes, part, n, tokens = WordHashes(), TaskContext.get().partitionId(), 0, 0
         end, ids, held, parts = np.array([END], np.uint64), [], [], []
-        for b in slices(batches):
+        for b in slices(batches, least=ARRAYS):
             for doc, text, out in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = np.concatenate([hashes.of((text or "").encode()), end])
                 if parts and tokens + len(own) > chunk_tokens:
@@ -177,7 +179,7 @@ def asked(chunks: DataFrame, bits: int, fan: int) -> DataFrame:
     """BLOCKS of every chunk, by ``fan`` (a power of two) ranges of hashes."""
 
     def run(batches):
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, ARRAYS):
             row = b.to_pylist()[0]
             docs, sizes, words, at = _sequence(row)
             training = np.repeat(~docs.column("held").to_numpy(zero_copy_only=False), sizes)
@@ -194,7 +196,7 @@ ANSWERS = "kind int, range long, owner string, counts binary, total long, types
 
 def _merged(table: pa.Table):
     """The hashes of each block, all distinct ones, their summed counts, and where each block's hashes are in them."""
-    steady_memory()
+    steady_memory(ARRAYS)
     keys = [unpack_sorted(k.as_py()) for k in table.column("keys")]
     counts = [unpack_counts(c.as_py()) for c in table.column("counts")]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -248,7 +250,7 @@ def answered(blocks: DataFrame, owners: int, bits: int, done: int, fan: int = FA
 def _tokens(table: pa.Table, bits: int):
     """Of a chunk with the answers to its questions: docs table, sizes, and per token the counts of its word, context,
     pair, pair before it (0 for a first token) and triple."""
-    steady_memory()
+    steady_memory(ARRAYS)
     d = table.to_pydict()
     own = d["kind"].index(0)
     docs, sizes, words, at = _sequence({c: d[c][own] for c in ("docs", "keys", "at")})

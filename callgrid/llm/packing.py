@@ -28,7 +28,7 @@ from callgrid.runtime import by_value, per_process, slices, stage
 
 by_value(__name__)
 
-CAPACITY, END_ID, CLASSES, ROUNDS, CACHE = 4096, 1, 128, 300, 400_000
+CAPACITY, END_ID, CLASSES, ROUNDS, CACHE = 4096, 1, 128, 300, 200_000
 #: Shares of the program's solution that are rounded down to whole configurations; the best of these roundings is used.
 SHARES = (0.25, 0.5, 0.75, 1.0)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
