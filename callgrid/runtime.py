@@ -59,19 +59,26 @@ def sweep() -> None:
     STAGED.clear()
 
 
-#: While a staged table is written, Spark drops the plan's shuffle files as soon as the write ends: nothing reads them again.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the session while a staged table is written. Spark drops the plan's shuffle files as soon as the write ends,
+#: since nothing reads them again, and batches of rows for Python stay small, so that neither side holds many long texts.
+STAGING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
 
 
 @contextlib.contextmanager
 def shuffles_dropped(spark: SparkSession):
-    """Actions inside leave no shuffle files behind. The session's own setting is back afterwards."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    """Actions inside run with ``STAGING``. The session's own settings are back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in STAGING}
+    for k, v in STAGING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
