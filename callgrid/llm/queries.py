@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from callgrid.llm import fingerprint, line_dedup, lm_score, mixing, near_dedup, packing, quality, url_filter, vector_search, warc
+from callgrid.llm import (
+    fill_in_middle, filter_audit, fingerprint, line_dedup, lm_score, mixing, near_dedup, packing, quality, secrets, url_filter, vector_search, warc,
+)
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_secrets": secrets.op12_secrets,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
 ORACLES = {
@@ -22,4 +27,6 @@ ORACLES = {
     "op4_url_filter": url_filter.SQL,
     "op9_near_dedup": near_dedup.SQL,
     "op10_warc": warc.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op13_fill_in_middle": fill_in_middle.SQL,
 }
