@@ -16,8 +16,8 @@ spread over many cells: with 128 centroids for each half, a share of 0.1, 0.2, 0
 recall of 0.66, 0.82, 0.90, 0.95 and 0.98 (with 64: 0.61, 0.78, 0.87, 0.93 and 0.97). Clustered vectors need far less.
 Work grows with the share, entries and queries; more centroids order the cells better, but the heap takes more steps.
 
-Defined results: vectors that are null, empty, zero, of another length than the smallest id's, or hold null or
-non-finite components take no part, nor do rows without vec_id. Fewer candidates than asked for are all returned. Ties
+Defined results: vectors that are null, empty, zero, of another length than most usable ones (ties: the longer), or hold
+null or non-finite components take no part, nor do rows without vec_id. Without a usable vector nothing is found. Fewer candidates than asked for are all returned. Ties
 go to the smaller vec_id. Repeated ids count once per vector.
 """
 
@@ -38,14 +38,16 @@ by_value(__name__)
 NEIGHBOURS, EVERY, SAMPLE, MOST_CENTROIDS, SHARE, LEAST_MET, SLOT, QUERY_BLOCK, LLOYD, SEED = 20, 20, 20_000, 128, 0.4, 2000, 4096, 8192, 12, 6
 
 
-def _vectors(column, size: int | None):
+def _vectors(column, size: int):
     """Positions and rows of the vectors that take part."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    rows = [(i, v) for i, v in enumerate(column.to_pylist()) if v and (size is None or len(v) == size) and None not in v]
+    rows = [(i, v) for i, v in enumerate(column.to_pylist()) if v and len(v) == size and None not in v]
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros((0, size))
     at = np.array([i for i, _ in rows], np.int64)
-    x = np.array([v for _, v in rows], np.float64).reshape(len(rows), -1) + 0.0  # -0.0 equals 0.0
-    ok = np.isfinite(x).all(1) & (x != 0).any(1) if len(rows) else np.zeros(0, bool)
+    x = np.array([v for _, v in rows], np.float64) + 0.0  # -0.0 equals 0.0
+    ok = np.isfinite(x).all(1) & (x != 0).any(1)
     return at[ok], x[ok]
 
 
@@ -151,9 +153,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, share: f
     asking = queries.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     usable = with_id.where("size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(embedding, x -> x <> 0)")
-    size = usable.agg(F.min_by(F.size("embedding"), "vec_id")).first()[0]
-    if size is None:
+    lengths = usable.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
+    if not lengths:
         return empty
+    size = lengths[0]["size"]
     index = stage(entries(with_id, size, k + 1), "ann-entries")
     total = index.count()
     taken = index.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").collect()  # bounded by ``sample``

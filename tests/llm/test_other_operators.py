@@ -114,6 +114,32 @@ def test_small_sets_are_exact(spark):
     assert vector_search.search(df.limit(0), df).count() == 0
 
 
+ODD = [(-5, [1.0] * 3), (9001, None), (9002, [0.0] * 4), (9003, [1.0, None, 1.0, 1.0]), (9004, [float("nan")] * 4), (9005, []), (9006, [1.0] * 5)]
+
+
+def test_search_with_a_file_of_unusable_vectors(spark, tmp_path):
+    """A whole partition that takes no part, and an odd length at the smallest id, change nothing."""
+    kind, path = "vec_id long, embedding array<double>", str(tmp_path / "vectors")
+    rows = [(i, [float(i % 7), 1.0, float(i % 3), 2.0]) for i in range(300)]
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(path)
+    spark.createDataFrame(ODD, kind).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame(ODD[1:3], kind).coalesce(1).write.mode("append").parquet(path)
+    df = spark.read.parquet(path)
+    got = vector_search.search(df, df.where("vec_id % 50 = 0 OR vec_id > 9000 OR vec_id < 0")).collect()
+    assert {r["query_id"] for r in got} == set(range(0, 300, 50))
+    for q in range(0, 300, 50):
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == exact(rows, q, 20)
+
+
+def test_search_without_usable_queries_or_vectors(spark):
+    kind = "vec_id long, embedding array<double>"
+    odd, good = spark.createDataFrame(ODD[1:6], kind), spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], kind)
+    assert vector_search.search(good.unionAll(odd), odd).count() == 0
+    assert vector_search.search(odd, odd).count() == 0
+    tied = spark.createDataFrame([(1, [1.0]), (2, [1.0, 1.0]), (3, [3.0]), (4, [2.0, 2.0])], kind)
+    assert {(r["query_id"], r["vec_id"]) for r in vector_search.search(tied, tied).collect()} == {(2, 4), (4, 2)}
+
+
 def test_walk_is_in_order():
     r = np.random.default_rng(7)
     a, b, n = r.normal(size=5), r.normal(size=6), np.ones(30, int)
