@@ -46,8 +46,8 @@ def feature_table(rows: DataFrame, data_root: str, name, cfg: dict) -> DataFrame
     """(id, label, domain, is_test, features) of events by their files."""
     from callgrid.functions.features import extract_from_files
 
-    waves = wav.waves(rows.sparkSession, data_root).withColumn("audio_path", F.regexp_replace("audio_path", "^file:/+", "/"))
-    made = extract_from_files(rows.withColumn("audio_path", F.regexp_replace("audio_path", "^file:/+", "/")), waves, name, cfg)
+    own, audio = _located(rows, data_root)
+    made = extract_from_files(own, audio, name, cfg)
     return rows.select("id", "label", "domain", "is_test").join(made.select("id", F.col("features").cast("array<double>").alias("features")), "id")
 
 
@@ -143,8 +143,14 @@ def notebook_evaluation(manifest_path: str, config_path: str, data_root: str, ou
 
 
 def _located(rows: DataFrame, data_root: str) -> tuple[DataFrame, DataFrame]:
-    clean = lambda t: t.withColumn("audio_path", F.regexp_replace("audio_path", "^file:/+", "/"))
-    return clean(rows), clean(wav.waves(rows.sparkSession, data_root))
+    """The rows with plain paths, and what their samples come from."""
+    own = rows.withColumn("audio_path", F.regexp_replace("audio_path", "^file:/+", "/"))
+    return own, wav.audio(own, data_root)
+
+
+def audio_blocks(data_root: str, glob: str = "*.wav") -> DataFrame:
+    """Samples of all files in blocks, for scans that need no events; filters on files and times are pushed down."""
+    return wav.blocks(session(), data_root, glob)
 
 
 def crop_verification(manifest_path: str, config_path: str, data_root: str, out: str, per_class: int = 3, size: int = 224) -> DataFrame:

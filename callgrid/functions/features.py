@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from callgrid.functions import kernels as K
 from callgrid.runtime import by_value, slices
+from callgrid.sources import wav
 
 by_value(__name__)
 
@@ -154,13 +155,20 @@ def feature_names(name) -> list[str]:
     raise ValueError(f"unknown feature family {f!r}")
 
 
+def bounds(start: float, end: float, margin: float, rate: int) -> tuple[int, int]:
+    """First sample and the one behind the last of a clip; one sample at least."""
+    a = max(0, round((start - margin) * rate))
+    return a, max(a + 1, round((end + margin) * rate))
+
+
 @dataclass
 class Event:
-    """One event with its whole file's mono samples, at the configured rate."""
+    """One event with its file's mono samples at the configured rate, or with those from sample ``first`` on that it needs."""
 
     row: dict
     x: np.ndarray
     rate: int
+    first: int = 0
 
     def number(self, name: str, default: float = 0.0) -> float:
         try:
@@ -175,9 +183,8 @@ class Event:
         return start, self.number("clip_end_seconds", self.number("end_seconds", start))
 
     def cut(self, start: float, end: float, margin: float = 0.0) -> np.ndarray:
-        a = max(0, round((start - margin) * self.rate))
-        b = max(a + 1, round((end + margin) * self.rate))
-        own = self.x[a:b]
+        a, b = bounds(start, end, margin, self.rate)
+        own = self.x[max(0, a - self.first) : max(0, b - self.first)]
         return np.pad(own, (0, b - a - len(own))).astype(np.float64)
 
     @property
@@ -194,6 +201,30 @@ def prepared(row: dict, samples: np.ndarray, rate: int, cfg: dict) -> Event:
     return Event(row, K.resample(x, int(rate), wanted), wanted)
 
 
+def reach(cfg: dict, spec: dict | None = None) -> float:
+    """Seconds around an event that its features may read, by the settings of its audio and of a feature set: margins, and
+    windows of a fixed length about its middle, which move behind a file's start."""
+    own = [cfg, spec or {}, (spec or {}).get("audio") or {}]
+    margins = [float(c.get(k) or 0.0) for c in own for k in ("margin_seconds", "crop_padding_seconds", "window_seconds")]
+    return max([*margins, *(reach(cfg, spec_of(p)) for p in (spec or {}).get("parts", ()))])
+
+
+def clipped(row: dict, clips, cfg: dict, margin: float) -> Event:
+    """The event with the samples of its clip only, resampled as in the whole file: the stretch begins where both rates
+    meet, and reaches beyond the clip by the kernel's length."""
+    rate = int(clips.rate)
+    wanted = int(cfg.get("sample_rate", rate))
+    bare = Event(row, np.zeros(0), wanted)
+    start, end = bare.span
+    a, b = bounds(start, end if end > start else start + bare.number("duration_seconds"), margin, wanted)
+    if rate == wanted:
+        return Event(row, clips.mono(a, b).astype(np.float64), wanted, a)
+    up, down, half = K.ratio(rate, wanted)
+    first = max(0, (a * down - half) // up // down * down)
+    x = clips.mono(first, -(-((b - 1) * down + half) // up) + 1)
+    return Event(row, K.resample(x.astype(np.float64), rate, wanted), wanted, first * up // down)
+
+
 def _frame(x, cfg):
     size = max(16, min(int(cfg.get("win_length", cfg.get("n_fft", 128))), len(x) or 16))
     return size, max(4, min(int(cfg.get("hop_length", 16)), size))
@@ -568,28 +599,79 @@ def with_files(events: DataFrame, waves: DataFrame, make, schema: str, id_column
     return own.groupBy(*key).cogroup(files.groupBy(*key)).applyInArrow(run, schema)
 
 
-def extract_from_files(events: DataFrame, waves: DataFrame, name, cfg: dict, id_column: str = "id", per_task: int = EVENTS_A_TASK) -> DataFrame:
-    """(id, features) of events by their files. The file is resampled once for all its events of a task."""
-    fields = [c for c in events.columns if c not in (id_column, "audio_path")]
+def of_events(events: DataFrame, audio: DataFrame, cfg: dict, make, columns: list[tuple[str, str, pa.DataType]], id_column: str = "id",
+              per_task: int = EVENTS_A_TASK, margin: float | None = None) -> DataFrame:
+    """(id, columns) from ``make(event)``, a tuple per event.
 
-    def make(table, samples, rate):
-        out, ids = [], table.column(id_column).combine_chunks() if table.num_rows else pa.array([], table.schema.field(id_column).type)
-        if table.num_rows:
-            whole, d = prepared({}, samples, rate, cfg), table.select(fields).to_pydict()
-            out = [vector(Event({f: d[f][i] for f in fields}, whole.x, whole.rate), cfg, name) for i in range(table.num_rows)]
-        return pa.Table.from_arrays(_vectors(ids, out), names=[id_column, "features"])
+    ``audio`` lists files (audio_path, bytes), whose clips the tasks read: events are sorted by file and time, cut into
+    even ranges, and a task reads the stretches that its events need, so a file with very many events is spread and no
+    sample is shuffled. Or it holds samples (audio_path, rate, samples), which meet their events.
+    Events whose file is missing or unreadable give nothing.
+    """
+    fields = [c for c in events.columns if c not in (id_column, "audio_path")]
+    schema = ", ".join([f"{id_column} {dict(events.dtypes)[id_column]}", *(f"{n} {t}" for n, t, _ in columns)])
+    names, margin = [id_column, *(n for n, _, _ in columns)], reach(cfg) if margin is None else margin
 
-    return with_files(events, waves, make, f"{id_column} {dict(events.dtypes)[id_column]}, features array<float>", id_column, per_task)
+    def made(ids, rows):
+        values = list(zip(*rows, strict=True)) or [()] * len(columns)
+        return [ids, *(pa.array(list(v), t) for v, (_, _, t) in zip(values, columns, strict=True))]
 
+    def whole(table, samples, rate):
+        ids, rows = table.column(id_column).combine_chunks() if table.num_rows else pa.array([], table.schema.field(id_column).type), []
+        if table.num_rows:
+            file, d = prepared({}, samples, rate, cfg), table.select(fields).to_pydict()
+            rows = [make(Event({f: d[f][i] for f in fields}, file.x, file.rate)) for i in range(table.num_rows)]
+        return pa.Table.from_arrays(made(ids, rows), names=names)
 
-def export_representation(events: DataFrame, waves: DataFrame, family: str, cfg: dict, path: str, size: int = 32, pca: int | None = None) -> None:
+    def clips(batches):
+        path, file = None, None
+        for b in slices(batches, 64):
+            d, kept, rows = b.to_pydict(), [], []
+            for i, p in enumerate(d["audio_path"]):
+                if p != path:
+                    if file is not None:
+                        file.close()
+                    path, file = p, _opened(p)
+                if file is not None:
+                    rows.append(make(clipped({f: d[f][i] for f in fields}, file, cfg, margin)))
+                    kept.append(i)
+            if kept:
+                yield pa.RecordBatch.from_arrays(made(b.column(id_column).take(pa.array(kept)), rows), names=names)
+        if file is not None:
+            file.close()
+
+    if "samples" in audio.columns:
+        return with_files(events, audio, whole, schema, id_column, per_task)
+    located = events.join(audio.select("audio_path").distinct(), "audio_path", "left_semi")
+    tasks = max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // per_task))
+    start = next((F.col(c).cast("double") for c in ("clip_start_seconds", "start_seconds") if c in fields), F.lit(0.0))
+    return located.repartitionByRange(tasks, "audio_path", start, id_column).sortWithinPartitions("audio_path", start, id_column).mapInArrow(clips, schema)
+
+
+def _opened(path: str):
+    """The file's clips; None where it is gone or no WAV."""
+    import struct
+
+    try:
+        return wav.Clips(path)
+    except (FileNotFoundError, ValueError, struct.error):
+        return None
+
+
+def extract_from_files(events: DataFrame, audio: DataFrame, name, cfg: dict, id_column: str = "id", per_task: int = EVENTS_A_TASK) -> DataFrame:
+    """(id, features) of events by their files (``audio`` as for ``of_events``)."""
+    columns = [("features", "array<float>", pa.list_(pa.float32()))]
+    return of_events(events, audio, cfg, lambda e: (vector(e, cfg, name),), columns, id_column, per_task, reach(cfg, spec_of(name)))
+
+
+def export_representation(events: DataFrame, audio: DataFrame, family: str, cfg: dict, path: str, size: int = 32, pca: int | None = None) -> None:
     """Write a representation (id, label, features) with its names and metadata. A PCA covers the patch only."""
     from callgrid.operators import fitted
     from callgrid.runtime import stage
     from callgrid.sources.sinks import export_matrix
 
     spec = representation(family, size)
-    rows = stage(extract_from_files(events, waves, spec, cfg).join(events.select("id", "label"), "id"), "representation")
+    rows = stage(extract_from_files(events, audio, spec, cfg).join(events.select("id", "label"), "id"), "representation")
     names, width = feature_names(spec), size * size if family != "handcrafted" else len(CROP)
     if pca:
         part = rows.withColumn("features", F.slice("features", 1, width).cast("array<double>"))

@@ -114,13 +114,18 @@ def peak_count(x: np.ndarray) -> int:
     return int(((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]) & (v[1:-1] >= level)).sum())
 
 
+def ratio(rate: int, wanted: int) -> tuple[int, int, int]:
+    """Up, down and the kernel's half length of a resampling, the latter in steps of the raised rate."""
+    g = np.gcd(rate, wanted)
+    up, down = int(wanted // g), int(rate // g)
+    return up, down, 10 * max(up, down)
+
+
 def resample(x: np.ndarray, rate: int, wanted: int) -> np.ndarray:
     """Band-limited resampling with a windowed-sinc kernel (Kaiser), rational ratio."""
     if rate == wanted or len(x) == 0:
         return x
-    g = np.gcd(rate, wanted)
-    up, down = wanted // g, rate // g
-    half = 10 * max(up, down)
+    up, down, half = ratio(rate, wanted)
     n = np.arange(-half, half + 1)
     cut = 1 / max(up, down)
     kernel = cut * np.sinc(cut * n) * np.kaiser(2 * half + 1, 5.0)

@@ -34,26 +34,7 @@ def event_images(rows: DataFrame, cfg: dict, size: int = 224, id_column: str = "
     return rows.mapInArrow(run, f"{id_column} {dict(rows.dtypes)[id_column]}, png binary")
 
 
-def _of_events(events: DataFrame, waves: DataFrame, cfg: dict, make, columns: list[tuple[str, str, pa.DataType]], id_column: str) -> DataFrame:
-    """(id, columns) from ``make(event)``, a tuple per event, with files joined as for features."""
-    fields = [c for c in events.columns if c not in (id_column, "audio_path")]
-    kind = dict(events.dtypes)[id_column]
-
-    def run(table, samples, rate):
-        rows = []
-        if table.num_rows:
-            whole, d = X.prepared({}, samples, rate, cfg), table.select(fields).to_pydict()
-            rows = [make(X.Event({f: d[f][i] for f in fields}, whole.x, whole.rate)) for i in range(table.num_rows)]
-        ids = table.column(id_column).combine_chunks() if table.num_rows else pa.array([], table.schema.field(id_column).type)
-        made = list(zip(*rows, strict=True)) or [()] * len(columns)
-        return pa.Table.from_arrays([ids, *(pa.array(m, t) for m, (_, _, t) in zip(made, columns, strict=True))], names=[id_column, *(n for n, _,
-            _ in columns)])
-
-    schema = ", ".join([f"{id_column} {kind}", *(f"{n} {t}" for n, t, _ in columns)])
-    return X.with_files(events, waves, run, schema, id_column)
-
-
-def crop_panels(events: DataFrame, waves: DataFrame, cfg: dict, size: int = 224, id_column: str = "id") -> DataFrame:
+def crop_panels(events: DataFrame, audio: DataFrame, cfg: dict, size: int = 224, id_column: str = "id") -> DataFrame:
     """(id, png, extents): the whole event beside its literal box, and where the box lies: seconds from the file's start,
     hertz, rows and frames of the crop."""
 
@@ -67,10 +48,10 @@ def crop_panels(events: DataFrame, waves: DataFrame, cfg: dict, size: int = 224,
 
     names = ("start_seconds", "end_seconds", "lowest_hz", "highest_hz")
     columns = [("png", "binary", pa.binary()), *((n, "double", pa.float64()) for n in names), ("rows", "int", pa.int32()), ("frames", "int", pa.int32())]
-    return _of_events(events, waves, cfg, make, columns, id_column)
+    return X.of_events(events, audio, cfg, make, columns, id_column)
 
 
-def cached_tensors(events: DataFrame, waves: DataFrame, files: DataFrame, cfg: dict, root: str, size: int = 64, id_column: str = "id") -> DataFrame:
+def cached_tensors(events: DataFrame, audio: DataFrame, files: DataFrame, cfg: dict, root: str, size: int = 64, id_column: str = "id") -> DataFrame:
     """(id, split, label, key, tensor) of all events, from a cache by split and label; missing ones are made and added.
 
     The key is a hash of the version, the file's path, length and time of change (``files``: audio_path, bytes, modified),
@@ -90,7 +71,7 @@ def cached_tensors(events: DataFrame, waves: DataFrame, files: DataFrame, cfg: d
     def make(e):
         return e.row["key"], X.event_tensor(e, cfg, size).ravel().tolist()
 
-    made = _of_events(missing, waves, cfg, make, [("key", "string", pa.string()), ("tensor", "array<float>", pa.list_(pa.float32()))], id_column)
+    made = X.of_events(missing, audio, cfg, make, [("key", "string", pa.string()), ("tensor", "array<float>", pa.list_(pa.float32()))], id_column)
     made.join(missing.select(id_column, "split", "label"), id_column).drop(id_column).dropDuplicates(["key"]).write.mode("append").partitionBy("split",
         "label").parquet(root)
     return keyed.select(id_column, "split", "label", "key").join(spark.read.parquet(root).select("key", "tensor"), "key")
