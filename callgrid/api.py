@@ -11,6 +11,7 @@ from callgrid.operators import ingest, leakage, sampling
 from callgrid.plans import audits, pipelines
 from callgrid.plans import baselines as B
 from callgrid.plans import search as S
+from callgrid.runtime import stage
 from callgrid.session import session
 from callgrid.sources import annotations, config, images, sinks, wav
 
@@ -43,12 +44,14 @@ def events(rows: DataFrame, aggregation: dict | None = None) -> DataFrame:
 
 
 def feature_table(rows: DataFrame, data_root: str, name, cfg: dict) -> DataFrame:
-    """(id, label, domain, is_test, features) of events by their files."""
+    """(id, label, domain, is_test, features) of events by their files, staged: samples are read and vectors made once,
+    however many tables a flow derives from them."""
     from callgrid.functions.features import extract_from_files
 
     own, audio = _located(rows, data_root)
     made = extract_from_files(own, audio, name, cfg)
-    return rows.select("id", "label", "domain", "is_test").join(made.select("id", F.col("features").cast("array<double>").alias("features")), "id")
+    about = rows.select("id", "label", "domain", "is_test")
+    return stage(about.join(made.select("id", F.col("features").cast("array<double>").alias("features")), "id"), "features")
 
 
 def classes_of(c: dict) -> tuple:
