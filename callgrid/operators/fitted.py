@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from callgrid.functions.scalars import finite_or
-from callgrid.operators import prep
+from callgrid.operators import information, order_stats, prep
 
 QUANTILES, NORMAL_KNOTS = 101, 1001
 SCALERS = ("none", "standard", "robust", "minmax", "l2", "standard_l2", "robust_l2", "quantile_uniform", "quantile_normal", "power")
@@ -64,13 +64,21 @@ def _with(table: DataFrame, arrays: DataFrame, features: Column) -> DataFrame:
 def impute(table: DataFrame, by: str) -> DataFrame:
     if by not in ("mean", "median"):
         raise ValueError(f"unknown imputer {by!r}; known: mean, median")
-    middle = F.avg("x") if by == "mean" else F.percentile("x", F.lit(0.5))
-    stats = _cells(table).groupBy("fold", "pos").agg(F.coalesce(middle, F.lit(0.0)).alias("fill"))
+    own, keys = _cells(table), ["fold", "pos"]
+    if by == "mean":
+        stats = own.groupBy(*keys).agg(F.avg("x").alias("fill"))
+    else:
+        stats = order_stats.quantiles(own, keys, [0.5]).withColumn("fill", F.get("q", F.lit(0)))
+    stats = stats.withColumn("fill", F.coalesce("fill", F.lit(0.0)))
     return _with(table, _arrays(stats, fill=F.col("fill")), F.transform("features", lambda x, i: finite_or(x.cast("double"), F.get("__fill", i))))
 
 
 def _moved(table: DataFrame, shift: Column, size: Column) -> DataFrame:
-    stats = _cells(table).groupBy("fold", "pos").agg(shift.alias("shift"), size.alias("size"))
+    return _moved_by(table, _cells(table).groupBy("fold", "pos").agg(shift.alias("shift"), size.alias("size")))
+
+
+def _moved_by(table: DataFrame, stats: DataFrame) -> DataFrame:
+    """Features less ``shift``, over ``size``, of their fold and position."""
     safe = F.when(F.col("size") > 0, F.col("size")).otherwise(F.lit(1.0))
     return _with(table, _arrays(stats, shift=F.col("shift"), size=safe), F.transform("features", lambda x, i: (x - F.get("__shift", i)) / F.get("__size", i)))
 
@@ -78,8 +86,8 @@ def _moved(table: DataFrame, shift: Column, size: Column) -> DataFrame:
 def _quantile(table: DataFrame, normal: bool) -> DataFrame:
     """Rank of each component among its fold's training quantiles; ``normal``: as a standard normal value."""
     at = np.linspace(0, 1, QUANTILES).tolist()
-    stats = _cells(table).groupBy("fold", "pos").agg(F.percentile("x", F.array(*[F.lit(q) for q in at])).alias("knots"))
-    out = _with(table, _arrays(stats, knots=F.col("knots")), F.transform("features", lambda x, i: prep.knot_rank(x, F.get("__knots", i))))
+    stats = order_stats.quantiles(_cells(table), ["fold", "pos"], at)
+    out = _with(table, _arrays(stats, knots=F.col("q")), F.transform("features", lambda x, i: prep.knot_rank(x, F.get("__knots", i))))
     if not normal:
         return out
     grid = np.linspace(0, 1, NORMAL_KNOTS)
@@ -104,8 +112,8 @@ def scale(table: DataFrame, kind: str) -> DataFrame:
     if first == "standard":
         table = _moved(table, F.avg("x"), F.stddev_pop("x"))
     elif first == "robust":
-        q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        table = _moved(table, F.get(q, F.lit(1)), F.get(q, F.lit(2)) - F.get(q, F.lit(0)))
+        q = order_stats.quantiles(_cells(table), ["fold", "pos"], (0.25, 0.5, 0.75))
+        table = _moved_by(table, q.select("fold", "pos", F.col("q")[1].alias("shift"), (F.col("q")[2] - F.col("q")[0]).alias("size")))
     elif first == "minmax":
         table = _moved(table, F.min("x"), F.max("x") - F.min("x"))
     elif first.startswith("quantile"):
@@ -145,7 +153,7 @@ def reduce(table: DataFrame, kind: str, seed: int = 0) -> DataFrame:
         stats = _cells(table).groupBy("fold", "pos").agg(F.var_pop("x").alias("v"))
         return _selected(table, stats.where(F.col("v") > float(value or 0)))
     if name == "kbest":
-        scored = prep.mutual_information_scores(_cells(table), ["fold", "pos"], seed)
+        scored = information.mutual_information_scores(_cells(table), ["fold", "pos"], seed)
         rank = F.row_number().over(W.partitionBy("fold").orderBy(F.desc(F.round("score", 9)), "pos"))
         return _selected(table, scored.where(F.col("score").isNotNull()).withColumn("n", rank).where(F.col("n") <= max(1, int(value))))
     stats, found, means = _cells(table).groupBy("fold", "pos").agg(F.avg("x").alias("mean")), {}, {}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from callgrid.operators import order_stats
 from callgrid.runtime import by_value, stage
 
 by_value(__name__)
@@ -131,5 +132,6 @@ def neighbour_report(near: DataFrame, meta: DataFrame) -> DataFrame:
 
 def distance_stats(report: DataFrame, correct: str = "correct") -> DataFrame:
     """Mean neighbour distances by correctness: count, mean, median, 90th percentile."""
-    return report.groupBy(correct).agg(F.count("*").alias("n"), F.avg("mean_distance").alias("mean"), F.percentile("mean_distance", 0.5).alias("median"),
-        F.percentile("mean_distance", 0.9).alias("p90"))
+    q = order_stats.quantiles(report, [correct], [0.5, 0.9], "mean_distance")
+    plain = report.groupBy(correct).agg(F.count("*").alias("n"), F.avg("mean_distance").alias("mean"))
+    return plain.join(q, correct).select(correct, "n", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from callgrid.operators import order_stats
 from callgrid.operators.profile import class_table
 
 
@@ -131,10 +132,11 @@ def confidence_analysis(predictions: DataFrame, classes) -> DataFrame:
     """By true class: support, accuracy, mean and median probability of the truth, mean confidence; 0 when empty."""
     hit = (F.col("y_true_label") == F.col("y_pred_label")).cast("double")
     by = predictions.groupBy(F.col("y_true_label").alias("label")).agg(F.count("*").alias("support"), F.avg(hit).alias("accuracy"),
-        F.avg("true_probability").alias("mean_true_probability"), F.percentile("true_probability", 0.5).alias("median_true_probability"),
-            F.avg("pred_confidence").alias("mean_confidence"))
-    out = class_table(predictions.sparkSession, classes).join(by, "label", "left").drop("label_idx")
-    return out.na.fill(0)
+        F.avg("true_probability").alias("mean_true_probability"), F.avg("pred_confidence").alias("mean_confidence"))
+    named = predictions.where("y_true_label IS NOT NULL").withColumnRenamed("y_true_label", "label")
+    middle = order_stats.quantiles(named, ["label"], [0.5], "true_probability").select("label", F.col("q")[0].alias("median_true_probability"))
+    out = class_table(predictions.sparkSession, classes).join(by.join(middle, "label"), "label", "left")
+    return out.na.fill(0).select("label", "support", "accuracy", "mean_true_probability", "median_true_probability", "mean_confidence")
 
 
 def majority_baseline(predictions: DataFrame, classes) -> DataFrame:

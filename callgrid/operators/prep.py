@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from callgrid.functions.scalars import finite_or
+from callgrid.operators import information, order_stats
 
 
 def cells(rows: DataFrame, features: str = "features") -> DataFrame:
@@ -21,10 +22,10 @@ def cells(rows: DataFrame, features: str = "features") -> DataFrame:
 
 def statistics(rows: DataFrame, features: str = "features", quantiles=(0.25, 0.5, 0.75)) -> DataFrame:
     """(pos, n, mean, std, min, max, q): q the exact quantiles."""
-    return cells(rows, features).groupBy("pos").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.percentile("x", F.array(*[F.lit(float(q)) for q in quantiles])).alias("q"),
-    )
+    own = cells(rows, features)
+    plain = own.groupBy("pos").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return plain.join(order_stats.quantiles(own, ["pos"], quantiles), "pos")
 
 
 def fetched(stats: DataFrame) -> list:
@@ -282,7 +283,8 @@ def digamma(n: int) -> float:
 
 
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0) -> float:
-    """Nearest-neighbour estimate between a continuous and a discrete variable (Ross 2014), with seeded tiny noise:
+    """Of one column in memory, against which ``information`` is held: nearest-neighbour estimate between a continuous
+    and a discrete variable (Ross 2014), with seeded tiny noise:
     psi(N) + mean of psi(k) - psi(rows of the label) - psi(rows within the k-th distance), over labels of two rows or more."""
     x = x / (x.std() or 1.0)
     x = x + 1e-10 * max(1.0, np.abs(x).mean()) * np.random.Generator(np.random.PCG64(seed)).standard_normal(len(x))
@@ -308,25 +310,8 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0)
     return max(0.0, digamma(used) + total / used) if used else 0.0
 
 
-def mutual_information_scores(values: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
-    """(keys, score) from rows (keys, x, label): each key is scored in its own group, since the estimate needs its whole
-    sorted column (a position of one feature table; 16 bytes a row)."""
-    import pyarrow as pa
-
-    kinds = {"int": pa.int32(), "bigint": pa.int64()}
-    types = dict(values.dtypes)
-
-    def score(table):
-        x, y = table.column("x").to_numpy(), np.array(table.column("label").to_pylist(), dtype=object).astype(str)
-        keep = np.isfinite(x)
-        found = mutual_information(x[keep], y[keep], seed=seed) if keep.any() else None
-        return pa.table([pa.array([table.column(k)[0].as_py()], kinds[types[k]]) for k in keys] + [pa.array([found], pa.float64())], names=[*keys, "score"])
-
-    return values.select(*keys, "x", "label").groupBy(*keys).applyInArrow(score, ", ".join(f"{k} {types[k]}" for k in keys) + ", score double")
-
-
 def select_k_best(rows: DataFrame, k: int, label: str = "label", features: str = "features", seed: int = 0) -> DataFrame:
     """(pos, score, selected): k is clamped to the number of positions."""
     values = rows.select(F.col(label).alias("label"), F.posexplode(features).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
-    scored = mutual_information_scores(values, ["pos"], seed)
+    scored = information.mutual_information_scores(values, ["pos"], seed)
     return scored.withColumn("selected", F.row_number().over(W.orderBy(F.desc(F.round("score", 9)), "pos")) <= max(1, k))
