@@ -1,4 +1,4 @@
-"""Clustering and its measures. Density clustering joins grid cells, never all pairs; measures come from one contingency."""
+"""Clustering and its measures. Density clustering joins blocks about pivots, never all pairs; measures come from one contingency."""
 
 from __future__ import annotations
 
@@ -22,30 +22,28 @@ def k_means(rows: DataFrame, k: int, seeds: int = 5, features: str = "features")
     return best.transform(x).select("id", "label", "cluster")
 
 
-def dbscan(rows: DataFrame, eps: float, least: int, axes: int = 3, features: str = "features") -> DataFrame:
-    """(id, cluster): density clusters, null for noise; a border point joins its smallest neighbouring cluster.
+def dbscan(rows: DataFrame, eps: float, least: int, features: str = "features", **layout) -> DataFrame:
+    """(id, cluster): density clusters by Euclidean distance, null for noise; a border point joins its smallest neighbouring
+    cluster, which is named by its smallest core id. ``layout``: sizes as for ``metric_join.layout``.
 
-    Points meet in grid cells of side ``eps`` over their ``axes`` first coordinates, which is exact for the Euclidean
-    distance: closer points differ by at most one cell on each axis.
-    """
+    Rows meet the blocks that can hold a neighbour, twice: first to count, then with the cores alone. A block's cores are
+    united within it, so a dense region leaves a label for each row and block, not its pairs. Equal vectors have equal
+    fates. A vector that can't be measured is noise. Vectors are of one length."""
+    from callgrid.operators import metric_join as M
     from callgrid.runtime import stage
 
-    cell = F.transform(F.slice(features, 1, axes), lambda x: F.floor(x / eps))
-    pts = stage(rows.select("id", F.col(features).alias("v"), cell.alias("cell")), "dbscan-points")
-    steps = F.expr("sequence(-1, 1)")
-    near = pts.select("id", "v", "cell")
-    for i in range(axes):
-        near = near.withColumn("d", F.explode(steps)).withColumn("cell", F.transform("cell", lambda c, j: F.when(j == i, c
-            + F.col("d")).otherwise(c))).drop("d")  # noqa: B023
-    far = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    links = stage(near.join(pts.select(F.col("id").alias("other"), F.col("v").alias("w"), "cell"), "cell").where(far <= eps).select("id", "other"),
-        "dbscan-links")
-    core = links.groupBy("id").count().where(F.col("count") >= least).select("id")
-    of_core = links.join(core, "id").join(core.select(F.col("id").alias("other")), "other")
-    labels = components(of_core.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    touched = links.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("border"))
-    out = rows.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").join(touched, "id", "left")
-    return out.select("id", F.coalesce("label", "border").alias("cluster"))
+    own, nodes = M.distinct_vectors(rows, features)
+    laid = M.layout(nodes, eps, **layout)
+    if laid is None:
+        return rows.select("id", F.lit(None).cast("long").alias("cluster"))
+    cores = stage(M.weights_near(laid, eps).where(F.col("n") >= least).select("id"), "dbscan-cores")
+    touched = stage(M.touched(laid, cores, eps), "dbscan-touched")
+    labels = stage(components(touched.join(cores, "id", "left_semi").select(F.col("id").alias("a"), F.col("label").alias("b"))), "dbscan-labels")
+    part = touched.join(labels.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
+    found = part.groupBy("id").agg(F.min("cluster").alias("cluster"))  # a core touches parts of its own cluster only
+    by_vector = stage(nodes.select("id", "v").join(found, "id").select("v", "cluster"), "dbscan-vectors")
+    placed = own.join(by_vector, "v").select("id", "cluster")
+    return rows.select("id").join(placed.dropDuplicates(["id"]), "id", "left")
 
 
 def components(links: DataFrame) -> DataFrame:
