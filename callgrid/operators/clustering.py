@@ -22,13 +22,14 @@ def k_means(rows: DataFrame, k: int, seeds: int = 5, features: str = "features")
     return best.transform(x).select("id", "label", "cluster")
 
 
-def dbscan(rows: DataFrame, eps: float, least: int, features: str = "features", **layout) -> DataFrame:
+def dbscan(rows: DataFrame, eps: float, least: int, axes: int | None = None, features: str = "features", **layout) -> DataFrame:
     """(id, cluster): density clusters by Euclidean distance, null for noise; a border point joins its smallest neighbouring
     cluster, which is named by its smallest core id. ``layout``: sizes as for ``metric_join.layout``.
 
     Rows meet the blocks that can hold a neighbour, twice: first to count, then with the cores alone. A block's cores are
     united within it, so a dense region leaves a label for each row and block, not its pairs. Equal vectors have equal
-    fates. A vector that can't be measured is noise. Vectors are of one length."""
+    fates. A vector that can't be measured is noise. Vectors are of one length. ``axes`` stays for callers that name it: whole
+    vectors are compared, and blocks need no choice of coordinates."""
     from callgrid.operators import metric_join as M
     from callgrid.runtime import stage
 

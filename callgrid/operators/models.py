@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Names of the baselines. rbf_svm_rff is approximate by design: random Fourier features under a linear machine. The pruned
-#: tree is chosen among depths and least gains, since Spark's trees have no cost-complexity path.
+from callgrid.operators.pruning import cost_complexity_tree
+
+#: Names of the baselines. rbf_svm_rff is approximate by design: random Fourier features under a linear machine.
 MODELS = ("logistic_regression", "linear_svm", "rbf_svm_rff", "knn", "gaussian_nb", "decision_tree_pruned", "random_forest", "gradient_boosting", "mlp")
 #: Sizes of the models; callers may lower them. Spark's trees end at depth 30.
 SIZES = {"lr_iterations": 1000, "svm_iterations": 100, "trees": 200, "depth": 30, "rounds": 100, "hidden": 128, "mlp_iterations": 200}
-#: Trials of the pruned tree: depths and least information gains.
+#: Trials of a tree chosen by limits: depths and least information gains.
 PRUNING = tuple((d, g) for d in (4, 8, 12, 20) for g in (0.0, 0.005, 0.02))
 
 
@@ -74,7 +75,9 @@ def _named(out: DataFrame, classes) -> DataFrame:
 
 
 def pruned_tree(train: DataFrame, selection: DataFrame, classes, seed: int = 0, trials=PRUNING):
-    """(model, trials): the tree with the best macro-F1 on the selection rows; ties to the shallower, then the one with
+    """A tree chosen among limits of its growth, where ``pruning`` has one chosen among its subtrees.
+
+    (model, trials): the tree with the best macro-F1 on the selection rows; ties to the shallower, then the one with
     fewer leaves, then the larger least gain. trials: (depth limit, least gain, score, depth, leaves) of each."""
     from pyspark.ml.classification import DecisionTreeClassifier
 
@@ -107,7 +110,7 @@ def predictions(train: DataFrame, test: DataFrame, name: str, classes, seed: int
     if name == "decision_tree_pruned":
         if selection is None:
             raise ValueError("the pruned tree needs selection rows")
-        model, _ = pruned_tree(train, selection, classes, seed)
+        model, _ = cost_complexity_tree(train, selection, classes, seed)
         return _named(model.transform(_ready(test, classes)), classes)
     n = train.select(F.size("features")).first()[0]
     if name == "rbf_svm_rff":
