@@ -1,4 +1,4 @@
-"""Classical baselines over ``pyspark.ml`` where the semantics agree; each is fitted on balanced weights."""
+"""Classical baselines over ``pyspark.ml`` where the semantics agree; most are fitted on balanced weights."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from callgrid.operators.boosting import boost
 from callgrid.operators.pruning import cost_complexity_tree
 
 #: Names of the baselines. rbf_svm_rff is approximate by design: random Fourier features under a linear machine.
@@ -41,9 +42,6 @@ def estimator(name: str, n_features: int, n_classes: int, seed: int = 0, sizes:
         return C.NaiveBayes(modelType="gaussian", **common)
     if name == "random_forest":
         return C.RandomForestClassifier(numTrees=z["trees"], maxDepth=z["depth"], featureSubsetStrategy="sqrt", seed=seed, weightCol="weight", **common)
-    if name == "gradient_boosting":
-        return C.OneVsRest(classifier=C.GBTClassifier(maxIter=z["rounds"], maxDepth=3, stepSize=0.1, seed=seed, weightCol="weight"), weightCol="weight",
-            **common)
     if name == "mlp":
         return C.MultilayerPerceptronClassifier(layers=[n_features, z["hidden"], n_classes], maxIter=z["mlp_iterations"], seed=seed, **common)
     raise ValueError(f"unknown model {name!r}; known: {', '.join(MODELS)}")
@@ -112,6 +110,9 @@ def predictions(train: DataFrame, test: DataFrame, name: str, classes, seed: int
             raise ValueError("the pruned tree needs selection rows")
         model, _ = cost_complexity_tree(train, selection, classes, seed)
         return _named(model.transform(_ready(test, classes)), classes)
+    if name == "gradient_boosting":
+        model = boost(_ready(train, classes), len(classes), (SIZES | (sizes or {}))["rounds"], seed=seed)
+        return _named(model.transform(_ready(test, classes)), classes)
     n = train.select(F.size("features")).first()[0]
     if name == "rbf_svm_rff":
         train, test = (fourier_features(x, n, seed=seed) for x in (train, test))
