@@ -133,7 +133,7 @@ def confidence_analysis(predictions: DataFrame, classes) -> DataFrame:
     hit = (F.col("y_true_label") == F.col("y_pred_label")).cast("double")
     by = predictions.groupBy(F.col("y_true_label").alias("label")).agg(F.count("*").alias("support"), F.avg(hit).alias("accuracy"),
         F.avg("true_probability").alias("mean_true_probability"), F.avg("pred_confidence").alias("mean_confidence"))
-    named = predictions.where("y_true_label IS NOT NULL").withColumnRenamed("y_true_label", "label")
+    named = predictions.where("y_true_label IS NOT NULL").select(F.col("y_true_label").alias("label"), "true_probability")
     middle = order_stats.quantiles(named, ["label"], [0.5], "true_probability").select("label", F.col("q")[0].alias("median_true_probability"))
     out = class_table(predictions.sparkSession, classes).join(by.join(middle, "label"), "label", "left")
     return out.na.fill(0).select("label", "support", "accuracy", "mean_true_probability", "median_true_probability", "mean_confidence")
