@@ -85,6 +85,15 @@ def predict(model: str, features: DataFrame) -> DataFrame:
     return pipelines.predict(rows, features, classes, knn)
 
 
+def evaluate(predictions_path: str, config_path: str, out: str) -> dict[str, DataFrame]:
+    """All reports of stored predictions, written under ``out``."""
+    c, p = settings(config_path), session().read.parquet(predictions_path)
+    found = pipelines.evaluation(p, classes_of(c), None if mapping_of(c) else FAMILIES)
+    for name, t in found.items():
+        t.write.mode("overwrite").parquet(f"{out}/{name}")
+    return found
+
+
 def search(manifest_path: str, config_path: str, data_root: str, out: str, **how) -> str:
     """The staged search on the training split; results are written under ``out``."""
     c = settings(config_path)

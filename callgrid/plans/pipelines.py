@@ -176,43 +176,52 @@ def search(tables: dict, classes, candidates: list[dict], domain_aware: bool = F
     return ranked(results(spark, rows), ranking_keys(domain_aware))
 
 
+def evaluation(p: DataFrame, classes, families: dict | None = None) -> dict[str, DataFrame]:
+    """All report tables that follow from stored predictions (id, dataset, y_true_label, y_pred_label, probs, pred_confidence,
+    true_probability). A class that no row is or is given has a curve of its scores with a recall of 0."""
+    dense, by_domain = metrics.confusion(p, classes), metrics.confusion(p, classes, ["dataset"])
+    per_class = metrics.per_class(dense)
+    score = lambda c: F.coalesce(F.try_element_at("probs", F.lit(c)), F.lit(0.0))
+    against_rest = F.inline(F.array(*[F.struct(F.lit(c).alias("label"), score(c).alias("score"), F.coalesce(F.col("y_true_label") == c,
+        F.lit(False)).alias("positive")) for c in classes]))
+    curves = metrics.pr_curve(p.select(against_rest))
+    out = {
+        "predictions_wide": metrics.with_class_columns(p, classes), "confusion": dense, "confusion_matrix": metrics.confusion_table(dense, classes),
+        "confusion_normalised": metrics.normalised_confusion(dense), "per_class": per_class, "report": metrics.report_rows(per_class),
+        "thresholds": metrics.threshold_report(per_class), "summary": metrics.summary(per_class), "by_domain": metrics.metrics(p, classes, ["dataset"]),
+        "by_domain_class": metrics.per_class(by_domain, ["dataset"]), "top_confusions": metrics.top_confusions(p),
+        "delta": metrics.predicted_vs_true(p, classes), "confidence": metrics.confidence_analysis(p, classes), "errors": metrics.errors(p),
+        "majority": metrics.metrics(metrics.majority_baseline(p, classes), classes),
+        "permutation": metrics.metrics(metrics.permutation_baseline(p, "id"), classes), "audit": metrics.audit_checks(dense),
+        "pr_curves": curves.drop("ap_part"), "average_precision": curves.groupBy("label").agg(F.sum("ap_part").alias("average_precision")),
+    }
+    if families:
+        from callgrid.functions.labels import aggregated
+
+        grouped = p.withColumns({x: aggregated(F.col(x), families) for x in ("y_true_label", "y_pred_label")})
+        names = tuple(dict.fromkeys(families.get(x, x) for x in classes))
+        counted = metrics.confusion(grouped, names)
+        out |= {"ambiguities": metrics.within_family_errors(p, families), "family_summary": metrics.metrics(grouped, names),
+            "family_per_class": metrics.per_class(counted), "family_confusion": metrics.confusion_table(counted, names),
+            "family_by_domain": metrics.metrics(grouped, names, ["dataset"])}
+    return out
+
+
 def submission(rows: DataFrame, classes, config: dict, families: dict | None = None) -> dict[str, DataFrame]:
-    """Report tables of a classifier fitted on the rows that are not test. One neighbour search serves all of them."""
+    """Report tables of a classifier fitted on the rows that are not test: those of its predictions, its neighbours and its
+    settings. One neighbour search serves all of them."""
     c = checked(config)
     train, test = (rows.where(x).select("id", "label", "domain", "features") for x in ("NOT is_test", "is_test"))
     near = stage(neighbours(fitted.one_fold(train, test), c, int(c["k"])), "submission-neighbours")
     p = stage(classified(near, rows, classes, c).drop("fold").withColumn("dataset", F.col("domain")), "submission-predictions")
-    dense, by_domain = metrics.confusion(p, classes), metrics.confusion(p, classes, ["dataset"])
-    per_class = metrics.per_class(dense)
     report = knn.neighbour_report(near.drop("fold"), train).withColumnRenamed("query_id", "id")
     report = report.join(p.select("id", "y_true_label", "y_pred_label", (F.col("y_true_label") == F.col("y_pred_label")).alias("correct")), "id")
     counts = rows.agg(F.count_if(~F.col("is_test")).alias("fit_rows"), F.count_if("is_test").alias("official_test_rows"),
         F.max(F.size("features")).alias("features_before_pipeline"))
-    out = {
-        "predictions": p, "predictions_wide": metrics.with_class_columns(p, classes), "confusion": dense,
-            "confusion_matrix": metrics.confusion_table(dense, classes),
-        "confusion_normalised": metrics.normalised_confusion(dense), "per_class": per_class, "report": metrics.report_rows(per_class),
-            "thresholds": metrics.threshold_report(per_class),
-        "summary": metrics.summary(per_class), "by_domain": metrics.metrics(p, classes, ["dataset"]), "by_domain_class": metrics.per_class(by_domain,
-            ["dataset"]),
-        "top_confusions": metrics.top_confusions(p), "delta": metrics.predicted_vs_true(p, classes), "confidence": metrics.confidence_analysis(p, classes),
-            "errors": metrics.errors(p),
-        "majority": metrics.metrics(metrics.majority_baseline(p, classes), classes), "permutation": metrics.metrics(metrics.permutation_baseline(p, "id"),
-            classes),
-        "neighbours": report, "neighbour_distances": knn.distance_stats(report), "audit": metrics.audit_checks(dense),
-    }
+    out = {"predictions": p} | evaluation(p, classes, families) | {"neighbours": report, "neighbour_distances": knn.distance_stats(report)}
     # one row each: the configuration beside the scores
     settings = [F.lit(str(c[x])).alias(x) for x in DEFAULT]
     out["result"] = counts.crossJoin(out["summary"]).select(*settings, "*")
-    if families:
-        from callgrid.functions.labels import aggregated
-
-        grouped = p.withColumns({x: aggregated(F.col(x), families) for x in ("y_true_label", "y_pred_label")})
-        names = tuple(dict.fromkeys(families.get(x, x) for x in classes))
-        out |= {"ambiguities": metrics.within_family_errors(p, families), "family_summary": metrics.metrics(grouped, names),
-            "family_per_class": metrics.per_class(metrics.confusion(grouped, names))}
-        out |= {"family_confusion": metrics.confusion_table(metrics.confusion(grouped, names), names), "family_by_domain": metrics.metrics(grouped, names,
-            ["dataset"])}
     return out
 
 
