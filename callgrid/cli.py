@@ -45,7 +45,11 @@ def submission(args) -> None:
 
 def search(args) -> None:
     api.search(args.manifest, args.config, args.data_root, args.output_dir, quick_mode=args.quick, resume=args.resume, domain_aware=not args.cv_focused,
-        wanted=args.stage)
+        wanted=args.stage, max_candidates=args.max_candidates or None)
+
+
+def evaluate(args) -> None:
+    api.evaluate(args.predictions, args.config, args.output_dir)
 
 
 def baselines(args) -> None:
@@ -128,7 +132,8 @@ def main(argv=None) -> None:
     command("check-splits", check, "manifest", out="split_integrity.csv")
     command("features", features, *three, "out", feature_set="handcrafted_stats")
     command("submission", submission, *three, "output-dir", rebuild_manifest=False)
-    command("search", search, *three, "output-dir", quick=False, resume=False, cv_focused=False, stage="full")
+    command("search", search, *three, "output-dir", quick=False, resume=False, cv_focused=False, stage="full", max_candidates=0)
+    command("evaluate", evaluate, "predictions", "config", "output-dir")
     command("baselines", baselines, *three, "output-dir")
     command("clustering", clustering, *three, "output-dir")
     command("notebook", notebook, *three, "output-dir")

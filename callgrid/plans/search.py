@@ -150,12 +150,15 @@ def finished(spark: SparkSession, folder: str) -> bool:
 
 
 def run_to(rows: DataFrame, features, classes, config: dict, folder: str, quick_mode: bool = False, resume: bool = False, domain_aware: bool = True,
-    wanted: str = "full") -> str:
-    """Run a search and write its tables, the winner's configuration and a summary under a folder of a shared store."""
+    wanted: str = "full", max_candidates: int | None = None) -> str:
+    """Run a search and write its tables, the winner's configuration and a summary under a folder of a shared store.
+    ``max_candidates``: of all stages together; a smaller number in the configuration holds."""
     spark = rows.sparkSession
     if resume and finished(spark, folder):
         return folder
     settings = quick(config.get("search", {})) if quick_mode else config.get("search", {})
+    limits = [int(x) for x in (settings.get("max_candidates"), max_candidates) if x is not None]
+    settings = settings | ({"max_candidates": min(limits)} if limits else {})
     out = run(rows, features, classes, settings, domain_aware, wanted, int(config.get("seed", 0)))
     for name, t in out.items():
         t.write.mode("overwrite").parquet(f"{folder}/{name}")
