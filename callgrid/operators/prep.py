@@ -20,12 +20,15 @@ def cells(rows: DataFrame, features: str = "features") -> DataFrame:
     return rows.select(F.posexplode(features).alias("pos", "x")).select("pos", finite_or(F.col("x").cast("double"), F.lit(None)).alias("x"))
 
 
-def statistics(rows: DataFrame, features: str = "features", quantiles=(0.25, 0.5, 0.75)) -> DataFrame:
-    """(pos, n, mean, std, min, max, q): q the exact quantiles."""
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def statistics(rows: DataFrame, features: str = "features", quantiles=QUARTILES) -> DataFrame:
+    """(pos, n, mean, std, min, max, q): q the exact quantiles; without them one aggregation is all."""
     own = cells(rows, features)
     plain = own.groupBy("pos").agg(
         F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
-    return plain.join(order_stats.quantiles(own, ["pos"], quantiles), "pos")
+    return plain if quantiles is None else plain.join(order_stats.quantiles(own, ["pos"], quantiles), "pos")
 
 
 def fetched(stats: DataFrame) -> list:

@@ -337,9 +337,9 @@ def q41_knn_neighbor_report(spark, d):
 CELLS_SQL = T.VECTORS_SQL + ", cells AS (SELECT id, is_test, unnest(features) AS x, generate_subscripts(features, 1) - 1 AS pos FROM vectors), fit AS (SELECT pos, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS lo, max(x) AS hi, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3 FROM cells WHERE NOT is_test GROUP BY pos)"
 
 
-def _cells(spark, d, make):
+def _cells(spark, d, make, quantiles=None):
     v = T.vectors(spark, d)
-    stats = prep.fetched(prep.statistics(v.where("NOT is_test")))
+    stats = prep.fetched(prep.statistics(v.where("NOT is_test"), quantiles=quantiles))
     return rounded(v.select("id", F.posexplode(make(F.col("features"), stats)).alias("pos", "x")))
 
 
@@ -357,7 +357,7 @@ def q42_impute_mean(spark, d):
 
 @query(f"WITH {CELLS_SQL} SELECT id, pos::INT AS pos, round({HOLED_SQL.format(fill='q2')}, 6) + 0.0 AS x FROM cells JOIN fit USING (pos)")
 def q43_impute_median(spark, d):
-    return _cells(spark, d, lambda x, s: prep.impute(_holed(x), s, "median"))
+    return _cells(spark, d, lambda x, s: prep.impute(_holed(x), s, "median"), prep.QUARTILES)
 
 
 @query(f"WITH {CELLS_SQL} SELECT id, pos::INT AS pos, round((x - mean) / CASE WHEN std = 0 THEN 1 ELSE std END, 6) + 0.0 AS x FROM cells JOIN fit USING (pos)")
@@ -368,7 +368,7 @@ def q44_scale_standard(spark, d):
 @query(f"""WITH {CELLS_SQL} SELECT id, pos::INT AS pos, round((x - q2) / CASE WHEN q3 = q1 THEN 1 ELSE q3 - q1 END, 6) + 0.0 AS x FROM cells
   JOIN fit USING (pos)""")
 def q45_scale_robust(spark, d):
-    return _cells(spark, d, lambda x, s: prep.scale(x, s, "robust"))
+    return _cells(spark, d, lambda x, s: prep.scale(x, s, "robust"), prep.QUARTILES)
 
 
 @query(f"""WITH {CELLS_SQL} SELECT id, pos::INT AS pos, round((x - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 6) + 0.0 AS x FROM cells
@@ -384,7 +384,7 @@ def q47_normalise_l2(spark, d):
 
 @query(f"WITH {CELLS_SQL} SELECT pos::INT AS pos, round(std * std, 6) + 0.0 AS variance, std * std > 0.0155 AS kept FROM fit")
 def q48_variance_threshold(spark, d):
-    stats = prep.statistics(T.vectors(spark, d).where("NOT is_test"))
+    stats = prep.statistics(T.vectors(spark, d).where("NOT is_test"), quantiles=None)
     positions = prep.variance_kept(prep.fetched(stats), 0.0155)
     return rounded(stats.select("pos", (F.col("std") * F.col("std")).alias("variance"), F.col("pos").isin(*positions).alias("kept")))
 
@@ -392,7 +392,7 @@ def q48_variance_threshold(spark, d):
 @query()
 def q50_pca_topk(spark, d):
     v = T.vectors(spark, d)
-    stats = prep.fetched(prep.statistics(v))
+    stats = prep.fetched(prep.statistics(v, quantiles=None))
     components, _ = prep.principal_components(prep.covariance(v, stats), 4)
     return v.select("id", F.posexplode(prep.projected(F.col("features"), stats, components)).alias("component", "x"))
 
