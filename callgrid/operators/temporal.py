@@ -39,8 +39,12 @@ def islands(frames: DataFrame, config: DetectorConfig) -> DataFrame:
     """
     on = frames.where((F.col("pred") > 0) & (F.col("confidence") >= config.confidence_threshold))
     run = F.col("frame") - F.row_number().over(W.partitionBy("audio_path").orderBy("frame"))
-    runs = on.withColumn("run", run).groupBy("audio_path", "run").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.mode("pred",
-        True).alias("pred"), F.avg("confidence").alias("confidence"))
+    return detections_of(on.withColumn("run", run).groupBy("audio_path", "run"), config)
+
+
+def detections_of(runs, config: DetectorConfig) -> DataFrame:
+    """The detections of kept frames that are grouped by file and run."""
+    runs = runs.agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.mode("pred", True).alias("pred"), F.avg("confidence").alias("confidence"))
     long = runs.where((F.col("last") - F.col("first") + 1) / config.fps >= config.min_event_seconds)
     label = F.get(F.array(*[F.lit(c) for c in config.classes]), F.col("pred") - 1) if config.multiclass else F.lit("event")
     return long.select("audio_path", (F.col("first") / config.fps).alias("start"), ((F.col("last") + 1) / config.fps).alias("end"), label.alias("label"),

@@ -418,6 +418,18 @@ def q53_frame_labels(spark, d):
     return temporal.frame_labels(rows, "duration", 0.25, "gt_id")
 
 
+ISLANDS = temporal.DetectorConfig(0.25, 8.0, 0.5, True, T.CLASSES)
+
+
+def predicted_frames(spark, d):
+    """Marked frames with their class as prediction and a confidence by frame number."""
+    rows = T.intervals(spark, d).withColumn("duration", F.lit(T.DAY_END))
+    frames = temporal.frame_labels(rows, "duration", 0.25, "gt_id")
+    pred = F.coalesce(L.code(F.col("label"), T.CLASSES) + 1, F.lit(0))
+    confidence = F.when(F.col("frame") % 10 == 0, 0.4).otherwise(0.5 + (F.col("frame") % 5) / 10)
+    return frames.withColumns({"pred": pred, "confidence": confidence})
+
+
 @query(f"""WITH {T.INTERVALS_SQL}, marked AS (SELECT audio_path, gt_id,
   CASE label WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END AS c, unnest(range(greatest(0, floor(start / 4)::BIGINT), least(ceil("end" / 4)::BIGINT, ceil({T.DAY_END} / 4)::BIGINT))) AS frame
   FROM intervals),
@@ -431,12 +443,7 @@ SELECT audio_path, round(a / 0.25, 6) AS start,
   round((b + 1) / 0.25, 6) AS "end", ['view', 'click', 'signup', 'purchase'][pred] AS label, round(confidence, 6) AS confidence
   FROM g JOIN m USING (audio_path, run) WHERE (b - a + 1) / 0.25 >= 8""")
 def q54_islands(spark, d):
-    rows = T.intervals(spark, d).withColumn("duration", F.lit(T.DAY_END))
-    frames = temporal.frame_labels(rows, "duration", 0.25, "gt_id")
-    pred = F.coalesce(L.code(F.col("label"), T.CLASSES) + 1, F.lit(0))
-    confidence = F.when(F.col("frame") % 10 == 0, 0.4).otherwise(0.5 + (F.col("frame") % 5) / 10)
-    config = temporal.DetectorConfig(0.25, 8.0, 0.5, True, T.CLASSES)
-    return rounded(temporal.islands(frames.withColumns({"pred": pred, "confidence": confidence}), config))
+    return rounded(temporal.islands(predicted_frames(spark, d), ISLANDS))
 
 
 IOU_SQL = f"""{T.INTERVALS_SQL},

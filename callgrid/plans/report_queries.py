@@ -10,7 +10,10 @@ from callgrid.functions import scalars as S
 from callgrid.functions import signal_sql as G
 from callgrid.operators import clustering, folds, ingest, knn, leakage, metrics, profile, ranking, temporal
 from callgrid.plans import audits
-from callgrid.plans.queries import CANDIDATES_SQL, CELLS_SQL, DISTANCE_SQL, IOU_SQL, VOTES_SQL, _near_sql, _prf, candidates, checked, kept, near, query, rounded
+from callgrid.plans.queries import (
+    CANDIDATES_SQL, CELLS_SQL, DISTANCE_SQL, IOU_SQL, ISLANDS, ORACLES, VOTES_SQL, _near_sql, _prf, candidates, checked, kept, near, predicted_frames,
+    query, rounded,
+)
 from callgrid.sources import tables as T
 
 # ---- helpers of the ingest ----------------------------------------------------------------------------------------
@@ -399,6 +402,23 @@ def q135_offline_detection(spark, d):
     return rounded(temporal.detect(rows, "duration", "gt_id", temporal.DetectorConfig(0.25, 8.0, 0.5, True, T.CLASSES)))
 
 
+@query(ORACLES["q54_islands"])
+def q142_streamed_islands(spark, d):
+    """The islands of q54 from a stream of its frames. Files of frames come in any order, so the watermark lags by a day of
+    recording; a silent frame later than that closes the last runs."""
+    from callgrid.runtime import staged_path
+    from callgrid.streaming import islands
+
+    folder, out, checkpoint = (staged_path(spark, f"islands-{x}") for x in ("frames", "out", "checkpoint"))
+    frames = islands.timed(predicted_frames(spark, d).select("audio_path", "frame", "pred", "confidence"), ISLANDS.fps)
+    frames.write.parquet(folder)
+    islands.drained(folder, frames.schema, ISLANDS, out, checkpoint, "24 hours")
+    last = islands.timed(spark.range(1).select(F.lit("").alias("audio_path"), F.lit(int(3 * 86400 * ISLANDS.fps)).cast("long").alias("frame"),
+        F.lit(0).alias("pred"), F.lit(0.0).alias("confidence")), ISLANDS.fps)
+    last.write.mode("append").parquet(folder)
+    return rounded(islands.drained(folder, frames.schema, ISLANDS, out, checkpoint, "24 hours"))
+
+
 # ---- signals and scalars ------------------------------------------------------------------------------------------
 
 @query(f"""WITH {CELLS_SQL}, turns AS (SELECT id, pos, x, lag(x) OVER (PARTITION BY id ORDER BY pos) IS DISTINCT FROM x AS start FROM cells),
