@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from callgrid.functions.labels import code
 from callgrid.operators.boosting import boost
 from callgrid.operators.kernel import fit_machines, kernel_map
+from callgrid.operators.network import fit_network
 from callgrid.operators.pruning import cost_complexity_tree
 
 #: Names of the baselines. rbf_svm is exact up to as many rows as it has landmarks, and approximate beyond.
@@ -32,7 +34,7 @@ def balanced(rows: DataFrame, label: str = "label_idx") -> DataFrame:
     return rows.join(counts.select(label, weight.alias("weight")), label)  # a row per class
 
 
-def estimator(name: str, n_features: int, n_classes: int, seed: int = 0, sizes: dict | None = None):
+def estimator(name: str, seed: int = 0, sizes: dict | None = None):
     from pyspark.ml import classification as C
 
     z = SIZES | (sizes or {})
@@ -43,16 +45,12 @@ def estimator(name: str, n_features: int, n_classes: int, seed: int = 0, sizes:
         return C.NaiveBayes(modelType="gaussian", **common)
     if name == "random_forest":
         return C.RandomForestClassifier(numTrees=z["trees"], maxDepth=z["depth"], featureSubsetStrategy="sqrt", seed=seed, weightCol="weight", **common)
-    if name == "mlp":
-        return C.MultilayerPerceptronClassifier(layers=[n_features, z["hidden"], n_classes], maxIter=z["mlp_iterations"], seed=seed, **common)
     raise ValueError(f"unknown model {name!r}; known: {', '.join(MODELS)}")
 
 
 def _ready(rows: DataFrame, classes) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    from callgrid.functions.labels import code
-
     return rows.withColumns({"label_idx": code(F.col("label"), classes).cast("double"), "vector": array_to_vector("features")})
 
 
@@ -102,7 +100,10 @@ def predictions(train: DataFrame, test: DataFrame, name: str, classes, seed: int
     if name == "gradient_boosting":
         model = boost(_ready(train, classes), len(classes), (SIZES | (sizes or {}))["rounds"], seed=seed)
         return _named(model.transform(_ready(test, classes)), classes)
-    n = train.select(F.size("features")).first()[0]
+    if name == "mlp":
+        z = SIZES | (sizes or {})
+        model = fit_network(train.withColumn("label_idx", code(F.col("label"), classes)), len(classes), z["hidden"], z["mlp_iterations"], seed)
+        return _named(model.transform(test.select("id", "label", "features")), classes)
     if name in ("linear_svm", "rbf_svm"):
         if name == "rbf_svm":
             features = kernel_map(train, seed=seed)
@@ -110,5 +111,5 @@ def predictions(train: DataFrame, test: DataFrame, name: str, classes, seed: int
         iterations = (SIZES | (sizes or {}))["svm_iterations"]
         model = fit_machines(balanced(_ready(train, classes)), HINGE[name], iterations)
         return _named(model.transform(_ready(test, classes)), classes)
-    model = estimator(name, n, len(classes), seed, sizes).fit(balanced(_ready(train, classes)))
+    model = estimator(name, seed, sizes).fit(balanced(_ready(train, classes)))
     return _named(model.transform(_ready(test, classes)), classes)
