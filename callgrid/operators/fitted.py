@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from callgrid.functions.scalars import finite_or
-from callgrid.operators import information, order_stats, prep
+from callgrid.operators import information, nca, order_stats, prep
 
 QUANTILES, NORMAL_KNOTS = 101, 1001
 SCALERS = ("none", "standard", "robust", "minmax", "l2", "standard_l2", "robust_l2", "quantile_uniform", "quantile_normal", "power")
@@ -160,7 +160,7 @@ def reduce(table: DataFrame, kind: str, seed: int = 0) -> DataFrame:
     for r in stats.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("s")).collect():  # folds x positions
         means[r["fold"]] = np.array([x["mean"] for x in r["s"]])
     if name == "nca":
-        axes = prep.neighbourhood_components(_train(table), means, int(value), seed)
+        axes = nca.neighbourhood_components(_train(table), means, int(value), seed)
         return _projected(table, axes, means)
     n = float(value)
     for f, covariance in prep.covariances(_train(table), means).items():

@@ -200,47 +200,6 @@ def covariances(rows: DataFrame, means: dict, by: str = "fold", features: str =
     return {r["fold"]: np.array([c["v"] for c in r["s"]]).reshape(len(means[r["fold"]]), -1) / max(1, r["n"]) for r in whole}
 
 
-def neighbourhood_components(rows: DataFrame, means: dict, k: int, seed: int = 0, sample: int = 1000, rounds: int = 100, rate: float = 0.05) -> dict:
-    """Axes by fold of neighbourhood component analysis: gradient ascent on the expected leave-one-out accuracy, on the
-    ``sample`` train rows of each fold with the smallest hash (a stated bound), from the principal axes on."""
-    chosen = rows.withColumn("n", F.row_number().over(W.partitionBy("fold").orderBy(F.xxhash64(F.lit(seed), "id"), "id"))).where(F.col("n") <= sample)
-    by: dict = {}
-    for r in chosen.select("fold", "label", "features").orderBy("fold", "n").collect():
-        by.setdefault(r["fold"], []).append((r["label"], r["features"]))
-    return {f: nca_axes(np.array([v for _, v in own], float) - means[f], np.array([str(y) for y, _ in own]), k, rounds, rate) for f, own in by.items()}
-
-
-def nca_axes(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 100, rate: float = 0.05) -> np.ndarray:
-    """Axes (rows) that raise the expected accuracy of a stochastic nearest neighbour; steps that lower it are halved."""
-    axes = principal_components(x.T @ x / max(1, len(x)), k)[0]
-    axes = axes / max(1e-12, float(np.sqrt(((x @ axes.T) ** 2).sum(1).mean())))
-    same = y[:, None] == y[None]
-
-    def value(a):
-        z = x @ a.T
-        d = ((z[:, None] - z[None]) ** 2).sum(2)
-        np.fill_diagonal(d, np.inf)
-        p = np.exp(-(d - d.min(1, keepdims=True)))
-        p /= p.sum(1, keepdims=True)
-        return p, (p * same).sum(1)
-
-    p, hit = value(axes)
-    for _ in range(rounds):
-        w = p * hit[:, None] - p * same
-        both = w + w.T
-        np.fill_diagonal(both, -(w.sum(0) + w.sum(1)) + np.diag(both))
-        step = 2 * axes @ (x.T @ (np.diag(w.sum(1) + w.sum(0)) - w - w.T) @ x) / len(x)
-        moved = axes + rate * step / max(1e-12, float(np.abs(step).max())) * float(np.abs(axes).max())
-        q, now = value(moved)
-        if now.sum() > hit.sum():
-            axes, p, hit = moved, q, now
-        else:
-            rate /= 2
-            if rate < 1e-4:
-                break
-    return axes
-
-
 def covariance(rows: DataFrame, stats: list, features: str = "features") -> np.ndarray:
     """Population covariance, summed from per-batch matrices; one matrix per partition reaches the driver."""
     mean, d = np.array([r["mean"] for r in stats]), len(stats)
