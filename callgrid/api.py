@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from callgrid.functions.labels import CLASSES, FAMILIES
 from callgrid.operators import clustering as C
 from callgrid.operators import ingest, leakage, sampling
-from callgrid.plans import audits, pipelines
+from callgrid.plans import audits, diagnostics, pipelines
 from callgrid.plans import baselines as B
 from callgrid.plans import search as S
 from callgrid.runtime import stage
@@ -73,8 +73,11 @@ def train(manifest_path: str, config_path: str, data_root: str, out: str) -> dic
     found = pipelines.submission(table, classes_of(c), knn, None if mapping_of(c) else FAMILIES)
     for name, t in found.items():
         t.write.mode("overwrite").parquet(f"{out}/{name}")
-    text = pipelines.overview(found, knn.get("feature_set", "handcrafted_stats"))
-    table.sparkSession.createDataFrame([(text,)], "line string").coalesce(1).write.mode("overwrite").text(f"{out}/overview")
+    texts = {"overview": pipelines.overview(found, knn.get("feature_set", "handcrafted_stats")), "domain_diagnostics": diagnostics.diagnostics_text(found)}
+    if "ambiguities" in found:
+        texts["ambiguity_report"] = diagnostics.ambiguity_text(found["ambiguities"], FAMILIES)
+    for name, text in texts.items():
+        table.sparkSession.createDataFrame([(text,)], "line string").coalesce(1).write.mode("overwrite").text(f"{out}/{name}")
     pipelines.save_model(table.where("NOT is_test"), classes_of(c), knn, f"{out}/model")
     return found
 

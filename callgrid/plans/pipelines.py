@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from callgrid.operators import fitted, folds, knn, metrics
 from callgrid.operators.ranking import CV_FOCUSED, DOMAIN_AWARE, ranked
+from callgrid.plans import diagnostics
 from callgrid.runtime import stage
 
 DEFAULT = {"imputer": "mean", "scaler": "standard", "reducer": "none", "k": 5, "weights": "uniform", "metric": "euclidean", "p": 2}
@@ -219,6 +220,7 @@ def submission(rows: DataFrame, classes, config: dict, families: dict | None = N
     counts = rows.agg(F.count_if(~F.col("is_test")).alias("fit_rows"), F.count_if("is_test").alias("official_test_rows"),
         F.max(F.size("features")).alias("features_before_pipeline"))
     out = {"predictions": p} | evaluation(p, classes, families) | {"neighbours": report, "neighbour_distances": knn.distance_stats(report)}
+    out |= diagnostics.submission_tables(rows, p, classes, families)
     # one row each: the configuration beside the scores
     settings = [F.lit(str(c[x])).alias(x) for x in DEFAULT]
     out["result"] = counts.crossJoin(out["summary"]).select(*settings, "*")

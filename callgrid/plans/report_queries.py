@@ -9,7 +9,7 @@ from callgrid.functions import labels as L
 from callgrid.functions import scalars as S
 from callgrid.functions import signal_sql as G
 from callgrid.operators import clustering, folds, ingest, knn, leakage, metrics, profile, ranking, temporal
-from callgrid.plans import audits
+from callgrid.plans import audits, diagnostics
 from callgrid.plans.queries import (
     CANDIDATES_SQL, CELLS_SQL, DISTANCE_SQL, IOU_SQL, ISLANDS, ORACLES, VOTES_SQL, _near_sql, _prf, candidates, checked, kept, near, predicted_frames,
     query, rounded,
@@ -419,6 +419,23 @@ def q142_streamed_islands(spark, d):
     return rounded(islands.drained(folder, frames.schema, ISLANDS, out, checkpoint, "24 hours"))
 
 
+# ---- diagnostics of a submission ----------------------------------------------------------------------------------
+
+SPLIT_SQL = "CASE WHEN is_test THEN 'official_held_out_test' ELSE 'official_train' END"
+
+
+@query(f"""WITH {T.VECTORS_SQL} SELECT {SPLIT_SQL} AS split, domain, label, count(*) AS count,
+  round(count(*) / sum(count(*)) OVER (PARTITION BY is_test, domain), 6) AS fraction FROM vectors GROUP BY is_test, domain, label""")
+def q143_class_distribution_by_domain(spark, d):
+    return rounded(diagnostics.class_distributions(T.vectors(spark, d))["class_distribution_by_domain"])
+
+
+@query(f"""WITH {T.VECTORS_SQL} SELECT domain, count(*) FILTER (NOT is_test) AS train_rows, count(*) FILTER (is_test) AS test_rows,
+  count(DISTINCT label) AS labels, count(*) FILTER (NOT is_test) = 0 AS held_out FROM vectors GROUP BY domain""")
+def q144_split_domains(spark, d):
+    return diagnostics.split_domains(T.vectors(spark, d))
+
+
 # ---- signals and scalars ------------------------------------------------------------------------------------------
 
 @query(f"""WITH {CELLS_SQL}, turns AS (SELECT id, pos, x, lag(x) OVER (PARTITION BY id ORDER BY pos) IS DISTINCT FROM x AS start FROM cells),

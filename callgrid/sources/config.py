@@ -41,7 +41,8 @@ def load(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         own = yaml.safe_load(f) or {}
     if parent := own.pop("extends", None):
-        base = load(os.path.join(os.path.dirname(path), parent))
+        beside = os.path.join(os.path.dirname(path), parent)
+        base = load(beside if os.path.exists(beside) else parent)  # beside the file, else from the working folder
         if (own.get("audio") or {}).get("preset"):
             base["audio"] = {k: v for k, v in (base.get("audio") or {}).items() if k in KEPT}
         own = merged(base, own)

@@ -477,6 +477,7 @@ def test_commands_end_to_end(spark, tmp_path):
     out = f"file://{tmp_path}/out"
     assert spark.read.parquet(f"{out}/submission/summary").first()["accuracy"] == 1.0
     assert "- accuracy: 1.0000" in [r[0] for r in spark.read.text(f"{out}/submission/overview").collect()]
+    assert "# Domain diagnostics" in [r[0] for r in spark.read.text(f"{out}/submission/domain_diagnostics").collect()]
     a, b = (sinks.manifest_signature(x) for x in (spark.read.parquet(m), spark.read.parquet(m).repartition(3)))
     assert a == b and a != sinks.manifest_signature(spark.read.parquet(m).limit(3))
     assert spark.read.parquet(f"{out}/search/results").count() == 2 and spark.read.parquet(f"{out}/verify-crops/extents").count() == 12
