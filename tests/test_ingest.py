@@ -89,3 +89,15 @@ def test_config(tmp_path):
 def test_valid_rows_reads_text(spark):
     rows = spark.createDataFrame([("True", "train"), ("false", "train"), ("true", "validation")], "valid_event string, split string")
     assert ingest.valid_rows(rows, ["train"]).count() == 1
+
+
+def test_a_parent_from_the_working_folder(tmp_path, monkeypatch):
+    from callgrid.sources import config
+
+    (tmp_path / "own").mkdir()
+    (tmp_path / "base.yaml").write_text("a: {b: 1, c: 2}\n")
+    (tmp_path / "own/child.yaml").write_text("extends: base.yaml\na: {c: 3}\n")
+    monkeypatch.chdir(tmp_path)
+    assert config.load(str(tmp_path / "own/child.yaml")) == {"a": {"b": 1, "c": 3}}
+    (tmp_path / "own/base.yaml").write_text("a: {b: 7}\n")
+    assert config.load(str(tmp_path / "own/child.yaml")) == {"a": {"b": 7, "c": 3}}
