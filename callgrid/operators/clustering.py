@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from callgrid.runtime import by_value
+
+by_value(__name__)
+
 
 def k_means(rows: DataFrame, k: int, seeds: int = 5, features: str = "features") -> DataFrame:
     """(id, label, cluster): the best of several seeded runs."""
@@ -105,36 +109,70 @@ def mean_shift(rows: DataFrame, sample: int = 3500, width: float | None = None,
     return rows.select("id", "label", (F.array_position(far, F.array_min(far)) - 1).cast("int").alias("cluster"))
 
 
-def silhouette(rows: DataFrame, features: str = "features", block: int = 4096) -> DataFrame:
+def distance_sums(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, tile: tuple[int, int] = (256, 512)) -> tuple[np.ndarray, np.ndarray]:
+    """Euclidean distances of the rows of ``x`` and ``y``, summed for each row of ``x`` by the columns of ``of_y`` (rows of
+    ``y`` by clusters, 0 or 1), and the other way round. By products in double precision about the common middle; pairs
+    much nearer than they are far from it are measured by differences."""
+    middle = (x.mean(0) + y.mean(0)) / 2
+    x, y = x - middle, y - middle
+    a, b = (x * x).sum(1), (y * y).sum(1)
+    left, right = np.column_stack([-2 * x, np.ones(len(x))]), np.ascontiguousarray(np.column_stack([y, b]).T)
+    rows, columns = np.zeros((len(x), of_y.shape[1])), np.zeros((len(y), of_x.shape[1]))
+    for lo in range(0, len(x), tile[0]):
+        i = slice(lo, lo + tile[0])
+        for start in range(0, len(y), tile[1]):
+            j = slice(start, start + tile[1])
+            d = left[i] @ right[:, j]
+            d += a[i, None]
+            limit = 1e-4 * (a[i, None] + float(b[j].max()))
+            close = np.argwhere(d <= limit) if d.min() <= limit.max() else ()
+            np.sqrt(np.maximum(d, 0, out=d), out=d)
+            for at in range(0, len(close), 8192):  # copies are many
+                p, r = close[at : at + 8192].T
+                d[p, r] = np.sqrt(((x[lo + p] - y[start + r]) ** 2).sum(1))
+            rows[i] += d @ of_y[j]
+            columns[j] += d.T @ of_x[i]
+    return rows, columns
+
+
+def silhouette(rows: DataFrame, features: str = "features", block: int = 32768) -> DataFrame:
     """(id, cluster, silhouette) of the assigned rows: how much nearer the own cluster is than the next one, 0 for a cluster
-    of one row. Exact, in blocks: a task holds two blocks and returns a sum of distances per row and cluster."""
+    of one row. Exact, in blocks: a task holds two blocks, which meet once for both, and returns a sum of distances per row
+    and cluster. Blocks grow with the table, work with its square."""
     import pyarrow as pa
 
-    from callgrid.operators.knn import distances
+    from callgrid.operators.knn import LEAST, _matrix
     from callgrid.runtime import stage
 
     own = stage(rows.where("cluster IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("cluster").cast("long").alias("cluster"),
         F.col(features).alias("v")), "silhouette-rows")
-    n = -(-max(1, own.count()) // block)
+    size = max(1, own.count())
+    n = -(-size // min(block, max(LEAST, -(-size // 16))))
     part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = F.explode(F.expr(f"sequence(0, {n - 1})"))
-    a, b = own.select(part.alias("p"), every.alias("q"), "id", "cluster", "v"), own.select(every.alias("p"), part.alias("q"), "id", "cluster", "v")
+    # Each pair of blocks once, the smaller number first: a block is left of those behind it and right of those before.
+    a = own.withColumn("p", part).select("p", F.explode(F.sequence("p", F.lit(n - 1))).alias("q"), "id", "cluster", "v")
+    b = own.withColumn("q", part).select(F.explode(F.sequence(F.lit(0), "q")).alias("p"), "q", "id", "cluster", "v")
+    a, b = (t.repartition(n * (n + 1), "p", "q") for t in (a, b))
 
     def sums(x, y):
         out = [[], [], [], []]
         if x.num_rows and y.num_rows:
-            matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
-            clusters, of = np.unique(y.column("cluster").to_numpy(), return_inverse=True)
-            counts = np.bincount(of)
-            other = matrix(y)
-            for lo in range(0, x.num_rows, 256):
-                d = distances(matrix(x.slice(lo, 256)), other, "euclidean")
-                total = np.stack([d[:, of == c].sum(1) for c in range(len(clusters))], 1)
-                ids = x.column("id").slice(lo, 256).to_numpy()
-                for column, values in zip(out, (np.repeat(ids, len(clusters)), np.tile(clusters, len(ids)), total.ravel(), np.tile(counts, len(ids))),
-                    strict=True):
-                    column.extend(values.tolist())
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["id", "other",
+            sides = []
+            for t in (x, y):
+                clusters, of = np.unique(t.column("cluster").to_numpy(), return_inverse=True)
+                sides.append((t.column("id").to_numpy(), clusters, np.bincount(of), of, _matrix(t.column("v"))))
+            (ids, named, counts, of_x, v), (ids2, named2, counts2, of_y, v2) = sides
+            same = x.column("p")[0].as_py() == x.column("q")[0].as_py()
+            # A column for each of some clusters at a time: their number may be large.
+            for lo in range(0, max(len(named), len(named2)), 64):
+                one = lambda of, c: (of[:, None] == np.arange(lo, min(lo + 64, len(c)))).astype(float)
+                left, right = distance_sums(v, v2, one(of_x, named)[:, : 0 if same else None], one(of_y, named2))
+                for who, c, k, total in ((ids, named2[lo : lo + 64], counts2[lo : lo + 64], left), (ids2, named[lo : lo + 64], counts[lo : lo + 64], right)):
+                    if total.shape[1]:
+                        for column, values in zip(out, (np.repeat(who, len(c)), np.tile(c, len(who)), total.ravel(), np.tile(k, len(who))), strict=True):
+                            column.append(values)
+        kinds = ((pa.int64(), np.int64), (pa.int64(), np.int64), (pa.float64(), float), (pa.int64(), np.int64))
+        return pa.table([pa.array(np.concatenate([np.zeros(0, k), *c]).astype(k), t) for c, (t, k) in zip(out, kinds, strict=True)], names=["id", "other",
             "total", "n"])
 
     met = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInArrow(sums, "id long, other long, total double, n long")
