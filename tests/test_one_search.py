@@ -1,10 +1,25 @@
 """A query that reads its neighbours twice searches once."""
 
+import re
+
 from conftest import TESTDATA
 
+from callgrid.plans import report_queries  # noqa: F401
 from callgrid.plans.queries import QUERIES
 
 
 def test_distance_stats(spark, capsys):
     QUERIES["q101_neighbor_distance_stats"](spark, TESTDATA).explain()
     assert "FlatMapCoGroups" not in capsys.readouterr().out  # before, the search stood in the plan of the report and of the votes
+
+
+def test_folds_share_the_tasks(spark, monkeypatch):
+    """Seven folds of few rows; before, each of them was cut into as many blocks as one table is."""
+    from callgrid.operators import knn
+
+    monkeypatch.setattr(knn, "LEAST", 1)
+    rows = spark.range(700).selectExpr("id", "CAST(id % 7 AS INT) AS fold", "array(CAST(id * 37 % 101 AS DOUBLE), CAST(id % 13 AS DOUBLE)) AS features")
+    near = knn.neighbours(rows, rows, 2, by="fold", exclude_self=True)
+    assert near.count() == 1400
+    plan = near._jdf.queryExecution().toString()
+    assert max(int(n) for n in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", plan)) <= 2 * 200
