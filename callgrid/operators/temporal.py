@@ -24,10 +24,17 @@ def frame_labels(events: DataFrame, duration: str, fps: float, order: str) -> Da
     """(audio_path, frame, label) of all marked frames; where events overlap the one last in ``order`` wins.
 
     An event marks floor(start x fps) up to ceil(end x fps), inside the file; a negative start counts as 0.
+
+    Events are brought together by file before they are taken apart, so frames, which are many more, need no shuffle, here
+    or where they are grouped by file later. The number of partitions is fixed: by the bytes of events alone they would be
+    merged. Labels that are numbers are hashed, where texts are sorted.
     """
     n = F.ceil(F.col(duration) * fps)
     first, end = F.greatest(F.lit(0), F.floor(F.col("start") * fps)), F.least(F.ceil(F.col("end") * fps), n)
-    marked = events.where(end > first).select("audio_path", "label", F.col(order).alias("__o"), F.explode(F.sequence(first, end - 1)).alias("frame"))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_file = events.where(end > first).select("audio_path", "label", F.col(order).alias("__o"), first.alias("__a"), (end - 1).alias("__z")).repartition(
+        parts, "audio_path")
+    marked = by_file.select("audio_path", "label", "__o", F.explode(F.sequence("__a", "__z")).alias("frame"))
     return marked.groupBy("audio_path", "frame").agg(F.max_by("label", "__o").alias("label"))
 
 
@@ -38,15 +45,22 @@ def islands(frames: DataFrame, config: DetectorConfig) -> DataFrame:
     commonest class (ties: the lowest index), the confidence the mean.
     """
     on = frames.where((F.col("pred") > 0) & (F.col("confidence") >= config.confidence_threshold))
-    run = F.col("frame") - F.row_number().over(W.partitionBy("audio_path").orderBy("frame"))
-    return detections_of(on.withColumn("run", run).groupBy("audio_path", "run"), config)
+    file = F.xxhash64("audio_path")  # sorts faster than paths, which begin alike
+    run = F.col("frame") - F.row_number().over(W.partitionBy("__file", "audio_path").orderBy("frame"))
+    return detections_of(on.withColumn("__file", file).withColumn("run", run).groupBy("audio_path", "run"), config)
 
 
 def detections_of(runs, config: DetectorConfig) -> DataFrame:
-    """The detections of kept frames that are grouped by file and run."""
-    runs = runs.agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.mode("pred", True).alias("pred"), F.avg("confidence").alias("confidence"))
+    """The detections of kept frames that are grouped by file and run. A count for each class stands for the commonest one;
+    predictions beyond the declared classes are counted together, and their label is null."""
+    of = [F.count_if(F.col("pred") == i) for i in range(1, len(config.classes) + 1)] + [F.count_if(F.col("pred") > len(config.classes))]
+    counts = [c.alias(f"__{i}") for i, c in enumerate(of)] if config.multiclass else []
+    runs = runs.agg(F.min("frame").alias("first"), F.max("frame").alias("last"), *counts, F.avg("confidence").alias("confidence"))
     long = runs.where((F.col("last") - F.col("first") + 1) / config.fps >= config.min_event_seconds)
-    label = F.get(F.array(*[F.lit(c) for c in config.classes]), F.col("pred") - 1) if config.multiclass else F.lit("event")
+    label = F.lit("event")
+    if config.multiclass:
+        n = F.array(*[F.col(f"__{i}") for i in range(len(of))])
+        label = F.get(F.array(*[F.lit(c) for c in config.classes], F.lit(None)), (F.array_position(n, F.array_max(n)) - 1).cast("int"))
     return long.select("audio_path", (F.col("first") / config.fps).alias("start"), ((F.col("last") + 1) / config.fps).alias("end"), label.alias("label"),
         "confidence")
 
@@ -118,6 +132,6 @@ def detect(events: DataFrame, duration: str, order: str, config: DetectorConfig,
     """Frames from annotations, stand-in predictions on them, islands."""
     from callgrid.functions.labels import code
 
-    frames = frame_labels(events, duration, config.fps, order)
-    index = code(F.col("label"), config.classes) + 1 if config.multiclass else F.lit(1)
-    return islands(frame_predictions(frames, F.coalesce(index, F.lit(0)), noise, seed), config)
+    index = F.coalesce(code(F.col("label"), config.classes) + 1, F.lit(0)) if config.multiclass else F.lit(1)
+    frames = frame_labels(events.withColumn("label", index), duration, config.fps, order)
+    return islands(frame_predictions(frames, F.col("label"), noise, seed), config)
