@@ -34,10 +34,17 @@ def streamed_islands(frames: DataFrame, config: DetectorConfig, late: str = "10
 
 def drained(folder: str, schema, config: DetectorConfig, out: str, checkpoint: str, late: str = "10 minutes", files: int | None = None) -> DataFrame:
     """All runs closed by the frames that lie in a folder by now, ``files`` of them a batch. A later call with the same
-    checkpoint goes on with the open runs; all folders must be shared."""
+    checkpoint goes on with the open runs; all folders must be shared. Tasks merge the frames they read into runs before
+    these are shuffled; where the files hold whole recordings, a run is one row from then on."""
     spark = SparkSession.getActiveSession()
+    merged = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
     source = spark.readStream.schema(schema)
     source = source.option("maxFilesPerTrigger", files) if files else source
     found = streamed_islands(source.parquet(folder), config, late)
-    to_table(found, out, checkpoint).awaitTermination()
+    before = spark.conf.get(merged, None)
+    spark.conf.set(merged, "true")
+    try:
+        to_table(found, out, checkpoint).awaitTermination()
+    finally:
+        spark.conf.set(merged, before) if before is not None else spark.conf.unset(merged)
     return spark.read.schema(found.schema).parquet(out)

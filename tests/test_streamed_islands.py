@@ -60,3 +60,14 @@ def test_late_frames_are_left_out_and_others_join_runs(spark, tmp_path):
 def test_nulls_and_an_empty_table(spark, tmp_path):
     df = islands.timed(spark.createDataFrame([("x", None, 1, 0.8), ("x", 1, None, 0.8), ("x", 2, 1, None)], SCHEMA), CONFIG.fps)
     assert rows(islands.streamed_islands(df, CONFIG)) == rows(islands.streamed_islands(df.limit(0), CONFIG)) == []
+
+
+def test_tasks_merge_runs_before_the_shuffle(spark, tmp_path, monkeypatch):
+    """Before, each frame was shuffled as a run of its own. The session's setting is back afterwards."""
+    name, seen, start = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", [], islands.to_table
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(islands, "to_table", lambda *a: seen.append(spark.conf.get(name, None)) or start(*a))
+    df = frames(spark, 8)
+    arrive(df, tmp_path)
+    drain(tmp_path, df.schema, "2 minutes")
+    assert seen == ["true"] and spark.conf.get(name, None) == before
