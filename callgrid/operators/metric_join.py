@@ -38,12 +38,19 @@ def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def within(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
-    """Which rows of ``x`` and ``y`` are no farther than ``eps``: by products, and near the limit by differences."""
-    a, b = (x * x).sum(1), (y * y).sum(1)
-    rough = a[:, None] + b[None] - 2 * x @ y.T
-    out = rough <= eps * eps
-    for i, j in zip(*np.nonzero(np.abs(rough - eps * eps) <= 1e-9 * (1 + eps * eps + a[:, None] + b[None])), strict=True):
-        out[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum()) <= eps
+    """Which rows of ``x`` and ``y`` are no farther than ``eps``: by products, and near the limit by differences. One matrix
+    of numbers is held, and changed in place."""
+    a, b, limit = (x * x).sum(1), (y * y).sum(1), eps * eps
+    rough = (-2 * x) @ y.T
+    rough += a[:, None]
+    rough += b
+    out = rough <= limit
+    rough -= limit
+    np.abs(rough, out=rough)
+    close = np.argwhere(rough <= 1e-9 * (1 + limit + a.max(initial=0) + b.max(initial=0)))
+    for lo in range(0, len(close), 8192):  # copies are many
+        i, j = close[lo : lo + 8192].T
+        out[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum(1)) <= eps
     return out
 
 
