@@ -99,3 +99,33 @@ def test_unpruned_predictions_are_the_trees_own(spark):
     want = {r["id"]: r["prediction"] for r in model.transform(train).collect()}
     assert {r["id"]: r["prediction"] for r in whole.transform(train).collect()} == want
     assert tree.leaves(tree.left >= 0) == (model.depth, (model.numNodes + 1) // 2)
+
+
+def test_leaves_are_no_literals_of_a_plan(spark):
+    """Leaves grow with the rows; before, every leaf's prediction was a literal of the plan, and every trial's too."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    train = models._ready(rows(spark, 400, 1, 0.3), CLASSES)
+    model = DecisionTreeClassifier(maxDepth=30, featuresCol="vector", labelCol="label_idx").fit(train)
+    assert model.numNodes > 100
+    plans = []
+    for leaves in (100, (model.numNodes + 1) // 2):
+        out = pruning.Pruned(model, [1.0] * leaves, 0.0).transform(train)
+        plans.append(str(out._jdf.queryExecution().analyzed().expressions()) + out._jdf.queryExecution().analyzed().treeString())
+    assert out.count() == 400 and {r["prediction"] for r in out.collect()} == {1.0} and "1.0, 1.0" not in plans[1]
+
+
+def test_a_large_tree_takes_memory_as_its_nodes():
+    """Before, every step looked through all nodes and kept a copy of them: more than 100 MB here."""
+    import tracemalloc
+
+    n, r = 1 << 14, np.random.default_rng(0)
+    left = np.array([2 * i + 1 if i < n - 1 else -1 for i in range(2 * n - 1)])
+    cost = r.random(2 * n - 1)
+    for i in reversed(range(n - 1)):
+        cost[i] += cost[2 * i + 1] + cost[2 * i + 2]
+    tracemalloc.start()
+    alphas, gone = pruning.cuts(pruning.Nodes(left, np.where(left >= 0, left + 1, -1), cost, np.zeros(2 * n - 1)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(alphas) > 4000 and (gone[left >= 0] >= 1).all() and not gone[left < 0].any() and most < 60 << 20
