@@ -30,10 +30,10 @@ def dbscan(rows: DataFrame, eps: float, least: int, axes: int | None = None, fea
     """(id, cluster): density clusters by Euclidean distance, null for noise; a border point joins its smallest neighbouring
     cluster, which is named by its smallest core id. ``layout``: sizes as for ``metric_join.layout``.
 
-    Rows meet the blocks that can hold a neighbour, twice: first to count, then with the cores alone. A block's cores are
-    united within it, so a dense region leaves a label for each row and block, not its pairs. Equal vectors have equal
-    fates. A vector that can't be measured is noise. Vectors are of one length. ``axes`` stays for callers that name it: whole
-    vectors are compared, and blocks need no choice of coordinates."""
+    Groups of rows meet in pairs, twice: first to count, then to link. A group's cores are united within it first, and two
+    groups leave no more links than join their parts, so a dense region leaves few rows, not its pairs. Equal vectors have
+    equal fates. A vector that can't be measured is noise. Vectors are of one length. ``axes`` stays for callers that name it:
+    whole vectors are compared, and blocks need no choice of coordinates."""
     from callgrid.operators import metric_join as M
     from callgrid.runtime import stage
 
@@ -42,10 +42,13 @@ def dbscan(rows: DataFrame, eps: float, least: int, axes: int | None = None, fea
     if laid is None:
         return rows.select("id", F.lit(None).cast("long").alias("cluster"))
     cores = stage(M.weights_near(laid, eps).where(F.col("n") >= least).select("id"), "dbscan-cores")
-    touched = stage(M.touched(laid, cores, eps), "dbscan-touched")
-    labels = stage(components(touched.join(cores, "id", "left_semi").select(F.col("id").alias("a"), F.col("label").alias("b"))), "dbscan-labels")
-    part = touched.join(labels.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
-    found = part.groupBy("id").agg(F.min("cluster").alias("cluster"))  # a core touches parts of its own cluster only
+    parts = stage(M.parts(laid, cores, eps), "dbscan-parts")
+    links = stage(M.links(laid, parts, eps), "dbscan-links")
+    named = parts.select(F.col("label").alias("a"), F.col("label").alias("b")).distinct()
+    labels = stage(components(links.where("core").select("a", "b").unionAll(named)), "dbscan-labels")
+    member = parts.unionAll(links.where("NOT core").select(F.col("a").alias("id"), F.col("b").alias("label")))
+    touched = member.join(labels.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
+    found = touched.groupBy("id").agg(F.min("cluster").alias("cluster"))
     by_vector = stage(nodes.select("id", "v").join(found, "id").select("v", "cluster"), "dbscan-vectors")
     placed = own.join(by_vector, "v").select("id", "cluster")
     return rows.select("id").join(placed.dropDuplicates(["id"]), "id", "left")
